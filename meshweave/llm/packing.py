@@ -15,6 +15,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -32,6 +33,10 @@ PLACED = f"{PIECES}, sequence_id long, offset long"
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e©«°·»¿¡À-ÿŒœ–—‘-”…]*")
 _LETTERS = "a-zß-öø-ÿœ"
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+")
+# The printable symbol that stands for each byte within the tokenizer's vocabulary: printable Latin-1
+# characters stand for themselves, the other bytes for the characters from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_SYMBOLS = {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*_SHOWN}))}
 
 
 class WordEncoder:
@@ -63,11 +68,18 @@ class WordEncoder:
         if len(cache) + len(new) > self.cache_words:  # frequent words came first: they stay
             cache = self.cache = dict(islice(cache.items(), self.cache_words // 8))
             new = list({w for w in words if w not in cache})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            cache[w] = array("I", e.ids).tobytes()
+        merge = self.tokenizer.model.tokenize
+        for w in new:
+            cache[w] = array("I", [t.id for t in merge(w.encode().decode("latin-1").translate(_BYTE_SYMBOLS))]).tobytes()
         return b"".join(map(cache.__getitem__, words))
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return WordEncoder(path)
+
+
 def tokenised_pieces(
     docs: DataFrame, tokenizer_path: str, seq_len: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
 ) -> DataFrame:
@@ -83,7 +95,7 @@ def tokenised_pieces(
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_index, packing
+from . import fm_index, packing, secrets
 from .common import sha256_hex, table
 
 
@@ -17,6 +17,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    n = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(secrets.KINDS)]
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    return found.select("doc_id", *n[:3], sha256_hex(secrets.listed(base)).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"), n[3])
+
+
 def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_two_fit(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -50,7 +57,7 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_best_two_fit": op3_best_two_fit, "op10_fm_index": op10_fm_index}
+    return {"op1_secret_scan": op1_secret_scan, "op3_best_two_fit": op3_best_two_fit, "op10_fm_index": op10_fm_index}
 
 
 def oracle_sql() -> dict[str, str]:
