@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_index, packing, secrets
+from . import fm_index, packing, quality, secrets, toxicity
 from .common import sha256_hex, table
 
 
@@ -28,6 +28,14 @@ def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_two_fit(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = fm_index.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["begin"])
@@ -57,7 +65,13 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secret_scan": op1_secret_scan, "op3_best_two_fit": op3_best_two_fit, "op10_fm_index": op10_fm_index}
+    return {
+        "op1_secret_scan": op1_secret_scan,
+        "op3_best_two_fit": op3_best_two_fit,
+        "op4_kneser_ney": op4_kneser_ney,
+        "op8_pu_quality": op8_pu_quality,
+        "op10_fm_index": op10_fm_index,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
