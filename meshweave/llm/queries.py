@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_index, jaccard_join, packing, quality, secrets, toxicity
+from . import embedding_dedup, fm_index, jaccard_join, packing, quality, secrets, toxicity
 from .common import sha256_hex, table
 
 
@@ -41,6 +41,10 @@ def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = fm_index.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["begin"])
@@ -80,6 +84,17 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
 FROM d LEFT JOIN n USING (r) JOIN (SELECT a AS r, min(d.doc_id) AS component_id FROM reach JOIN d ON reach.b = d.r GROUP BY a) m USING (r)
 """
 
+OP9_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+g AS (SELECT * FROM e WHERE len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, l.y FROM reach JOIN l ON reach.b = l.x),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, vec_id = c.component_id AS kept
+FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.x = vec_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -88,9 +103,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_kneser_ney": op4_kneser_ney,
         "op5_divide_skip": op5_divide_skip,
         "op8_pu_quality": op8_pu_quality,
+        "op9_rotation_codes": op9_rotation_codes,
         "op10_fm_index": op10_fm_index,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_divide_skip": OP5_SQL, "op10_fm_index": OP10_SQL}
+    return {"op9_rotation_codes": OP9_SQL, "op5_divide_skip": OP5_SQL, "op10_fm_index": OP10_SQL}
