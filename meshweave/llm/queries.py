@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fm_index, jaccard_join, packing, quality, secrets, toxicity
+from . import embedding_dedup, fm_index, jaccard_join, packing, page_text, quality, secrets, toxicity
 from .common import sha256_hex, table
 
 
@@ -24,6 +24,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *n[:3], sha256_hex(secrets.listed(base)).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"), n[3])
 
 
+def op2_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.page_texts(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_two_fit(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -99,6 +103,7 @@ FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.x = vec_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_page_differencing": op2_page_differencing,
         "op3_best_two_fit": op3_best_two_fit,
         "op4_kneser_ney": op4_kneser_ney,
         "op5_divide_skip": op5_divide_skip,
