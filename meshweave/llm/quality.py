@@ -141,10 +141,10 @@ def score_quality(
         trusted = sample(learnt.where("y = 1").select("doc_id"), max_positive).withColumn("p", F.lit(1))
         web = sample(rows.where(F.col("doc_id").isNotNull()).select("doc_id"), max_unlabelled).distinct().withColumn("u", F.lit(1))
         chosen = trusted.join(web, "doc_id", "full").persist()  # at most max_positive + max_unlabelled ids
-        got = _features(rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "p", "u", "text")).toPandas()
+        got = _features(rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "p", "u", "text")).toArrow()
         chosen.unpersist()
-        x = np.asarray(got["x"].tolist(), float).reshape(-1, len(FEATURES))
-        positive, unlabelled = x[got["p"].notna()], x[got["u"].notna()]
+        x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
+        positive, unlabelled = x[got["p"].is_valid().to_numpy()], x[got["u"].is_valid().to_numpy()]
         if len(positive) and len(unlabelled):
             model = fit_nnpu(positive, unlabelled, min(float(share[0]), 0.999))
     fitted = spark.sparkContext.broadcast(model)
