@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +47,37 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
+
+
+class Sieve:
+    """A set of 64-bit keys as a bit table of fixed size, to leave out rows before a shuffle.
+
+    It may keep a row whose key is not in the set, and never loses one that is. The size does not
+    depend on the number of keys; with very many of them it merely keeps more rows.
+    """
+
+    def __init__(self, keys: DataFrame, bits: int = 24):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = np.zeros(1 << (bits - 6), np.uint64)
+            for batch in batches:
+                slot = self.slots(batch.column(0).to_numpy())
+                np.bitwise_or.at(table, slot >> 6, np.uint64(1) << (slot & 63).astype(np.uint64))
+            word = np.flatnonzero(table)
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(table[word].view(np.int64))], ["word", "bits"])
+
+        self.bits = bits
+        got = keys.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        table = np.zeros(1 << (bits - 6), np.uint64)
+        table[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+        self.table = keys.sparkSession.sparkContext.broadcast(table)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        x = keys.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (x >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        slot = self.slots(keys)
+        return (self.table.value[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k in ("bits", "table")}

@@ -137,8 +137,8 @@ def near_duplicates(
 def _found(first: DataFrame, dim: int, n: int, cosine: float, eps: float, cell: int, most_centres: int, sample: int, block: int) -> DataFrame:
     """Rows (``rep``, ``n``, null): sums of links; and (``u``, 0, ``v``): links for components."""
     spark = first.sparkSession
-    got = first.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").toPandas()  # bounded by sample
-    x = unit(np.stack(got["embedding"].to_numpy()).astype(np.float64))
+    got = first.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").toArrow()  # bounded by sample
+    x = unit(_vectors(got["embedding"].combine_chunks(), dim))
     centres = spark.sparkContext.broadcast(fit_centres(x, max(1, min(most_centres, n // cell))))
     reach = float(np.arccos(cosine))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, texts
+from .common import Sieve, materialise, texts
 from .graph import components
 
 # Bytes of UTF-8 text: A-Z become a-z, white space becomes the space.
@@ -244,6 +244,27 @@ def links(members: DataFrame, shingle: int, num: int, den: int, forest: bool) ->
     return dealt.select("family", "block", "inside", "rep", "f1", "f2", "text").mapInArrow(run, "u long, v long")
 
 
+def _met(reps: DataFrame, sieve: Sieve) -> DataFrame:
+    """``key`` and ``rep`` of the keys that may be shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            key, count = column.flatten().to_numpy(), column.value_lengths().to_numpy()
+            keep = sieve.holds(key)
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(np.repeat(batch.column(0).to_numpy(), count)[keep])], ["key", "rep"])
+
+    return reps.mapInArrow(run, "key long, rep long")
+
+
+def _with_id_in(rows: DataFrame, sieve: Sieve) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sieve.holds(batch.column(0).to_numpy())))
+
+    return rows.mapInArrow(run, "doc_id long, text string")
+
+
 def jaccard_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, bands: int = 50, rows: int = 5, block: int = 4096, forest: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
@@ -259,16 +280,18 @@ def jaccard_join(
     some = sets.where("n > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     reps = materialise(some.join(classes, ["f1", "f2"]).where("doc_id = rep").select("rep", "f1", "f2", "keys"), "classes")
-    keyed = reps.select("rep", F.explode("keys").alias("key"))  # a key has its band mixed in
+    keyed = reps.select(F.explode("keys").alias("key"), "rep")  # a key has its band mixed in
     near = keyed.groupBy("key").agg(F.min("rep").alias("v"), F.max("rep").alias("w")).where("v < w").select("key", "v")
-    edges = keyed.join(near, "key").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
+    near = materialise(near, "keys")
+    edges = _met(reps.select("rep", "keys"), Sieve(near.select("key"))).join(near, "key").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
     families = components(edges, "families").select(F.col("node").alias("rep"), F.col("component").alias("family"))
     families = materialise(families.join(reps.select("rep", "f1", "f2").distinct(), "rep"), "families")
     sizes = families.groupBy("family").agg(F.count("*").alias("m"))
     dealt = families.join(sizes, "family").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("family", "block", (F.col("block") == F.col("own")).alias("inside"), "rep", "f1", "f2")
-    members = dealt.join(rows_in.withColumnRenamed("doc_id", "id"), F.col("rep") == F.col("id")).drop("id")
+    near_texts = _with_id_in(rows_in.where("doc_id IS NOT NULL"), Sieve(families.select("rep")))
+    members = dealt.join(near_texts.withColumnRenamed("doc_id", "id"), F.col("rep") == F.col("id")).drop("id")
     found = materialise(links(members, shingle, num, den, forest), "links")
     joined = components(found, "components").withColumnRenamed("node", "rep")
     named = classes.join(joined, "rep", "left").select("f1", "f2", "rep", F.coalesce("component", "rep").alias("component_id"))
