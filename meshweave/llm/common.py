@@ -40,9 +40,13 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the id and the text, as ``doc_id`` and ``text``; other columns cannot clash."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def texts(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """Only the id and the text, as ``doc_id`` and ``text``; other columns cannot clash.
+
+    ``carry`` adds the whole input row as the struct ``row``.
+    """
+    row = [F.struct("*").alias("row")] if carry else []
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *row)
 
 
 def sha256_hex(text: Column) -> Column:

@@ -255,9 +255,6 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return (b" ".join([*parts, tail.lstrip(b" ")]) if parts else raw).decode("utf-8", "surrogatepass")
 
 
-SCHEMA = "doc_id {id}, text string, n_words long, spans array<struct<begin:long,end:long>>, items array<string>"
-
-
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[object, str | None]]]:
     """The benchmark's items in blocks of about ``block_bytes`` of text each."""
     items = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text"))
@@ -270,7 +267,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    shard_words: int = 1_000_000, sample: int = 16, block_bytes: int = 8 << 20,
+    shard_words: int = 1_000_000, sample: int = 16, block_bytes: int = 8 << 20, carry: bool = False,
 ) -> DataFrame:
     """For each row of ``docs``: its text, ``n_words``, the merged ``spans`` of words inside any
     occurrence of a test window (begin inclusive, end exclusive), and the ``items`` that occur.
@@ -278,10 +275,12 @@ def find_leaks(
     No shuffle: each task indexes the shards of its own rows. A benchmark larger than
     ``block_bytes`` is searched block by block, each a further pass in the same task. Null and
     empty texts have no words; repeated rows each get their row; an empty benchmark hits nothing.
+    ``carry`` adds the input row as ``row``.
     """
-    rows = texts(docs, id_col, text_col)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    rows = rows.selectExpr("doc_id", "text", "0L AS n_words", "cast(array() AS array<struct<begin:long,end:long>>) AS spans", "cast(array() AS array<string>) AS items")
+    rows = texts(docs, id_col, text_col, carry)
+    extra = ["row"] if carry else []
+    rows = rows.selectExpr("doc_id", "text", "0L AS n_words", "cast(array() AS array<struct<begin:long,end:long>>) AS spans", "cast(array() AS array<string>) AS items", *extra)
+    schema = rows.schema
     spark = docs.sparkSession
     for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
         windows = spark.sparkContext.broadcast(Windows(block, window))
@@ -298,9 +297,9 @@ def find_leaks(
                 columns = [
                     batch.column(0), batch.column(1), pa.array([a.size for a in numbers], pa.int64()),
                     pa.array([[{"begin": b, "end": e} for b, e in x] for x in spans], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
-                    pa.array(items, pa.list_(pa.string())),
+                    pa.array(items, pa.list_(pa.string())), *batch.columns[5:],
                 ]
-                return pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_words", "spans", "items"])
+                return pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_words", "spans", "items", *extra])
 
             for batch in batches:
                 numbers, total, begin = [], 0, 0
@@ -314,21 +313,21 @@ def find_leaks(
                 if numbers:
                     yield closed(batch.slice(begin), numbers)
 
-        rows = rows.mapInArrow(run, SCHEMA.format(id=kind))
+        rows = rows.mapInArrow(run, schema)
     return rows
 
 
 def decontaminated(leaks: DataFrame) -> DataFrame:
-    """``doc_id``, the ``text`` without its removal spans, and ``n_removed`` words.
+    """The rows of ``find_leaks`` with ``text`` less its removal spans, and without the spans.
 
     Texts without a hit, null ones too, stay as they are.
     """
+    names = [c for c in leaks.columns if c != "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [[(x["begin"], x["end"]) for x in s] for s in batch.column(2).to_pylist()]
-            new = [without_spans(t, s) if s else t for t, s in zip(batch.column(1).to_pylist(), spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), pa.array([sum(e - b for b, e in s) for s in spans], pa.int64())], ["doc_id", "text", "n_removed"])
+            spans = [[(x["begin"], x["end"]) for x in s] for s in batch.column("spans").to_pylist()]
+            new = pa.array([without_spans(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), spans, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([new if c == "text" else batch.column(c) for c in names], names)
 
-    kind = leaks.schema["doc_id"].dataType.simpleString()
-    return leaks.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, text string, n_removed long")
+    return leaks.mapInArrow(run, leaks.drop("spans").schema)

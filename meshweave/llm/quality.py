@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import texts
 from .labels import fold, known, sample
@@ -124,13 +125,13 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, bins: i
 
 def score_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", label_id: str = "doc_id",
-    folds: int = 5, held_out: int = 0, threshold: float = 0.3, max_positive: int = 12_000, max_unlabelled: int = 24_000,
+    folds: int = 5, held_out: int = 0, threshold: float = 0.3, max_positive: int = 12_000, max_unlabelled: int = 24_000, carry: bool = False,
 ) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every row of ``docs``.
 
     The class prior is the share of good documents among the labels outside the held-out fold.
     Repeated rows are scored alike; null and empty texts are scored as texts without words. Without
-    labels to learn from the score is the prior of 0.5.
+    labels to learn from the score is the prior of 0.5. ``carry`` adds the input row as ``row``.
     """
     rows = texts(docs, id_col, text_col)
     spark = docs.sparkSession
@@ -151,10 +152,12 @@ def score_quality(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.asarray([features(t.as_py()) for t in batch.column(1)], float).reshape(-1, len(FEATURES))
+            x = np.asarray([features(t.as_py()) for t in batch.column("text")], float).reshape(-1, len(FEATURES))
             score = 1 / (1 + np.exp(-np.clip(fitted.value.logit(x), -40, 40))) if fitted.value else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score)], [*names, "score"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"doc_id {kind}, score double")
-    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    names = ["doc_id", "row"] if carry else ["doc_id"]
+    every = texts(docs, id_col, text_col, carry)
+    schema = StructType([*(every.schema[c] for c in names), StructField("score", DoubleType())])
+    scored = every.mapInArrow(run, schema)
+    return scored.select(*names, F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

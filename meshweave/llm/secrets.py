@@ -143,13 +143,13 @@ def _length_class(n: Column) -> Column:
     return F.least(F.floor(F.log2(n / 20) * 2), F.lit(7)).cast("int")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.01, reject: float = 0.001, ordinary: float = 0.0667) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.01, reject: float = 0.001, ordinary: float = 0.0667, carry: bool = False) -> DataFrame:
     """``doc_id``, ``text`` and ``spans`` (begin, end exclusive, kind number) in order of begin, kind.
 
     One row per input row. Null and empty texts have no spans. Positions are code points. The
-    histograms of the battery are the only thing gathered; they are at most 808 rows.
+    histograms of the battery are the only thing gathered; they are at most 808 rows. ``carry`` adds the input row as ``row``.
     """
-    rows = texts(docs, id_col, text_col)
+    rows = texts(docs, id_col, text_col, carry)
     text = F.coalesce("text", F.lit(""))
     found = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
     spans = _matches(text, RUN, 3, F.transform(found, lambda r: ~r.rlike(PLAIN)))
@@ -180,7 +180,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
     both = rows.withColumn("base", base).withColumn("extra", random)
     extra = F.filter("extra", lambda s: ~F.exists("base", lambda b: (b["begin"] < s["end"]) & (s["begin"] < b["end"])))
     order = F.array_sort(F.transform(F.concat("base", extra), lambda s: F.struct(s["begin"].alias("begin"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    return both.select("doc_id", "text", F.transform(order, lambda s: F.struct(s["begin"], s["end"], s["kind"])).alias("spans"))
+    return both.select("doc_id", "text", F.transform(order, lambda s: F.struct(s["begin"], s["end"], s["kind"])).alias("spans"), *(["row"] if carry else []))
 
 
 def listed(spans: Column) -> Column:
