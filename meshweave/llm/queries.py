@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fm_index, jaccard_join, packing, page_text, quality, secrets, toxicity
+from . import embedding_dedup, fm_index, jaccard_join, license_scan, packing, page_text, quality, secrets, tool_calls, toxicity
 from .common import sha256_hex, table
 
 
@@ -41,6 +41,15 @@ def op5_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_shingles", "component_id")
 
 
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link_tool_calls(table(spark, sf_dir, "conversations"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_licenses"), F.array_join("matches.license", ",").alias("licenses"))
+
+
 def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -99,6 +108,25 @@ SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, vec_
 FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.x = vec_id
 """
 
+# No text of the tables is a tool call, so the canonical messages are plain ones.
+OP6_SQL = """
+SELECT conv_id, turn, role, turn AS order_turn, 0 AS level, 0 AS n_calls, 0 AS n_linked, 0 AS n_errors,
+       '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"conv_id":' || conv_id || ',"role":' || CAST(to_json(role) AS VARCHAR) || ',"turn":' || turn || '}' AS message
+FROM conversations
+"""
+
+# The containment of a template in a text, without windows: these templates are found in one piece.
+OP7_SQL = r"""
+WITH t AS (SELECT * FROM (VALUES {values}) AS v(license, template)),
+tw AS (SELECT license, regexp_extract_all(lower(template), '[a-z0-9]+') AS w FROM t),
+ts AS (SELECT DISTINCT license, array_to_string(w[k : k + 4], ' ') AS g FROM (SELECT license, w, unnest(range(1, len(w) - 3)) AS k FROM tw)),
+d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
+ds AS (SELECT DISTINCT r, array_to_string(w[k : k + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS k FROM d WHERE len(w) >= 5)),
+m AS (SELECT r, license, count(*) AS n FROM ds JOIN ts USING (g) GROUP BY r, license),
+f AS (SELECT r, count(*) AS n, string_agg(license, ',' ORDER BY license) AS s FROM m JOIN (SELECT license, count(*) AS size FROM ts GROUP BY license) USING (license) WHERE n >= 0.8 * size GROUP BY r)
+SELECT d.doc_id, CAST(coalesce(f.n, 0) AS BIGINT) AS n_licenses, coalesce(f.s, '') AS licenses FROM d LEFT JOIN f USING (r)
+""".replace("{values}", ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in license_scan.TEMPLATES.items()))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -107,6 +135,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_best_two_fit": op3_best_two_fit,
         "op4_kneser_ney": op4_kneser_ney,
         "op5_divide_skip": op5_divide_skip,
+        "op6_tool_calls": op6_tool_calls,
+        "op7_license_scan": op7_license_scan,
         "op8_pu_quality": op8_pu_quality,
         "op9_rotation_codes": op9_rotation_codes,
         "op10_fm_index": op10_fm_index,
@@ -114,4 +144,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_rotation_codes": OP9_SQL, "op5_divide_skip": OP5_SQL, "op10_fm_index": OP10_SQL}
+    return {"op6_tool_calls": OP6_SQL, "op7_license_scan": OP7_SQL, "op9_rotation_codes": OP9_SQL, "op5_divide_skip": OP5_SQL, "op10_fm_index": OP10_SQL}
