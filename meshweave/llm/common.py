@@ -40,11 +40,20 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _bound_batches(spark: SparkSession) -> None:
+    """Texts can be very long: Arrow batches are bounded in rows and bytes, unless the session has
+    other than Spark's default rows."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def texts(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
     """Only the id and the text, as ``doc_id`` and ``text``; other columns cannot clash.
 
     ``carry`` adds the whole input row as the struct ``row``.
     """
+    _bound_batches(docs.sparkSession)
     row = [F.struct("*").alias("row")] if carry else []
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *row)
 

@@ -267,7 +267,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    shard_words: int = 1_000_000, sample: int = 16, block_bytes: int = 8 << 20, carry: bool = False,
+    shard_words: int = 500_000, sample: int = 16, block_bytes: int = 8 << 20, carry: bool = False,
 ) -> DataFrame:
     """For each row of ``docs``: its text, ``n_words``, the merged ``spans`` of words inside any
     occurrence of a test window (begin inclusive, end exclusive), and the ``items`` that occur.

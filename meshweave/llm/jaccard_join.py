@@ -43,7 +43,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct shingle hashes of a text; word hashes are cached up to a bound."""
 
-    def __init__(self, n: int, most: int = 300_000):
+    def __init__(self, n: int, most: int = 120_000):
         from xxhash import xxh3_64_intdigest
 
         self.n, self.digest, self.cache, self.most = n, xxh3_64_intdigest, {}, most
