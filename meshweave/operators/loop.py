@@ -243,6 +243,9 @@ class Mesh:
                 raise MeshError(f"loop {name}: {d.access} needs a field with a collapsed axis")
             if d.field.block.name != block.name and d.stencil.kind == "regular":
                 raise MeshError(f"loop {name}: {d.field.name} is on block {d.field.block.name}")
+        for a in args.values():
+            if isinstance(a, Reduce):
+                a.handle.check(a.access)
         cells, home = self._gathered(block, box, list(dats.values()))
         views = {k: View(a) if isinstance(a, Dat) else ReduceView(a) if isinstance(a, Reduce) else [F.col(x) for x in block.axes] if isinstance(a, Idx) else a.value if isinstance(a, Gbl) else a for k, a in args.items()}
         kernel(**views)

@@ -40,12 +40,16 @@ class Reduction:
     access: str | None = None
     pending: list[DataFrame] = field(default_factory=list)
 
-    def add(self, partial: DataFrame, access: str) -> None:
+    def check(self, access: str) -> None:
+        """Raises if the handle cannot be used with an access now."""
         if self.access not in (None, access):
             raise MeshError(f"reduction {self.name} is in use with {self.access}; {access} needs the result to be read first")
         if access not in (INC, MIN, MAX):
             raise MeshError(f"reduction {self.name}: {access} is no reduction")
         identity(access, self.dtype)
+
+    def add(self, partial: DataFrame, access: str) -> None:
+        self.check(access)
         self.access = access
         self.pending.append(partial)
 

@@ -10,11 +10,10 @@ from .catalog import Box, box_size
 
 def index_set(spark: SparkSession, axes: tuple[str, ...], box: Box) -> DataFrame:
     """All coordinates of a box, the first axis fastest: one range, no join."""
-    n = F.col("id")
     columns, step = [], 1
     for axis, (low, high) in zip(axes, box, strict=True):
         width = max(0, high - low)
-        columns.append((F.floor(n / F.lit(step)) % F.lit(max(1, width)) + F.lit(low)).cast("int").alias(axis))
+        columns.append(F.expr(f"cast((id div {step}) % {max(1, width)} + {low} AS int)").alias(axis))
         step *= max(1, width)
     return spark.range(box_size(box)).select(*columns)
 
