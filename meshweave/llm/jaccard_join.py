@@ -140,8 +140,7 @@ class Lists:
         if low >= high:
             return np.empty(0, np.int64)
         at = np.searchsorted(self.tokens, query)
-        at = at[at < self.tokens.size]
-        at = at[np.isin(self.tokens[at], query, assume_unique=True)]
+        at = at[self.tokens[np.minimum(at, self.tokens.size - 1)] == query]
         least = -(-num * 2 * n // (num + den))  # T for an answer of the query's own size
         if at.size < least:
             return np.empty(0, np.int64)

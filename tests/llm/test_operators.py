@@ -1,0 +1,495 @@
+"""Operators against brute force, and the odd cases of each: nulls, empty and long texts, repeated
+rows, empty tables and further columns with clashing names."""
+
+import hashlib
+import json
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from meshweave.llm import (
+    embedding_dedup,
+    fm_index,
+    graph,
+    jaccard_join,
+    license_scan,
+    packing,
+    page_text,
+    quality,
+    queries,
+    secrets,
+    tool_calls,
+    toxicity,
+)
+
+SF = "/root/testdata/sf0.001"
+ODD = [
+    (1, None, "x", "rep"),
+    (2, "", "x", "rep"),
+    (3, "one two", "x", "rep"),
+    (3, "one two", "x", "rep"),
+    (None, "three four five six seven eight", "x", "rep"),
+    (5, "word " * 30_000, "x", "rep"),
+    (6, "a\tb\r\n c \U0001f600 Straße ÉCOLE", None, None),
+]
+CLASHING = "doc_id long, text string, spans string, component_id string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd rows, in a table whose further columns are named as an operator's own."""
+    return spark.createDataFrame(ODD, CLASHING)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], CLASHING)
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_queries_equal_sql(same):
+    sql = queries.oracle_sql()
+    for name in sql:
+        same(queries.queries()[name], sql[name])
+
+
+# secrets
+
+
+def secret_digest(text):
+    text = text or ""
+    assign = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    found = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    n = [sum(k == kind for _, k, _ in found) for kind in range(3)]
+    return n, ",".join(f"{secrets.KINDS[k]}:{b}:{e}" for b, k, e in sorted(found))
+
+
+def test_secrets_equal_patterns(spark, documents, odd):
+    rng = random.Random(4)
+    made = []
+    for k in range(60):
+        key, sep = rng.choice(["password", "Secret", "api_key", "APIKEY", "tokKen", "passwd"]), rng.choice([":", "=", " : ", '" = "', "=="])
+        made.append((10_000 + k, f"\U0001f600 {key}{sep}{'Ab9-'[: rng.randrange(1, 5)] * rng.randrange(1, 4)} AKIA{'Z9' * rng.randrange(6, 12)} {'0a' * rng.randrange(9, 16)}g secret: token: abcdef", "", ""))
+    rows = odd.unionByName(spark.createDataFrame(made, CLASHING)).select("doc_id", "text").unionByName(documents.select("doc_id", "text"))
+    got = secrets.scan(rows).select("text", secrets.listed(F.col("spans")).alias("s")).collect()
+    assert len(got) == rows.count()
+    for r in got:
+        assert ",".join(x for x in r["s"].split(",") if not x.startswith("random")) == secret_digest(r["text"])[1]
+
+
+def test_battery_finds_keys_and_leaves_words(spark):
+    rng = random.Random(1)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = [(k, "x " + "".join(rng.choices(letters, k=44)) + " y") for k in range(30)]
+    words = [(100 + k, "internationalisationOfCharacterSets /usr/local/share/doc/packages/readme " + "xy78" * 9 + " Donaudampfschifffahrtsgesellschaft") for k in range(30)]
+    got = {r[0]: r[1] for r in secrets.scan(spark.createDataFrame(keys + words, "doc_id long, text string")).select("doc_id", secrets.listed(F.col("spans"))).collect()}
+    assert sum("random:2:46" in got[k] for k in range(30)) >= 28
+    assert not any(got[100 + k] for k in range(30))
+
+
+def test_redaction(spark, empty):
+    rows = spark.createDataFrame([(1, "a token=abcdef12 b " + "0f" * 16, "", ""), (2, "nothing", "", ""), (3, None, "", "")], CLASHING)
+    got = {r[0]: r[1] for r in secrets.scan(rows, carry=True).select("row.doc_id", secrets.redacted(F.col("text"), F.col("spans"))).collect()}
+    assert got == {1: "a [SECRET] b [SECRET]", 2: "nothing", 3: None}
+    assert secrets.scan(empty).count() == 0
+
+
+# pages
+
+
+def test_page_lines():
+    page = '<html><head><title>t</title><body><nav>menu<main><h1>A &amp; B</h1><p>one<br>two&nbsp;three<p><b>four</main><div class="cookie-notice">c</div><form>f</form><script>var t="</p>"</script>'
+    assert [x.text for x in page_text.lines_of(page) if x.main and not x.dropped] == ["A & B", "one two three", "four"]
+    assert page_text.lines_of(None) == page_text.lines_of("") == []
+    assert [x.text for x in page_text.lines_of("a < b <!-- c --> &lt;d")] == ["a < b <d"]
+
+
+def test_longest_common_lines():
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ([rng.randrange(5) for _ in range(rng.randrange(12))] for _ in range(2))
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        common = page_text.common_lines(a, b)
+        rest = iter(b)
+        assert len(common) == t[-1][-1] and all(a[k] in rest for k in common)
+
+
+def test_page_differencing(spark):
+    body = "<body><div>Shop menu here</div><p>{} is told only on this page and nowhere else at all.</p><div>All rights kept</div>"
+    rows = [(k, f"http://h.example/{k}", body.format(f"Story {k}")) for k in range(5)]
+    rows += [(10, "http://h.example/3?copy", rows[3][2]), (11, None, "<p>alone</p>"), (12, "http://other.example/", None), (13, "http://h.example/art", "<body><div>Shop menu here</div><article><p>Shop menu here</p></article>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("shared", F.lit(1)).repartition(3)
+    got = {r["page_id"]: r["text"] for r in page_text.page_texts(pages).collect()}
+    assert got[0] == "Story 0 is told only on this page and nowhere else at all."
+    assert got[1] == "Story 1 is told only on this page and nowhere else at all."
+    assert (got[11], got[12], got[13]) == ("alone", "", "Shop menu here")
+    assert page_text.page_texts(pages.limit(0)).count() == 0
+
+
+# packing
+
+
+def test_packing(spark, documents, odd, empty):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tokenizer = Tokenizer.from_file(path)
+    rows = documents.select((F.col("doc_id") + 1000).alias("doc_id"), "text").limit(80).unionByName(odd.where("doc_id IS NOT NULL").select("doc_id", "text"))
+    got = packing.best_two_fit(rows, path, with_ids=True).collect()
+    whole = {}
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert 1 <= r["length"] <= 4096 and zlib.crc32(np.asarray(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+        whole.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["ids"]))
+    for r in rows.collect():
+        want = tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [1]
+        pieces = whole[r["doc_id"]]
+        if r["doc_id"] != 3:  # the repeated row
+            assert [x for _, _, ids in pieces for x in ids] == want
+            assert [(p, s) for p, s, _ in pieces] == [(k, 4096 * k) for k in range(len(pieces))]
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(bins) <= sum(r["length"] for r in got) / 4096 * 1.15 + 1
+    assert packing.best_two_fit(empty, path).count() == 0
+    packed = packing.sequences(packing.best_two_fit(rows, path, with_ids=True))
+    assert packed.count() == len(bins)
+
+
+def test_best_two_fit_replaces_the_smallest():
+    """Greedy takes 5 + 4 of 10; its 4 goes for 3 + 2, which fill the gap."""
+    plan = packing.plan_best_two_fit({5: 1, 4: 1, 3: 1, 2: 1}, 10)
+    assert plan.n_sequences == 2
+    assert {tuple(map(int, x)) for x in zip(plan.length, plan.sequence, strict=True)} == {(5, 0), (3, 0), (2, 0), (4, 1)}
+    rng = np.random.default_rng(3)
+    lengths = np.minimum(4096, rng.lognormal(6.5, 1.2, 20_000).astype(int) + 1)
+    u, c = np.unique(lengths, return_counts=True)
+    plan = packing.plan_best_two_fit(dict(zip(u.tolist(), c.tolist(), strict=True)), 4096)
+    assert plan.n_sequences <= lengths.sum() / 4096 * 1.01
+
+
+def test_odd_texts_are_encoded_alike():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    own, tokenizer = packing.WordEncoder(path, cache_words=8), Tokenizer.from_file(path)
+    for text in ["it's we'LL 'S ''s !'s", "ÀÉÎ ß ŒUVRE 12 ½ x²", "a<|endoftext|>b", "Σας ΟΔΥΣΣΕΥΣ", "é é", " x y", "İI ſ K", "\t\r\n", "“q” – …", "×÷ 日本 \x1f", ""]:
+        assert own.encode(text) == np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+# classifiers
+
+
+def labelled(spark, n, bad_share, mark):
+    rng = random.Random(9)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa"]
+    rows = []
+    for k in range(n):
+        text = [rng.choice(words) + rng.choice(words)[:2] for _ in range(rng.randrange(40, 80))]
+        bad = rng.random() < bad_share
+        rows.append((k, mark(text, rng) if bad else " ".join(text), int(bad)))
+    return spark.createDataFrame(rows, "doc_id long, text string, bad int")
+
+
+def held_out_accuracy(scored, truth):
+    rows = scored.where("held_out").join(truth, "doc_id").collect()
+    assert rows and all(0 <= r["score"] <= 1 for r in rows)
+    return np.mean([(r["score"] >= 0.5) == r["y"] for r in rows])
+
+
+def insults(text, rng):
+    for _ in range(4):
+        text.insert(rng.randrange(len(text)), rng.choice(["moron", "idiot", "scum"]))
+    return " ".join(text)
+
+
+def test_toxicity(spark, odd, empty):
+    data = labelled(spark, 400, 0.3, insults)
+    labels = data.select("doc_id", F.col("bad").alias("toxic"))
+    scored = toxicity.score_toxicity(data.select("doc_id", "text"), labels)
+    assert held_out_accuracy(scored, data.select("doc_id", F.col("bad").cast("boolean").alias("y"))) > 0.95
+    got = toxicity.score_toxicity(odd, labels)
+    assert got.count() == len(ODD) and got.where("score IS NULL OR held_out IS NULL").count() == 0
+    assert {r["held_out"] for r in got.where("doc_id = 1").collect()} == {zlib.crc32(b"1") % 3 == 1}
+    assert toxicity.score_toxicity(empty, labels).count() == 0
+    assert toxicity.score_toxicity(odd, labels.limit(0)).where("score = 0").count() == len(ODD)
+
+
+def test_quality(spark, odd, empty):
+    data = labelled(spark, 400, 0.3, lambda text, rng: " ".join(w.upper() + "!!" for w in text[:5] * 10))
+    labels = data.select("doc_id", (1 - F.col("bad")).alias("quality"))
+    scored = quality.score_quality(data.select("doc_id", "text"), labels)
+    assert held_out_accuracy(scored, data.select("doc_id", (F.col("bad") == 0).alias("y"))) > 0.95
+    got = quality.score_quality(odd, labels, carry=True)
+    assert got.count() == len(ODD) and got.where("score IS NULL").count() == 0 and got.select("row.spans").count() == len(ODD)
+    assert quality.score_quality(empty, labels).count() == 0
+    assert quality.score_quality(odd, labels.limit(0)).where("score = 0.5").count() == len(ODD)
+    doubled = labels.union(labels.withColumn("quality", F.lit(None).cast("int"))).union(labels)
+    assert quality.score_quality(data.select("doc_id", "text"), doubled).count() == 400
+
+
+def test_negative_risk_is_bounded():
+    """With every document good there is nothing to separate; the estimator must not run away."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(500, len(quality.FEATURES)))
+    model = quality.fit_nnpu(x[:250], x[250:], 0.9, steps=300)
+    assert (1 / (1 + np.exp(-model.logit(rng.normal(size=(200, len(quality.FEATURES)))))) >= 0.3).mean() > 0.8
+
+
+# joins
+
+
+def brute_components(sets, link):
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if link(sets[i], sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return [find(k) for k in range(len(sets))]
+
+
+def shingles(text):
+    words = [w for w in re.split("[\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if w]
+    return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+@pytest.mark.parametrize("block", [4096, 4])
+def test_jaccard_join(spark, block):
+    rng = random.Random(5)
+    texts = []
+    for family in range(12):
+        base = [f"w{family}x{k}" for k in range(rng.choice([3, 20, 60, 200]))]
+        for _ in range(rng.randrange(1, 9)):
+            copy = list(base)
+            for _ in range(rng.randrange(4)):
+                copy[rng.randrange(len(copy))] = f"new{rng.random()}"
+            texts.append(" ".join(copy) if rng.random() < 0.8 else "\t".join(copy).upper())
+    texts += [None, "", " \n", texts[0], "a b", "A  b"]
+    sets = [shingles(t) for t in texts]
+    want = brute_components(sets, lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("component_id", F.lit("x")).repartition(4)
+    joined, links = jaccard_join.jaccard_join(rows, block=block)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in joined.collect()}
+    assert got == {k: (len(s), want[k]) for k, s in enumerate(sets)}
+    assert all(r["u"] != r["v"] for r in links.collect())
+
+
+def test_jaccard_join_all_links(spark):
+    base = [f"w{k}" for k in range(100)]
+    texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(0, 60, 7)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, links = jaccard_join.jaccard_join(rows, forest=False)
+    sets = [shingles(t) for t in texts]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert {tuple(sorted((r["u"], r["v"]))) for r in links.collect()} == want
+
+
+def test_divide_skip_equals_counting():
+    rng = np.random.default_rng(8)
+    sets = sorted((np.unique(rng.integers(0, 60, rng.integers(5, 40)).astype(np.uint64)) for _ in range(120)), key=len)
+    lists = jaccard_join.Lists(sets)
+    none = np.zeros(len(sets), bool)
+    for q in range(len(sets)):
+        want = [k for k in range(len(sets)) if len(sets[k]) >= len(sets[q]) and 100 * len(np.intersect1d(sets[q], sets[k])) >= 60 * len(np.union1d(sets[q], sets[k]))]
+        assert sorted(lists.search(sets[q], 60, 100, none).tolist()) == want
+
+
+def test_jaccard_join_odd_rows(odd, empty):
+    joined, _ = jaccard_join.jaccard_join(odd)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in joined.collect()), key=str)
+    assert got == sorted([(1, 0, 1), (2, 0, 2), (3, 1, 3), (3, 1, 3), (None, 2, None), (5, 1, 5), (6, 2, 6)], key=str)
+    assert jaccard_join.jaccard_join(empty)[0].count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(1000, 1040)] + [(7, 7)]
+    nodes = sorted({x for e in edges for x in e if e[0] != e[1]})
+    at = {x: k for k, x in enumerate(nodes)}
+    pairs = {frozenset((at[a], at[b])) for a, b in edges if a != b}
+    want = brute_components(range(len(nodes)), lambda a, b: frozenset((a, b)) in pairs)
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: nodes[want[at[x]]] for x in nodes}
+
+
+# decontamination
+
+
+def test_leaks_equal_counting(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(30)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.choice([2, 9, 10, 14, 30])))) for k in range(25)] + [(90, None), (91, "!?"), (None, "w1 w2 zz"), (93, items_text := "w3 W3 w3 w3 w3 w3 w3 w3 w3 w3 w3 w3")]
+    docs = []
+    for k in range(120):
+        words = rng.choices(vocabulary + ["other"], k=rng.randrange(60))
+        if rng.random() < 0.5:
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = (rng.choice(items)[1] or "").split()
+        docs.append((k, rng.choice([" ", ", ", "\n"]).join(words)))
+    docs += [(500, None), (501, ""), (502, items_text + "-W3"), (502, items_text)]
+    fold = lambda t: re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    windows = {}
+    for item, text in items:
+        w = fold(text)
+        for k in range(max(1, len(w) - 9)) if w else ():
+            windows.setdefault(tuple(w[k : k + 10]), set()).update([] if item is None else [str(item)])
+    want = []
+    for doc, text in docs:
+        w, hit, found = fold(text), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if (x := tuple(w[k : k + n])) in windows:
+                    hit |= set(range(k, k + n))
+                    found |= windows[x]
+        want.append((doc, len(w), sorted(hit), sorted(found)))
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string").withColumn("items", F.lit(0)), spark.createDataFrame(items, "item_id long, text string")
+    for options in ({}, {"shard_words": 100, "sample": 3}, {"block_bytes": 600}):
+        got = fm_index.find_leaks(table, bench, **options).collect()
+        assert sorted((r["doc_id"], r["n_words"], [p for s in r["spans"] for p in range(s["begin"], s["end"])], r["items"]) for r in got) == sorted(want)
+    clean = fm_index.decontaminated(fm_index.find_leaks(table, bench))
+    for r in clean.collect():
+        text = dict(docs)[r["doc_id"]]
+        w, hit = fold(text), next(x[2] for x in want if x[0] == r["doc_id"] and x[1] == len(fold(text)))
+        if r["doc_id"] != 502:
+            assert fold(r["text"]) == [x for k, x in enumerate(w) if k not in hit]
+    assert fm_index.find_leaks(table, bench.limit(0)).where("size(spans) > 0").count() == 0
+    assert fm_index.find_leaks(table.limit(0), bench).count() == 0
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        text = np.append(rng.integers(0, 4, rng.integers(0, 60)), 0)
+        key = lambda p, t=text: [(0, q) if t[q] == 0 else (1, t[q]) for q in range(p, len(t))]
+        assert fm_index.suffix_array(text).tolist() == sorted(range(text.size), key=key)
+
+
+def test_wavelet_ranks():
+    rng = np.random.default_rng(2)
+    values = rng.integers(0, 37, 500)
+    tree = fm_index.WaveletMatrix(values, 6)
+    at, symbols = rng.integers(0, 501, 200), rng.integers(0, 37, 200)
+    assert tree.rank(symbols, at).tolist() == [int((values[:i] == s).sum()) for s, i in zip(symbols, at, strict=True)]
+    got, before = tree.access(np.arange(500))
+    assert (got == values).all() and before.tolist() == [int((values[:k] == values[k]).sum()) for k in range(500)]
+
+
+# embeddings
+
+
+def test_embeddings_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 24))
+    vectors = [(centres[rng.integers(30)] + rng.normal(size=24) * rng.choice([0, 0.2, 0.35])).astype(np.float32) for _ in range(400)]
+    rows = [(k, v.tolist(), int(rng.integers(3))) for k, v in enumerate(vectors)]
+    rows += [(1000, None, 1), (1001, [0.0] * 24, 1), (1002, [float("nan")] * 24, 1), (1003, [None] * 24, 1), (1004, [float("inf")] * 24, 1), (1005, rows[0][1], None), (1006, rows[0][1], rows[0][2]), (1007, [1.0, 2.0], 1), (1008, [1.0, 2.0], 1), (1009, [], 1), (1010, (np.float32(3) * vectors[0]).tolist(), rows[0][2])]
+    good = [r for r in rows if r[2] is not None and r[1] and None not in r[1] and np.isfinite(r[1]).all() and np.any(r[1])]
+
+    def close(a, b):
+        if a[2] != b[2] or len(a[1]) != len(b[1]):
+            return False
+        x, y = np.asarray(a[1], float), np.asarray(b[1], float)
+        return x @ y / np.sqrt(x @ x) / np.sqrt(y @ y) >= 0.93
+
+    found = brute_components(good, close)
+    want = {r[0]: (0, r[0]) for r in rows} | {r[0]: (sum(close(r, s) for s in good) - 1, good[found[k]][0]) for k, r in enumerate(good)}
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("rep", F.lit(1))
+    for options in ({}, {"cell": 40, "block": 16}):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(table, **options).collect()}
+        assert got == want
+    assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_estimates_are_unbiased():
+    rng = np.random.default_rng(5)
+    x, q = embedding_dedup.unit(rng.normal(size=(1, 64))), embedding_dedup.unit(rng.normal(size=(1, 64)))
+    got = []
+    for seed in range(400):
+        turn = embedding_dedup.rotation(64, seed)
+        codes = embedding_dedup.Codes.of(x, turn)
+        got.append(float(codes.estimate(q @ turn)[0, 0]))
+    true = float((x @ q.T)[0, 0])
+    assert abs(np.mean(got) - true) < 4 * np.std(got) / 20
+    assert np.mean(np.abs(np.asarray(got) - true) <= float(codes.error(2.5)[0])) > 0.97
+
+
+# tool calls
+
+
+def test_tool_calls(spark):
+    schema = {"add": {"type": "object", "required": ["a", "b"], "properties": {"a": {"type": "number"}, "b": {"type": "integer"}}, "additionalProperties": False}}
+    call = lambda *calls: json.dumps({"content": None, "tool_calls": [{"id": i, "name": "add", "arguments": a} for i, a in calls]})
+    result = lambda i, x: json.dumps({"tool_call_id": i, "content": x})
+    rows = [
+        (1, 0, "user", "héllo \"x\""),
+        (1, 1, "assistant", call(("p", {"b": 2, "a": 1}), ("q", '{"a":{"$ref":"p"},"b":3}'))),
+        (1, 2, "tool", result("q", 6)),
+        (1, 3, "tool", result("p", 3)),
+        (1, 4, "assistant", call(("r", {"a": {"$ref": "q"}, "b": "x", "c": 1}))),
+        (1, 5, "tool", result("nobody", 0)),
+        (1, 6, "assistant", call(("p", {"a": 1}))),
+        (2, 0, "assistant", call(("s", {"a": {"$ref": "t"}, "b": 1}))),
+        (2, 1, "assistant", call(("t", {"a": {"$ref": "s"}, "b": 1}))),
+        (2, 2, "tool", "not json {"),
+        (None, None, None, None),
+    ]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("level", F.lit("x"))
+    got = {(r["conv_id"], r["turn"]): r for r in tool_calls.link_tool_calls(table, schema).collect()}
+    assert len(got) == len(rows)
+    at = lambda turn, conv=1: tuple(got[conv, turn][c] for c in ("order_turn", "level", "n_calls", "n_linked", "n_errors"))
+    assert at(0) == (0, 0, 0, 0, 0)
+    assert at(1) == (3, 2, 2, 2, 0)  # q waits for p's result at turn 3
+    assert at(3) == (3, 1, 0, 1, 0) and at(2) == (3, 3, 0, 1, 0)
+    assert at(4) == (4, 4, 1, 0, 2)  # b is no integer, c is unknown
+    assert at(5) == (5, 0, 0, 0, 1) and at(6) == (6, 0, 1, 0, 2)
+    assert at(0, 2)[1] == at(1, 2)[1] == -1
+    assert got[1, 0]["message"] == '{"content":"héllo \\"x\\"","conv_id":1,"role":"user","turn":0}'
+    assert '"arguments":{"a":1,"b":2}' in got[1, 1]["message"]
+    assert tool_calls.link_tool_calls(table.limit(0)).count() == 0
+
+
+# licences
+
+
+def test_licences(spark, odd, empty):
+    mit = license_scan.TEMPLATES["MIT"]
+    filler = " ".join(f"word{k}" for k in range(400))
+    rows = [(1, f"{filler} {mit.upper()} {filler}"), (2, f"{filler} Released under the MIT License. {filler}"), (3, filler), (4, mit.replace("copy, modify, ", "")), (5, " ".join(mit.split()[:20]))]
+    got = {r["doc_id"]: [(m["license"], round(m["containment"], 2)) for m in r["matches"]] for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == [("MIT", 1.0)] and got[2] == [("MIT-notice", 1.0)] and got[3] == [] and got[5] == []
+    assert got[4][0][0] == "MIT" and got[4][0][1] < 1
+    assert license_scan.scan_licenses(odd).where("size(matches) = 0").count() == len(ODD)
+    assert license_scan.scan_licenses(empty).count() == 0
+
+
+def test_digests_follow_the_contract(spark):
+    got = queries.queries()["op1_secret_scan"](spark, SF).toPandas().set_index("doc_id")
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        n, listed = secret_digest(r["text"])
+        row = got.loc[r["doc_id"]]
+        assert [row["n_assign"], row["n_access"], row["n_hex"]] == n and row["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
