@@ -222,6 +222,20 @@ class Mesh:
         key = self.key(f)
         self.tables[key], self.depth[key] = stored(self.tables[key], "mesh"), 0
 
+    def free(self, f: Field) -> None:
+        """Forgets a field; its table goes with the last field on it."""
+        key = self.key(f)
+        del self.fields[f.block.name, f.name]
+        self.folds.pop((f.block.name, f.name), None)
+        self.tables[key] = self.tables[key].drop(f.name)
+        if not any(self.key(x) == key for x in self.fields.values()):
+            del self.tables[key]
+
+    def catalog(self) -> DataFrame:
+        """What is declared: one row for each field."""
+        rows = [(f.block.name, f.block.dims, f.name, f.dtype, f.dim, *(str(list(x)) for x in (f.size, f.base, f.below, f.above, f.stride)), f.degenerate) for f in self.fields.values()]
+        return self.spark.createDataFrame(rows, "block string, dims int, field string, type string, dim int, size string, base string, below string, above string, stride string, degenerate boolean")
+
     # loops
 
     def loop(self, name: str, block: Block, box: Any, kernel: Callable[..., None], **args: Any) -> None:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import randoms
-from ..plans.catalog import AXES, Field, MeshError, box_of
+from ..plans.catalog import AXES, Field, MeshError, box_of, box_size
 from ..plans.grid import inside
 from .loop import Mesh
 
@@ -66,6 +70,49 @@ def slab_extents(f: Field, box: list[int]) -> tuple[tuple[int, ...], int]:
     return sizes, n
 
 
+def raw_metadata(f: Field) -> dict[str, tuple[int, ...]]:
+    """How a dense array of the field would be laid out: shape with halo, strides in cells with the
+    first axis fastest, halo depths."""
+    shape = tuple(hi - lo for lo, hi in f.allocation)
+    strides, step = [], 1
+    for n in shape:
+        strides.append(step)
+        step *= n
+    return {"shape": shape, "strides": tuple(strides), "below": f.below, "above": f.above}
+
+
+def as_array(mesh: Mesh, f: Field, most: int = 50_000_000) -> np.ndarray:
+    """A field with its halo as a NumPy array on the driver, indexed by axis (then component).
+    Fields of more than ``most`` cells are refused; work on those with ``map_batches``."""
+    box = tuple(f.allocation[a] for a in f.kept)
+    if box_size(box) * f.dim > most:
+        raise MeshError(f"{f.name} has more than {most} cells")
+    t = ordered(mesh.table(f), f).toArrow()
+    shape = [hi - lo for lo, hi in reversed(box)]
+    values = t[f.name].combine_chunks()
+    if f.dim > 1:
+        return values.flatten().to_numpy(zero_copy_only=False).reshape(*shape, f.dim).transpose(*range(len(shape) - 1, -1, -1), len(shape))
+    return values.to_numpy(zero_copy_only=False).reshape(shape).T
+
+
+def map_batches(mesh: Mesh, f: Field, change: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> None:
+    """Raw access to a field where it lies: Arrow batches of coordinates and value in, the same out."""
+    t = mesh.table(f)
+    mesh.set_values(f, t.mapInArrow(change, t.schema))
+
+
+def partitions(mesh: Mesh, f: Field) -> DataFrame:
+    """How many cells each partition of a field's table has."""
+    return mesh.table(f).groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("cells"))
+
+
+def transposed(mesh: Mesh, f: Field, axes: tuple[int, ...]) -> DataFrame:
+    """A field with its axes in another order: axis ``axes[a]`` becomes axis ``a``. Only names change."""
+    if sorted(axes) != list(range(f.block.dims)) or f.degenerate:
+        raise MeshError(f"{f.name} cannot be transposed by {axes}")
+    return mesh.table(f).select(*(F.col(AXES[x]).alias(AXES[a]) for a, x in enumerate(axes)), f.name)
+
+
 def copied(mesh: Mesh, f: Field, name: str) -> Field:
     """A new field with the metadata and the values of another."""
     new = f.like(name)

@@ -306,6 +306,81 @@ def increment_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.table(v)
 
 
+@query("stencil_staggered", f"WITH {G2} SELECT a.range::INT AS i, b.range::INT AS j, coalesce(CASE WHEN a.range BETWEEN 1 AND 39 AND b.range BETWEEN 1 AND 24 THEN (g.v + w.v + s.v + t.v) / 4 END, 0) AS node FROM range(41) a CROSS JOIN range(26) b LEFT JOIN g ON g.i = a.range AND g.j = b.range LEFT JOIN g w ON w.i = a.range - 1 AND w.j = b.range LEFT JOIN g s ON s.i = a.range AND s.j = b.range - 1 LEFT JOIN g t ON t.i = a.range - 1 AND t.j = b.range - 1")
+def stencil_staggered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes from cells: fields of different size on one block."""
+    m, b, v = grid2(spark, sf_dir)
+    node = m.field(b, "node", (41, 26))
+
+    def mean(v, node) -> None:
+        node[0, 0] = (v[0, 0] + v[-1, 0] + v[0, -1] + v[-1, -1]) / 4
+
+    m.loop("mean", b, [1, 40, 1, 25], mean, v=read(v, Stencil("corner", ((0, 0), (-1, 0), (0, -1), (-1, -1)))), node=write(node))
+    return m.table(node)
+
+
+@query(
+    "stencil_cross_terms_3d",
+    f"WITH {G3} SELECT g.i, g.j, g.k, CASE WHEN g.i BETWEEN 2 AND 7 AND g.j BETWEEN 2 AND 7 AND g.k BETWEEN 2 AND 4 THEN c.v ELSE 0 END AS new FROM g JOIN (SELECT a.i, a.j, a.k, sum(b.v * CASE WHEN (b.i - a.i) * (b.j - a.j) + (b.j - a.j) * (b.k - a.k) > 0 THEN 1 ELSE -1 END) AS v FROM g a JOIN g b ON abs(a.i - b.i) <= 2 AND abs(a.j - b.j) <= 2 AND abs(a.k - b.k) <= 2 AND ((abs(a.i - b.i) = 2 AND abs(a.j - b.j) = 2 AND a.k = b.k) OR (a.i = b.i AND abs(a.j - b.j) = 2 AND abs(a.k - b.k) = 2)) GROUP BY a.i, a.j, a.k) c USING (i, j, k)",
+)
+def stencil_cross_terms_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixed second differences: corners two cells off in two planes."""
+    m, b, v = grid3(spark, sf_dir)
+    new = m.field(b, "new", (10, 10, 7))
+    signs = {(x, y, 0): x * y // 4 for x in (-2, 2) for y in (-2, 2)} | {(0, y, z): y * z // 4 for y in (-2, 2) for z in (-2, 2)}
+
+    def mixed(v, new) -> None:
+        out = F.lit(0.0)
+        for p, s in signs.items():
+            out = out + s * v[p]
+        new[0, 0, 0] = out
+
+    m.loop("mixed", b, [2, 8, 2, 8, 2, 5], mixed, v=read(v, Stencil("cross", tuple(signs))), new=write(new))
+    return m.table(new)
+
+
+@query("stencil_flux_limiter", f"WITH {G1} SELECT i, CASE WHEN i BETWEEN 1 AND 718 THEN CASE WHEN l * r > 0 THEN CASE WHEN l < 0 THEN -1 ELSE 1 END * least(abs(l), abs(r)) ELSE 0 END ELSE 0 END AS slope FROM (SELECT i, v - lag(v) OVER w AS l, lead(v) OVER w - v AS r FROM g WINDOW w AS (ORDER BY i))")
+def stencil_flux_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smaller of the two one-sided differences where they agree in sign."""
+    m, b, v = grid1(spark, sf_dir)
+    slope = m.field(b, "slope", (720,))
+
+    def limit(v, slope) -> None:
+        left, right = v[0,] - v[-1,], v[1,] - v[0,]
+        slope[0,] = F.when(left * right > 0, scalar.sign(F.least(F.abs(left), F.abs(right)), left)).otherwise(0.0)
+
+    m.loop("limit", b, [1, 719], limit, v=read(v, Stencil.star(1)), slope=write(slope))
+    return m.table(slope)
+
+
+@query("scalar_functions", f"WITH {G2} SELECT i, j, CASE WHEN i < 20 THEN -v ELSE v END AS signed, least(v, i, j) AS low, greatest(v, i, j) AS high, round(sqrt(v) + sin(i) * cos(j) + exp(-j) + pow(i, 2), 6) AS math FROM g")
+def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, b, v = grid2(spark, sf_dir)
+    out = {x: m.field(b, x, (40, 25)) for x in ("signed", "low", "high", "math")}
+
+    def fill(v, at, signed, low, high, math) -> None:
+        i, j = (x.cast("double") for x in at)
+        signed[0, 0] = scalar.sign(v[0, 0], i - 20)
+        low[0, 0], high[0, 0] = scalar.min3(v[0, 0], i, j), scalar.max3(v[0, 0], i, j)
+        math[0, 0] = F.round(F.sqrt(v[0, 0]) + F.sin(i) * F.cos(j) + F.exp(-j) + F.pow(i, F.lit(2)), 6)
+
+    m.loop("fill", b, [0, 40, 0, 25], fill, v=read(v), at=Idx(), **{k: write(f) for k, f in out.items()})
+    return m.tables[m.key(v)].select("i", "j", *out)
+
+
+@query("half_precision", f"WITH {G2} SELECT i, j, CAST(v % 512 + 512.5 AS DOUBLE) AS h FROM g")
+def half_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between 512 and 1024 half precision has steps of one half."""
+    m, b, v = grid2(spark, sf_dir)
+    h = m.field(b, "h", (40, 25), dtype="half")
+
+    def fill(v, h) -> None:
+        h[0, 0] = v[0, 0] % 512 + 512.6
+
+    m.loop("fill", b, [0, 40, 0, 25], fill, v=read(v), h=write(h))
+    return m.table(h).select("i", "j", F.col("h").cast("double").alias("h"))
+
+
 # reductions
 
 
@@ -668,6 +743,34 @@ def copy_and_deep_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.table(a).join(m.table(other), ["i", "j"])
 
 
+@query("transpose", f"WITH {G3} SELECT k AS i, i AS j, j AS k, v FROM g")
+def transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, _, v = grid3(spark, sf_dir)
+    return slabs.transposed(m, v, (2, 0, 1))
+
+
+@query("raw_batches", f"WITH {G2} SELECT i, j, v * 2 + 1 AS v FROM g")
+def raw_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw access to a field's values, batch by batch."""
+    m, _, v = grid2(spark, sf_dir)
+
+    def change(batches):
+        import pyarrow as pa
+
+        for x in batches:
+            yield pa.RecordBatch.from_arrays([*x.columns[:2], pa.array(x.column(2).to_numpy() * 2 + 1)], x.schema.names)
+
+    slabs.map_batches(m, v, change)
+    return m.table(v)
+
+
+@query("catalog", "SELECT 'parts' AS block, 2 AS dims, 'v' AS field, 'double' AS type, 1 AS dim, '[40, 25]' AS size, '[0, 0]' AS base, '[0, 0]' AS below, '[0, 0]' AS above, '[1, 1]' AS stride, false AS degenerate")
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, b, _ = grid2(spark, sf_dir)
+    m.free(m.field(b, "gone", (40, 1)))
+    return m.catalog()
+
+
 @query("extents", "SELECT * FROM (VALUES ('i', 0, 40, -1, 2), ('j', 0, 25, 0, 1)) AS t(axis, base, size, below, above)")
 def extents(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = Field(Block("parts", 2), "v", (40, 25), below=(-1, 0), above=(2, 1))

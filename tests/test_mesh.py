@@ -265,3 +265,21 @@ def test_random_fields(spark):
 def test_scalars(spark):
     row = spark.range(1).select(scalar.sign(F.lit(3), F.lit(-1)), scalar.sign(F.lit(-3), F.lit(-1)), scalar.min3(F.lit(3), F.lit(1), F.lit(2)), scalar.max3(F.lit(3), F.lit(1), F.lit(2)), scalar.to_half(F.lit(0.1))).first()
     assert tuple(row) == (-3, 3, 1, 3, 0.0999755859375)
+
+
+def test_arrays_and_metadata(spark):
+    m = Mesh(spark)
+    b = m.block("b", 2)
+    f = numbered(m, b, "f", (4, 3), (1, 10), below=(-1, 0))
+    array = slabs.as_array(m, f)
+    assert array.shape == (5, 3) and array[1 + 2, 1] == 12 and array[0, 0] == 0
+    assert slabs.raw_metadata(f) == {"shape": (5, 3), "strides": (1, 5), "below": (-1, 0), "above": (0, 0)}
+    assert sum(r["cells"] for r in slabs.partitions(m, f).collect()) == 15
+    pair = m.field(b, "pair", (4, 3), dim=2)
+    assert slabs.as_array(m, pair).shape == (4, 3, 2)
+    with pytest.raises(MeshError):
+        slabs.as_array(m, f, most=3)
+    with pytest.raises(MeshError):
+        slabs.transposed(m, f, (0, 0))
+    m.free(f)
+    assert [r["field"] for r in m.catalog().collect()] == ["pair"]
