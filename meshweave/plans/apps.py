@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bands, halo, slabs, tridiagonal
-from ..operators.loop import Idx, Mesh, Reduce, read, rw, write
+from ..operators.loop import Gbl, Idx, Mesh, Reduce, read, rw, write
 from ..operators.reduction import Reduction
 from ..plans.catalog import INC, MAX, Field, Halo, Stencil
 
@@ -57,15 +57,25 @@ def laplace_bands(spark: SparkSession, n: int, steps: int, height: int = 64, dep
     return bands.iterate(rows, bands.five_point, steps, 0, n, height, depth).agg(F.max("change")).first()[0]
 
 
-def poisson(spark: SparkSession, n: int = 20, steps: int = 10, dx: float = 0.01, dy: float = 0.01) -> float:
-    """The squared error after ``steps`` steps on one block."""
+def poisson(spark: SparkSession, n: int = 20, steps: int = 10, dx: float = 0.01, dy: float = 0.01, blocks: tuple[int, int] = (1, 1)) -> float:
+    """The squared error after ``steps`` steps, the grid cut into blocks that swap halos each step."""
     m = Mesh(spark)
-    b = m.block("grid", 2)
-    u, new, f, exact = (m.field(b, x, (n, n), below=(-1, -1), above=(1, 1)) for x in ("u", "new", "f", "exact"))
-    box, border = [0, n, 0, n], [-1, n + 1, -1, n + 1]
-
-    def populate(u, f, exact, at) -> None:
-        s, c = F.sin(math.pi * dx * at[0]), F.cos(2 * math.pi * dy * at[1])
+    width, height = n // blocks[0], n // blocks[1]
+    parts = {}
+    for p in range(blocks[0]):
+        for q in range(blocks[1]):
+            b = m.block(f"grid{p}_{q}", 2)
+            parts[p, q] = tuple(m.field(b, x, (width, height), below=(-1, -1), above=(1, 1)) for x in ("u", "new", "f", "exact"))
+    along = (1, 2)
+    halos = []
+    for (p, q), (u, *_) in parts.items():
+        for (dp, dq), shape, start, to in (((1, 0), (1, height), (width - 1, 0), (-1, 0)), ((-1, 0), (1, height), (0, 0), (width, 0)), ((0, 1), (width, 1), (0, height - 1), (0, -1)), ((0, -1), (width, 1), (0, 0), (0, height))):
+            if (other := parts.get((p + dp, q + dq))) is not None:
+                halos.append(Halo(u, other[0], shape, start, to, along, along))
+    box, border = [0, width, 0, height], [-1, width + 1, -1, height + 1]
+
+    def populate(u, f, exact, at, shift) -> None:
+        s, c = F.sin(math.pi * dx * (at[0] + shift[0])), F.cos(2 * math.pi * dy * (at[1] + shift[1]))
         u[0, 0] = s * c + 1 - 1
         f[0, 0] = -5 * math.pi**2 * s * c
         exact[0, 0] = s * c
@@ -82,13 +92,18 @@ def poisson(spark: SparkSession, n: int = 20, steps: int = 10, dx: float = 0.01,
     def squared(u, exact, error) -> None:
         error.add((u[0, 0] - exact[0, 0]) * (u[0, 0] - exact[0, 0]))
 
-    m.loop("populate", b, border, populate, u=write(u), f=write(f), exact=write(exact), at=Idx())
-    m.loop("zero", b, box, zero, u=write(u))
+    for (p, q), (u, _, f, exact) in parts.items():
+        m.loop("populate", u.block, border, populate, u=write(u), f=write(f), exact=write(exact), at=Idx(), shift=Gbl((p * width, q * height)))
+        m.loop("zero", u.block, box, zero, u=write(u))
     for _ in range(steps):
-        m.loop("step", b, box, step, u=read(u, Stencil.star(2)), f=read(f), new=write(new))
-        m.loop("back", b, box, back, new=read(new), u=write(u))
+        if halos:
+            halo.transfer(m, halos)
+        for u, new, f, _ in parts.values():
+            m.loop("step", u.block, box, step, u=read(u, Stencil.star(2)), f=read(f), new=write(new))
+            m.loop("back", u.block, box, back, new=read(new), u=write(u))
     error = Reduction("error")
-    m.loop("squared", b, box, squared, u=read(u), exact=read(exact), error=Reduce(error, INC))
+    for u, _, _, exact in parts.values():
+        m.loop("squared", u.block, box, squared, u=read(u), exact=read(exact), error=Reduce(error, INC))
     return error.result()
 
 

@@ -12,6 +12,10 @@ def test_poisson(spark):
     assert apps.poisson(spark) == pytest.approx(16.5173570176708, rel=1e-9)
 
 
+def test_poisson_in_two_blocks(spark):
+    assert apps.poisson(spark, n=8, steps=3, blocks=(2, 1)) == pytest.approx(apps.poisson(spark, n=8, steps=3), rel=1e-12)
+
+
 def test_laplace_in_bands(spark):
     assert apps.laplace_bands(spark, 30, 100, height=10, depth=5) == pytest.approx(0.0018718304066847602, rel=1e-12)
 
