@@ -115,7 +115,7 @@ def near_duplicates(
     """
     rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding"), F.col(label_col).cast("string").alias("label"))
     good = rows.where(_usable()).withColumns({"f1": F.xxhash64("label", "embedding"), "f2": F.xxhash64(F.lit(1), "embedding", "label")})
-    classes = good.groupBy("f1", "f2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"))
+    classes = materialise(good.groupBy("f1", "f2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w")), "classes")
     first = good.join(classes, ["f1", "f2"]).where("vec_id = rep").dropDuplicates(["f1", "f2"]).select("rep", "w", "label", "embedding", F.size("embedding").alias("dim"))
     first = materialise(first, "vectors")
     found = None

@@ -16,7 +16,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         near = edges
     least = near.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+    # Written out, so that the join below is of two plain shuffles, whose hot keys Spark can split.
+    least = materialise(least.select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "least")
     joined = near.join(least, F.col("u") == F.col("k"))
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -277,7 +277,7 @@ def jaccard_join(
     rows_in = texts(docs, id_col, text_col).select(F.col("doc_id").cast("long"), "text")
     sets = materialise(shingle_sets(rows_in, shingle, bands, rows), "shingles")
     some = sets.where("n > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
+    classes = materialise(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "sets")
     reps = materialise(some.join(classes, ["f1", "f2"]).where("doc_id = rep").select("rep", "f1", "f2", "keys"), "classes")
     keyed = reps.select(F.explode("keys").alias("key"), "rep")  # a key has its band mixed in
     near = keyed.groupBy("key").agg(F.min("rep").alias("v"), F.max("rep").alias("w")).where("v < w").select("key", "v")
