@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import materialise, texts
 
 # Bytes of UTF-8 text: A-Z become a-z, all other ASCII characters but letters and digits are gaps.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -181,18 +181,21 @@ class Windows:
 
     def __init__(self, items: list[tuple[object, str | None]], size: int):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        self.names = sorted({str(i) for i, _ in items if i is not None})
+        at = {x: k for k, x in enumerate(self.names)}
+        found: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item_id, text in items:
-            numbers = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for k in range(max(1, len(numbers) - size + 1)) if numbers else ():
-                found.setdefault(tuple(numbers[k : k + size]), set()).update(() if item_id is None else (str(item_id),))
-        self.names = sorted({i for s in found.values() for i in s})
-        number = {x: k for k, x in enumerate(self.names)}
+            numbers = np.asarray([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int64)
+            if numbers.size:
+                width = min(size, numbers.size)
+                found.setdefault(width, []).append((np.lib.stride_tricks.sliding_window_view(numbers, width), -1 if item_id is None else at[str(item_id)]))
+        #: for each length: its different windows, how many items each has, and these items in turn
         self.by_length = []
-        for length in sorted({len(w) for w in found}):
-            rows = [w for w in found if len(w) == length]
-            owners = [np.asarray(sorted(number[i] for i in found[w]), np.int64) for w in rows]
-            self.by_length.append((np.asarray(rows, np.int64), np.asarray([o.size for o in owners]), np.concatenate(owners)))
+        for _, parts in sorted(found.items()):
+            owner = np.repeat([o for _, o in parts], [len(w) for w, _ in parts])
+            rows, which = np.unique(np.concatenate([w for w, _ in parts]), axis=0, return_inverse=True)
+            pairs = np.unique(np.stack((which.ravel(), owner), 1)[owner >= 0], axis=0)
+            self.by_length.append((rows, np.bincount(pairs[:, 0], minlength=len(rows)), pairs[:, 1]))
 
 
 def _search_shard(numbers: list[np.ndarray], windows: Windows, sample: int) -> tuple[list[list[tuple[int, int]]], list[list[str]]]:
@@ -260,20 +263,20 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
     items = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = size // block_bytes + 1
-    for k in range(n):
+    for k in range(n):  # hashed by text, so a block is about as large as the next
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
         yield [(r["item_id"], r["text"]) for r in part.collect()]
 
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    shard_words: int = 500_000, sample: int = 16, block_bytes: int = 8 << 20, carry: bool = False,
+    shard_words: int = 500_000, sample: int = 16, block_bytes: int = 4 << 20, carry: bool = False,
 ) -> DataFrame:
     """For each row of ``docs``: its text, ``n_words``, the merged ``spans`` of words inside any
     occurrence of a test window (begin inclusive, end exclusive), and the ``items`` that occur.
 
     No shuffle: each task indexes the shards of its own rows. A benchmark larger than
-    ``block_bytes`` is searched block by block, each a further pass in the same task. Null and
+    ``block_bytes`` is searched block by block, the result so far being written in between. Null and
     empty texts have no words; repeated rows each get their row; an empty benchmark hits nothing.
     ``carry`` adds the input row as ``row``.
     """
@@ -282,7 +285,9 @@ def find_leaks(
     rows = rows.selectExpr("doc_id", "text", "0L AS n_words", "cast(array() AS array<struct<begin:long,end:long>>) AS spans", "cast(array() AS array<string>) AS items", *extra)
     schema = rows.schema
     spark = docs.sparkSession
-    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
+    for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes)):
+        if k:
+            rows = materialise(rows, "leaks")
         windows = spark.sparkContext.broadcast(Windows(block, window))
 
         def run(batches: Iterator[pa.RecordBatch], windows=windows) -> Iterator[pa.RecordBatch]:
