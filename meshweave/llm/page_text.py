@@ -40,6 +40,11 @@ _MARKS = frozenset(
     "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus dialog footer masthead menu modal nav navbar navigation newsletter notice notification popup promo promoted promotion recommended related replies reply search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 
+#: Words beside which a mark tells of the layout ("with-sidebar"), not of the part.
+_HOLDERS = frozenset("with has no without layout".split())
+#: A header with one of these is the article's own.
+_OWN = frozenset("article entry post story title section".split())
+
 
 @dataclass
 class Line:
@@ -115,7 +120,8 @@ def lines_of(html: str | None) -> list[Line]:
             attrs = {a[1].lower(): (a[2] or a[3] or a[4] or "").lower() for a in _ATTR.finditer(m[3])}
             marks = [w for k in ("class", "id", "role") if k in attrs for w in _NAME.findall(attrs[k])]
             hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
-            if tag not in ("html", "body", "main") and (hidden or not _MARKS.isdisjoint(marks)):
+            marked = _HOLDERS.isdisjoint(marks) and (not _MARKS.isdisjoint(marks) or "header" in marks and not mains and _OWN.isdisjoint(marks))
+            if tag not in ("html", "body", "main") and (hidden or marked):
                 drop = True
         main = tag in ("article", "main") and not drop
         if main and drops and not mains:  # a menu or header that nobody closed ends here

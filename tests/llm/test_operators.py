@@ -110,6 +110,8 @@ def test_redaction(spark, empty):
 def test_page_lines():
     page = '<html><head><title>t</title><body><nav>menu<main><h1>A &amp; B</h1><p>one<br>two&nbsp;three<p><b>four</main><div class="cookie-notice">c</div><form>f</form><script>var t="</p>"</script>'
     assert [x.text for x in page_text.lines_of(page) if x.main and not x.dropped] == ["A & B", "one two three", "four"]
+    divs = '<body><div class="site-header">top</div><div class="page with-sidebar"><div class="entry-header"><h2>Head</h2></div><p>Body.</p></div><div id="sidebar">side</div><ul class="comments"><li>c</ul><p hidden>h</p>'
+    assert [x.text for x in page_text.lines_of(divs) if not x.dropped] == ["Head", "Body."]
     assert page_text.lines_of(None) == page_text.lines_of("") == []
     assert [x.text for x in page_text.lines_of("a < b <!-- c --> &lt;d")] == ["a < b <d"]
 
