@@ -58,8 +58,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the words of benchmark items out of the documents."""
-    leaks = fm_index.find_leaks(docs, table(spark, sf_dir, "benchmark"), carry=True)
-    return _with_text(fm_index.decontaminated(leaks), docs.columns, F.col("text"))
+    cleaned = fm_index.find_leaks(docs, table(spark, sf_dir, "benchmark"), carry=True, cut=True)
+    return _with_text(cleaned, docs.columns, F.col("text"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, texts
+from .common import materialise, texts, tidy
 
 # Bytes of UTF-8 text: A-Z become a-z, all other ASCII characters but letters and digits are gaps.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -258,19 +258,19 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return (b" ".join([*parts, tail.lstrip(b" ")]) if parts else raw).decode("utf-8", "surrogatepass")
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[object, str | None]]]:
-    """The benchmark's items in blocks of about ``block_bytes`` of text each."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[bool, list[tuple[object, str | None]]]]:
+    """The benchmark's items in blocks of about ``block_bytes`` of text each; whether it is the last."""
     items = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = size // block_bytes + 1
     for k in range(n):  # hashed by text, so a block is about as large as the next
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
-        yield [(r["item_id"], r["text"]) for r in part.collect()]
+        yield k == n - 1, [(r["item_id"], r["text"]) for r in part.collect()]
 
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    shard_words: int = 500_000, sample: int = 16, block_bytes: int = 4 << 20, carry: bool = False,
+    shard_words: int = 500_000, sample: int = 16, block_bytes: int = 4 << 20, carry: bool = False, cut: bool = False,
 ) -> DataFrame:
     """For each row of ``docs``: its text, ``n_words``, the merged ``spans`` of words inside any
     occurrence of a test window (begin inclusive, end exclusive), and the ``items`` that occur.
@@ -278,19 +278,20 @@ def find_leaks(
     No shuffle: each task indexes the shards of its own rows. A benchmark larger than
     ``block_bytes`` is searched block by block, the result so far being written in between. Null and
     empty texts have no words; repeated rows each get their row; an empty benchmark hits nothing.
-    ``carry`` adds the input row as ``row``.
+    ``carry`` adds the input row as ``row``; ``cut`` removes the spans from ``text``, and texts
+    without a hit, null ones too, stay as they are.
     """
     rows = texts(docs, id_col, text_col, carry)
     extra = ["row"] if carry else []
     rows = rows.selectExpr("doc_id", "text", "0L AS n_words", "cast(array() AS array<struct<begin:long,end:long>>) AS spans", "cast(array() AS array<string>) AS items", *extra)
     schema = rows.schema
     spark = docs.sparkSession
-    for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes)):
+    for k, (last, block) in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes)):
         if k:
             rows = materialise(rows, "leaks")
         windows = spark.sparkContext.broadcast(Windows(block, window))
 
-        def run(batches: Iterator[pa.RecordBatch], windows=windows) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], windows=windows, cut=cut and last) -> Iterator[pa.RecordBatch]:
             w = windows.value
             number = w.vocabulary.get
 
@@ -299,8 +300,11 @@ def find_leaks(
                 old_spans, old_items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
                 spans = [merged([*((x["begin"], x["end"]) for x in a), *b]) if a else b for a, b in zip(old_spans, spans, strict=True)]
                 items = [sorted({*a, *b}) for a, b in zip(old_items, items, strict=True)]
+                text = batch.column(1)
+                if cut and any(spans):
+                    text = pa.array([without_spans(t, s) if s else t for t, s in zip(text.to_pylist(), spans, strict=True)], pa.string())
                 columns = [
-                    batch.column(0), batch.column(1), pa.array([a.size for a in numbers], pa.int64()),
+                    batch.column(0), text, pa.array([a.size for a in numbers], pa.int64()),
                     pa.array([[{"begin": b, "end": e} for b, e in x] for x in spans], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
                     pa.array(items, pa.list_(pa.string())), *batch.columns[5:],
                 ]
@@ -318,21 +322,5 @@ def find_leaks(
                 if numbers:
                     yield closed(batch.slice(begin), numbers)
 
-        rows = rows.mapInArrow(run, schema)
+        rows = rows.mapInArrow(tidy(run), schema)
     return rows
-
-
-def decontaminated(leaks: DataFrame) -> DataFrame:
-    """The rows of ``find_leaks`` with ``text`` less its removal spans, and without the spans.
-
-    Texts without a hit, null ones too, stay as they are.
-    """
-    names = [c for c in leaks.columns if c != "spans"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = [[(x["begin"], x["end"]) for x in s] for s in batch.column("spans").to_pylist()]
-            new = pa.array([without_spans(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), spans, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([new if c == "text" else batch.column(c) for c in names], names)
-
-    return leaks.mapInArrow(run, leaks.drop("spans").schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sieve, materialise, texts
+from .common import materialise, texts, tidy, Sieve
 from .graph import components
 
 # Bytes of UTF-8 text: A-Z become a-z, white space becomes the space.
@@ -116,7 +116,7 @@ def shingle_sets(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFr
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, f1 long, f2 long, keys array<long>")
+    return docs.mapInArrow(tidy(run), f"doc_id {kind}, n long, f1 long, f2 long, keys array<long>")
 
 
 class Lists:
@@ -240,7 +240,7 @@ def links(members: DataFrame, shingle: int, num: int, den: int, forest: bool) ->
 
     parts = members.sparkSession.conf.get("spark.sql.shuffle.partitions")
     dealt = members.repartition(int(parts), "family", "block").sortWithinPartitions("family", "block", "rep")
-    return dealt.select("family", "block", "inside", "rep", "f1", "f2", "text").mapInArrow(run, "u long, v long")
+    return dealt.select("family", "block", "inside", "rep", "f1", "f2", "text").mapInArrow(tidy(run), "u long, v long")
 
 
 def _met(reps: DataFrame, sieve: Sieve) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, texts
+from .common import materialise, texts, tidy
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
@@ -110,7 +110,7 @@ def tokenised_pieces(
             n = len(names) if with_ids else len(names) - 1
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out[:n], kinds, strict=False)], names[:n])
 
-    return texts(docs, id_col, text_col).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return texts(docs, id_col, text_col).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), schema)
 
 
 @dataclass

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import texts
+from .common import texts, tidy
 from .labels import fold, known, sample
 
 _MARKS = re.compile(r"[^\w\s]{3,}")
@@ -80,7 +80,7 @@ def _features(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(x, pa.list_(pa.float64()))], [*names, "x"])
 
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
-    return rows.mapInArrow(run, f"{schema}, x array<double>")
+    return rows.mapInArrow(tidy(run), f"{schema}, x array<double>")
 
 
 @dataclass
@@ -159,5 +159,5 @@ def score_quality(
     names = ["doc_id", "row"] if carry else ["doc_id"]
     every = texts(docs, id_col, text_col, carry)
     schema = StructType([*(every.schema[c] for c in names), StructField("score", DoubleType())])
-    scored = every.mapInArrow(run, schema)
+    scored = every.mapInArrow(tidy(run), schema)
     return scored.select(*names, F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
