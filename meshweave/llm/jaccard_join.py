@@ -12,8 +12,8 @@
 4. Classes already known to be in one component need no further check, so a family of m copies gives
    at most m - 1 links unless ``forest`` is off. Components follow from the links.
 
-A family larger than ``block`` is searched block by block: each class queries every block, so that a
-task holds one block of lists at a time.
+A family larger than ``block`` is cut into blocks, and each pair of blocks is searched on its own, so
+that a task holds two blocks at a time however large the family.
 """
 
 from __future__ import annotations
@@ -185,62 +185,62 @@ class _Union:
             self.of[self.of == max(x, y)] = min(x, y)
 
 
-def search_block(ids: list[int], sets: list[np.ndarray], inside: np.ndarray, num: int, den: int, forest: bool) -> list[tuple[int, int]]:
-    """Links between the sets ``inside`` the block and all sets given."""
+def search_blocks(ids: list[int], sets: list[np.ndarray], own: np.ndarray, num: int, den: int, forest: bool) -> list[tuple[int, int]]:
+    """Links within a block, or between two blocks (``own`` tells them apart) but not within either."""
     order = np.lexsort((ids, [s.size for s in sets]))
-    ids, sets, inside = [ids[k] for k in order], [sets[k] for k in order], inside[order]
-    if not inside.any():
-        return []
-    home = np.flatnonzero(inside)
-    lists = Lists([sets[k] for k in home])
+    ids, sets, own = [ids[k] for k in order], [sets[k] for k in order], own[order]
+    blocks = np.unique(own)
+    homes = {b: np.flatnonzero(own == b) for b in blocks.tolist()}
+    lists = {b: Lists([sets[k] for k in home]) for b, home in homes.items()}
     joined = _Union(len(sets))
     out = []
     for q in range(len(sets)):
-        # the smaller of a pair asks; of equal sizes, the earlier one; a set outside the block also
-        # asks for smaller ones, which is done by the block that it is inside of
+        # the smaller of a pair asks the other's block; of equal sizes, the earlier one
+        other = int(blocks[0] if own[q] == blocks[-1] else blocks[-1])
+        home = homes[other]
         start = int(np.searchsorted(home, q, "right"))
         if start == home.size:
-            break
+            continue
         skip = joined.of[home] == joined.of[q] if forest else np.zeros(home.size, bool)
-        for r in lists.search(sets[q], num, den, skip, start).tolist():
-            other = int(home[r])
-            if forest and joined.of[q] == joined.of[other]:
+        for r in lists[other].search(sets[q], num, den, skip, start).tolist():
+            found = int(home[r])
+            if forest and joined.of[q] == joined.of[found]:
                 continue
-            out.append((ids[q], ids[other]))
-            joined.join(q, other)
+            out.append((ids[q], ids[found]))
+            joined.join(q, found)
     return out
 
 
 def links(members: DataFrame, shingle: int, num: int, den: int, forest: bool) -> DataFrame:
-    """Links ``u``, ``v`` within the families of ``members`` (``family``, ``block``, ``inside``,
-    ``rep``, ``f1``, ``f2``, ``text``)."""
+    """Links ``u``, ``v`` within the families of ``members`` (``family``, ``block`` and ``other``, the
+    blocks that meet, ``own``, the member's block, ``rep``, ``f1``, ``f2``, ``text``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
-        key, ids, sets, inside = None, [], [], []
+        key, ids, sets, own = None, [], [], []
 
         def done() -> pa.RecordBatch:
-            found = search_block(ids, sets, np.asarray(inside, bool), num, den, forest) if len(ids) > 1 else []
+            found = search_blocks(ids, sets, np.asarray(own), num, den, forest) if len(ids) > 1 and (key[1] == key[2] or len(set(own)) > 1) else []
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["u", "v"])
 
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 5)]
-            for family, block, within, rep, f1, f2, text in zip(*columns, batch.column(6), strict=True):
-                if (family, block) != key:
+            columns = [batch.column(k).to_pylist() for k in range(7)]
+            for family, block, other, mine, rep, f1, f2, text in zip(*columns, batch.column(7), strict=True):
+                if (family, block, other) != key:
                     if ids:
                         yield done()
-                    key, ids, sets, inside = (family, block), [], [], []
+                    key, ids, sets, own = (family, block, other), [], [], []
                 s = shingler.of(text.as_py())
                 if fingerprint(s) == (f1, f2) and (not ids or rep != ids[-1]):
                     ids.append(rep)
                     sets.append(s)
-                    inside.append(within)
+                    own.append(mine)
         if ids:
             yield done()
 
     parts = members.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = members.repartition(int(parts), "family", "block").sortWithinPartitions("family", "block", "rep")
-    return dealt.select("family", "block", "inside", "rep", "f1", "f2", "text").mapInArrow(tidy(run), "u long, v long")
+    dealt = members.repartition(int(parts), "family", "block", "other").sortWithinPartitions("family", "block", "other", "rep")
+    return dealt.select("family", "block", "other", "own", "rep", "f1", "f2", "text").mapInArrow(tidy(run), "u long, v long")
 
 
 def _met(reps: DataFrame, sieve: Sieve) -> DataFrame:
@@ -265,7 +265,7 @@ def _with_id_in(rows: DataFrame, sieve: Sieve) -> DataFrame:
 
 
 def jaccard_join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, bands: int = 50, rows: int = 5, block: int = 4096, forest: bool = True,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, bands: int = 50, rows: int = 5, block: int = 2048, forest: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Two tables: one row per input row with ``doc_id``, ``n_shingles``, ``rep`` (the class) and
     ``component_id``; and the links ``u``, ``v`` between classes.
@@ -287,8 +287,8 @@ def jaccard_join(
     families = materialise(families.join(reps.select("rep", "f1", "f2").distinct(), "rep"), "families")
     sizes = families.groupBy("family").agg(F.count("*").alias("m"))
     dealt = families.join(sizes, "family").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("family", "block", (F.col("block") == F.col("own")).alias("inside"), "rep", "f1", "f2")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", F.least("own", "met").alias("block"), F.greatest("own", "met").alias("other"), "own", "rep", "f1", "f2")
     near_texts = _with_id_in(rows_in.where("doc_id IS NOT NULL"), Sieve(families.select("rep")))
     members = dealt.join(near_texts.withColumnRenamed("doc_id", "id"), F.col("rep") == F.col("id")).drop("id")
     found = materialise(links(members, shingle, num, den, forest), "links")

@@ -280,7 +280,7 @@ def shingles(text):
     return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
 
 
-@pytest.mark.parametrize("block", [4096, 4])
+@pytest.mark.parametrize("block", [2048, 4])
 def test_jaccard_join(spark, block):
     rng = random.Random(5)
     texts = []
