@@ -20,13 +20,18 @@ from ..sources.shared import stored
 Step = Callable[[np.ndarray], np.ndarray]
 
 
+def in_bands(rows: DataFrame, low: int, high: int, height: int) -> DataFrame:
+    """``band``, ``j`` and ``row`` of rows ``j``, ``row`` (arrays over the first axis)."""
+    last = (high - 1 - low) // height
+    band = F.greatest(F.lit(0), F.least(F.floor((F.col("j") - low) / height), F.lit(last))).cast("int")
+    return rows.select(band.alias("band"), F.col("j").cast("int").alias("j"), "row")
+
+
 def bands_of(df: DataFrame, value: str, low: int, high: int, height: int) -> DataFrame:
     """Rows ``j`` of a 2-D field as arrays over ``i``, in bands: ``band``, ``j``, ``row``. The bands
     cover the rows from ``low`` to ``high``; rows outside are borders and go with the nearest."""
     row = F.array_sort(F.collect_list(F.struct("i", F.col(value).cast("double").alias("v"))))
-    last = (high - 1 - low) // height
-    band = F.greatest(F.lit(0), F.least(F.floor((F.col("j") - low) / height), F.lit(last))).cast("int")
-    return df.groupBy("j").agg(F.transform(row, lambda x: x["v"]).alias("row")).select(band.alias("band"), "j", "row")
+    return in_bands(df.groupBy("j").agg(F.transform(row, lambda x: x["v"]).alias("row")), low, high, height)
 
 
 def iterate(rows: DataFrame, step: Step, steps: int, low: int, high: int, height: int, depth: int = 8) -> DataFrame:
@@ -84,4 +89,8 @@ def _round(rows: DataFrame, step: Step, now: int, low: int, high: int, height: i
 
 def five_point(grid: np.ndarray) -> np.ndarray:
     """The mean of the four neighbours."""
-    return 0.25 * (grid[1:-1, 2:] + grid[1:-1, :-2] + grid[:-2, 1:-1] + grid[2:, 1:-1])
+    out = grid[1:-1, 2:] + grid[1:-1, :-2]
+    out += grid[:-2, 1:-1]
+    out += grid[2:, 1:-1]
+    out *= 0.25
+    return out
