@@ -494,3 +494,13 @@ def test_digests_follow_the_contract(spark):
         n, listed = secret_digest(r["text"])
         row = got.loc[r["doc_id"]]
         assert [row["n_assign"], row["n_access"], row["n_hex"]] == n and row["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+
+
+def test_sieve_loses_no_key(spark):
+    from meshweave.llm.common import Sieve
+
+    keys = list(range(-5000, 5000, 7))
+    sieve = Sieve(spark.createDataFrame([(k,) for k in keys], "k long"), bits=18)
+    assert sieve.holds(np.asarray(keys)).all()
+    assert sieve.holds(np.arange(10**6, 10**6 + 10_000)).mean() < 0.05
+    assert not Sieve(spark.createDataFrame([], "k long"), bits=10).holds(np.asarray(keys)).any()
