@@ -12,14 +12,14 @@ all others are dismissed on their codes alone.
 Which pairs meet: equal vectors of a label are one class first (it counts as often as it occurs).
 Classes are dealt to the cells of spherical k-means centres, fitted on a bounded sample; every
 vector is assigned. A link of angle t can only lead from a vector v to a cell c if the angle of v
-and c is at most t plus the radius of c, and at most 2 t plus the angle of v and its own centre. In
-high dimension these sure bounds exclude little, as they are met only by a partner that lies straight
-towards c; a partner in a random direction is nearer to c than to v's own centre only if
+and c is at most t plus the radius of c, and at most 2 t plus the angle of v and its own centre. As
+the partner is nearer to c than to v's own centre, the plane halfway between the two is within t of v:
 
-    cos(v, c) >= cos(v, own) - slack * tan(t) * |c - own| / sqrt(dim - 1)
+    cos(v, c) >= cos(v, own) - sin(t) * |c - own|
 
-but for the tail of a normal distribution beyond ``slack``. v visits the cells that pass all three;
-``slack=None`` leaves the third out, and the index then loses nothing. A cell is cut into blocks, and the visitors
+v visits the cells that pass all three; they hold for every partner, so nothing is lost to the index.
+``slack`` adds the bound of a partner in a random direction, slack * tan(t) * |c - own| / sqrt(dim - 1),
+which loses links of vectors that vary along few directions. A cell is cut into blocks, and the visitors
 of a cell into chunks; a task holds one block and streams one chunk. Counts of links are summed, and
 each task gives links enough for the components, never all pairs.
 """
@@ -111,7 +111,7 @@ def _usable() -> Column:
 
 def near_duplicates(
     embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, eps: float = 2.5,
-    cell: int = 1000, most_centres: int = 1024, sample: int = 20_000, block: int = 2048, slack: float | None = 4.0,
+    cell: int = 1000, most_centres: int = 1024, sample: int = 20_000, block: int = 2048, slack: float | None = None,
 ) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id`` and ``kept`` of every row.
 
@@ -168,8 +168,9 @@ def _found(first: DataFrame, dim: int, n: int, cosine: float, eps: float, cell:
                 angles = np.arccos(np.clip(unit(_vectors(batch.column(3), dim)) @ centres.value.T, -1, 1))
                 home, own = batch.column(4).to_numpy(), batch.column(5).to_numpy()
                 may = (angles <= np.minimum(own[:, None] + 2 * reach, radii[None, :] + reach) + 1e-9) & (np.arange(radii.size)[None, :] > home[:, None]) & (radii >= 0)[None, :]
+                near = np.cos(own)[:, None] - np.cos(angles)
+                may &= near <= np.sin(reach) * apart[home] + 1e-9
                 if slack is not None:
-                    near = np.cos(own)[:, None] - np.cos(angles)
                     may &= near <= slack * np.tan(reach) * apart[home] / np.sqrt(max(dim - 1, 1)) + 1e-9
                 cells = [np.flatnonzero(m).astype(np.int32) for m in may]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(cells, pa.list_(pa.int32()))], ["rep", "w", "label", "embedding", "home", "cells"])

@@ -426,6 +426,18 @@ def test_embeddings_equal_brute_force(spark):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("directions", [1, 2])
+def test_embeddings_of_few_directions_lose_no_link(spark, directions):
+    rng = np.random.default_rng(6)
+    axes = np.linalg.qr(rng.normal(size=(64, directions + 1)))[0].T
+    x = (axes[0] + rng.uniform(-2, 2, (1500, directions)) @ axes[1:] + rng.normal(size=(1500, 64)) * 0.005).astype(np.float32)
+    y = embedding_dedup.unit(x)
+    want = (y @ y.T >= 0.93).sum(1) - 1
+    table = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(table, cell=60).collect()}
+    assert [got[k] for k in range(len(x))] == want.tolist()
+
+
 def test_estimates_are_unbiased():
     rng = np.random.default_rng(5)
     x, q = embedding_dedup.unit(rng.normal(size=(1, 64))), embedding_dedup.unit(rng.normal(size=(1, 64)))
