@@ -10,9 +10,10 @@ count over *all* documents; both classes back off to it, so a rare expression th
 says nothing either way. The raw pair level above is left out: it learns copied passages (a passage
 in three toxic documents makes all its pairs toxic), which continuation counts ignore.
 
-Words and pairs are numbered by hash; the tables have a fixed number of slots, whatever the
-vocabulary. N(. w) is kept in a 64-bit linear counter per slot (bitwise-or of hashed predecessors),
-near exact for rare expressions and levelling off for common ones, whose own counts decide.
+Words are numbered by 64-bit hashes. N(. w) is exact: the distinct pairs of the corpus, counted by word,
+are a distributed table that grows with it. Of a word that both classes leave to the backoff, P(w)
+cancels in the ratio; so the table is joined with the words of the labelled sample only, and only
+these reach the driver.
 
 A document is compared by its length-normalised log-likelihood ratio, as a whole and over its most
 toxic words; a logistic curve, fitted on labelled documents that the models have not seen, turns
@@ -22,7 +23,7 @@ these into a probability.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,34 +31,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, tidy
+from .common import materialise, texts, tidy
 from .labels import fold, known, sample
 
 _WORD = re.compile(r"[^\W_]+")
-SLOTS = 1 << 20
 START = np.uint64(0x9E3779B97F4A7C15)  # stands before the first word
 _STEP = np.uint64(0xBF58476D1CE4E5B9)
 TOP = (1, 2, 4, 8)
 
 
 class Hasher:
-    """64-bit numbers of words, with a bounded cache."""
+    """64-bit numbers of words, or what ``lookup`` has for them, with a bounded cache."""
 
-    def __init__(self, most: int = 150_000):
+    def __init__(self, most: int = 150_000, lookup: Callable[[np.ndarray], np.ndarray] | None = None):
         from xxhash import xxh3_64_intdigest
 
-        self.digest, self.cache, self.most = xxh3_64_intdigest, {}, most
+        self.digest, self.cache, self.most, self.lookup = xxh3_64_intdigest, {}, most, lookup
+        self.dtype = np.uint64 if lookup is None else np.float32
 
     def of(self, text: str | None) -> np.ndarray:
         words = _WORD.findall((text or "").lower())
         cache = self.cache
         try:
-            return np.array([*map(cache.__getitem__, words)], np.uint64)
+            return np.array([*map(cache.__getitem__, words)], self.dtype)
         except KeyError:
             if len(cache) > self.most:
                 cache.clear()
-            cache.update((w, self.digest(w.encode("utf-8", "replace"))) for w in words if w not in cache)
-        return np.array([*map(cache.__getitem__, words)], np.uint64)
+            new = [*{w for w in words if w not in cache}]
+            numbers = np.array([self.digest(w.encode("utf-8", "replace")) for w in new], np.uint64)
+            cache.update(zip(new, (numbers if self.lookup is None else self.lookup(numbers)).tolist(), strict=True))
+        return np.array([*map(cache.__getitem__, words)], self.dtype)
 
 
 def _mixed(a: np.ndarray) -> np.ndarray:
@@ -70,77 +73,107 @@ def before(words: np.ndarray) -> np.ndarray:
     return np.concatenate(([START], words[:-1]))[: words.size]
 
 
-def slots_of(words: np.ndarray) -> np.ndarray:
-    return (words % np.uint64(SLOTS)).astype(np.int64)
+def _distinct(words: list[np.ndarray], heads: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs, by word: equal words side by side compress well."""
+    word, head = np.concatenate(words), np.concatenate(heads)
+    first = np.unique(_mixed(word) + head, return_index=True)[1]
+    first = first[np.argsort(word[first])]
+    return word[first], head[first]
 
 
-def shared_counts(docs: DataFrame) -> np.ndarray:
-    """N(. w) for each slot, over all documents: at most ``SLOTS`` numbers reach the driver."""
+def pairs_of(rows: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """``y``, ``word`` and ``head``: the distinct pairs of a word and the word before it, in the rows
+    ``(y, text)`` of each ``y``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen = Hasher(), np.zeros(SLOTS, np.uint64)
+        hasher = Hasher()
+        kept: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
+        size: dict[int, int] = {}
+
+        def out(y: int, word: np.ndarray, head: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, word.size, 1 << 17):
+                w, h = (x[k : k + (1 << 17)].view(np.int64) for x in (word, head))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(w.size, y, np.int32)), pa.array(w), pa.array(h)], ["y", "word", "head"])
+
         for batch in batches:
-            for text in batch.column(0):
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = hasher.of(text.as_py())
-                np.bitwise_or.at(seen, slots_of(words), np.uint64(1) << (_mixed(before(words)) >> np.uint64(58)))
-        slot = np.flatnonzero(seen)
-        for k in range(0, slot.size, 1 << 17):
-            part = slot[k : k + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(seen[part].view(np.int64))], ["slot", "bits"])
+                if not words.size:
+                    continue
+                lists = kept.setdefault(y, ([], []))
+                lists[0].append(words)
+                lists[1].append(_mixed(before(words) + START))
+                size[y] = size.get(y, 0) + words.size
+                if size[y] >= 2 * most:
+                    word, head = _distinct(*lists)
+                    if word.size >= most:
+                        yield from out(y, word, head)
+                        word, head = word[:0], head[:0]
+                    kept[y], size[y] = ([word], [head]), word.size
+        for y, lists in kept.items():
+            yield from out(y, *_distinct(*lists))
 
-    got = docs.select("text").mapInArrow(tidy(run), "slot int, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-    full = np.bitwise_count(got["bits"].to_numpy().view(np.uint64)).astype(float)
-    out = np.zeros(SLOTS)
-    out[got["slot"].to_numpy()] = -64 * np.log1p(-np.minimum(full, 63.5) / 64)
-    return out
+    found = rows.select("y", "text").mapInArrow(tidy(run), "y int, word long, head long")
+    return found.repartition("y", "word", "head").distinct()  # by whole pairs, so common words are spread
 
 
-def class_counts(rows: DataFrame) -> pa.Table:
-    """N_y(. w) in the sampled documents ``(y, text)``: ``word`` (slot), ``y``, ``n``; at most
-    ``2 * SLOTS`` rows."""
+def shared_counts(docs: DataFrame) -> DataFrame:
+    """``word`` and ``n``: N(. w) of every word over all documents, exact."""
+    pairs = pairs_of(docs.select(F.lit(0).alias("y"), "text"))
+    return materialise(pairs.groupBy("word").agg(F.count("*").alias("n")), "continuations")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for batch in batches:
-            pairs: dict[int, list[np.ndarray]] = {}
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = hasher.of(text.as_py())
-                head = (_mixed(before(words) + START) >> np.uint64(24)).astype(np.int64)
-                pairs.setdefault(y, []).append(np.unique((head & ((1 << 40) - 1)) << 20 | slots_of(words)))
-            for y, keys in pairs.items():
-                key = np.unique(np.concatenate(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(key.size, y, np.int32))], ["pair", "y"])
 
-    pairs = rows.select("y", "text").mapInArrow(tidy(run), "pair long, y int").distinct()
-    return pairs.groupBy((F.col("pair") % SLOTS).cast("int").alias("word"), "y").agg(F.count("*").cast("int").alias("n")).toArrow()
+def class_counts(rows: DataFrame) -> DataFrame:
+    """``word``, ``n0`` and ``n1``: N_y(. w) in the sampled documents ``(y, text)``."""
+    n = [F.sum((F.col("y") == y).cast("long")).alias(f"n{y}") for y in (0, 1)]
+    return materialise(pairs_of(rows).groupBy("word").agg(*n), "classes")
 
 
 @dataclass
 class Models:
-    """log P_toxic(w) - log P_ordinary(w) of each slot."""
+    """log P_toxic(w) - log P_ordinary(w) of the words (sorted) that a class keeps; ``rest`` of all others."""
 
+    words: np.ndarray
     log_ratio: np.ndarray
+    rest: float
+
+    def ratios(self, words: np.ndarray) -> np.ndarray:
+        if not self.words.size:
+            return np.full(words.size, self.rest, np.float32)
+        at = np.minimum(np.searchsorted(self.words, words), self.words.size - 1)
+        return np.where(self.words[at] == words, self.log_ratio[at], np.float32(self.rest))
 
-    def features(self, words: np.ndarray) -> list[float]:
-        if not words.size:
-            return [0.0] * (2 + len(TOP))
-        r = self.log_ratio[slots_of(words)]
-        top = np.sort(np.partition(r, -TOP[-1])[-TOP[-1] :] if r.size > TOP[-1] else r)[::-1]
-        return [float(r.mean()), float(np.log1p(r.size)), *(float(top[:k].sum() / k) for k in TOP)]
 
+def features(r: np.ndarray) -> list[float]:
+    """Of the log ratios of a document's words."""
+    if not r.size:
+        return [0.0] * (2 + len(TOP))
+    top = np.sort(np.partition(r, -TOP[-1])[-TOP[-1] :] if r.size > TOP[-1] else r)[::-1]
+    return [float(r.mean()), float(np.log1p(r.size)), *(float(top[:k].sum() / k) for k in TOP)]
 
-def build_models(counts: pa.Table, shared: np.ndarray, discounts: tuple[float, ...] = (1.0, 1.6, 2.0)) -> Models:
+
+def build_models(counts: DataFrame, shared: DataFrame, discounts: tuple[float, ...] = (1.0, 1.6, 2.0)) -> Models:
     """``discounts`` for counts of 1, 2 and 3 or more; the class models are compared, so what is
     seen once in one of them is left to the backoff."""
-    base = (shared + 0.5) / (shared + 0.5).sum()
-    logs = []
-    word, label, found = (counts[c].to_numpy() for c in ("word", "y", "n"))
+    all_ = shared.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.count("*").alias("words")).first()
+    scale = max(all_["pairs"] + 0.5 * all_["words"], 0.5)
+
+    def kept(n: np.ndarray) -> np.ndarray:
+        return np.maximum(n - np.interp(n, range(len(discounts) + 1), (0, *discounts)), 0)
+
+    got = counts.join(shared, "word", "left").select("word", "n0", "n1", F.coalesce("n", F.lit(0)).alias("n")).toArrow()  # words of the sample
+    words, *n, base = (got[c].to_numpy() for c in ("word", "n0", "n1", "n"))
+    base = (base + 0.5) / scale
+    logs, rest = [], []
     for y in (0, 1):
-        n = np.bincount(word[label == y], found[label == y], SLOTS)
-        kept = np.maximum(n - np.interp(n, range(len(discounts) + 1), (0, *discounts)), 0)
-        total = max(n.sum(), 1)
-        logs.append(np.log(kept / total + max(1 - kept.sum() / total, 1e-6) * base))
-    return Models((logs[1] - logs[0]).astype(np.float32))
+        total = max(n[y].sum(), 1)
+        share = kept(n[y])
+        back = max(1 - share.sum() / total, 1e-6)
+        logs.append(np.log(share / total + back * base))
+        rest.append(np.log(back))
+    words, some = words.view(np.uint64), (kept(n[0]) > 0) | (kept(n[1]) > 0)
+    order = np.flatnonzero(some)[np.argsort(words[some])]
+    return Models(words[order], (logs[1] - logs[0])[order].astype(np.float32), float(rest[1] - rest[0]))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,9 +231,9 @@ def _scored(rows: DataFrame, models, curve: tuple | None = None) -> DataFrame:
     names = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, m = Hasher(), models.value
+        hasher = Hasher(lookup=models.value.ratios)
         for batch in batches:
-            x = [m.features(hasher.of(t.as_py())) for t in batch.column("text")]
+            x = [features(hasher.of(t.as_py())) for t in batch.column("text")]
             if curve is None:
                 last = pa.array(x, pa.list_(pa.float64()))
             else:

@@ -235,6 +235,20 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score_toxicity(odd, labels.limit(0)).where("score = 0").count() == len(ODD)
 
 
+def test_continuations_are_exact(spark):
+    texts = [" ".join(f"w{k} common" for k in range(begin, begin + 600)) for begin in (0, 500, 1000)] + [None, "", "w1 w1 common", "common"]
+    pairs = {(h, w) for t in texts for h, w in zip([None, *(t or "").split()], (t or "").split(), strict=False)}
+    want = {}
+    for _, w in pairs:
+        want[w] = want.get(w, 0) + 1
+    number = {w: int(toxicity.Hasher().of(w).view(np.int64)[0]) for w in want}
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    got = {r["word"]: r["n"] for r in toxicity.shared_counts(docs).collect()}
+    assert got == {number[w]: n for w, n in want.items()} and got[number["common"]] == 1601
+    few = toxicity.pairs_of(docs.select(F.lit(0).alias("y"), "text"), most=50)
+    assert few.count() == len(pairs)
+
+
 def test_quality(spark, odd, empty):
     data = labelled(spark, 400, 0.3, lambda text, rng: " ".join(w.upper() + "!!" for w in text[:5] * 10))
     labels = data.select("doc_id", (1 - F.col("bad")).alias("quality"))
