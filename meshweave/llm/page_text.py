@@ -235,7 +235,7 @@ def path_of(url: Column) -> Column:
 
 
 def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", copy: float = 0.5) -> DataFrame:
-    """``page_id``, ``url`` and ``text`` of every page.
+    """``page_id``, ``url`` and ``text`` of every page, an empty line between its blocks.
 
     A null html is an empty page, with the empty text. A null or relative URL has no host, and so no
     neighbour. Repeated rows are copies of each other; all rows of an id lose the same lines.
@@ -254,7 +254,7 @@ def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 lines, gone = lines_of(html.as_py()), set(common or ())
                 article = any(x.main and not x.dropped for x in lines)
                 kept = (x.text for k, x in enumerate(lines) if not x.dropped and (x.main or not article) and (k not in gone or x.main and x.prose))
-                texts.append("\n".join(kept))
+                texts.append("\n\n".join(kept))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string")

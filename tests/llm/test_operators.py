@@ -141,6 +141,11 @@ def test_page_differencing(spark):
     assert page_text.page_texts(pages.limit(0)).count() == 0
 
 
+def test_page_blocks_are_apart(spark):
+    pages = spark.createDataFrame([(1, None, "<h1>Head</h1><p>one<br>two</p><ul><li>three</ul>")], "page_id long, url string, html string")
+    assert page_text.page_texts(pages).first()["text"] == "Head\n\none two\n\nthree"
+
+
 # packing
 
 
