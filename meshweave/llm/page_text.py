@@ -2,17 +2,17 @@
 
 A page is read into lines, one for each block of its markup, each with its place: inside a part
 that never is content (menus, forms, ...), inside the article, in prose. Pages are ordered by host,
-URL path and id; the neighbours of a page are the pages before and after it on its host. Lines that
-a longest common subsequence aligns with a neighbour's lines are shared, and shared lines are
-deleted, with two exceptions: a neighbour with which a page shares more than half of its text is a
-copy and says nothing about boilerplate; and prose inside an ``article`` or ``main`` element is
-content, even if another page quotes it. What remains in the article (or, without one, on the page)
+URL path and id. A page with which another shares more than half of its text is a copy to it and says
+nothing about boilerplate; the neighbours of a page are the nearest pages before and after it on its
+host that are no copies, however long a run of copies lies between. Lines that a longest common
+subsequence aligns with a neighbour's lines are shared, and shared lines are deleted, but for prose inside an ``article`` or ``main`` element, which is content, even if another page quotes it. What remains in the article (or, without one, on the page)
 outside the parts that never are content is the text.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -179,51 +179,92 @@ def _outlines(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, "host string, path string, page_id long, lines array<long>, sizes array<int>")
 
 
+def nearest(lines: list, sizes: list, copy: float, back: bool) -> list[tuple[int, list[int]] | None]:
+    """For each page of a host its nearest page before (or after) that is no copy, and the lines shared
+    with it; None if there is none. The search goes on beyond a copy at the copy's own neighbour."""
+    found: list[tuple[int, list[int]] | None] = [None] * len(lines)
+    step = -1 if back else 1
+    for i in range(len(lines)) if back else reversed(range(len(lines))):
+        j = i + step
+        while 0 <= j < len(lines):
+            if lines[i] and lines[i] == lines[j]:
+                found[i] = found[j]
+                break
+            common = common_lines(lines[i], lines[j])
+            if sum(sizes[i][k] for k in common) <= copy * sum(sizes[i]):
+                found[i] = j, common
+                break
+            j = found[j][0] if found[j] else -1
+    return found
+
+
+_SIDED = "side int, part int, host string, path string, page_id long, lines array<long>, sizes array<int>, guest boolean, shared array<int>"
+
+
+def _sided(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.bool_(), pa.list_(pa.int32())]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in _SIDED.split(", ")])
+
+
 def _shared(outlines: DataFrame, parts: int, copy: float) -> DataFrame:
     """``page_id`` and ``shared`` (line numbers) of pages that share lines with a neighbour.
 
-    The outlines are range-partitioned by host, path and id, so a host of any size is spread; the
-    first and last page of each part also visit the part beside, as its outer neighbours.
+    The outlines are range-partitioned by host, path and id, so a host of any size is spread. Pages
+    whose neighbour is not in their part, all of them in the run of copies at its begin or end, look
+    for it among the outermost page, and that one's neighbour, of each part of the host beyond.
     """
     order = ["host", "path", "page_id"]
-    ranged = materialise(outlines.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "outlines")
-    row = F.struct(*order, "lines", "sizes")
-    edges = ranged.groupBy("part").agg(F.min_by(row, F.struct(*order)).alias("first"), F.max_by(row, F.struct(*order)).alias("last"))
-    filled = edges.select("part").collect()  # one number for each part
-    numbers = sorted(r["part"] for r in filled)
-    beside = F.create_map(*(F.lit(x) for pair in zip(numbers, numbers[1:], strict=False) for x in pair)) if len(numbers) > 1 else None
-    full = ranged.withColumn("guest", F.lit(False))
-    if beside is not None:
-        back = F.create_map(*(F.lit(x) for pair in zip(numbers[1:], numbers, strict=False) for x in pair))
-        right = edges.select("last.*", F.element_at(beside, F.col("part")).alias("part"))
-        left = edges.select("first.*", F.element_at(back, F.col("part")).alias("part"))
-        full = full.union(right.union(left).where("part IS NOT NULL").withColumn("guest", F.lit(True)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None  # part, host, page_id, lines, sizes, guest, shared so far
-        done: list[tuple[int, list[int]]] = []
-
-        def close(page) -> None:
-            if page and not page[5] and page[6]:
-                done.append((page[2], sorted(page[6])))
 
+    def hosts(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+        """Runs of equal ``names``, with the pages (path, page_id, lines, sizes, guest)."""
+        key, pages = None, []
         for batch in batches:
-            for part, host, page_id, lines, sizes, guest in zip(*(batch.column(c).to_pylist() for c in ("part", "host", "page_id", "lines", "sizes", "guest")), strict=True):
-                page = (part, host, page_id, lines, sizes, guest, set())
-                if before and before[0] == part and before[1] == host and host is not None:
-                    for own, other in ((page, before), (before, page)):
-                        if not own[5]:
-                            common = common_lines(own[3], other[3])
-                            if 0 < sum(own[4][k] for k in common) <= copy * sum(own[4]):
-                                own[6].update(common)
-                close(before)
-                before = page
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.int64()), pa.array([s for _, s in done], pa.list_(pa.int32()))], ["page_id", "shared"])
-            done.clear()
-        close(before)
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.int64()), pa.array([s for _, s in done], pa.list_(pa.int32()))], ["page_id", "shared"])
-
-    return full.repartition(parts, "part").sortWithinPartitions("part", *order).mapInArrow(run, "page_id long, shared array<int>")
+            columns = [batch.column(c) for c in (*names, "path", "page_id", "lines", "sizes", "guest")]
+            for k in range(batch.num_rows):
+                *at, path, page_id, lines, sizes, guest = (c[k].as_py() for c in columns)
+                if tuple(at) != key:
+                    if pages:
+                        yield key, pages
+                    key, pages = tuple(at), []
+                if key[-1] is not None:
+                    pages.append((path, page_id, array("q", lines), array("i", sizes), guest))
+        if pages:
+            yield key, pages
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        first, held = True, None  # the last host so far, with what it needs if no other follows
+        for (host,), pages in hosts(batches, ["host"]):
+            lines, sizes = [p[2] for p in pages], [p[3] for p in pages]
+            before, after = (nearest(lines, sizes, copy, back) for back in (True, False))
+            row = lambda side, k, guest=False: (side, part, host, *pages[k][:2], pages[k][2].tolist(), pages[k][3].tolist(), guest, None)  # noqa: E731, B023
+            for k in range(0, len(pages), 1000):
+                got = [(x, sorted({*(before[x][1] if before[x] else ()), *(after[x][1] if after[x] else ())})) for x in range(k, min(k + 1000, len(pages)))]
+                yield _sided([(0, part, host, *pages[x][:2], None, None, False, s) for x, s in got if s])
+            if first:
+                yield _sided([row(1, k) for k in range(len(pages)) if not before[k]])
+                yield _sided([row(2, k, True) for k in (0, *([after[0][0]] if after[0] else []))])
+            last = len(pages) - 1
+            held = [row(2, k) for k in range(len(pages)) if not after[k]] + [row(1, k, True) for k in (last, *([before[last][0]] if before[last] else []))]
+            first = False
+        if held:
+            yield _sided(held)
+
+    def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (side, part, host), pages in hosts(batches, ["side", "part", "host"]):
+            found = nearest([p[2] for p in pages], [p[3] for p in pages], copy, side == 1)
+            yield _sided([(0, part, host, *p[:2], None, None, False, sorted(f[1])) for p, f in zip(pages, found, strict=True) if not p[4] and f and f[1]])
+
+    ranged = outlines.withColumn("guest", F.lit(False)).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    got = materialise(ranged.mapInArrow(within, _SIDED), "outlines")
+    asking = got.where("side > 0 AND NOT guest")
+    heads = asking.select("side", "host", F.col("part").alias("to")).distinct()
+    guests = got.where("guest").join(heads, ["side", "host"]).where("side = 1 AND part < to OR side = 2 AND part > to").withColumn("part", F.col("to")).select(*got.columns)
+    rest = asking.union(guests).repartition(parts, "side", "part").sortWithinPartitions("side", "part", *order).mapInArrow(beyond, _SIDED)
+    return got.where("side = 0").union(rest).select("page_id", "shared")
 
 
 def host_of(url: Column) -> Column:

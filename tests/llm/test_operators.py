@@ -141,6 +141,21 @@ def test_page_differencing(spark):
     assert page_text.page_texts(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("pieces", [1, 8])
+def test_page_differencing_looks_past_runs_of_copies(spark, pieces):
+    page = "<body><div>Shop menu here</div><p>{} is told at length only in this story and its copies.</p><p>{}</p><div>All rights kept</div>"
+    rows = [(k, f"http://h.example/{k:03}", page.format(f"Story {k}", "end")) for k in (1, 2, 98, 99)]
+    rows += [(k, f"http://h.example/{k:03}", page.format("The mirrored one", f"copy {k % 7}")) for k in range(10, 60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(pieces))
+    try:
+        got = {r["page_id"]: r["text"] for r in page_text.page_texts(pages).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert got == {k: (f"Story {k} is told" if k < 10 or k > 60 else "The mirrored one is told") + " at length only in this story and its copies." + ("" if k < 10 or k > 60 else f"\n\ncopy {k % 7}") for k, _, _ in rows}
+
+
 def test_page_blocks_are_apart(spark):
     pages = spark.createDataFrame([(1, None, "<h1>Head</h1><p>one<br>two</p><ul><li>three</ul>")], "page_id long, url string, html string")
     assert page_text.page_texts(pages).first()["text"] == "Head\n\none two\n\nthree"
