@@ -136,7 +136,7 @@ def link_tool_calls(conversations: DataFrame, schemas: dict[str, dict] | None =
     if tools.isEmpty():
         return plain
     calls = tools.select("conv_id", "turn", F.posexplode("calls").alias("pos", "call")).select("conv_id", "turn", "pos", "call.*")
-    first = calls.where("id IS NOT NULL").groupBy("conv_id", "id").agg(F.min(F.struct("turn", "pos")).alias("at"), F.count("*").alias("copies"))
+    first = calls.where("id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "id").agg(F.min(F.struct("turn", "pos")).alias("at"), F.count("*").alias("copies"))
     nodes = calls.join(first, ["conv_id", "id"]).where("turn = at.turn AND pos = at.pos").select("conv_id", "id", "turn", "needs").dropDuplicates(["conv_id", "id"])
     results = tools.where("result_of IS NOT NULL").select("conv_id", F.col("result_of").alias("id"), F.col("turn").alias("result_turn"))
     answered = results.groupBy("conv_id", "id").agg(F.min("result_turn").alias("result_turn"))
@@ -164,8 +164,10 @@ def link_tool_calls(conversations: DataFrame, schemas: dict[str, dict] | None =
         F.max(F.when(own, F.col("order_turn"))).alias("o"), F.max(F.when(own, F.col("level"))).alias("l"), F.count("*").alias("calls_"),
         F.sum((own & F.col("result_turn").isNotNull()).cast("int")).alias("linked"), F.sum(F.size("errors") + F.when(own, 0).otherwise(1)).alias("wrong"),
     )
-    asked = tools.where("size(calls) > 0").join(asked, ["conv_id", "turn"]).select(
-        "conv_id", "turn", "role", F.coalesce("o", "turn").alias("order_turn"), F.coalesce("l", F.lit(0)).alias("level"), F.col("calls_").cast("int"), F.col("linked").cast("int"), F.col("wrong").cast("int"), "message"
+    # A message without conversation or turn meets no aggregate: its calls have no place, each is an error.
+    lost = F.aggregate("calls", F.lit(0), lambda n, c: n + F.size(c["errors"]) + 1)
+    asked = tools.where("size(calls) > 0").join(asked, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", "role", F.coalesce("o", "turn").alias("order_turn"), F.coalesce("l", F.lit(0)).alias("level"), F.coalesce("calls_", F.size("calls")).cast("int"), F.coalesce("linked", F.lit(0)).cast("int"), F.coalesce("wrong", lost).cast("int"), "message"
     )
     told = tools.where("result_of IS NOT NULL").join(placed.select("conv_id", F.col("id").alias("result_of"), F.col("order_turn").alias("o"), F.col("level").alias("l")), ["conv_id", "result_of"], "left")
     told = told.select(

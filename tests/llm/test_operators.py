@@ -520,6 +520,15 @@ def test_tool_calls(spark):
     assert tool_calls.link_tool_calls(table.limit(0)).count() == 0
 
 
+def test_tool_calls_without_place(spark):
+    call = json.dumps({"content": None, "tool_calls": [{"id": "p", "name": "add", "arguments": {}}]})
+    rows = [(1, None, "assistant", call), (1, 3, "assistant", call), (1, 4, "tool", json.dumps({"tool_call_id": "p", "content": 1})), (None, 1, "assistant", call), (None, 1, "assistant", call)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = [tuple(r)[:2] + tuple(r)[3:8] for r in tool_calls.link_tool_calls(table).collect()]
+    want = [(1, None, None, 0, 1, 0, 1), (1, 3, 3, 0, 1, 1, 0), (1, 4, 4, 1, 0, 1, 0), *[(None, 1, 1, 0, 1, 0, 1)] * 2]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 # licences
 
 
