@@ -1,29 +1,36 @@
-"""Toxicity by two class-conditional Kneser-Ney word models with a shared backoff.
-
-For each class y (toxic, ordinary), with N_y(v w) the distinct pairs of words of the class:
-
-    P_y(w) = (N_y(. w) - d)+ / N_y(. .) + b_y P(w)          P(w) ~ N(. w) + 1/2
-
-N_y(. w) is the Kneser-Ney continuation count, the number of distinct words that the class has
-before w, in a bounded sample of labelled documents (``max_docs`` of each class). N(. w) is the same
-count over *all* documents; both classes back off to it, so a rare expression that neither class has
-says nothing either way. The raw pair level above is left out: it learns copied passages (a passage
-in three toxic documents makes all its pairs toxic), which continuation counts ignore.
-
-Words are numbered by 64-bit hashes. N(. w) is exact: the distinct pairs of the corpus, counted by word,
-are a distributed table that grows with it. Of a word that both classes leave to the backoff, P(w)
-cancels in the ratio; so the table is joined with the words of the labelled sample only, and only
-these reach the driver.
-
-A document is compared by its length-normalised log-likelihood ratio, as a whole and over its most
-toxic words; a logistic curve, fitted on labelled documents that the models have not seen, turns
+"""Toxicity by two class-conditional Kneser-Ney bigram models with a shared backoff.
+
+For each class y (toxic, ordinary), with N_y(. v w) the distinct words that precede the pair v w in a
+bounded sample of labelled documents (``max_docs`` of each class), and N_y(. w) those that precede w:
+
+    P_y(w | v) = (N_y(. v w) - D)+ / N_y(. v .) + l_y(v) (S(w | v) + s(v) P_y(w))
+    P_y(w)     = (N_y(. w) - D)+ / N_y(. .) + b_y P(w)
+    S(w | v)   = (c(v w) - D)+ / c(v)          P(w) ~ N(. w) + 1/2
+
+D depends on the count (``discounts``); l_y(v), s(v) and b_y are what the discounts leave. The backoff
+S and P is shared by both classes and counted in *all* documents: c(v w) how often a pair occurs, N(. w)
+how many distinct words precede w. So a rare expression that neither class has says nothing either way,
+and a passage that is copied from document to document is as likely in both classes, even if more of its
+labelled copies are toxic. S is counted for the pairs that a class has left after its discount, and 0
+for others. Each document begins with a start symbol.
+
+N(. w) is exact and needed for the words of the sample alone (for another word both classes give
+b_y P(w), whose ratio has no P); all other words share one count, of their occurrences. A task turns
+each pair into a number of 64 bits (the word's place in the sample's list, and 40 bits of the hash of
+the word before), scrambles it one to one, and sends its distinct numbers in sorted runs by their top
+bits, as differences. So pairs of any word, however frequent, are spread evenly, and a task counts the
+distinct pairs of one run at a time. Two heads of a word coincide with probability 2^-40.
+
+A document is compared by the length-normalised log-likelihood ratio of the two models, of the whole
+document and of its most toxic passages (runs of ``PASSAGES`` words, as a few words among many must
+not be diluted). A logistic curve, fitted on labelled documents that the models have not seen, turns
 these into a probability.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,145 +42,320 @@ from .common import materialise, texts, tidy
 from .labels import fold, known, sample
 
 _WORD = re.compile(r"[^\W_]+")
-START = np.uint64(0x9E3779B97F4A7C15)  # stands before the first word
-_STEP = np.uint64(0xBF58476D1CE4E5B9)
-TOP = (1, 2, 4, 8)
+START = 0x9E3779B97F4A7C15  # the number of the start symbol
+HEAD_BITS = 40
+_HEAD = np.uint64((1 << HEAD_BITS) - 1)
+_MULTIPLY = 0xBF58476D1CE4E5B9
+_BACK = pow(_MULTIPLY, -1, 1 << 64)
+#: Lengths in words of the passages that are compared besides the whole document.
+PASSAGES = (1, 4, 16, 64)
+DISCOUNTS = (1.0, 1.6, 2.0)
+
+
+def scrambled(a: np.ndarray) -> np.ndarray:
+    """A one-to-one mapping of 64-bit numbers that spreads them evenly."""
+    a = a * np.uint64(_MULTIPLY)
+    return (a ^ (a >> np.uint64(32))) * np.uint64(_MULTIPLY)
 
 
-class Hasher:
-    """64-bit numbers of words, or what ``lookup`` has for them, with a bounded cache."""
+def unscrambled(a: np.ndarray) -> np.ndarray:
+    a = a * np.uint64(_BACK)
+    return (a ^ (a >> np.uint64(32))) * np.uint64(_BACK)
 
-    def __init__(self, most: int = 150_000, lookup: Callable[[np.ndarray], np.ndarray] | None = None):
+
+class Words:
+    """Numbers of the words of texts, with a bounded cache: 64-bit hashes, or with a ``vocabulary``
+    (sorted hashes) a word's place in it from 1 on, 0 for others, above 40 bits of its hash."""
+
+    def __init__(self, vocabulary: np.ndarray | None = None, most: int = 150_000):
         from xxhash import xxh3_64_intdigest
 
-        self.digest, self.cache, self.most, self.lookup = xxh3_64_intdigest, {}, most, lookup
-        self.dtype = np.uint64 if lookup is None else np.float32
+        self.digest, self.cache, self.most, self.vocabulary = xxh3_64_intdigest, {}, most, vocabulary
+        self.start = int(self.numbered(np.array([START], np.uint64))[0])
+
+    def numbered(self, hashes: np.ndarray) -> np.ndarray:
+        if self.vocabulary is None:
+            return hashes
+        place = np.zeros(hashes.size, np.uint64)
+        if self.vocabulary.size:
+            at = np.minimum(np.searchsorted(self.vocabulary, hashes), self.vocabulary.size - 1)
+            place = np.where(self.vocabulary[at] == hashes, at + 1, 0).astype(np.uint64)
+        return place << np.uint64(HEAD_BITS) | hashes & _HEAD
 
-    def of(self, text: str | None) -> np.ndarray:
+    def of(self, text: str | None) -> list[int]:
         words = _WORD.findall((text or "").lower())
         cache = self.cache
         try:
-            return np.array([*map(cache.__getitem__, words)], self.dtype)
+            return [*map(cache.__getitem__, words)]
         except KeyError:
             if len(cache) > self.most:
                 cache.clear()
             new = [*{w for w in words if w not in cache}]
-            numbers = np.array([self.digest(w.encode("utf-8", "replace")) for w in new], np.uint64)
-            cache.update(zip(new, (numbers if self.lookup is None else self.lookup(numbers)).tolist(), strict=True))
-        return np.array([*map(cache.__getitem__, words)], self.dtype)
+            hashes = np.array([self.digest(w.encode("utf-8", "replace")) for w in new], np.uint64)
+            cache.update(zip(new, self.numbered(hashes).tolist(), strict=True))
+        return [*map(cache.__getitem__, words)]
+
+    def several(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The words of all texts, a start symbol before each text; and how many words each has."""
+        flat: list[int] = []
+        sizes = []
+        for text in texts:
+            found = self.of(text)
+            flat.append(self.start)
+            flat += found
+            sizes.append(len(found))
+        return np.array(flat, np.uint64), np.array(sizes, np.int64)
+
+
+def _inner(sizes: np.ndarray) -> np.ndarray:
+    """Where the words are among the words and start symbols."""
+    inner = np.ones(int(sizes.sum()) + sizes.size, bool)
+    inner[np.cumsum(sizes + 1) - sizes - 1] = False
+    return np.flatnonzero(inner)
+
+
+def _slices(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, list[str | None]]]:
+    """Consecutive texts of about ``most`` characters in all, and where they begin."""
+    begin, some, size = 0, [], 0
+    for k, text in enumerate(texts):
+        some.append(text.as_py())
+        size += len(some[-1] or "")
+        if size >= most:
+            yield begin, some
+            begin, some, size = k + 1, [], 0
+    if some:
+        yield begin, some
+
+
+def class_pairs(rows: DataFrame) -> DataFrame:
+    """``head``, ``word``, ``n0`` and ``n1``: N_y(. v w) of each pair in the sample ``(y, text)``. Before
+    the first pair of a text stands the start symbol."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            labels = batch.column(0).to_numpy()
+            for begin, some in _slices(batch.column(1)):
+                flat, sizes = words.several(some)
+                at = _inner(sizes)
+                before = np.where(flat[at - 1] == np.uint64(START), np.uint64(START), flat[np.maximum(at - 2, 0)])
+                y = np.repeat(labels[begin : begin + len(some)], sizes).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(y), *(pa.array(x.view(np.int64)) for x in (before, flat[at - 1], flat[at]))], ["y", "before", "head", "word"])
+
+    found = rows.select("y", "text").mapInArrow(tidy(run), "y int, before long, head long, word long").distinct()
+    n = [F.sum((F.col("y") == y).cast("long")).alias(f"n{y}") for y in (0, 1)]
+    return materialise(found.groupBy("head", "word").agg(*n), "class-pairs")
+
+
+def _runs(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Sorted distinct numbers by their top bits: of each run its bucket, and its differences, each in
+    as many bytes as the largest needs, after one byte that tells how many."""
+    shift = 64 - (buckets.bit_length() - 1)
+    bucket = (keys >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(keys.size, np.int64)
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for begin, end in zip(cuts.tolist(), [*cuts[1:].tolist(), keys.size][: cuts.size], strict=True):
+        gaps = np.diff(keys[begin:end], prepend=np.uint64(int(bucket[begin]) << shift if shift < 64 else 0))
+        width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
+        yield int(bucket[begin]), bytes([width]) + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _of_run(bucket: int, run: bytes, buckets: int) -> np.ndarray:
+    shift = 64 - (buckets.bit_length() - 1)
+    low = np.frombuffer(run, np.uint8, offset=1).reshape(-1, run[0])
+    wide = np.zeros((len(low), 8), np.uint8)
+    wide[:, : run[0]] = low
+    keys = np.cumsum(wide.reshape(-1).view("<u8"), dtype=np.uint64)
+    return keys + np.uint64(bucket << shift) if shift < 64 else keys
+
+
+def shared_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray, buckets: int | None = None, most: int = 1 << 21) -> DataFrame:
+    """``place`` and ``n`` over all documents. For a word of the vocabulary, from 1 on, N(. w); at 0, how
+    often any other word occurs; then, for ``pairs`` (see ``pair_key``, sorted), how often each occurs,
+    and how often each place of the vocabulary (0 is the start symbol) is a head. ``most`` pairs are held by
+    a task before it sends them."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = buckets or max(1024, 1 << (8 * parts - 1).bit_length())
+    listed = spark.sparkContext.broadcast((vocabulary, pairs))
+    size = vocabulary.size + 1
+    schema, types = "bucket int, run binary, place long, n long", (pa.int32(), pa.binary(), pa.int64(), pa.int64())
 
-def _mixed(a: np.ndarray) -> np.ndarray:
-    a = a * _STEP
-    return a ^ (a >> np.uint64(29))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(listed.value[0])
+        pairs = listed.value[1]
+        held: list[np.ndarray] = []
+        n_held = 0
+        counts = np.zeros(2 * size + pairs.size, np.int64)
 
+        def rows(bucket: list | np.ndarray, run: list | None, place: np.ndarray | None, n: np.ndarray | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.nulls(len(bucket), t) if x is None else pa.array(x, t) for x, t in zip((bucket, run, place, n), types, strict=True)], ["bucket", "run", "place", "n"])
 
-def before(words: np.ndarray) -> np.ndarray:
-    """The word before each word."""
-    return np.concatenate(([START], words[:-1]))[: words.size]
+        def sent(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+            runs = [*_runs(keys, n_buckets)]
+            if runs:
+                yield rows([b for b, _ in runs], [r for _, r in runs], None, None)
 
+        for batch in batches:
+            for _, some in _slices(batch.column(0)):
+                flat, sizes = words.several(some)
+                at = _inner(sizes)
+                place = (flat >> np.uint64(HEAD_BITS)).astype(np.int64)
+                word, head = place[at], place[at - 1]
+                begins = np.diff(at, prepend=-1) > 1
+                key = pair_key(head, word, begins, size)
+                if pairs.size:
+                    found = np.minimum(np.searchsorted(pairs, key), pairs.size - 1)
+                    counts[size : size + pairs.size] += np.bincount(found[pairs[found] == key], minlength=pairs.size)
+                counts[size + pairs.size :] += np.bincount(np.where(begins, 0, head)[begins | (head > 0)], minlength=size)
+                counts[0] += int((word == 0).sum())
+                at = at[word > 0]
+                held.append(np.unique(scrambled(flat[at] >> np.uint64(HEAD_BITS) << np.uint64(HEAD_BITS) | flat[at - 1] & _HEAD)))
+                n_held += held[-1].size
+                if n_held >= 2 * most:
+                    keys = np.unique(np.concatenate(held))
+                    held, n_held = [keys], keys.size
+                    if n_held >= most:
+                        yield from sent(keys)
+                        held, n_held = [], 0
+        if held:
+            yield from sent(np.unique(np.concatenate(held)))
+        some = np.flatnonzero(counts)
+        for k in range(0, some.size, 1 << 17):
+            yield rows(some[k : k + (1 << 17)] % n_buckets, None, some[k : k + (1 << 17)], counts[some[k : k + (1 << 17)]])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(2 * size + listed.value[1].size, np.int64)
+        bucket, held = None, []
+
+        def add() -> None:
+            if held:
+                place = (unscrambled(np.unique(np.concatenate(held))) >> np.uint64(HEAD_BITS)).astype(np.int64)
+                where, n = np.unique(place, return_counts=True)
+                sums[where] += n
 
-def _distinct(words: list[np.ndarray], heads: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs, by word: equal words side by side compress well."""
-    word, head = np.concatenate(words), np.concatenate(heads)
-    first = np.unique(_mixed(word) + head, return_index=True)[1]
-    first = first[np.argsort(word[first])]
-    return word[first], head[first]
+        for batch in batches:
+            plain = batch.filter(batch.column(1).is_null())
+            np.add.at(sums, plain.column(2).to_numpy(zero_copy_only=False), plain.column(3).to_numpy(zero_copy_only=False))
+            batch = batch.filter(batch.column(1).is_valid())
+            for b, r in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if b != bucket:
+                    add()
+                    bucket, held = b, []
+                held.append(_of_run(b, r.as_py(), n_buckets))
+        add()
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(sums[some])], ["place", "n"])
 
+    runs = docs.select("text").mapInArrow(tidy(run), schema)
+    dealt = runs.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(tidy(counted), "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
 
-def pairs_of(rows: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """``y``, ``word`` and ``head``: the distinct pairs of a word and the word before it, in the rows
-    ``(y, text)`` of each ``y``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        kept: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
-        size: dict[int, int] = {}
+def pair_key(head: np.ndarray, word: np.ndarray, begins: np.ndarray, size: int) -> np.ndarray:
+    """A number for a pair of places; at the beginning of a text the start symbol is the head."""
+    return np.where(begins, size, head) * size + word
 
-        def out(y: int, word: np.ndarray, head: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for k in range(0, word.size, 1 << 17):
-                w, h = (x[k : k + (1 << 17)].view(np.int64) for x in (word, head))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(w.size, y, np.int32)), pa.array(w), pa.array(h)], ["y", "word", "head"])
 
-        for batch in batches:
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = hasher.of(text.as_py())
-                if not words.size:
-                    continue
-                lists = kept.setdefault(y, ([], []))
-                lists[0].append(words)
-                lists[1].append(_mixed(before(words) + START))
-                size[y] = size.get(y, 0) + words.size
-                if size[y] >= 2 * most:
-                    word, head = _distinct(*lists)
-                    if word.size >= most:
-                        yield from out(y, word, head)
-                        word, head = word[:0], head[:0]
-                    kept[y], size[y] = ([word], [head]), word.size
-        for y, lists in kept.items():
-            yield from out(y, *_distinct(*lists))
-
-    found = rows.select("y", "text").mapInArrow(tidy(run), "y int, word long, head long")
-    return found.repartition("y", "word", "head").distinct()  # by whole pairs, so common words are spread
-
-
-def shared_counts(docs: DataFrame) -> DataFrame:
-    """``word`` and ``n``: N(. w) of every word over all documents, exact."""
-    pairs = pairs_of(docs.select(F.lit(0).alias("y"), "text"))
-    return materialise(pairs.groupBy("word").agg(F.count("*").alias("n")), "continuations")
-
-
-def class_counts(rows: DataFrame) -> DataFrame:
-    """``word``, ``n0`` and ``n1``: N_y(. w) in the sampled documents ``(y, text)``."""
-    n = [F.sum((F.col("y") == y).cast("long")).alias(f"n{y}") for y in (0, 1)]
-    return materialise(pairs_of(rows).groupBy("word").agg(*n), "classes")
+def kept(n: np.ndarray, discounts: tuple[float, ...] = DISCOUNTS) -> np.ndarray:
+    """What the discounts (for counts of 1, 2, and the last for more) leave of counts."""
+    return np.maximum(n - np.interp(n, range(len(discounts) + 1), (0, *discounts)), 0)
 
 
 @dataclass
 class Models:
-    """log P_toxic(w) - log P_ordinary(w) of the words (sorted) that a class keeps; ``rest`` of all others."""
+    """Both models. ``words`` is the vocabulary (sorted hashes); the arrays by place have unknown words
+    at 0, and ``head`` has the start symbol last. ``pairs`` (see ``pair_key``) is sorted."""
 
     words: np.ndarray
-    log_ratio: np.ndarray
-    rest: float
-
-    def ratios(self, words: np.ndarray) -> np.ndarray:
-        if not self.words.size:
-            return np.full(words.size, self.rest, np.float32)
-        at = np.minimum(np.searchsorted(self.words, words), self.words.size - 1)
-        return np.where(self.words[at] == words, self.log_ratio[at], np.float32(self.rest))
+    word: np.ndarray  # (2, size): P_y(w); of unknown words b_y, as their P(w) is the same in both
+    head: np.ndarray  # (2, size + 1): l_y(v)
+    pairs: np.ndarray
+    own: np.ndarray  # (2, pairs): what is left of N_y(. v w), over N_y(. v .)
+    common: np.ndarray  # (2, pairs): S(w | v) and s(v)
+
+    def ratios(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """log P_toxic(w | v) - log P_ordinary(w | v) of all words of texts (see ``Words.several``)."""
+        place, at = (flat >> np.uint64(HEAD_BITS)).astype(np.int64), _inner(sizes)
+        w, v, begins = place[at], place[at - 1], np.diff(at, prepend=-1) > 1
+        size = self.word.shape[1]
+        p = self.word[:, w]
+        back = self.head[:, np.where(begins, size, v)]
+        if self.pairs.size:
+            key = pair_key(v, w, begins, size)
+            found = np.minimum(np.searchsorted(self.pairs, key), self.pairs.size - 1)
+            has = np.flatnonzero(self.pairs[found] == key)
+            found = found[has]
+            p[:, has] = self.own[:, found] / back[:, has] + self.common[0, found] + self.common[1, found] * p[:, has]
+        p *= back
+        return np.log(p[1]) - np.log(p[0])
 
 
 def features(r: np.ndarray) -> list[float]:
-    """Of the log ratios of a document's words."""
+    """Length-normalised log ratios: of the document, and the largest of a passage of each length. A
+    document shorter than a passage is one passage. The length itself tells how large the largest of so
+    many passages is by chance."""
     if not r.size:
-        return [0.0] * (2 + len(TOP))
-    top = np.sort(np.partition(r, -TOP[-1])[-TOP[-1] :] if r.size > TOP[-1] else r)[::-1]
-    return [float(r.mean()), float(np.log1p(r.size)), *(float(top[:k].sum() / k) for k in TOP)]
-
-
-def build_models(counts: DataFrame, shared: DataFrame, discounts: tuple[float, ...] = (1.0, 1.6, 2.0)) -> Models:
-    """``discounts`` for counts of 1, 2 and 3 or more; the class models are compared, so what is
-    seen once in one of them is left to the backoff."""
-    all_ = shared.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.count("*").alias("words")).first()
-    scale = max(all_["pairs"] + 0.5 * all_["words"], 0.5)
-
-    def kept(n: np.ndarray) -> np.ndarray:
-        return np.maximum(n - np.interp(n, range(len(discounts) + 1), (0, *discounts)), 0)
-
-    got = counts.join(shared, "word", "left").select("word", "n0", "n1", F.coalesce("n", F.lit(0)).alias("n")).toArrow()  # words of the sample
-    words, *n, base = (got[c].to_numpy() for c in ("word", "n0", "n1", "n"))
-    base = (base + 0.5) / scale
-    logs, rest = [], []
+        return [0.0] * (2 + len(PASSAGES))
+    sums = np.concatenate(([0.0], np.cumsum(r)))
+    out = [float(r.mean()), float(np.log1p(r.size))]
+    for width in PASSAGES:
+        k = min(width, r.size)
+        out.append(float((sums[k:] - sums[:-k]).max() / width))
+    return out
+
+
+def build_models(pairs: DataFrame, docs: DataFrame, discounts: tuple[float, ...] = DISCOUNTS) -> Models:
+    """The models of the sample's ``pairs``, backed off to the counts of ``docs``. What reaches the
+    driver is bounded by the sample: its words, its heads and the pairs that a discount leaves."""
+    off = [F.least(F.col(f"n{y}").cast("double"), _discount(f"n{y}", discounts)) for y in (0, 1)]
+    seen = pairs.groupBy("word").agg(*(F.sum((F.col(f"n{y}") > 0).cast("double")).alias(f"n{y}") for y in (0, 1))).toArrow()
+    heads = pairs.groupBy("head").agg(*(F.sum(F.col(f"n{y}").cast("double")).alias(f"c{y}") for y in (0, 1)), *(F.sum(off[y]).alias(f"d{y}") for y in (0, 1))).toArrow()
+    rich = pairs.where((F.col("n0") > off[0]) | (F.col("n1") > off[1])).toArrow()
+    hashes = seen["word"].to_numpy().view(np.uint64)
+    by = np.argsort(hashes)
+    words = hashes[by]
+    size = words.size + 1
+
+    def place(column: pa.ChunkedArray) -> np.ndarray:
+        """The start symbol is last; a head that is no word of the sample is 0."""
+        h = column.to_numpy().view(np.uint64)
+        at = np.minimum(np.searchsorted(words, h), max(words.size - 1, 0))
+        return np.where(h == np.uint64(START), size, np.where(words[at] == h, at + 1, 0)) if words.size else np.where(h == np.uint64(START), size, 0)
+
+    rich_head, rich_word = place(rich["head"]), place(rich["word"])
+    keys = rich_head * size + rich_word
+    order = np.argsort(keys)
+    keys, rich_head = keys[order], rich_head[order]
+    got = shared_counts(docs, words, keys).toArrow()
+    counts = np.zeros(2 * size + keys.size)
+    counts[got["place"].to_numpy()] = got["n"].to_numpy()
+    base, of_pair, of_head = counts[:size].copy(), counts[size : size + keys.size], counts[size + keys.size :]
+    base[1:] += 0.5
+    base /= max(base.sum(), 0.5)
+    of_head = np.maximum(of_head[np.where(rich_head == size, 0, rich_head)], 1)
+    left = kept(of_pair, discounts) / of_head
+    common = np.stack((left, np.maximum(1 - left, 1e-9)))  # S of the other pairs of v is not known: s(v) is at most this
+    word, head, own = np.ones((2, size)), np.ones((2, size + 1)), np.zeros((2, keys.size))
+    at = place(heads["head"])
     for y in (0, 1):
-        total = max(n[y].sum(), 1)
-        share = kept(n[y])
-        back = max(1 - share.sum() / total, 1e-6)
-        logs.append(np.log(share / total + back * base))
-        rest.append(np.log(back))
-    words, some = words.view(np.uint64), (kept(n[0]) > 0) | (kept(n[1]) > 0)
-    order = np.flatnonzero(some)[np.argsort(words[some])]
-    return Models(words[order], (logs[1] - logs[0])[order].astype(np.float32), float(rest[1] - rest[0]))
+        count = seen[f"n{y}"].to_numpy()[by]
+        total = max(count.sum(), 1)
+        share = kept(count, discounts)
+        word[y, 0] = max(1 - share.sum() / total, 1e-9)
+        word[y, 1:] = share / total + word[y, 0] * base[1:]
+        c, d = heads[f"c{y}"].to_numpy(), heads[f"d{y}"].to_numpy()
+        head[y, at] = np.where(c > 0, np.maximum(d, 1e-9) / np.maximum(c, 1), 1.0)
+        over = np.ones(size + 1)
+        over[at] = np.maximum(c, 1)
+        own[y] = kept(rich[f"n{y}"].to_numpy()[order].astype(float), discounts) / over[rich_head]
+    return Models(words, word, head, keys, own, common)
+
+
+def _discount(column: str, discounts: tuple[float, ...]):
+    out = F.lit(float(discounts[-1]))
+    for k in range(len(discounts) - 1, 0, -1):
+        out = F.when(F.col(column) <= k, F.lit(float(discounts[k - 1]))).otherwise(out)
+    return out
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,12 +391,11 @@ def score_toxicity(
     if all(shares.get((p, y)) for p in (0, 1) for y in (0, 1)):
         chosen = [sample(learnt.where((F.col("part") == p) & (F.col("y") == y)), max_curve if p else max_docs) for p in (0, 1) for y in (0, 1)]
         chosen = chosen[0].union(chosen[1]).union(chosen[2]).union(chosen[3])  # at most 2 * (max_docs + max_curve) ids
-        known_texts = rows.join(F.broadcast(chosen), "doc_id")
-        models = spark.sparkContext.broadcast(build_models(class_counts(known_texts.where("part = 0")), shared_counts(rows)))
-        tried = known_texts.where("part = 1").select("doc_id", "y", "text")
-        got = _scored(tried, models).toArrow()
+        known_texts = materialise(rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "part", "text"), "labelled")
+        models = spark.sparkContext.broadcast(build_models(class_pairs(known_texts.where("part = 0")), rows))
+        got = _scored(known_texts.where("part = 1").select("doc_id", "y", "text"), models).toArrow()
         y = got["y"].to_numpy()
-        x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, 2 + len(TOP))
+        x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, 2 + len(PASSAGES))
         weight = np.where(y == 1, n[1] / max(1, (y == 1).sum()), n[0] / max(1, (y == 0).sum()))
         if len(set(y.tolist())) == 2:
             curve = fit_curve(x, y, weight)
@@ -231,9 +412,15 @@ def _scored(rows: DataFrame, models, curve: tuple | None = None) -> DataFrame:
     names = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(lookup=models.value.ratios)
+        model = models.value
+        words = Words(model.words)
         for batch in batches:
-            x = [features(hasher.of(t.as_py())) for t in batch.column("text")]
+            x = []
+            for _, some in _slices(batch.column("text")):
+                flat, sizes = words.several(some)
+                r = model.ratios(flat, sizes)
+                end = np.cumsum(sizes)
+                x += [features(r[e - s : e]) for e, s in zip(end.tolist(), sizes.tolist(), strict=True)]
             if curve is None:
                 last = pa.array(x, pa.list_(pa.float64()))
             else:

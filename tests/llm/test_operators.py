@@ -255,18 +255,78 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score_toxicity(odd, labels.limit(0)).where("score = 0").count() == len(ODD)
 
 
-def test_continuations_are_exact(spark):
-    texts = [" ".join(f"w{k} common" for k in range(begin, begin + 600)) for begin in (0, 500, 1000)] + [None, "", "w1 w1 common", "common"]
-    pairs = {(h, w) for t in texts for h, w in zip([None, *(t or "").split()], (t or "").split(), strict=False)}
-    want = {}
-    for _, w in pairs:
-        want[w] = want.get(w, 0) + 1
-    number = {w: int(toxicity.Hasher().of(w).view(np.int64)[0]) for w in want}
-    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    got = {r["word"]: r["n"] for r in toxicity.shared_counts(docs).collect()}
-    assert got == {number[w]: n for w, n in want.items()} and got[number["common"]] == 1601
-    few = toxicity.pairs_of(docs.select(F.lit(0).alias("y"), "text"), most=50)
-    assert few.count() == len(pairs)
+def brute_toxicity(sample, corpus, discounts):
+    """log P_1(w | v) - log P_0(w | v) by dictionaries; the ratio's rule is written out word by word."""
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    cut = lambda n: max(n - np.interp(n, range(len(discounts) + 1), (0, *discounts)), 0)
+    lefts = [{}, {}]
+    for y, text in sample:
+        words = split(text)
+        for k, w in enumerate(words):
+            v = words[k - 1] if k else None
+            lefts[y].setdefault((v, w), set()).add(words[k - 2] if k > 1 else None)
+    vocabulary = {w for y in (0, 1) for _, w in lefts[y]}
+    n_pair = [{p: len(s) for p, s in lefts[y].items()} for y in (0, 1)]
+    before, occurs, heads, others = {}, {}, {}, 0
+    for text in corpus:
+        words = split(text)
+        for k, w in enumerate(words):
+            v = words[k - 1] if k else None
+            before.setdefault(w, set()).add(v)
+            occurs[v, w] = occurs.get((v, w), 0) + 1
+            heads[v] = heads.get(v, 0) + 1
+            others += w not in vocabulary
+    base = {w: len(before.get(w, ())) + 0.5 for w in vocabulary}
+    scale = max(sum(base.values()) + others, 0.5)
+    rich = {p for y in (0, 1) for p, n in n_pair[y].items() if cut(n) > 0}
+
+    def p(y, v, w):
+        words = {}
+        for _, x in n_pair[y]:
+            words[x] = words.get(x, 0) + 1
+        total = max(sum(words.values()), 1)
+        b = max(1 - sum(map(cut, words.values())) / total, 1e-9)
+        low = cut(words.get(w, 0)) / total + b * base[w] / scale if w in vocabulary else b
+        of_v = {x: n for (h, x), n in n_pair[y].items() if h == v}
+        c = sum(of_v.values())
+        left = max(sum(n - cut(n) for n in of_v.values()), 1e-9) / c if c else 1.0
+        if (v, w) not in rich:
+            return left * low
+        s = cut(occurs.get((v, w), 0)) / max(heads.get(v, 0), 1)
+        return cut(of_v.get(w, 0)) / max(c, 1) + left * (s + max(1 - s, 1e-9) * low)
+
+    def ratios(text):
+        words = split(text)
+        return [np.log(p(1, words[k - 1] if k else None, w)) - np.log(p(0, words[k - 1] if k else None, w)) for k, w in enumerate(words)]
+
+    return ratios, {w: len(s) for w, s in before.items() if w in vocabulary}
+
+
+def test_kneser_ney_equals_brute_force(spark):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(60)]
+    text = lambda: " ".join(words[min(int(rng.expovariate(0.08)), 59)] for _ in range(rng.randrange(0, 40)))
+    sample = [(k % 2, text()) for k in range(40)] + [(1, "w1 w2 w3"), (0, None), (1, "")]
+    corpus = [text() for _ in range(60)] + [t for _, t in sample] + ["new words, w1 NEW", None, "w1_w2 common " * 50]
+    docs = spark.createDataFrame([(t,) for t in corpus], "text string").repartition(3)
+    pairs = toxicity.class_pairs(spark.createDataFrame(sample, "y int, text string"))
+    models = toxicity.build_models(pairs, docs)
+    ratios, before = brute_toxicity(sample, corpus, toxicity.DISCOUNTS)
+    numbered = toxicity.Words(models.words)
+    for some in (corpus[-3:], corpus[:20]):
+        got = models.ratios(*numbered.several(some))
+        assert np.allclose(got, [r for t in some for r in ratios(t)], atol=1e-9)
+    places = {int(numbered.of(w)[0]) >> toxicity.HEAD_BITS: n for w, n in before.items()}
+    counted = toxicity.shared_counts(docs, models.words, models.pairs, buckets=4, most=100)  # sent in many runs
+    assert {r["place"]: r["n"] for r in counted.where(F.col("place").between(1, models.words.size)).collect()} == places
+
+
+def test_scrambling_and_runs_are_exact():
+    keys = np.unique(np.random.default_rng(2).integers(0, 1 << 63, 5000, np.uint64) * np.uint64(2))
+    assert (toxicity.unscrambled(toxicity.scrambled(keys)) == keys).all()
+    for buckets in (1, 8, 1024):
+        runs = [*toxicity._runs(keys, buckets)]
+        assert (np.concatenate([toxicity._of_run(b, r, buckets) for b, r in runs]) == keys).all() and len({b for b, _ in runs}) == len(runs)
 
 
 def test_quality(spark, odd, empty):
