@@ -5,18 +5,20 @@ that never is content (menus, forms, ...), inside the article, in prose. Pages a
 URL path and id. A page with which another shares more than half of its text is a copy to it and says
 nothing about boilerplate; the neighbours of a page are the nearest pages before and after it on its
 host that are no copies, however long a run of copies lies between. Lines that a longest common
-subsequence aligns with a neighbour's lines are shared, and shared lines are deleted, but for prose inside an ``article`` or ``main`` element, which is content, even if another page quotes it. What remains in the article (or, without one, on the page)
-outside the parts that never are content is the text.
+subsequence aligns with a neighbour's lines are shared, and shared lines are deleted, but for the
+paragraphs, headings and quotations inside an ``article`` or ``main`` element: these are content, even if
+another page has them too. What remains in the article (or, without one, on the page) outside the parts
+that never are content is the text.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,7 +34,9 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td th dd dt figcaption caption".split())
+#: The innermost block of a line tells whether it is prose; items, cells and captions are not.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+_ITEMS = frozenset("li td th dd dt figcaption caption".split())
 _NEVER = frozenset("nav footer aside form head button dialog menu".split())
 _SCOPE = frozenset("article aside blockquote body dd details div dl dt fieldset figure footer form header html main nav ol section table td th tr ul".split())
 #: Words in a class, id or role that mark a part as no content.
@@ -67,7 +71,7 @@ def lines_of(html: str | None) -> list[Line]:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append(Line(text, drops > 0, mains > 0, any(t in _PROSE for t, _, _ in reversed(stack))))
+                out.append(Line(text, drops > 0, mains > 0, next((t in _PROSE for t, _, _ in reversed(stack) if t in _PROSE or t in _ITEMS), False)))
 
     def pop(n: int) -> None:
         nonlocal drops, mains
@@ -84,7 +88,7 @@ def lines_of(html: str | None) -> list[Line]:
         name = m[2]
         if name is None:
             if m[0].startswith("<![CDATA["):
-                parts.append(m[0][9:-3].replace("&", "&amp;"))
+                parts.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
         tag = name.lower()
         if m[1]:
@@ -136,47 +140,74 @@ def lines_of(html: str | None) -> list[Line]:
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Places in ``a`` of a longest common subsequence of two lists of line hashes."""
+    """Places in ``a`` of a longest common subsequence of two lists of line hashes.
+
+    Bit-parallel: a row of the dynamic programme is one number, of as many bits as ``b`` has lines, with
+    zeros where the length grows. Only every ``isqrt``-th row is held; the others are computed again on
+    the way back. So repeated lines cost no more than others, and n lines need n ** 1.5 / 4 bytes.
+    """
     low = 0
     while low < len(a) and low < len(b) and a[low] == b[low]:
         low += 1
     high = 0
     while high < len(a) - low and high < len(b) - low and a[-1 - high] == b[-1 - high]:
         high += 1
+    masks: dict[int, int] = {}
+    here = set(a[low : len(a) - high])
+    inner = [x for x in b[low : len(b) - high] if x in here]  # other lines of b are in no common subsequence
     places: dict[int, list[int]] = {}
-    for k in range(len(b) - high - 1, low - 1, -1):
-        places.setdefault(b[k], []).append(k)
-    ends: list[int] = []  # least end in b of a common subsequence of each length
-    last: list[tuple[int, tuple | None]] = []
-    for i in range(low, len(a) - high):
-        for k in places.get(a[i], ()):
-            n = bisect_left(ends, k)
-            node = (i, last[n - 1] if n else None)
-            if n == len(ends):
-                ends.append(k)
-                last.append(node)
-            else:
-                ends[n], last[n] = k, node
-    middle, node = [], last[-1] if last else None
-    while node:
-        middle.append(node[0])
-        node = node[1]
+    for k, x in enumerate(inner):
+        places.setdefault(x, []).append(k)
+    for x, at in places.items():
+        bits = bytearray(len(inner) // 8 + 1)
+        for k in at:
+            bits[k >> 3] |= 1 << (k & 7)
+        masks[x] = int.from_bytes(bits, "little")
+    rows = [k for k in range(low, len(a) - high) if a[k] in masks]
+    every = (1 << len(inner)) - 1
+    step = isqrt(len(rows)) + 1
+
+    def below(v: int, k: int) -> int:
+        both = v & masks[a[rows[k]]]
+        return (v + both | v - both) & every
+
+    held, v = [], every
+    for k in range(len(rows)):
+        if k % step == 0:
+            held.append(v)
+        v = below(v, k)
+    middle, j = [], len(inner)
+    for block in range(len(held) - 1, -1, -1):
+        begin = block * step
+        grid = [held[block]]  # grid[i]: before the row begin + i
+        for k in range(begin, min(begin + step, len(rows))):
+            grid.append(below(grid[-1], k))
+        for i in range(len(grid) - 1, 0, -1):
+            grows = ~grid[i] & ((1 << j) - 1)
+            j = grows.bit_length()  # the last place up to which the length is as large
+            if not j:
+                break
+            if grid[i - 1] >> (j - 1) & 1:  # it grows there in this row alone: a match
+                middle.append(rows[begin + i - 1])
+                j -= 1
+        if not j:
+            break
     return [*range(low), *reversed(middle), *range(len(a) - high, len(a))]
 
 
 def _outlines(pages: DataFrame) -> DataFrame:
-    """``host``, ``path``, ``page_id``, ``lines`` (hashes) and ``sizes`` (code points) of each page."""
+    """``host``, ``path``, ``page_id``, ``key``, ``lines`` (hashes) and ``sizes`` (code points) of each page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
         for batch in batches:
-            found = [lines_of(h.as_py()) for h in batch.column(3)]
+            found = [lines_of(h.as_py()) for h in batch.column(4)]
             hashes = [[xxh3_64_intdigest(x.text.encode("utf-8", "surrogatepass")) - (1 << 63) for x in f] for f in found]
             sizes = [[len(x.text) for x in f] for f in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], ["host", "path", "page_id", "lines", "sizes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], ["host", "path", "page_id", "key", "lines", "sizes"])
 
-    return pages.mapInArrow(run, "host string, path string, page_id long, lines array<long>, sizes array<int>")
+    return pages.mapInArrow(run, "host string, path string, page_id long, key long, lines array<long>, sizes array<int>")
 
 
 def nearest(lines: list, sizes: list, copy: float, back: bool) -> list[tuple[int, list[int]] | None]:
@@ -198,37 +229,37 @@ def nearest(lines: list, sizes: list, copy: float, back: bool) -> list[tuple[int
     return found
 
 
-_SIDED = "side int, part int, host string, path string, page_id long, lines array<long>, sizes array<int>, guest boolean, shared array<int>"
+_SIDED = "side int, part int, host string, path string, page_id long, key long, lines array<long>, sizes array<int>, guest boolean, shared array<int>"
 
 
 def _sided(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.bool_(), pa.list_(pa.int32())]
+    types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.bool_(), pa.list_(pa.int32())]
     columns = zip(*rows, strict=True) if rows else [[]] * len(types)
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in _SIDED.split(", ")])
 
 
 def _shared(outlines: DataFrame, parts: int, copy: float) -> DataFrame:
-    """``page_id`` and ``shared`` (line numbers) of pages that share lines with a neighbour.
+    """``page_id``, ``key`` and ``shared`` (line numbers) of pages that share lines with a neighbour.
 
     The outlines are range-partitioned by host, path and id, so a host of any size is spread. Pages
     whose neighbour is not in their part, all of them in the run of copies at its begin or end, look
     for it among the outermost page, and that one's neighbour, of each part of the host beyond.
     """
-    order = ["host", "path", "page_id"]
+    order = ["host", "path", "page_id", "key"]
 
     def hosts(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
-        """Runs of equal ``names``, with the pages (path, page_id, lines, sizes, guest)."""
+        """Runs of equal ``names``, with the pages (path, page_id, key, lines, sizes, guest)."""
         key, pages = None, []
         for batch in batches:
-            columns = [batch.column(c) for c in (*names, "path", "page_id", "lines", "sizes", "guest")]
+            columns = [batch.column(c) for c in (*names, "path", "page_id", "key", "lines", "sizes", "guest")]
             for k in range(batch.num_rows):
-                *at, path, page_id, lines, sizes, guest = (c[k].as_py() for c in columns)
+                *at, path, page_id, page_key, lines, sizes, guest = (c[k].as_py() for c in columns)
                 if tuple(at) != key:
                     if pages:
                         yield key, pages
                     key, pages = tuple(at), []
                 if key[-1] is not None:
-                    pages.append((path, page_id, array("q", lines), array("i", sizes), guest))
+                    pages.append((path, page_id, page_key, array("q", lines), array("i", sizes), guest))
         if pages:
             yield key, pages
 
@@ -238,12 +269,12 @@ def _shared(outlines: DataFrame, parts: int, copy: float) -> DataFrame:
         part = TaskContext.get().partitionId()
         first, held = True, None  # the last host so far, with what it needs if no other follows
         for (host,), pages in hosts(batches, ["host"]):
-            lines, sizes = [p[2] for p in pages], [p[3] for p in pages]
+            lines, sizes = [p[3] for p in pages], [p[4] for p in pages]
             before, after = (nearest(lines, sizes, copy, back) for back in (True, False))
-            row = lambda side, k, guest=False: (side, part, host, *pages[k][:2], pages[k][2].tolist(), pages[k][3].tolist(), guest, None)  # noqa: E731, B023
+            row = lambda side, k, guest=False: (side, part, host, *pages[k][:3], pages[k][3].tolist(), pages[k][4].tolist(), guest, None)  # noqa: E731, B023
             for k in range(0, len(pages), 1000):
                 got = [(x, sorted({*(before[x][1] if before[x] else ()), *(after[x][1] if after[x] else ())})) for x in range(k, min(k + 1000, len(pages)))]
-                yield _sided([(0, part, host, *pages[x][:2], None, None, False, s) for x, s in got if s])
+                yield _sided([(0, part, host, *pages[x][:3], None, None, False, s) for x, s in got if s])
             if first:
                 yield _sided([row(1, k) for k in range(len(pages)) if not before[k]])
                 yield _sided([row(2, k, True) for k in (0, *([after[0][0]] if after[0] else []))])
@@ -255,8 +286,8 @@ def _shared(outlines: DataFrame, parts: int, copy: float) -> DataFrame:
 
     def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (side, part, host), pages in hosts(batches, ["side", "part", "host"]):
-            found = nearest([p[2] for p in pages], [p[3] for p in pages], copy, side == 1)
-            yield _sided([(0, part, host, *p[:2], None, None, False, sorted(f[1])) for p, f in zip(pages, found, strict=True) if not p[4] and f and f[1]])
+            found = nearest([p[3] for p in pages], [p[4] for p in pages], copy, side == 1)
+            yield _sided([(0, part, host, *p[:3], None, None, False, sorted(f[1])) for p, f in zip(pages, found, strict=True) if not p[5] and f and f[1]])
 
     ranged = outlines.withColumn("guest", F.lit(False)).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     got = materialise(ranged.mapInArrow(within, _SIDED), "outlines")
@@ -264,7 +295,7 @@ def _shared(outlines: DataFrame, parts: int, copy: float) -> DataFrame:
     heads = asking.select("side", "host", F.col("part").alias("to")).distinct()
     guests = got.where("guest").join(heads, ["side", "host"]).where("side = 1 AND part < to OR side = 2 AND part > to").withColumn("part", F.col("to")).select(*got.columns)
     rest = asking.union(guests).repartition(parts, "side", "part").sortWithinPartitions("side", "part", *order).mapInArrow(beyond, _SIDED)
-    return got.where("side = 0").union(rest).select("page_id", "shared")
+    return got.where("side = 0").union(rest).select("page_id", "key", "shared")
 
 
 def host_of(url: Column) -> Column:
@@ -279,14 +310,17 @@ def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """``page_id``, ``url`` and ``text`` of every page, an empty line between its blocks.
 
     A null html is an empty page, with the empty text. A null or relative URL has no host, and so no
-    neighbour. Repeated rows are copies of each other; all rows of an id lose the same lines.
+    neighbour. Rows that repeat an id with another url or html are pages of their own; rows that are
+    equal in all three are copies of each other and lose the same lines.
     """
     spark = pages.sparkSession
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
-    located = rows.select(F.when(host_of(F.col("url")) != "", host_of(F.col("url"))).alias("host"), path_of(F.col("url")).alias("path"), "page_id", "html")
-    shared = materialise(_shared(_outlines(located), int(spark.conf.get("spark.sql.shuffle.partitions")), copy), "shared")
-    shared = shared.groupBy("page_id").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared"))
-    joined = rows.join(shared, "page_id", "left").select("page_id", "url", "html", "shared")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = rows.withColumn("key", F.xxhash64("url", "html"))
+    located = rows.select(F.when(host_of(F.col("url")) != "", host_of(F.col("url"))).alias("host"), path_of(F.col("url")).alias("path"), "page_id", "key", "html")
+    outlines = materialise(_outlines(located), "outlines")  # ranging samples its input: the pages are read into lines once
+    shared = materialise(_shared(outlines, int(spark.conf.get("spark.sql.shuffle.partitions")), copy), "shared")
+    shared = shared.groupBy("page_id", "key").agg(F.array_distinct(F.flatten(F.collect_set("shared"))).alias("shared"))
+    joined = rows.alias("p").join(shared.alias("s"), F.col("p.page_id").eqNullSafe(F.col("s.page_id")) & (F.col("p.key") == F.col("s.key")), "left").select("p.page_id", "p.url", "p.html", "s.shared")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

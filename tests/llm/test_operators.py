@@ -156,6 +156,78 @@ def test_page_differencing_looks_past_runs_of_copies(spark, pieces):
     assert got == {k: (f"Story {k} is told" if k < 10 or k > 60 else "The mirrored one is told") + " at length only in this story and its copies." + ("" if k < 10 or k > 60 else f"\n\ncopy {k % 7}") for k, _, _ in rows}
 
 
+def brute_texts(rows, copy=0.5):
+    """Differencing page by page: the neighbours by a plain walk, the subsequence by its table."""
+
+    def common(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
+        out, i, j = [], len(a), len(b)
+        while i and j:
+            if t[i][j] == t[i][j - 1]:
+                j -= 1
+            elif t[i][j] == t[i - 1][j]:
+                i -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append(i)
+        return out
+
+    read = [(re.match(r"https?://([^/]*)(/[^?]*)?", u or ""), p, u, page_text.lines_of(h)) for p, u, h in rows]
+    texts = []
+    for k, (at, _, _, lines) in enumerate(read):
+        gone = set()
+        others = sorted((x[0][2] or "", x[1], n) for n, x in enumerate(read) if at and x[0] and x[0][1] == at[1])
+        place = next((i for i, x in enumerate(others) if x[2] == k), 0)
+        for side in (others[:place][::-1], others[place + 1 :]):
+            for _, _, n in side:
+                shared = common([x.text for x in lines], [x.text for x in read[n][3]])
+                if sum(len(lines[i].text) for i in shared) <= copy * sum(len(x.text) for x in lines):
+                    gone |= set(shared)
+                    break
+        article = any(x.main and not x.dropped for x in lines)
+        texts.append("\n\n".join(x.text for i, x in enumerate(lines) if not x.dropped and (x.main or not article) and (i not in gone or x.main and x.prose)))
+    return texts
+
+
+def test_page_texts_equal_brute_force(spark):
+    rng = random.Random(8)
+    shared = ["Home of the shop", "Read more of this", "All rights kept by us", "Ask us anything", "Follow along"]
+    rows = []
+    for k in range(60):
+        own = [f"Line {rng.randrange(10**6)} of a story that only page {k} tells, long enough" for _ in range(rng.randrange(4, 9))]
+        for line in rng.sample(shared, rng.randrange(1, 4)):
+            own.insert(rng.choice((0, len(own), rng.randrange(len(own)))), line)
+        tag = rng.choice(["p", "div", "li"])
+        inner = "".join(f"<{tag}>{x}</{tag}>" for x in own)
+        rows.append((k, f"http://h{k % 3}.example/{rng.randrange(100):03}", f"<body><article>{inner}</article>" if k % 4 == 0 else f"<body>{inner}"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: r["text"] for r in page_text.page_texts(pages).collect()}
+    assert got == {k: t for (k, _, _), t in zip(rows, brute_texts(rows), strict=True)}
+    # Without differencing, most texts are others.
+    whole = {k: "\n\n".join(x.text for x in page_text.lines_of(h)) for k, _, h in rows}
+    assert sum(whole[k] != got[k] for k in got) > 30
+
+
+def test_odd_pages(spark):
+    menu = "<div>Shop menu here</div><div>Another menu line</div>"
+    rows = [(1, "http://h.example/1", f"<body>{menu}<p>The first page tells its own tale at some length.</p>"), (1, "http://h.example/2", f"<body>{menu}<p>Own sentence of the second page of this name.</p><p>And its second one.</p>"), (None, "http://h.example/3", f"<body>{menu}<p>A page without a name has its text all the same.</p>")]
+    rows += [rows[0]] * 2 + [(4, "not a url", ""), (5, None, None), (6, "http://h.example/6", "<p>one <![CDATA[abcdef"), (7, "http://h.example/7", "<p>x <![CDATA[y & z]]> w")]
+    rows.append((8, "http://long.example/1", "<body>" + "<div>again</div>" * 20_000 + "<p>end of one</p>"))
+    rows.append((9, "http://long.example/2", "<body>" + "<div>again</div>" * 9_000 + "<p>other</p>" + "".join(f"<p>line {k} of the longer page</p>" for k in range(20_000))))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = sorted((str(r["page_id"]), r["text"]) for r in page_text.page_texts(pages).collect())
+    assert len(got) == len(rows)
+    first = "The first page tells its own tale at some length."
+    assert [t for k, t in got if k == "1"] == sorted([first] * 3 + ["Own sentence of the second page of this name.\n\nAnd its second one."])
+    rest = dict(got[4:])
+    assert rest["None"] == "A page without a name has its text all the same." and rest["4"] == rest["5"] == ""
+    assert rest["6"] == "one abcdef" and rest["7"] == "x y & z w"
+    assert rest["9"].startswith("other\n\nline 0 of") and rest["9"].count("\n\n") == 20_000
+
+
 def test_page_blocks_are_apart(spark):
     pages = spark.createDataFrame([(1, None, "<h1>Head</h1><p>one<br>two</p><ul><li>three</ul>")], "page_id long, url string, html string")
     assert page_text.page_texts(pages).first()["text"] == "Head\n\none two\n\nthree"
