@@ -32,6 +32,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -63,48 +64,48 @@ def unscrambled(a: np.ndarray) -> np.ndarray:
     return (a ^ (a >> np.uint64(32))) * np.uint64(_BACK)
 
 
-class Words:
-    """Numbers of the words of texts, with a bounded cache: 64-bit hashes, or with a ``vocabulary``
-    (sorted hashes) a word's place in it from 1 on, 0 for others, above 40 bits of its hash."""
+class _Numbers(dict):
+    """64-bit hashes of words, kept up to a bound; frequent words come first and stay."""
 
-    def __init__(self, vocabulary: np.ndarray | None = None, most: int = 150_000):
+    def __init__(self, most: int):
         from xxhash import xxh3_64_intdigest
 
-        self.digest, self.cache, self.most, self.vocabulary = xxh3_64_intdigest, {}, most, vocabulary
-        self.start = int(self.numbered(np.array([START], np.uint64))[0])
-
-    def numbered(self, hashes: np.ndarray) -> np.ndarray:
-        if self.vocabulary is None:
-            return hashes
-        place = np.zeros(hashes.size, np.uint64)
-        if self.vocabulary.size:
-            at = np.minimum(np.searchsorted(self.vocabulary, hashes), self.vocabulary.size - 1)
-            place = np.where(self.vocabulary[at] == hashes, at + 1, 0).astype(np.uint64)
-        return place << np.uint64(HEAD_BITS) | hashes & _HEAD
-
-    def of(self, text: str | None) -> list[int]:
-        words = _WORD.findall((text or "").lower())
-        cache = self.cache
-        try:
-            return [*map(cache.__getitem__, words)]
-        except KeyError:
-            if len(cache) > self.most:
-                cache.clear()
-            new = [*{w for w in words if w not in cache}]
-            hashes = np.array([self.digest(w.encode("utf-8", "replace")) for w in new], np.uint64)
-            cache.update(zip(new, self.numbered(hashes).tolist(), strict=True))
-        return [*map(cache.__getitem__, words)]
+        super().__init__()
+        self.digest, self.most = xxh3_64_intdigest, most
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            first = [*islice(self.items(), self.most // 4)]
+            self.clear()
+            self.update(first)
+        self[word] = number = self.digest(word.encode("utf-8", "replace"))
+        return number
+
+
+class Words:
+    """The words of texts as 64-bit hashes."""
+
+    def __init__(self, most: int = 200_000):
+        self.number = _Numbers(most).__getitem__
 
     def several(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The words of all texts, a start symbol before each text; and how many words each has."""
         flat: list[int] = []
         sizes = []
         for text in texts:
-            found = self.of(text)
-            flat.append(self.start)
-            flat += found
-            sizes.append(len(found))
-        return np.array(flat, np.uint64), np.array(sizes, np.int64)
+            flat.append(START)
+            flat += map(self.number, _WORD.findall((text or "").lower()))
+            sizes.append(len(flat))
+        ends = np.array([0, *sizes], np.int64)
+        return np.array(flat, np.uint64), np.diff(ends) - 1
+
+
+def places(vocabulary: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """From 1 on, where hashes are in the vocabulary (sorted); 0 for others."""
+    if not vocabulary.size:
+        return np.zeros(flat.size, np.int64)
+    at = np.minimum(np.searchsorted(vocabulary, flat), vocabulary.size - 1)
+    return np.where(vocabulary[at] == flat, at + 1, 0)
 
 
 def _inner(sizes: np.ndarray) -> np.ndarray:
@@ -178,39 +179,45 @@ def shared_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray, bu
     n_buckets = buckets or max(1024, 1 << (8 * parts - 1).bit_length())
     listed = spark.sparkContext.broadcast((vocabulary, pairs))
     size = vocabulary.size + 1
-    schema, types = "bucket int, run binary, place long, n long", (pa.int32(), pa.binary(), pa.int64(), pa.int64())
+    def packed(counts: np.ndarray) -> tuple[list[int], list[bytes], list[bytes]]:
+        """The counts that are not 0 in chunks of places: the chunk, places and counts of each."""
+        some = np.flatnonzero(counts)
+        cuts = np.flatnonzero(np.diff(some >> 14, prepend=-1))
+        ends = [*cuts[1:].tolist(), some.size][: cuts.size]
+        parts = [some[b:e] for b, e in zip(cuts.tolist(), ends, strict=True)]
+        return [int(x[0] >> 14) for x in parts], [x.astype("<i4").tobytes() for x in parts], [counts[x].astype("<i8").tobytes() for x in parts]
+
+    def row(bucket: list[int], run: list[bytes] | None = None, place: list[bytes] | None = None, n: list[bytes] | None = None) -> pa.RecordBatch:
+        binary = (pa.nulls(len(bucket), pa.binary()) if x is None else pa.array(x, pa.binary()) for x in (run, place, n))
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *binary], ["bucket", "run", "place", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(listed.value[0])
-        pairs = listed.value[1]
+        words = Words()
+        vocabulary, pairs = listed.value
         held: list[np.ndarray] = []
         n_held = 0
         counts = np.zeros(2 * size + pairs.size, np.int64)
 
-        def rows(bucket: list | np.ndarray, run: list | None, place: np.ndarray | None, n: np.ndarray | None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.nulls(len(bucket), t) if x is None else pa.array(x, t) for x, t in zip((bucket, run, place, n), types, strict=True)], ["bucket", "run", "place", "n"])
-
         def sent(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
             runs = [*_runs(keys, n_buckets)]
             if runs:
-                yield rows([b for b, _ in runs], [r for _, r in runs], None, None)
+                yield row([b for b, _ in runs], run=[r for _, r in runs])
 
         for batch in batches:
             for _, some in _slices(batch.column(0)):
                 flat, sizes = words.several(some)
-                at = _inner(sizes)
-                place = (flat >> np.uint64(HEAD_BITS)).astype(np.int64)
+                place, at = places(vocabulary, flat), _inner(sizes)
                 word, head = place[at], place[at - 1]
                 begins = np.diff(at, prepend=-1) > 1
-                key = pair_key(head, word, begins, size)
                 if pairs.size:
+                    key = pair_key(head, word, begins, size)
                     found = np.minimum(np.searchsorted(pairs, key), pairs.size - 1)
                     counts[size : size + pairs.size] += np.bincount(found[pairs[found] == key], minlength=pairs.size)
                 counts[size + pairs.size :] += np.bincount(np.where(begins, 0, head)[begins | (head > 0)], minlength=size)
                 counts[0] += int((word == 0).sum())
                 at = at[word > 0]
-                held.append(np.unique(scrambled(flat[at] >> np.uint64(HEAD_BITS) << np.uint64(HEAD_BITS) | flat[at - 1] & _HEAD)))
-                n_held += held[-1].size
+                held.append(scrambled(place[at].astype(np.uint64) << np.uint64(HEAD_BITS) | flat[at - 1] & _HEAD))
+                n_held += at.size
                 if n_held >= 2 * most:
                     keys = np.unique(np.concatenate(held))
                     held, n_held = [keys], keys.size
@@ -219,9 +226,8 @@ def shared_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray, bu
                         held, n_held = [], 0
         if held:
             yield from sent(np.unique(np.concatenate(held)))
-        some = np.flatnonzero(counts)
-        for k in range(0, some.size, 1 << 17):
-            yield rows(some[k : k + (1 << 17)] % n_buckets, None, some[k : k + (1 << 17)], counts[some[k : k + (1 << 17)]])
+        chunks, where, n = packed(counts)
+        yield row(chunks, place=where, n=n)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(2 * size + listed.value[1].size, np.int64)
@@ -234,21 +240,32 @@ def shared_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray, bu
                 sums[where] += n
 
         for batch in batches:
-            plain = batch.filter(batch.column(1).is_null())
-            np.add.at(sums, plain.column(2).to_numpy(zero_copy_only=False), plain.column(3).to_numpy(zero_copy_only=False))
-            batch = batch.filter(batch.column(1).is_valid())
-            for b, r in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if b != bucket:
-                    add()
-                    bucket, held = b, []
-                held.append(_of_run(b, r.as_py(), n_buckets))
+            for b, r, where, n in zip(*batch.columns, strict=True):
+                if r.is_valid:
+                    if b.as_py() != bucket:
+                        add()
+                        bucket, held = b.as_py(), []
+                    held.append(_of_run(bucket, r.as_py(), n_buckets))
+                else:
+                    sums[np.frombuffer(where.as_py(), "<i4")] += np.frombuffer(n.as_py(), "<i8")
         add()
-        some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(sums[some])], ["place", "n"])
+        chunks, where, n = packed(sums)
+        yield row(chunks, place=where, n=n)
 
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, _, where, n in zip(*batch.columns, strict=True):
+                some = sums.setdefault(b.as_py(), np.zeros(1 << 14, np.int64))
+                some[np.frombuffer(where.as_py(), "<i4") & ((1 << 14) - 1)] += np.frombuffer(n.as_py(), "<i8")
+        for chunk, some in sums.items():
+            at = np.flatnonzero(some)
+            yield pa.RecordBatch.from_arrays([pa.array((chunk << 14) + at, pa.int64()), pa.array(some[at])], ["place", "n"])
+
+    schema = "bucket int, run binary, place binary, n binary"
     runs = docs.select("text").mapInArrow(tidy(run), schema)
     dealt = runs.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(tidy(counted), "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    return dealt.mapInArrow(tidy(counted), schema).repartition(parts, "bucket").mapInArrow(tidy(summed), "place long, n long")
 
 
 def pair_key(head: np.ndarray, word: np.ndarray, begins: np.ndarray, size: int) -> np.ndarray:
@@ -275,7 +292,7 @@ class Models:
 
     def ratios(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """log P_toxic(w | v) - log P_ordinary(w | v) of all words of texts (see ``Words.several``)."""
-        place, at = (flat >> np.uint64(HEAD_BITS)).astype(np.int64), _inner(sizes)
+        place, at = places(self.words, flat), _inner(sizes)
         w, v, begins = place[at], place[at - 1], np.diff(at, prepend=-1) > 1
         size = self.word.shape[1]
         p = self.word[:, w]
@@ -319,8 +336,7 @@ def build_models(pairs: DataFrame, docs: DataFrame, discounts: tuple[float, ...]
     def place(column: pa.ChunkedArray) -> np.ndarray:
         """The start symbol is last; a head that is no word of the sample is 0."""
         h = column.to_numpy().view(np.uint64)
-        at = np.minimum(np.searchsorted(words, h), max(words.size - 1, 0))
-        return np.where(h == np.uint64(START), size, np.where(words[at] == h, at + 1, 0)) if words.size else np.where(h == np.uint64(START), size, 0)
+        return np.where(h == np.uint64(START), size, places(words, h))
 
     rich_head, rich_word = place(rich["head"]), place(rich["word"])
     keys = rich_head * size + rich_word
@@ -374,7 +390,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 2
 
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id",
-    folds: int = 3, held_out: int = 1, threshold: float = 0.7, max_docs: int = 10_000, max_curve: int = 5_000,
+    folds: int = 3, held_out: int = 1, threshold: float = 0.7, max_docs: int = 6_000, max_curve: int = 5_000,
 ) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every row of ``docs``.
 
@@ -413,7 +429,7 @@ def _scored(rows: DataFrame, models, curve: tuple | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = models.value
-        words = Words(model.words)
+        words = Words()
         for batch in batches:
             x = []
             for _, some in _slices(batch.column("text")):
