@@ -6,22 +6,28 @@ factor: the inner product f of the unit vector with its own code. For a query q
 
     eps * sqrt((1 - f^2) / f^2) / sqrt(dim - 1)
 
-of it. A pair whose upper confidence bound reaches the threshold is recomputed in double precision;
-all others are dismissed on their codes alone.
+of it. The bound that the query uses is sure, though: with g = <code, q>, as code and vector are at the
+angle arccos f and code and query at arccos g,
+
+    f g - sqrt((1 - f^2) (1 - g^2)) <= cosine <= f g + sqrt((1 - f^2) (1 - g^2))
+
+A pair whose upper confidence bound reaches the threshold is recomputed in double precision; all others
+are dismissed on their codes alone. Without ``eps`` no link is lost; with it, the first bound is used
+too, and a link is lost where the estimate is off by more than ``eps`` deviations.
 
 Which pairs meet: equal vectors of a label are one class first (it counts as often as it occurs).
-Classes are dealt to the cells of spherical k-means centres, fitted on a bounded sample; every
-vector is assigned. A link of angle t can only lead from a vector v to a cell c if the angle of v
-and c is at most t plus the radius of c, and at most 2 t plus the angle of v and its own centre. As
-the partner is nearer to c than to v's own centre, the plane halfway between the two is within t of v:
+The classes of a label of at least ``2 * cell`` are dealt to the cells of spherical k-means centres of
+their own, fitted on a bounded sample; every vector is assigned. A smaller label is one cell. A link of
+angle t can only lead from a vector v to a cell c if the angle of v and c is at most t plus the radius of
+c, and at most 2 t plus the angle of v and its own centre. As the partner is nearer to c than to v's own
+centre, the plane halfway between the two is within t of v:
 
     cos(v, c) >= cos(v, own) - sin(t) * |c - own|
 
-v visits the cells that pass all three; they hold for every partner, so nothing is lost to the index.
-``slack`` adds the bound of a partner in a random direction, slack * tan(t) * |c - own| / sqrt(dim - 1),
-which loses links of vectors that vary along few directions. A cell is cut into blocks, and the visitors
-of a cell into chunks; a task holds one block and streams one chunk. Counts of links are summed, and
-each task gives links enough for the components, never all pairs.
+v visits the cells that pass all three; they hold for every partner, so nothing is lost to the index. A
+cell is cut into blocks, and the visitors of a cell into chunks; a task holds one block and streams one
+chunk. Counts of links are summed, and each task gives links enough for the components, never all pairs.
+Where vectors have no structure the bounds exclude little, and the work within a label is quadratic.
 """
 
 from __future__ import annotations
@@ -33,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from .common import materialise
 from .graph import components
@@ -69,14 +76,22 @@ class Codes:
         """Unbiased cosines of the coded vectors (rows) with rotated unit queries (columns)."""
         return (self.signs() @ turned.T.astype(np.float32)) / self.factor[:, None].astype(np.float32)
 
+    def upper(self, turned: np.ndarray, eps: float | None) -> np.ndarray:
+        """Upper bounds of the cosines; single precision is allowed for."""
+        g = np.clip(self.signs() @ turned.T.astype(np.float32), -1, 1)
+        f = self.factor[:, None].astype(np.float32)
+        sure = f * g + np.sqrt(np.maximum(1 - f * f, 0)) * np.sqrt(1 - g * g)
+        if eps is not None:
+            sure = np.minimum(sure, g / f + self.error(eps)[:, None].astype(np.float32))
+        return sure + np.float32(1e-3)
+
     def error(self, eps: float) -> np.ndarray:
         return eps * np.sqrt(np.maximum(1 - self.factor**2, 0)) / self.factor / np.sqrt(max(self.dim - 1, 1))
 
 
-def links_between(a: np.ndarray, codes: Codes, b: np.ndarray, turn: np.ndarray, cosine: float, eps: float) -> tuple[np.ndarray, np.ndarray]:
+def links_between(a: np.ndarray, codes: Codes, b: np.ndarray, turn: np.ndarray, cosine: float, eps: float | None) -> tuple[np.ndarray, np.ndarray]:
     """Rows of ``a`` and ``b`` whose exact cosine reaches the threshold."""
-    upper = codes.estimate(b @ turn) + codes.error(eps)[:, None].astype(np.float32)
-    i, j = np.nonzero(upper >= cosine - 1e-6)
+    i, j = np.nonzero(codes.upper(b @ turn, eps) >= cosine)
     out_i, out_j = [], []
     for k in range(0, i.size, 1 << 16):
         p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
@@ -110,23 +125,27 @@ def _usable() -> Column:
 
 
 def near_duplicates(
-    embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, eps: float = 2.5,
-    cell: int = 1000, most_centres: int = 1024, sample: int = 20_000, block: int = 2048, slack: float | None = None,
+    embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, eps: float | None = None,
+    cell: int = 4096, most_centres: int = 4096, sample: int = 20_000, block: int = 2048,
 ) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id`` and ``kept`` of every row.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null
-    label or id, link with nothing. Vectors of different length are never compared. Rows with equal
-    vectors of a label link to each other, repeated ids too.
+    label or id, link with nothing. Vectors of single precision are kept so, others in double; cosines are
+    computed in double. Vectors of different length are never compared. Rows with equal
+    vectors of a label link to each other, repeated ids too. Rows that repeat an id with other vectors are forms of one
+    vector: they are not compared with each other, and each has the links of all.
     """
-    rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding"), F.col(label_col).cast("string").alias("label"))
+    given = embeddings.schema[vector_col].dataType
+    kind = given.elementType if isinstance(given, ArrayType) and isinstance(given.elementType, FloatType) else DoubleType()
+    rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(ArrayType(kind)).alias("embedding"), F.col(label_col).cast("string").alias("label"))
     good = rows.where(_usable()).withColumns({"f1": F.xxhash64("label", "embedding"), "f2": F.xxhash64(F.lit(1), "embedding", "label")})
     classes = materialise(good.groupBy("f1", "f2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w")), "classes")
     first = good.join(classes, ["f1", "f2"]).where("vec_id = rep").dropDuplicates(["f1", "f2"]).select("rep", "w", "label", "embedding", F.size("embedding").alias("dim"))
     first = materialise(first, "vectors")
     found = None
-    for dim, n in [(r["dim"], r["n"]) for r in first.groupBy("dim").agg(F.count("*").alias("n")).collect()]:
-        part = _found(first.where(F.col("dim") == dim), dim, n, cosine, eps, cell, most_centres, sample, block, slack)
+    for dim in [r["dim"] for r in first.select("dim").distinct().collect()]:
+        part = _found(first.where(F.col("dim") == dim), dim, cosine, eps, cell, most_centres, sample, block)
         found = part if found is None else found.union(part)
     out = rows.withColumns({"f1": F.xxhash64("label", "embedding"), "f2": F.xxhash64(F.lit(1), "embedding", "label")})
     if found is None:
@@ -140,42 +159,58 @@ def near_duplicates(
     return valid.union(bad)
 
 
-def _found(first: DataFrame, dim: int, n: int, cosine: float, eps: float, cell: int, most_centres: int, sample: int, block: int, slack: float | None) -> DataFrame:
+def _found(first: DataFrame, dim: int, cosine: float, eps: float | None, cell: int, most_centres: int, sample: int, block: int) -> DataFrame:
     """Rows (``rep``, ``n``, null): sums of links; and (``u``, 0, ``v``): links for components."""
     spark = first.sparkSession
-    got = first.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").toArrow()  # bounded by sample
-    x = unit(_vectors(got["embedding"].combine_chunks(), dim))
-    centres = spark.sparkContext.broadcast(fit_centres(x, max(1, min(most_centres, n // cell))))
+    vector = first.schema["embedding"].dataType.simpleString()
+    large = first.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= 2 * cell).orderBy(F.desc("n"), "label").limit(most_centres // 2).collect()
+    shared = min(1.0, most_centres / max(1, sum(r["n"] // cell for r in large)))
+    wanted = {r["label"]: max(2, int(r["n"] // cell * shared)) for r in large}  # in all about most_centres
+    fitted: dict[str, np.ndarray] = {}
+    if wanted:
+        got = first.where(F.col("label").isin(sorted(wanted))).orderBy(F.xxhash64("rep"), "rep").limit(sample).select("label", "embedding").toArrow()  # bounded by sample
+        x, label = unit(_vectors(got["embedding"].combine_chunks(), dim)), np.asarray(got["label"].to_pylist(), object)
+        fitted = {k: fit_centres(x[label == k], n) for k, n in wanted.items() if (label == k).any()}
+    centres = spark.sparkContext.broadcast(fitted)
     reach = float(np.arccos(cosine))
 
+    def by_label(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows of a batch in labels with centres, the centres, and the angles to them."""
+        label = np.asarray(batch.column(2).to_pylist(), object)
+        for k in sorted(set(label.tolist()) & set(centres.value)):
+            at = np.flatnonzero(label == k)
+            x = unit(_vectors(batch.column(3).take(pa.array(at)), dim))
+            yield at, k, np.arccos(np.clip(x @ centres.value[k].T, -1, 1))
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                angles = np.arccos(np.clip(unit(_vectors(batch.column(3), dim)) @ centres.value.T, -1, 1))
-                home = angles.argmin(1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32)), pa.array(angles[np.arange(home.size), home])], ["rep", "w", "label", "embedding", "home", "angle"])
-
-    homes = materialise(first.select("rep", "w", "label", "embedding").mapInArrow(assign, "rep long, w long, label string, embedding array<float>, home int, angle double"), "homes")
-    radii = np.full(centres.value.shape[0], -1.0)
-    for r in homes.groupBy("home").agg(F.max("angle").alias("r")).collect():  # at most most_centres rows
-        radii[r["home"]] = r["r"]
-
-    apart = np.sqrt(np.maximum(2 - 2 * centres.value @ centres.value.T, 0))
+            home, own = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+            for at, _, angles in by_label(batch):
+                home[at] = angles.argmin(1)
+                own[at] = angles.min(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array(own)], ["rep", "w", "label", "embedding", "home", "angle"])
+
+    homes = first.select("rep", "w", "label", "embedding").mapInArrow(assign, f"rep long, w long, label string, embedding {vector}, home int, angle double")
+    homes = materialise(homes, "homes")
+    radii = {k: np.full(len(c), -1.0) for k, c in fitted.items()}
+    if fitted:
+        for r in homes.where(F.col("label").isin(sorted(fitted))).groupBy("label", "home").agg(F.max("angle").alias("r")).collect():  # at most as many as centres
+            radii[r["label"]][r["home"]] = r["r"]
+    apart = {k: np.sqrt(np.maximum(2 - 2 * c @ c.T, 0)) for k, c in fitted.items()}
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                angles = np.arccos(np.clip(unit(_vectors(batch.column(3), dim)) @ centres.value.T, -1, 1))
-                home, own = batch.column(4).to_numpy(), batch.column(5).to_numpy()
-                may = (angles <= np.minimum(own[:, None] + 2 * reach, radii[None, :] + reach) + 1e-9) & (np.arange(radii.size)[None, :] > home[:, None]) & (radii >= 0)[None, :]
-                near = np.cos(own)[:, None] - np.cos(angles)
-                may &= near <= np.sin(reach) * apart[home] + 1e-9
-                if slack is not None:
-                    may &= near <= slack * np.tan(reach) * apart[home] / np.sqrt(max(dim - 1, 1)) + 1e-9
-                cells = [np.flatnonzero(m).astype(np.int32) for m in may]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(cells, pa.list_(pa.int32()))], ["rep", "w", "label", "embedding", "home", "cells"])
-
-    seen = materialise(homes.mapInArrow(visit, "rep long, w long, label string, embedding array<float>, home int, cells array<int>"), "visits")
+            cells: list = [[]] * batch.num_rows
+            homes, owns = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            for at, k, angles in by_label(batch):
+                home, own, r = homes[at], owns[at], radii[k]
+                may = (angles <= np.minimum(own[:, None] + 2 * reach, r[None, :] + reach) + 1e-9) & (np.arange(r.size)[None, :] > home[:, None]) & (r >= 0)[None, :]
+                may &= np.cos(own)[:, None] - np.cos(angles) <= np.sin(reach) * apart[k][home] + 1e-9
+                for i, m in zip(at.tolist(), may, strict=True):
+                    cells[i] = np.flatnonzero(m).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(cells, pa.list_(pa.int32()))], ["rep", "w", "label", "embedding", "home", "cells"])
+
+    seen = materialise(homes.mapInArrow(visit, f"rep long, w long, label string, embedding {vector}, home int, cells array<int>"), "visits")
     sizes = seen.groupBy("label", F.col("home").alias("cell")).agg(F.count("*").alias("m"))
     visits = seen.select("label", F.explode("cells").alias("cell")).groupBy("label", "cell").agg(F.count("*").alias("v"))
     sizes = sizes.join(visits, ["label", "cell"], "left").select("label", "cell", F.ceil(F.col("m") / block).cast("int").alias("blocks"), F.ceil((F.col("m") + F.coalesce("v", F.lit(0))) / (4 * block)).cast("int").alias("chunks"))

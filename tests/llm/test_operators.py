@@ -586,7 +586,7 @@ def test_embeddings_equal_brute_force(spark):
     found = brute_components(good, close)
     want = {r[0]: (0, r[0]) for r in rows} | {r[0]: (sum(close(r, s) for s in good) - 1, good[found[k]][0]) for k, r in enumerate(good)}
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("rep", F.lit(1))
-    for options in ({}, {"cell": 40, "block": 16}):
+    for options in ({}, {"cell": 40, "block": 16}, {"cell": 10, "block": 16, "most_centres": 7}, {"cell": 40, "eps": 6.0}):
         got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(table, **options).collect()}
         assert got == want
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
@@ -604,6 +604,30 @@ def test_embeddings_of_few_directions_lose_no_link(spark, directions):
     assert [got[k] for k in range(len(x))] == want.tolist()
 
 
+def test_embeddings_in_double_precision(spark):
+    """Components beyond single precision, cosines that it cannot tell apart, and repeated ids."""
+    half = float(np.tan(np.arccos(0.93)))
+    rows = [(1, [1e300, 1.0]), (2, [1e300, 1.0]), (3, [1e-300, 0.0]), (4, [-1e300, 1.0]), (5, [1.0, half - 1e-12]), (6, [1.0, half + 1e-12]), (7, [0.0, 5e-324]), (7, [0.0, 2.0]), (7, [0.0, -1.0]), (8, [0.0, -7.0])]
+    table = spark.createDataFrame([(k, v, "a") for k, v in rows], "vec_id long, embedding array<double>, label string")
+    got = {}
+    for r in embedding_dedup.near_duplicates(table).collect():
+        got.setdefault(r["vec_id"], []).append((r["n_links"], r["component_id"], r["kept"]))
+    # 5 is within the threshold of the direction of 1 to 3, 6 is not, but both are close to each other.
+    assert got[1] == [(3, 1, True)] and got[2] == [(3, 1, False)] and got[3] == [(3, 1, False)] and got[4] == [(0, 4, True)]
+    assert got[5] == [(4, 1, False)] and got[6] == [(1, 1, False)]
+    assert got[7] == [(1, 7, True)] * 3 and got[8] == [(1, 7, False)]
+
+
+def test_bounds_are_sure():
+    rng = np.random.default_rng(9)
+    for dim in (1, 2, 24, 64):
+        x, q = embedding_dedup.unit(rng.normal(size=(200, dim))), embedding_dedup.unit(rng.normal(size=(200, dim)))
+        q[:100] = embedding_dedup.unit(x[:100] + rng.normal(size=(100, dim)) * 0.05)
+        turn = embedding_dedup.rotation(dim)
+        codes = embedding_dedup.Codes.of(x, turn)
+        assert (codes.upper(q @ turn, None) >= x @ q.T).all()
+
+
 def test_estimates_are_unbiased():
     rng = np.random.default_rng(5)
     x, q = embedding_dedup.unit(rng.normal(size=(1, 64))), embedding_dedup.unit(rng.normal(size=(1, 64)))
