@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import embedding_dedup, fm_index, jaccard_join, license_scan, packing, page_text, quality, secrets, tool_calls, toxicity
@@ -41,8 +41,38 @@ def op5_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_shingles", "component_id")
 
 
+#: The schema of the one tool that op6's query gives to the conversations.
+NOTE_SCHEMA = {
+    "note": {
+        "type": "object",
+        "required": ["after", "size"],
+        "properties": {"after": {"type": "array", "items": {"type": "string"}}, "size": {"type": ["string", "null"], "enum": ["short", "medium"]}, "turn": {"type": "integer"}},
+        "additionalProperties": False,
+    }
+}
+
+
+def with_tools(conversations: DataFrame) -> DataFrame:
+    """The conversations with tool use, as their texts have none: each assistant message also calls the
+    tool ``note``, whose result is a message of its own one turn later. By conversation, calls refer to the
+    result of the call before, or of the call after, or go round."""
+    own = conversations.where("role = 'assistant'")
+    around = Window.partitionBy("conv_id").orderBy("turn")
+    whole = Window.partitionBy("conv_id")
+    way = F.pmod("conv_id", F.lit(3))
+    named = lambda turn: F.concat(F.lit("call-"), turn.cast("string"))
+    after = F.when(way == 0, F.lag("turn").over(around)).when(way == 1, F.lead("turn").over(around)).otherwise(F.coalesce(F.lead("turn").over(around), F.min("turn").over(whole)))
+    size = F.when(F.char_length("text") < 300, "short").when(F.char_length("text") < 1200, "medium").otherwise("long")
+    arguments = F.struct(F.filter(F.array(F.when(after.isNotNull(), F.struct(named(after).alias("$ref")))), lambda x: x.isNotNull()).alias("after"), size.alias("size"), F.col("turn"))
+    call = F.struct(named(F.col("turn")).alias("id"), F.lit("note").alias("name"), arguments.alias("arguments"))
+    calling = own.select("conv_id", "turn", "role", F.to_json(F.struct(F.col("text").alias("content"), F.array(call).alias("tool_calls"))).alias("text"))
+    told = own.select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit("tool").alias("role"), F.to_json(F.struct(named(F.col("turn")).alias("tool_call_id"), F.lit("noted").alias("content"))).alias("text"))
+    rest = conversations.where("role IS NULL OR role <> 'assistant'").select("conv_id", "turn", "role", "text")
+    return rest.union(calling).union(told)
+
+
 def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tool_calls.link_tool_calls(table(spark, sf_dir, "conversations"))
+    return tool_calls.link_tool_calls(with_tools(table(spark, sf_dir, "conversations")), NOTE_SCHEMA)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,11 +138,31 @@ SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, vec_
 FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.x = vec_id
 """
 
-# No text of the tables is a tool call, so the canonical messages are plain ones.
+# The texts with the tool use of ``with_tools``; conversations have at most one message of a turn.
 OP6_SQL = """
-SELECT conv_id, turn, role, turn AS order_turn, 0 AS level, 0 AS n_calls, 0 AS n_linked, 0 AS n_errors,
+WITH a AS (
+    SELECT *, CASE conv_id % 3 WHEN 0 THEN lag(turn) OVER o WHEN 1 THEN lead(turn) OVER o ELSE coalesce(lead(turn) OVER o, first_value(turn) OVER o) END AS after,
+           row_number() OVER o AS k, count(*) OVER w AS n, max(turn) OVER w AS latest,
+           CASE WHEN length(text) < 300 THEN 'short' WHEN length(text) < 1200 THEN 'medium' ELSE 'long' END AS size
+    FROM conversations WHERE role = 'assistant' WINDOW o AS (PARTITION BY conv_id ORDER BY turn), w AS (PARTITION BY conv_id)
+),
+p AS (
+    SELECT *, CASE conv_id % 3 WHEN 0 THEN 2 * (k - 1) WHEN 1 THEN 2 * (n - k) ELSE -1 END AS level,
+           CASE WHEN conv_id % 3 = 1 AND turn < latest THEN latest + 1 ELSE turn END AS order_turn
+    FROM a
+)
+SELECT conv_id, turn, role, turn AS order_turn, CAST(0 AS INTEGER) AS level, CAST(0 AS INTEGER) AS n_calls, CAST(0 AS INTEGER) AS n_linked, CAST(0 AS INTEGER) AS n_errors,
        '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"conv_id":' || conv_id || ',"role":' || CAST(to_json(role) AS VARCHAR) || ',"turn":' || turn || '}' AS message
-FROM conversations
+FROM conversations WHERE role <> 'assistant'
+UNION ALL
+SELECT conv_id, turn, role, order_turn, CAST(level AS INTEGER), 1, 1, CAST(size = 'long' AS INTEGER),
+       '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"conv_id":' || conv_id || ',"role":"assistant","tool_calls":[{"arguments":{"after":['
+       || CASE WHEN after IS NULL THEN '' ELSE '{"$ref":"call-' || after || '"}' END || '],"size":"' || size || '","turn":' || turn || '},"id":"call-' || turn || '","name":"note"}],"turn":' || turn || '}'
+FROM p
+UNION ALL
+SELECT conv_id, turn + 1, 'tool', greatest(turn + 1, order_turn), CAST(CASE WHEN level < 0 THEN level ELSE level + 1 END AS INTEGER), 0, 1, 0,
+       '{"content":"noted","conv_id":' || conv_id || ',"role":"tool","tool_call_id":"call-' || turn || '","turn":' || (turn + 1) || '}'
+FROM p
 """
 
 # The containment of a template in a text, without windows: these templates are found in one piece.

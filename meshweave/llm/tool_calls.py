@@ -7,17 +7,23 @@ plain content. Arguments may name another call's result as ``{"$ref": id}``.
 
 * Calls and results are hash-joined by conversation and identifier. Where calls repeat an identifier
   the earliest keeps it; the others, and results without a call, are errors.
-* Calls are put in topological order, level by level: a call without references has level 0, its
-  result follows it, and a call that refers to results follows the latest of them. Calls on a cycle
-  get level -1. A level is a join; no conversation is gathered in one place, however long.
-* Arguments are checked against the schema of the tool (``type``, ``required``, ``properties``,
-  ``additionalProperties``, ``enum``, ``items``), as far as ``schemas`` has one.
-* Each message is written with sorted keys, no spaces and unescaped Unicode.
+* Calls are put in topological order: a call without references has level 0, its result follows it,
+  and a call that refers to results follows the latest of them. Calls on a cycle, and those that wait
+  for one, get level -1. Calls are ranged by conversation and turn, and a task orders runs of up to
+  ``run_calls`` of them at a time, given what is placed already; so a round places whole chains, no
+  conversation is gathered in one place, and the rounds are as many as runs that a chain goes through.
+* Arguments are checked against the schema of the tool (``type``, one or several, ``required``,
+  ``properties``, ``additionalProperties``, ``enum``, ``items``), as far as ``schemas`` has one.
+* Each message is written with keys sorted by UTF-16 units, no spaces, unescaped Unicode but for lone
+  surrogates, and whole numbers without a fraction. A text with a number that no double holds, with NaN
+  or Infinity, or nested deeper than ``DEPTH`` is no JSON, and so plain content.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -25,29 +31,92 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, tidy
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
+DEPTH = 200
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def clean(text: str | None) -> str | None:
+    """Lone surrogates, which UTF-8 cannot hold, as their escapes."""
+    return None if text is None else _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _number(value: float) -> str:
+    """The shortest decimal of a double, laid out as ECMAScript does."""
+    mantissa, _, exponent = repr(abs(value)).partition("e")
+    whole, _, fraction = mantissa.partition(".")
+    digits = (whole + fraction).lstrip("0")
+    point = len(whole) + int(exponent or 0) - (len(whole + fraction) - len(digits))
+    digits = digits.rstrip("0")
+    if not digits:
+        return "0"
+    sign = "-" if value < 0 else ""
+    if len(digits) <= point <= 21:
+        return sign + digits.ljust(point, "0")
+    if 0 < point <= 21:
+        return f"{sign}{digits[:point]}.{digits[point:]}"
+    if -6 < point <= 0:
+        return f"{sign}0.{'0' * -point}{digits}"
+    return f"{sign}{digits[0]}{'.' + digits[1:] if len(digits) > 1 else ''}e{point - 1:+d}"
 
 
 def canonical(value: Any) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    if isinstance(value, dict):
+        keys = sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
+        return "{" + ",".join(f"{canonical(k)}:{canonical(value[k])}" for k in keys) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(canonical, value)) + "]"
+    if isinstance(value, float):
+        return _number(value)
+    text = json.dumps(value, ensure_ascii=False)
+    return clean(text) if isinstance(value, str) else text
+
+
+def _finite(text: str) -> float:
+    value = float(text)
+    if math.isinf(value):
+        raise ValueError("no double")
+    return value
+
+
+def _refused(text: str) -> None:
+    raise ValueError(f"{text} is no JSON")
+
+
+def parse(text: str) -> Any:
+    """A JSON text; ValueError if it is none (see above)."""
+    try:
+        value = json.loads(text, parse_constant=_refused, parse_float=_finite)
+    except RecursionError as e:
+        raise ValueError("nested too deep") from e
+    level, depth = [value], 0
+    while level:
+        depth += 1
+        if depth > DEPTH:
+            raise ValueError("nested too deep")
+        level = [y for x in level if isinstance(x, (dict, list)) for y in (x.values() if isinstance(x, dict) else x)]
+    return value
+
+
+def _is(value: Any, kind: Any) -> bool:
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    if kind == "integer":
+        return number and (isinstance(value, int) or value.is_integer())
+    if kind == "number":
+        return number
+    return isinstance(value, _TYPES.get(kind, object)) if isinstance(kind, str) else True
 
 
 def errors_of(value: Any, schema: dict, at: str = "$") -> list[str]:
     """What is wrong with a value under a schema, in order of the paths."""
     kind = schema.get("type")
-    number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    if kind == "integer":
-        good = number and float(value).is_integer()
-    elif kind == "number":
-        good = number
-    else:
-        good = kind is None or isinstance(value, _TYPES.get(kind, object))
+    kinds = kind if isinstance(kind, list) else [] if kind is None else [kind]
     if isinstance(value, dict) and "$ref" in value and len(value) == 1:
         return []  # stands for a result of any type
-    if not good:
-        return [f"{at}: not {kind}"]
+    if kinds and not any(_is(value, k) for k in kinds):
+        return [f"{at}: not {' or '.join(map(str, kinds))}"]
     out = []
     if "enum" in schema and value not in schema["enum"]:
         out.append(f"{at}: not in enum")
@@ -77,8 +146,8 @@ def _parsed(text: str | None, marker: str) -> dict | None:
     if not text or marker not in text or not text.lstrip().startswith("{"):
         return None
     try:
-        value = json.loads(text, parse_constant=lambda x: x)
-    except (ValueError, RecursionError):
+        value = parse(text)
+    except ValueError:
         return None
     return value if isinstance(value, dict) and marker in value else None
 
@@ -92,8 +161,8 @@ def message_of(role: str | None, text: str | None, schemas: dict[str, dict]) ->
             arguments, wrong = call.get("arguments", {}), []
             if isinstance(arguments, str):
                 try:
-                    arguments = json.loads(arguments, parse_constant=lambda x: x)
-                except (ValueError, RecursionError):
+                    arguments = parse(arguments)
+                except ValueError:
                     wrong = ["$: not JSON"]
             name = call.get("name") if isinstance(call.get("name"), str) else ""
             if not wrong:
@@ -110,7 +179,76 @@ _CALL = pa.struct([("id", pa.string()), ("name", pa.string()), ("errors", pa.lis
 _SCHEMA = "conv_id long, turn long, role string, message string, calls array<struct<id:string,name:string,errors:array<string>,needs:array<string>>>, result_of string"
 
 
-def link_tool_calls(conversations: DataFrame, schemas: dict[str, dict] | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+_PLACED = "conv_id long, id string, order_turn long, level int, result_turn long"
+
+
+def _run_order(calls: list[tuple]) -> list[tuple]:
+    """Of calls (conv_id, id, turn, result_turn, open needs, ready turn, ready level) those whose open
+    needs are placed here, with their order turn and level."""
+    at = {c[:2]: k for k, c in enumerate(calls)}
+    waits, asked = [len(c[4]) for c in calls], {}
+    for k, c in enumerate(calls):
+        for need in c[4]:
+            if (c[0], need) in at:
+                asked.setdefault(at[c[0], need], []).append(k)
+    turn, level = [max(c[2], c[5] or c[2]) for c in calls], [c[6] or 0 for c in calls]
+    free = [k for k, n in enumerate(waits) if not n]
+    for k in free:  # grows as calls are freed
+        done = max(turn[k], calls[k][3] if calls[k][3] is not None else turn[k])
+        for j in asked.get(k, ()):
+            turn[j], level[j] = max(turn[j], done), max(level[j], level[k] + 2)
+            waits[j] -= 1
+            if not waits[j]:
+                free.append(j)
+    return [(*calls[k][:2], turn[k], level[k], calls[k][3]) for k in free]
+
+
+def _placed(nodes: DataFrame, run_calls: int) -> DataFrame:
+    """``conv_id``, ``id``, ``order_turn``, ``level`` and ``result_turn`` of all calls."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    needs = nodes.select("conv_id", "id", F.explode("needs").alias("need"))
+    needs = materialise(needs.join(nodes.select("conv_id", F.col("id").alias("need")), ["conv_id", "need"], "left_semi").distinct(), "needs")
+    types = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            found = _run_order(held)
+            columns = zip(*found, strict=True) if found else [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["conv_id", "id", "order_turn", "level", "result_turn"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(row)
+                if len(held) >= run_calls:
+                    yield out()
+                    held = []
+        if held:
+            yield out()
+
+    placed = None
+    while True:
+        done = placed.select("conv_id", F.col("id").alias("need"), F.greatest("order_turn", "result_turn").alias("t"), "level") if placed is not None else None
+        waiting = needs.groupBy("conv_id", "id").agg(F.collect_list("need").alias("open"), F.lit(None).cast("long").alias("t"), F.lit(None).cast("int").alias("l"))
+        left = nodes
+        if done is not None:
+            met = needs.join(done, ["conv_id", "need"], "left")
+            waiting = met.groupBy("conv_id", "id").agg(F.collect_list(F.when(F.col("level").isNull(), F.col("need"))).alias("open"), F.max("t").alias("t"), (F.max("level") + 2).alias("l"))
+            left = nodes.join(placed.select("conv_id", "id"), ["conv_id", "id"], "left_anti")
+        rows = left.join(waiting, ["conv_id", "id"], "left").select("conv_id", "id", "turn", "result_turn", F.coalesce("open", F.array().cast("array<string>")).alias("open"), "t", "l")
+        ranged = rows.repartitionByRange(parts, "conv_id", "turn", "id").sortWithinPartitions("conv_id", "turn", "id")
+        new = materialise(ranged.mapInArrow(tidy(run), _PLACED), "placed")
+        if new.isEmpty():
+            break
+        placed = new if placed is None else placed.union(new)
+    on_cycle = nodes.select("conv_id", "id", F.col("turn").alias("order_turn"), F.lit(-1).alias("level"), "result_turn")
+    if placed is None:
+        return on_cycle
+    return placed.union(on_cycle.join(placed.select("conv_id", "id"), ["conv_id", "id"], "left_anti"))
+
+
+def link_tool_calls(conversations: DataFrame, schemas: dict[str, dict] | None = None, run_calls: int = 10_000, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per message: ``conv_id``, ``turn``, ``role``, ``order_turn`` and ``level`` (sorting by
     these and ``turn`` gives the topological order), ``n_calls``, ``n_linked``, ``n_errors`` and
     ``message``. Null ids, turns, roles and texts pass through as null; repeated rows each count.
@@ -124,15 +262,15 @@ def link_tool_calls(conversations: DataFrame, schemas: dict[str, dict] | None =
             for conv_id, turn, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 message, own, result = message_of(role, text, known)
                 messages.append(canonical(message | {"conv_id": conv_id, "turn": turn}))
-                calls.append([{k: c[k] for k in ("id", "name", "errors", "needs")} for c in own])
-                results.append(result)
+                calls.append([{"id": clean(c["id"]), "name": clean(c["name"]), "errors": [*map(clean, c["errors"])], "needs": [*map(clean, c["needs"])]} for c in own])
+                results.append(clean(result))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(messages, pa.string()), pa.array(calls, pa.list_(_CALL)), pa.array(results, pa.string())], ["conv_id", "turn", "role", "message", "calls", "result_of"]
             )
 
-    parsed = rows.mapInArrow(run, _SCHEMA)
+    parsed = materialise(rows.mapInArrow(tidy(run), _SCHEMA), "messages")
     plain = parsed.where("size(calls) = 0 AND result_of IS NULL").select("conv_id", "turn", "role", F.col("turn").alias("order_turn"), *(F.lit(0).alias(c) for c in ("level", "n_calls", "n_linked", "n_errors")), "message")
-    tools = materialise(parsed.where("size(calls) > 0 OR result_of IS NOT NULL"), "tool-messages")
+    tools = parsed.where("size(calls) > 0 OR result_of IS NOT NULL")
     if tools.isEmpty():
         return plain
     calls = tools.select("conv_id", "turn", F.posexplode("calls").alias("pos", "call")).select("conv_id", "turn", "pos", "call.*")
@@ -141,22 +279,7 @@ def link_tool_calls(conversations: DataFrame, schemas: dict[str, dict] | None =
     results = tools.where("result_of IS NOT NULL").select("conv_id", F.col("result_of").alias("id"), F.col("turn").alias("result_turn"))
     answered = results.groupBy("conv_id", "id").agg(F.min("result_turn").alias("result_turn"))
     nodes = materialise(nodes.join(answered.hint("shuffle_hash"), ["conv_id", "id"], "left"), "calls")
-    needs = nodes.select("conv_id", "id", F.explode("needs").alias("need"))
-    needs = materialise(needs.join(nodes.select("conv_id", F.col("id").alias("need")), ["conv_id", "need"], "left_semi").distinct(), "needs")
-    placed = materialise(nodes.join(needs, ["conv_id", "id"], "left_anti").select("conv_id", "id", F.col("turn").alias("order_turn"), F.lit(0).alias("level"), "result_turn"), "level")
-    every, count = needs.groupBy("conv_id", "id").agg(F.count("*").alias("n")), needs.count()
-    level = 0
-    while count:
-        level += 1
-        ready = needs.join(placed.select("conv_id", F.col("id").alias("need"), F.greatest("order_turn", "result_turn").alias("t")), ["conv_id", "need"])
-        ready = ready.groupBy("conv_id", "id").agg(F.count("*").alias("met"), F.max("t").alias("t")).join(every, ["conv_id", "id"]).where("met = n")
-        new = ready.join(placed, ["conv_id", "id"], "left_anti").join(nodes, ["conv_id", "id"])
-        new = materialise(new.select("conv_id", "id", F.greatest("turn", "t").alias("order_turn"), F.lit(2 * level).alias("level"), "result_turn"), "level")
-        if new.isEmpty():
-            break
-        placed = materialise(placed.union(new), "placed")
-    on_cycle = nodes.join(placed, ["conv_id", "id"], "left_anti").select("conv_id", "id", F.col("turn").alias("order_turn"), F.lit(-1).alias("level"), "result_turn")
-    placed = placed.union(on_cycle)
+    placed = _placed(nodes, run_calls)
     where = calls.join(first, ["conv_id", "id"], "left").withColumn("own", F.coalesce((F.col("turn") == F.col("at.turn")) & (F.col("pos") == F.col("at.pos")), F.lit(False)))
     where = where.join(placed, ["conv_id", "id"], "left")
     own = F.col("own")

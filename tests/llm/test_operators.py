@@ -676,6 +676,44 @@ def test_tool_calls(spark):
     assert tool_calls.link_tool_calls(table.limit(0)).count() == 0
 
 
+def test_odd_tool_texts(spark):
+    call = lambda arguments, i="x": '{"tool_calls":[{"id":"%s","name":"f","arguments":%s}]}' % (i, arguments)  # noqa: E731, UP031
+    schema = {"f": {"type": ["object", "null"], "properties": {"n": {"type": "integer"}, "m": {"type": ["integer", "null"]}}}}
+    texts = [
+        call('{"n":1' + "0" * 400 + "}"), call('{"n":1.0,"m":null}'), call('{"n":1.5,"m":"x"}'), call("[]"), call("null"), call('{"n":1e999}'), call('{"n":NaN}'), call("[" * 3000 + "]" * 3000),
+        call('"' + "[" * 500 + "]" * 500 + '"'), call('"' + "[" * 100_000 + '"'), '{"tool_calls":"x"}', '{"tool_calls":[1,null,{"id":5}]}', call('{"a":1e-7,"b":0.00001,"c":-0.0,"d":1e21,"e":123456789012345680000.0}'), "[" * 50_000 + '"tool_calls"', "",
+        "tool_calls " + "very long text " * 200_000,
+    ]
+    rows = [(1, k, "assistant", t) for k, t in enumerate(texts)] + [(1, 50, "tool", '{"tool_call_id":"\\ud800","content":"\\udfff\\ud83d\\ude00"}')]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["turn"]: r for r in tool_calls.link_tool_calls(table, schema).collect()}
+    assert len(got) == len(rows)
+    repeated = {k: 1 for k in range(1, 16)}  # the identifier is the first call's
+    wrong = [got[k]["n_errors"] - repeated.get(k, 0) for k in (0, 1, 2, 3, 4)]
+    assert wrong == [0, 0, 2, 1, 0]
+    for k in (5, 6, 7, 10, 13, 14, 15):  # no JSON, or no calls: plain content
+        assert got[k]["n_calls"] == 0 and json.loads(got[k]["message"])["content"] == texts[k]
+    assert got[8]["n_calls"] == 1 and got[8]["n_errors"] == got[9]["n_errors"] == 2 and got[11]["n_calls"] == 3
+    assert '{"a":1e-7,"b":0.00001,"c":0,"d":1e+21,"e":123456789012345680000}' in got[12]["message"]
+    assert '"content":"\\udfff\U0001f600"' in got[50]["message"] and got[50]["n_errors"] == 1
+
+
+def test_long_chains_of_calls(spark):
+    """A chain of 1,000 calls, each waiting for the one before or after; runs are shorter than chains."""
+    rows = []
+    for conv in (1, 2):
+        for k in range(1000):
+            need = k - 1 if conv == 1 else k + 1
+            arguments = {"x": {"$ref": f"c{need}"}} if 0 <= need < 1000 else {}
+            rows.append((conv, 2 * k, "assistant", json.dumps({"tool_calls": [{"id": f"c{k}", "name": "f", "arguments": arguments}]})))
+            rows.append((conv, 2 * k + 1, "tool", json.dumps({"tool_call_id": f"c{k}", "content": k})))
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    for options in ({}, {"run_calls": 300}):
+        got = {(r["conv_id"], r["turn"]): (r["level"], r["order_turn"]) for r in tool_calls.link_tool_calls(table, **options).where("role = 'assistant'").collect()}
+        assert all(got[1, 2 * k] == (2 * k, 2 * k) for k in range(1000))
+        assert all(got[2, 2 * k] == (2 * (999 - k), 1999 if k < 999 else 1998) for k in range(1000))
+
+
 def test_tool_calls_without_place(spark):
     call = json.dumps({"content": None, "tool_calls": [{"id": "p", "name": "add", "arguments": {}}]})
     rows = [(1, None, "assistant", call), (1, 3, "assistant", call), (1, 4, "tool", json.dumps({"tool_call_id": "p", "content": 1})), (None, 1, "assistant", call), (None, 1, "assistant", call)]
