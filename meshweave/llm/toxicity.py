@@ -16,10 +16,10 @@ for others. Each document begins with a start symbol.
 
 N(. w) is exact and needed for the words of the sample alone (for another word both classes give
 b_y P(w), whose ratio has no P); all other words share one count, of their occurrences. A task turns
-each pair into a number of 64 bits (the word's place in the sample's list, and 40 bits of the hash of
-the word before), scrambles it one to one, and sends its distinct numbers in sorted runs by their top
-bits, as differences. So pairs of any word, however frequent, are spread evenly, and a task counts the
-distinct pairs of one run at a time. Two heads of a word coincide with probability 2^-40.
+each pair into one number (the word's place in the sample's list, and 38 bits of the hash of the word
+before), scrambles it one to one, and sends its distinct numbers in sorted runs by their top bits, as
+differences. So pairs of any word, however frequent, are spread evenly, and a task counts the distinct
+pairs of one run at a time. Two heads of a word coincide with probability 2^-38.
 
 A document is compared by the length-normalised log-likelihood ratio of the two models, of the whole
 document and of its most toxic passages (runs of ``PASSAGES`` words, as a few words among many must
@@ -32,6 +32,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -43,9 +44,11 @@ from .common import materialise, texts, tidy
 from .labels import fold, known, sample
 
 _WORD = re.compile(r"[^\W_]+")
+_FAST = re.compile(r"\w+")  # the same words, where no underscore is
 START = 0x9E3779B97F4A7C15  # the number of the start symbol
-HEAD_BITS = 40
+HEAD_BITS = 38
 _HEAD = np.uint64((1 << HEAD_BITS) - 1)
+_CHUNK = 12  # bits of the places that are sent together
 _MULTIPLY = 0xBF58476D1CE4E5B9
 _BACK = pow(_MULTIPLY, -1, 1 << 64)
 #: Lengths in words of the passages that are compared besides the whole document.
@@ -53,15 +56,22 @@ PASSAGES = (1, 4, 16, 64)
 DISCOUNTS = (1.0, 1.6, 2.0)
 
 
-def scrambled(a: np.ndarray) -> np.ndarray:
-    """A one-to-one mapping of 64-bit numbers that spreads them evenly."""
-    a = a * np.uint64(_MULTIPLY)
-    return (a ^ (a >> np.uint64(32))) * np.uint64(_MULTIPLY)
+def scrambled(a: np.ndarray, bits: int) -> np.ndarray:
+    """A one-to-one mapping of numbers below ``2 ** bits`` that spreads them evenly."""
+    low = np.uint64((1 << bits) - 1)
+    a = a * np.uint64(_MULTIPLY) & low
+    return (a ^ (a >> np.uint64((bits + 1) // 2))) * np.uint64(_MULTIPLY) & low
 
 
-def unscrambled(a: np.ndarray) -> np.ndarray:
-    a = a * np.uint64(_BACK)
-    return (a ^ (a >> np.uint64(32))) * np.uint64(_BACK)
+def unscrambled(a: np.ndarray, bits: int) -> np.ndarray:
+    low = np.uint64((1 << bits) - 1)
+    a = a * np.uint64(_BACK) & low
+    return (a ^ (a >> np.uint64((bits + 1) // 2))) * np.uint64(_BACK) & low
+
+
+def _words_of(text: str | None) -> list[str]:
+    text = (text or "").lower()
+    return _WORD.findall(text) if "_" in text else _FAST.findall(text)
 
 
 class _Numbers(dict):
@@ -94,7 +104,7 @@ class Words:
         sizes = []
         for text in texts:
             flat.append(START)
-            flat += map(self.number, _WORD.findall((text or "").lower()))
+            flat += map(self.number, _words_of(text))
             sizes.append(len(flat))
         ends = np.array([0, *sizes], np.int64)
         return np.array(flat, np.uint64), np.diff(ends) - 1
@@ -143,33 +153,38 @@ def class_pairs(rows: DataFrame) -> DataFrame:
                 y = np.repeat(labels[begin : begin + len(some)], sizes).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(y), *(pa.array(x.view(np.int64)) for x in (before, flat[at - 1], flat[at]))], ["y", "before", "head", "word"])
 
-    found = rows.select("y", "text").mapInArrow(tidy(run), "y int, before long, head long, word long").distinct()
+    found = rows.select("y", "text").mapInArrow(tidy(run), "y int, before long, head long, word long").repartition("head", "word").distinct()  # one shuffle for both
     n = [F.sum((F.col("y") == y).cast("long")).alias(f"n{y}") for y in (0, 1)]
     return materialise(found.groupBy("head", "word").agg(*n), "class-pairs")
 
 
-def _runs(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Sorted distinct numbers by their top bits: of each run its bucket, and its differences, each in
-    as many bytes as the largest needs, after one byte that tells how many."""
-    shift = 64 - (buckets.bit_length() - 1)
-    bucket = (keys >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(keys.size, np.int64)
+def _runs(keys: np.ndarray, bits: int, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Sorted distinct numbers below ``2 ** bits`` by their top bits: of each run its bucket, and its
+    differences, each in so many bytes as most need (told by the first byte). The largest number of so
+    many bytes stands for itself without a key, and what is beyond it follows."""
+    shift = bits - (buckets.bit_length() - 1)
+    bucket = (keys >> np.uint64(shift)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
     for begin, end in zip(cuts.tolist(), [*cuts[1:].tolist(), keys.size][: cuts.size], strict=True):
-        gaps = np.diff(keys[begin:end], prepend=np.uint64(int(bucket[begin]) << shift if shift < 64 else 0))
-        width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
-        yield int(bucket[begin]), bytes([width]) + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+        gaps = np.diff(keys[begin:end], prepend=np.uint64(int(bucket[begin]) << shift))
+        width = min(8, (int(gaps.mean()).bit_length() + 9) // 8)
+        top = (1 << 8 * width) - 1
+        more = (gaps // np.uint64(top)).astype(np.int64)
+        out = np.full(gaps.size + int(more.sum()), top, "<u8")
+        out[np.arange(gaps.size) + np.cumsum(more)] = gaps - more.astype(np.uint64) * np.uint64(top)
+        yield int(bucket[begin]), bytes([width]) + out.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _of_run(bucket: int, run: bytes, buckets: int) -> np.ndarray:
-    shift = 64 - (buckets.bit_length() - 1)
-    low = np.frombuffer(run, np.uint8, offset=1).reshape(-1, run[0])
-    wide = np.zeros((len(low), 8), np.uint8)
-    wide[:, : run[0]] = low
-    keys = np.cumsum(wide.reshape(-1).view("<u8"), dtype=np.uint64)
-    return keys + np.uint64(bucket << shift) if shift < 64 else keys
+def _of_run(bucket: int, run: bytes, bits: int, buckets: int) -> np.ndarray:
+    width = run[0]
+    wide = np.zeros(((len(run) - 1) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(run, np.uint8, offset=1).reshape(-1, width)
+    steps = wide.reshape(-1).view("<u8")
+    keys = np.cumsum(steps, dtype=np.uint64) + np.uint64(bucket << bits - (buckets.bit_length() - 1))
+    return keys[steps != np.uint64((1 << 8 * width) - 1)]
 
 
-def shared_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray, buckets: int | None = None, most: int = 1 << 21) -> DataFrame:
+def shared_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray, buckets: int | None = None, most: int = 1 << 20) -> DataFrame:
     """``place`` and ``n`` over all documents. For a word of the vocabulary, from 1 on, N(. w); at 0, how
     often any other word occurs; then, for ``pairs`` (see ``pair_key``, sorted), how often each occurs,
     and how often each place of the vocabulary (0 is the start symbol) is a head. ``most`` pairs are held by
@@ -179,13 +194,15 @@ def shared_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray, bu
     n_buckets = buckets or max(1024, 1 << (8 * parts - 1).bit_length())
     listed = spark.sparkContext.broadcast((vocabulary, pairs))
     size = vocabulary.size + 1
+    bits = HEAD_BITS + vocabulary.size.bit_length()
+
     def packed(counts: np.ndarray) -> tuple[list[int], list[bytes], list[bytes]]:
         """The counts that are not 0 in chunks of places: the chunk, places and counts of each."""
         some = np.flatnonzero(counts)
-        cuts = np.flatnonzero(np.diff(some >> 14, prepend=-1))
+        cuts = np.flatnonzero(np.diff(some >> _CHUNK, prepend=-1))
         ends = [*cuts[1:].tolist(), some.size][: cuts.size]
         parts = [some[b:e] for b, e in zip(cuts.tolist(), ends, strict=True)]
-        return [int(x[0] >> 14) for x in parts], [x.astype("<i4").tobytes() for x in parts], [counts[x].astype("<i8").tobytes() for x in parts]
+        return [int(x[0] >> _CHUNK) for x in parts], [x.astype("<i4").tobytes() for x in parts], [counts[x].astype("<i8").tobytes() for x in parts]
 
     def row(bucket: list[int], run: list[bytes] | None = None, place: list[bytes] | None = None, n: list[bytes] | None = None) -> pa.RecordBatch:
         binary = (pa.nulls(len(bucket), pa.binary()) if x is None else pa.array(x, pa.binary()) for x in (run, place, n))
@@ -199,7 +216,7 @@ def shared_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray, bu
         counts = np.zeros(2 * size + pairs.size, np.int64)
 
         def sent(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-            runs = [*_runs(keys, n_buckets)]
+            runs = [*_runs(keys, bits, n_buckets)]
             if runs:
                 yield row([b for b, _ in runs], run=[r for _, r in runs])
 
@@ -216,7 +233,7 @@ def shared_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray, bu
                 counts[size + pairs.size :] += np.bincount(np.where(begins, 0, head)[begins | (head > 0)], minlength=size)
                 counts[0] += int((word == 0).sum())
                 at = at[word > 0]
-                held.append(scrambled(place[at].astype(np.uint64) << np.uint64(HEAD_BITS) | flat[at - 1] & _HEAD))
+                held.append(scrambled(place[at].astype(np.uint64) << np.uint64(HEAD_BITS) | flat[at - 1] & _HEAD, bits))
                 n_held += at.size
                 if n_held >= 2 * most:
                     keys = np.unique(np.concatenate(held))
@@ -235,7 +252,7 @@ def shared_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray, bu
 
         def add() -> None:
             if held:
-                place = (unscrambled(np.unique(np.concatenate(held))) >> np.uint64(HEAD_BITS)).astype(np.int64)
+                place = (unscrambled(np.unique(np.concatenate(held)), bits) >> np.uint64(HEAD_BITS)).astype(np.int64)
                 where, n = np.unique(place, return_counts=True)
                 sums[where] += n
 
@@ -245,7 +262,7 @@ def shared_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray, bu
                     if b.as_py() != bucket:
                         add()
                         bucket, held = b.as_py(), []
-                    held.append(_of_run(bucket, r.as_py(), n_buckets))
+                    held.append(_of_run(bucket, r.as_py(), bits, n_buckets))
                 else:
                     sums[np.frombuffer(where.as_py(), "<i4")] += np.frombuffer(n.as_py(), "<i8")
         add()
@@ -256,11 +273,11 @@ def shared_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray, bu
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, _, where, n in zip(*batch.columns, strict=True):
-                some = sums.setdefault(b.as_py(), np.zeros(1 << 14, np.int64))
-                some[np.frombuffer(where.as_py(), "<i4") & ((1 << 14) - 1)] += np.frombuffer(n.as_py(), "<i8")
+                some = sums.setdefault(b.as_py(), np.zeros(1 << _CHUNK, np.int64))
+                some[np.frombuffer(where.as_py(), "<i4") & ((1 << _CHUNK) - 1)] += np.frombuffer(n.as_py(), "<i8")
         for chunk, some in sums.items():
             at = np.flatnonzero(some)
-            yield pa.RecordBatch.from_arrays([pa.array((chunk << 14) + at, pa.int64()), pa.array(some[at])], ["place", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array((chunk << _CHUNK) + at, pa.int64()), pa.array(some[at])], ["place", "n"])
 
     schema = "bucket int, run binary, place binary, n binary"
     runs = docs.select("text").mapInArrow(tidy(run), schema)
@@ -290,21 +307,25 @@ class Models:
     own: np.ndarray  # (2, pairs): what is left of N_y(. v w), over N_y(. v .)
     common: np.ndarray  # (2, pairs): S(w | v) and s(v)
 
+    @cached_property
+    def _logs(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.log(self.word[1]) - np.log(self.word[0]), np.log(self.head[1]) - np.log(self.head[0])
+
     def ratios(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """log P_toxic(w | v) - log P_ordinary(w | v) of all words of texts (see ``Words.several``)."""
         place, at = places(self.words, flat), _inner(sizes)
         w, v, begins = place[at], place[at - 1], np.diff(at, prepend=-1) > 1
         size = self.word.shape[1]
-        p = self.word[:, w]
-        back = self.head[:, np.where(begins, size, v)]
+        of_word, of_head = self._logs
+        ratio = of_word[w]
         if self.pairs.size:
             key = pair_key(v, w, begins, size)
             found = np.minimum(np.searchsorted(self.pairs, key), self.pairs.size - 1)
             has = np.flatnonzero(self.pairs[found] == key)
-            found = found[has]
-            p[:, has] = self.own[:, found] / back[:, has] + self.common[0, found] + self.common[1, found] * p[:, has]
-        p *= back
-        return np.log(p[1]) - np.log(p[0])
+            found, w_, v_ = found[has], w[has], np.where(begins, size, v)[has]
+            p = self.own[:, found] / self.head[:, v_] + self.common[0, found] + self.common[1, found] * self.word[:, w_]
+            ratio[has] = np.log(p[1]) - np.log(p[0])
+        return ratio + of_head[np.where(begins, size, v)]
 
 
 def features(r: np.ndarray) -> list[float]:

@@ -394,11 +394,15 @@ def test_kneser_ney_equals_brute_force(spark):
 
 
 def test_scrambling_and_runs_are_exact():
-    keys = np.unique(np.random.default_rng(2).integers(0, 1 << 63, 5000, np.uint64) * np.uint64(2))
-    assert (toxicity.unscrambled(toxicity.scrambled(keys)) == keys).all()
-    for buckets in (1, 8, 1024):
-        runs = [*toxicity._runs(keys, buckets)]
-        assert (np.concatenate([toxicity._of_run(b, r, buckets) for b, r in runs]) == keys).all() and len({b for b, _ in runs}) == len(runs)
+    rng = np.random.default_rng(2)
+    for bits in (41, 57, 62):
+        keys = np.unique(rng.integers(0, 1 << bits, 5000, np.uint64))
+        mixed = toxicity.scrambled(keys, bits)
+        assert (toxicity.unscrambled(mixed, bits) == keys).all() and np.unique(mixed).size == keys.size and mixed.max() < 1 << bits
+        for some in (keys, np.arange(300, dtype=np.uint64), np.array([0, 255, 510, 511, (1 << bits) - 1], np.uint64), keys[:0]):
+            for buckets in (1, 8, 1024):
+                runs = [*toxicity._runs(some, bits, buckets)]
+                assert np.concatenate([some[:0], *(toxicity._of_run(b, r, bits, buckets) for b, r in runs)]).tolist() == some.tolist() and len({b for b, _ in runs}) == len(runs)
 
 
 def test_quality(spark, odd, empty):
