@@ -12,8 +12,11 @@
 4. Classes already known to be in one component need no further check, so a family of m copies gives
    at most m - 1 links unless ``forest`` is off. Components follow from the links.
 
-A family larger than ``block`` is cut into blocks, and each pair of blocks is searched on its own, so
-that a task holds two blocks at a time however large the family.
+A family larger than ``block`` is cut into blocks, and a task holds two blocks at a time however large
+the family. First all blocks meet the first one. What is then in one component, the largest of the
+family, need not be compared with itself; only the others ask all blocks. So a family of m near copies of
+each other sends some 2 m texts, and one with r others (m + r m / block) more. With all links wanted, all
+pairs of blocks meet.
 """
 
 from __future__ import annotations
@@ -154,15 +157,11 @@ class Lists:
         longest = lists[-1].size
         n_long = min(least - 1, int(least / (mu * np.log2(longest + 1) + 1)))
         short, long_ = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-        total = sum(x.size for x in short)
-        if total <= 256:
-            runs = [(k, sum(1 for _ in g)) for k, g in groupby(heapq.merge(*(x.tolist() for x in short)))]
-            found = np.asarray([k for k, _ in runs], np.int64)
-            count = np.asarray([c for _, c in runs], np.int64)
-        else:  # the same merge, by sorting the lists laid end to end
-            found, count = np.unique(np.concatenate(short), return_counts=True)
+        short = [x[~skip[x]] for x in short]
+        runs = [(k, sum(1 for _ in g)) for k, g in groupby(heapq.merge(*(x.tolist() for x in short if x.size)))]
+        found, count = np.asarray([k for k, _ in runs], np.int64), np.asarray([c for _, c in runs], np.int64)
         need = -(-num * (n + self.sizes[found]) // (num + den))
-        keep = (count + n_long >= need) & ~skip[found]
+        keep = count + n_long >= need
         found, count, need = found[keep], count[keep], need[keep]
         for k, x in enumerate(long_):
             if not found.size:
@@ -204,7 +203,7 @@ def search_blocks(ids: list[int], sets: list[np.ndarray], own: np.ndarray, num:
         skip = joined.of[home] == joined.of[q] if forest else np.zeros(home.size, bool)
         for r in lists[other].search(sets[q], num, den, skip, start).tolist():
             found = int(home[r])
-            if forest and joined.of[q] == joined.of[found]:
+            if ids[q] == ids[found] or forest and joined.of[q] == joined.of[found]:
                 continue
             out.append((ids[q], ids[found]))
             joined.join(q, found)
@@ -217,7 +216,7 @@ def links(members: DataFrame, shingle: int, num: int, den: int, forest: bool) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
-        key, ids, sets, own = None, [], [], []
+        key, ids, sets, own, seen = None, [], [], [], set()
 
         def done() -> pa.RecordBatch:
             found = search_blocks(ids, sets, np.asarray(own), num, den, forest) if len(ids) > 1 and (key[1] == key[2] or len(set(own)) > 1) else []
@@ -229,9 +228,12 @@ def links(members: DataFrame, shingle: int, num: int, den: int, forest: bool) ->
                 if (family, block, other) != key:
                     if ids:
                         yield done()
-                    key, ids, sets, own = (family, block, other), [], [], []
+                    key, ids, sets, own, seen = (family, block, other), [], [], [], set()
+                if (mine, rep, f1, f2) in seen:  # another row of the id with an equal text
+                    continue
                 s = shingler.of(text.as_py())
-                if fingerprint(s) == (f1, f2) and (not ids or rep != ids[-1]):
+                if fingerprint(s) == (f1, f2):
+                    seen.add((mine, rep, f1, f2))
                     ids.append(rep)
                     sets.append(s)
                     own.append(mine)
@@ -264,6 +266,22 @@ def _with_id_in(rows: DataFrame, sieve: Sieve) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text string")
 
 
+def _others(large: DataFrame, joined: DataFrame, block: int) -> DataFrame:
+    """Groups in which the members of large families that are not in their family's largest component
+    (``joined`` has the components so far) ask the blocks of the family."""
+    named = large.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = materialise(named, "named")
+    sizes = named.groupBy("family", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
+    largest = largest.select("family", F.col("top.component").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("chunks"))
+    known = named.join(largest, "family")
+    # A block is the index of each chunk of others; an asking member has its own number, as has the chunk.
+    index = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("chunks > 0").withColumn("block", F.col("own")).withColumn("own", F.lit(0))
+    asks = known.where("component <> main").withColumn("other", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks")).cast("int"))
+    asks = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("own", F.lit(1))
+    return index.unionByName(asks).withColumn("other", -1 - F.col("other"))  # no number of a block
+
+
 def jaccard_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, bands: int = 50, rows: int = 5, block: int = 2048, forest: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
@@ -287,11 +305,21 @@ def jaccard_join(
     families = materialise(families.join(reps.select("rep", "f1", "f2").distinct(), "rep"), "families")
     sizes = families.groupBy("family").agg(F.count("*").alias("m"))
     dealt = families.join(sizes, "family").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("family", F.least("own", "met").alias("block"), F.greatest("own", "met").alias("other"), "own", "rep", "f1", "f2")
-    near_texts = _with_id_in(rows_in.where("doc_id IS NOT NULL"), Sieve(families.select("rep")))
-    members = dealt.join(near_texts.withColumnRenamed("doc_id", "id"), F.col("rep") == F.col("id")).drop("id")
-    found = materialise(links(members, shingle, num, den, forest), "links")
+    dealt = materialise(dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).select("family", "blocks", "own", "rep", "f1", "f2"), "dealt")
+    near_texts = materialise(_with_id_in(rows_in.where("doc_id IS NOT NULL"), Sieve(families.select("rep"))), "near-texts")
+
+    def searched(groups: DataFrame) -> DataFrame:
+        members = groups.join(near_texts.withColumnRenamed("doc_id", "id"), F.col("rep") == F.col("id")).drop("id")
+        return materialise(links(members, shingle, num, den, forest), "links")
+
+    columns = ["family", "block", "other", "own", "rep", "f1", "f2"]
+    last = F.col("blocks") - 1
+    met = F.explode(F.when(F.lit(forest) & (F.col("own") > 0), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), last)))
+    first = dealt.withColumn("met", met).withColumns({"block": F.least("own", "met"), "other": F.greatest("own", "met")})
+    found = searched(first.select(*columns))
+    large = dealt.where("blocks > 1")
+    if forest and not large.isEmpty():
+        found = found.union(searched(_others(large, components(found, "first"), block).select(*columns)))
     joined = components(found, "components").withColumnRenamed("node", "rep")
     named = classes.join(joined, "rep", "left").select("f1", "f2", "rep", F.coalesce("component", "rep").alias("component_id"))
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2").join(named, ["f1", "f2"], "left")

@@ -471,6 +471,32 @@ def test_jaccard_join(spark, block):
     assert all(r["u"] != r["v"] for r in links.collect())
 
 
+def test_jaccard_join_in_one_large_family(spark):
+    """Near copies of one text, two groups that are only similar to it, and rows that repeat an id."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(120)]
+
+    def changed(words, n):
+        words = list(words)
+        for k in rng.sample(range(len(words)), n):
+            words[k] = f"new{rng.random()}"
+        return words
+
+    far = [changed(base, 9), changed(base, 10)]
+    texts = [changed(base, rng.randrange(3)) for _ in range(90)] + [changed(f, rng.randrange(3)) for f in far for _ in range(12)] + [changed(base, 6) for _ in range(10)]
+    rng.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+    sets = [shingles(t) for t in texts]
+    want = brute_components(sets, lambda a, b: 100 * len(a & b) >= 80 * len(a | b))
+    assert 3 <= len(set(want)) < 40
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    joined, links = jaccard_join.jaccard_join(rows, block=16, bands=60, rows=1)
+    assert {r["doc_id"]: r["component_id"] for r in joined.collect()} == dict(enumerate(want))
+    assert all(r["u"] != r["v"] for r in links.collect())
+    repeated = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (1, texts[0]), (2, texts[0]), (3, texts[1])], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_join(repeated)[0].collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_jaccard_join_all_links(spark):
     base = [f"w{k}" for k in range(100)]
     texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(0, 60, 7)]
