@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -97,6 +98,76 @@ def test_battery_finds_keys_and_leaves_words(spark):
     assert not any(got[100 + k] for k in range(30))
 
 
+def brute_battery(texts, fdr=0.01, reject=0.001, ordinary=0.0667):
+    """Spans of the battery, run by run, with the rule of Benjamini and Hochberg on the same cells."""
+    from math import erfc, floor, log2, log10, sqrt
+
+    tail = lambda z: erfc(z / sqrt(2)) / 2
+    base = [[tuple(map(int, x.split(":")[1:])) for x in secret_digest(t)[1].split(",") if x] for t in texts]
+    runs = []
+    for k, text in enumerate(texts):
+        for m in re.finditer(secrets.RUN, text or ""):
+            run, n = m[0], len(m[0])
+            if re.match(secrets.PLAIN, run):
+                continue
+            symbols = next(a for _, p, a in secrets.ALPHABETS if re.match(p, run) and (p or True))
+            size, codes = len(symbols), [symbols.index(c) + 1 for c in run]
+            squares = sum(run.count(c) ** 2 for c in symbols)
+            df = (size - 1) * n / (n - 1)
+            chi2 = (squares * size / n - n) * n / (n - 1)
+            p = [tail(((chi2 / df) ** (1 / 3) - (1 - 2 / (9 * df))) / sqrt(2 / (9 * df)))]
+            high = [2 * c > size for c in codes]
+            mean = 2 * sum(high) * (n - sum(high)) / n + 1
+            variance = (mean - 1) * (mean - 2) / (n - 1)
+            p.append(2 * tail(abs((1 + sum(a != b for a, b in zip(high, high[1:], strict=False)) - mean) / sqrt(variance))) if variance > 0 else 0)
+            middle = sum(codes) / n
+            spread = sum((c - middle) ** 2 for c in codes)
+            lagged = sum((a - middle) * (b - middle) for a, b in zip(codes, codes[1:], strict=False))
+            p.append(2 * tail(abs(lagged / spread * sqrt(n))) if spread > 0 else 0)
+            repeat = max(ordinary, 2 / size)
+            even = tail((repeat - (squares - n) / (n * (n - 1))) * n / sqrt(2 * repeat))
+            runs.append((k, m.start(), m.end(), min(floor(log2(n / 20) * 2), 7), -1 if min(p) * 3 < reject else floor(-10 * log10(max(even, 1e-12)))))
+    out = [[] for _ in texts]
+    for length in range(8):
+        cells = sorted((min(r[4], 100) for r in runs if r[3] == length), reverse=True)
+        limit = min((c for c in cells if 10 ** (-c / 10) * len(cells) <= fdr * sum(x >= c for x in cells)), default=10**9)
+        for k, begin, end, own, cell in runs:
+            if own == length and cell >= limit and not any(b < end and begin < e for b, e in base[k]):
+                out[k].append((begin, end))
+    return [sorted(x) for x in out]
+
+
+def test_battery_equals_brute_force(spark, documents):
+    rng = random.Random(12)
+    texts = [r["text"] for r in documents.collect()]
+    for size in (16, 32, 36, 62, 64):
+        for n in (20, 24, 33, 48, 90, 300):
+            texts.append(" ".join("".join(rng.choices("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/"[:size], k=n)) for _ in range(3)) + " token=" + "x9Y8" * 7 + "Q" * n + " aB" * n + "aB3" * n)
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: [(s["begin"], s["end"]) for s in r["spans"] if s["kind"] == 3] for r in secrets.scan(rows).collect()}
+    want = brute_battery(texts)
+    assert [got[k] for k in range(len(texts))] == want and sum(map(len, want)) > 30
+
+
+def test_many_secrets_in_a_text(spark):
+    """Time in proportion to the matches: 64,000 keys, alternately with runs for the battery."""
+    rng = random.Random(7)
+    key = lambda: "".join(rng.choices("0123456789abcdef", k=32))
+    other = lambda: "".join(rng.choices("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=40))
+    text = " ".join(key() if k % 2 else other() for k in range(64_000))
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = secrets.scan(rows).select(secrets.redacted(F.col("text"), F.col("spans")).alias("t"), "spans").first()
+    assert time.perf_counter() - began < 60
+    assert sum(s["kind"] == 2 for s in got["spans"]) >= 32_000 and len(got["spans"]) > 60_000
+    pieces, done = [], 0
+    for s in got["spans"]:
+        if s["begin"] >= done:
+            pieces += [text[done : s["begin"]], "[SECRET]"]
+        done = max(done, s["end"])
+    assert got["t"] == "".join([*pieces, text[done:]])
+
+
 def test_redaction(spark, empty):
     rows = spark.createDataFrame([(1, "a token=abcdef12 b " + "0f" * 16, "", ""), (2, "nothing", "", ""), (3, None, "", "")], CLASHING)
     got = {r[0]: r[1] for r in secrets.scan(rows, carry=True).select("row.doc_id", secrets.redacted(F.col("text"), F.col("spans"))).collect()}
