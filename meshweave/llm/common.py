@@ -7,6 +7,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +78,24 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+class Numbers(dict):
+    """64-bit hashes of words, kept up to a bound; frequent words come first and stay."""
+
+    def __init__(self, most: int):
+        from xxhash import xxh3_64_intdigest
+
+        super().__init__()
+        self.digest, self.most = xxh3_64_intdigest, most
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            first = [*islice(self.items(), self.most // 4)]
+            self.clear()
+            self.update(first)
+        self[word] = number = self.digest(word.encode("utf-8", "replace"))
+        return number
+
+
 class Sieve:
     """A set of 64-bit keys as a bit table of fixed size, to leave out rows before a shuffle.
 

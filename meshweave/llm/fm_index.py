@@ -259,12 +259,15 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[bool, list[tuple[object, str | None]]]]:
-    """The benchmark's items in blocks of about ``block_bytes`` of text each; whether it is the last."""
-    items = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    """The benchmark's items in blocks of about ``block_bytes`` of text each; whether it is the last.
+
+    Equal rows are one item; items are dealt by id and text, so many items of one text are spread too.
+    """
+    items = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).distinct()
+    size = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
     n = size // block_bytes + 1
-    for k in range(n):  # hashed by text, so a block is about as large as the next
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
+    for k in range(n):
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         yield k == n - 1, [(r["item_id"], r["text"]) for r in part.collect()]
 
 

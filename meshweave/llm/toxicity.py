@@ -33,14 +33,13 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, texts, tidy
+from .common import Numbers, materialise, texts, tidy
 from .labels import fold, known, sample
 
 _WORD = re.compile(r"[^\W_]+")
@@ -74,29 +73,11 @@ def _words_of(text: str | None) -> list[str]:
     return _WORD.findall(text) if "_" in text else _FAST.findall(text)
 
 
-class _Numbers(dict):
-    """64-bit hashes of words, kept up to a bound; frequent words come first and stay."""
-
-    def __init__(self, most: int):
-        from xxhash import xxh3_64_intdigest
-
-        super().__init__()
-        self.digest, self.most = xxh3_64_intdigest, most
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
-            first = [*islice(self.items(), self.most // 4)]
-            self.clear()
-            self.update(first)
-        self[word] = number = self.digest(word.encode("utf-8", "replace"))
-        return number
-
-
 class Words:
     """The words of texts as 64-bit hashes."""
 
     def __init__(self, most: int = 200_000):
-        self.number = _Numbers(most).__getitem__
+        self.number = Numbers(most).__getitem__
 
     def several(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The words of all texts, a start symbol before each text; and how many words each has."""

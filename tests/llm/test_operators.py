@@ -493,10 +493,47 @@ def test_negative_risk_is_bounded():
     """With every document good there is nothing to separate; the estimator must not run away."""
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, len(quality.FEATURES)))
-    model = quality.fit_nnpu(x[:250], x[250:], 0.9, steps=300)
+    edges = np.quantile(x, np.arange(1, 24) / 24, axis=0).T
+    model = quality.fit_nnpu(x[:250], x[250:], edges, 0.9, steps=300)
     assert (1 / (1 + np.exp(-model.logit(rng.normal(size=(200, len(quality.FEATURES)))))) >= 0.3).mean() > 0.8
 
 
+def test_risk_over_all_rows_falls_to_its_minimum(spark):
+    """The distributed steps reach what a long fit on all rows in one place reaches."""
+    rng = np.random.default_rng(1)
+    width = len(quality.FEATURES)
+    good, bad = rng.normal(size=(6000, width)), rng.normal(size=(2000, width)) + np.eye(width)[0] * 1.5
+    every, positive = np.vstack((good, bad)).astype(np.float32), rng.normal(size=(4000, width)).astype(np.float32)
+    edges = np.quantile(every, np.arange(1, 4) / 4, axis=0).T
+    stored = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(every)], "doc_id long, x array<float>").repartition(3)
+
+    def risk(m):
+        fp, fu = m.logit(positive), m.logit(every)
+        return 0.75 * np.logaddexp(0, -fp).mean() + max(0, np.logaddexp(0, fu).mean() - 0.75 * np.logaddexp(0, fp).mean()) + 5e-6 * (m.weights**2).sum()
+
+    begin = quality.fit_nnpu(positive, every[:600], edges, 0.75, steps=30)
+    got = quality.refine(begin, positive, stored, most=40, least=1e-7)
+    want = quality.fit_nnpu(positive, every, edges, 0.75, steps=3000, rate=0.02)
+    assert risk(begin) > risk(got) + 0.005 and abs(risk(got) - risk(want)) < 0.002, (risk(begin), risk(got), risk(want))
+    counts = quality._score_counts(stored, got)
+    assert counts.sum() == len(every) and counts.tolist() == np.bincount(np.minimum((1000 / (1 + np.exp(-got.logit(every)))).astype(int), 999), minlength=1000).tolist()
+
+
+def test_prior_and_word_ratios(spark):
+    rng = np.random.default_rng(3)
+    good, bad = rng.beta(8, 2, 40_000), rng.beta(2, 8, 20_000)
+    hist = lambda x: np.histogram(x, 1000, (0, 1))[0].astype(float)
+    assert abs(quality.estimate_prior(hist(good[:9000]), hist(np.concatenate((good, bad))), 0.9) - 2 / 3) < 0.04
+    assert quality.estimate_prior(np.zeros(1000), np.zeros(1000), 0.4) == 0.4
+    texts = [("Common good words", 1)] * 30 + [("common good", None)] * 30 + [("common junk junk", None), (None, None), ("", 1)] * 20
+    got = quality.word_ratios(spark.createDataFrame(texts, "text string, p int").repartition(3))
+    numbers = quality.Numbers(10).__getitem__
+    at = lambda w: float(got[quality.bucket_of(w, numbers)[0]])
+    all_, trusted = 120, 50
+    assert abs(at("COMMON") - np.log((30 + 20 * 80 / all_) / (trusted + 20) / (80 / all_))) < 1e-6
+    assert abs(at("junk") - np.log((20 * 20 / all_) / (trusted + 20) / (20 / all_))) < 1e-6
+
+
 # joins
 
 
