@@ -683,6 +683,11 @@ def test_leaks_equal_counting(spark):
         if r["doc_id"] != 502:
             assert fold(r["text"]) == [x for k, x in enumerate(w) if k not in hit]
     assert fm_index.find_leaks(table, bench.limit(0)).where("size(spans) > 0").count() == 0
+    many = spark.createDataFrame([(k, "w1 w2 w3 w4") for k in range(60)] * 2, "item_id long, text string")
+    sizes = [len(b) for _, b in fm_index._blocks(many, "item_id", "text", 500)]
+    assert sum(sizes) == 60 and len(sizes) > 5 and max(sizes) < 25  # many items of one text are spread
+    whole = spark.createDataFrame([(1, "x w1 w2 w3 w4 y")], "doc_id long, text string")
+    assert fm_index.find_leaks(whole, many, block_bytes=2000).first()["items"] == sorted(map(str, range(60)))
     assert fm_index.find_leaks(table.limit(0), bench).count() == 0
 
 
@@ -871,6 +876,11 @@ def test_licences(spark, odd, empty):
     got = {r["doc_id"]: [(m["license"], round(m["containment"], 2)) for m in r["matches"]] for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == [("MIT", 1.0)] and got[2] == [("MIT-notice", 1.0)] and got[3] == [] and got[5] == []
     assert got[4][0][0] == "MIT" and got[4][0][1] < 1
+    full = [(k, f"{filler} {t.upper()} {filler}") for k, t in enumerate(license_scan.TEMPLATES.values())] + [(100, "\n * ".join(license_scan.TEMPLATES["BSD-2-Clause"].split()))] * 2
+    found = {}
+    for r in license_scan.scan_licenses(spark.createDataFrame(full, "doc_id long, text string")).collect():
+        found.setdefault(r["doc_id"], []).append({m["license"]: m["containment"] for m in r["matches"]})
+    assert all(found[k][0][name] == 1.0 for k, name in enumerate(license_scan.TEMPLATES)) and len(found[100]) == 2 and found[100][0]["BSD-2-Clause"] == 1.0
     assert license_scan.scan_licenses(odd).where("size(matches) = 0").count() == len(ODD)
     assert license_scan.scan_licenses(empty).count() == 0
 
