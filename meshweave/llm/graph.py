@@ -26,22 +26,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+def _stars(pairs: DataFrame) -> bool:
+    """Whether no larger end of a pair is an end of another pair."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("larger")), F.struct(F.col("v").alias("node"), F.lit(0).alias("larger")))).alias("e")).select("e.*")
+    return ends.groupBy("node").agg(F.sum("larger").alias("n"), F.min("larger").alias("all")).where("n > 1 OR n = 1 AND all = 0").isEmpty()
+
+
 def components(edges: DataFrame, what: str = "components") -> DataFrame:
     """``node`` and ``component`` (its least node) of all nodes of ``edges`` (``u``, ``v``).
 
-    Alternates large-star and small-star until the edges no longer change; then each node but the
-    least is linked to the least. Each round is written to the shared folder; no node's neighbours
-    are ever gathered in one place.
+    Alternates large-star and small-star until the edges are stars: then each node but the least of a
+    component is linked to the least, and to no other. Each round is written to the shared folder; no
+    node's neighbours are ever gathered in one place.
     """
     pairs = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    pairs, before = materialise(pairs, what), None
-    while True:
-        digest = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if digest == before:
-            break
-        before = digest
-        if not digest[0]:
-            break
+    pairs = materialise(pairs, what)
+    while not _stars(pairs):
         pairs = materialise(_star(_star(pairs, True), False), what)
     stars = pairs.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())

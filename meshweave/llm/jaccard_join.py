@@ -13,10 +13,10 @@
    at most m - 1 links unless ``forest`` is off. Components follow from the links.
 
 A family larger than ``block`` is cut into blocks, and a task holds two blocks at a time however large
-the family. First all blocks meet the first one. What is then in one component, the largest of the
-family, need not be compared with itself; only the others ask all blocks. So a family of m near copies of
-each other sends some 2 m texts, and one with r others (m + r m / block) more. With all links wanted, all
-pairs of blocks meet.
+the family. First each block meets the first one, which is searched in itself too; what is then in one
+component with the largest one of the first block need not be compared with itself any more. Only the
+others ask all blocks. So a family of m near copies of each other sends some 2 m texts, and one with r
+others (m + r m / block) more. With all links wanted, all pairs of blocks meet.
 """
 
 from __future__ import annotations
@@ -184,22 +184,26 @@ class _Union:
             self.of[self.of == max(x, y)] = min(x, y)
 
 
-def search_blocks(ids: list[int], sets: list[np.ndarray], own: np.ndarray, num: int, den: int, forest: bool) -> list[tuple[int, int]]:
-    """Links within a block, or between two blocks (``own`` tells them apart) but not within either."""
+def search_blocks(ids: list[int], sets: list[np.ndarray], own: np.ndarray, num: int, den: int, forest: bool, hub: bool = False) -> tuple[list[tuple[int, int]], list[int]]:
+    """Links within a block, or between two blocks (``own`` tells them apart) but not within either.
+
+    With ``hub`` also within both: first in the first block, whose largest component is the hub. Second, the
+    members that are not in the hub's component.
+    """
     order = np.lexsort((ids, [s.size for s in sets]))
     ids, sets, own = [ids[k] for k in order], [sets[k] for k in order], own[order]
-    blocks = np.unique(own)
-    homes = {b: np.flatnonzero(own == b) for b in blocks.tolist()}
+    blocks = np.unique(own).tolist()
+    homes = {b: np.flatnonzero(own == b) for b in blocks}
     lists = {b: Lists([sets[k] for k in home]) for b, home in homes.items()}
     joined = _Union(len(sets))
     out = []
-    for q in range(len(sets)):
+
+    def search(q: int, other: int) -> None:
         # the smaller of a pair asks the other's block; of equal sizes, the earlier one
-        other = int(blocks[0] if own[q] == blocks[-1] else blocks[-1])
         home = homes[other]
         start = int(np.searchsorted(home, q, "right"))
         if start == home.size:
-            continue
+            return
         skip = joined.of[home] == joined.of[q] if forest else np.zeros(home.size, bool)
         for r in lists[other].search(sets[q], num, den, skip, start).tolist():
             found = int(home[r])
@@ -207,20 +211,42 @@ def search_blocks(ids: list[int], sets: list[np.ndarray], own: np.ndarray, num:
                 continue
             out.append((ids[q], ids[found]))
             joined.join(q, found)
-    return out
+
+    if not hub:
+        for q in range(len(sets)):
+            search(q, blocks[0] if own[q] == blocks[-1] else blocks[-1])
+        return out, []
+    first = homes.get(0, np.empty(0, np.int64)).tolist()
+    for q in first:
+        search(q, 0)
+    roots, sizes = np.unique(joined.of[first], return_counts=True)
+    main = first[int(np.flatnonzero(joined.of[first] == roots[sizes.argmax()])[0])] if first else None
+    for q in range(len(sets)):
+        for b in blocks:
+            if b or own[q]:
+                search(q, b)
+    return out, [ids[k] for k in range(len(sets)) if main is None or joined.of[k] != joined.of[main]]
 
 
 def links(members: DataFrame, shingle: int, num: int, den: int, forest: bool) -> DataFrame:
     """Links ``u``, ``v`` within the families of ``members`` (``family``, ``block`` and ``other``, the
-    blocks that meet, ``own``, the member's block, ``rep``, ``f1``, ``f2``, ``text``)."""
+    blocks that meet, ``own``, the member's block, ``rep``, ``f1``, ``f2``, ``text``). Without ``v``: a
+    member that is not in the component of the first block's largest one (with ``forest`` alone)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
         key, ids, sets, own, seen = None, [], [], [], set()
 
         def done() -> pa.RecordBatch:
-            found = search_blocks(ids, sets, np.asarray(own), num, den, forest) if len(ids) > 1 and (key[1] == key[2] or len(set(own)) > 1) else []
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["u", "v"])
+            hub = forest and key[2] > 0
+            found, others = [], []
+            if len(ids) > 1 and (hub or key[1] == key[2] or len(set(own)) > 1):
+                found, others = search_blocks(ids, sets, np.asarray(own), num, den, forest, hub)
+            if hub and key[2] > 1:  # those of the first block are told with the second one
+                first = {i for i, o in zip(ids, own, strict=True) if o == 0}
+                others = [i for i in others if i not in first]
+            both = [*found, *((i, None) for i in others)]
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in both], pa.int64()), pa.array([b for _, b in both], pa.int64())], ["u", "v"])
 
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in range(7)]
@@ -266,18 +292,13 @@ def _with_id_in(rows: DataFrame, sieve: Sieve) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text string")
 
 
-def _others(large: DataFrame, joined: DataFrame, block: int) -> DataFrame:
-    """Groups in which the members of large families that are not in their family's largest component
-    (``joined`` has the components so far) ask the blocks of the family."""
-    named = large.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    named = materialise(named, "named")
-    sizes = named.groupBy("family", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
-    largest = largest.select("family", F.col("top.component").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("chunks"))
-    known = named.join(largest, "family")
+def _others(large: DataFrame, others: DataFrame, block: int) -> DataFrame:
+    """Groups in which ``others`` ask the blocks of their families."""
+    asking = materialise(large.join(others, "rep", "left_semi"), "asking")
+    chunks = asking.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
     # A block is the index of each chunk of others; an asking member has its own number, as has the chunk.
-    index = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("chunks > 0").withColumn("block", F.col("own")).withColumn("own", F.lit(0))
-    asks = known.where("component <> main").withColumn("other", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks")).cast("int"))
+    index = large.join(chunks, "family").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("block", F.col("own")).withColumn("own", F.lit(0))
+    asks = asking.join(chunks, "family").withColumn("other", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks")).cast("int"))
     asks = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("own", F.lit(1))
     return index.unionByName(asks).withColumn("other", -1 - F.col("other"))  # no number of a block
 
@@ -313,13 +334,17 @@ def jaccard_join(
         return materialise(links(members, shingle, num, den, forest), "links")
 
     columns = ["family", "block", "other", "own", "rep", "f1", "f2"]
-    last = F.col("blocks") - 1
-    met = F.explode(F.when(F.lit(forest) & (F.col("own") > 0), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), last)))
-    first = dealt.withColumn("met", met).withColumns({"block": F.least("own", "met"), "other": F.greatest("own", "met")})
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    if forest:  # the first block meets each other one
+        met = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).when(F.col("own") == 0, F.filter(every, lambda k: k > 0)).otherwise(F.array("own")))
+        first = dealt.withColumn("other", met).withColumn("block", F.lit(0))
+    else:
+        first = dealt.withColumn("met", F.explode(every)).withColumns({"block": F.least("own", "met"), "other": F.greatest("own", "met")})
     found = searched(first.select(*columns))
-    large = dealt.where("blocks > 1")
-    if forest and not large.isEmpty():
-        found = found.union(searched(_others(large, components(found, "first"), block).select(*columns)))
+    others = found.where("v IS NULL").select(F.col("u").alias("rep")).distinct()
+    if forest and not others.isEmpty():
+        found = found.union(searched(_others(dealt.where("blocks > 1"), others, block).select(*columns)))
+    found = found.where("v IS NOT NULL")
     joined = components(found, "components").withColumnRenamed("node", "rep")
     named = classes.join(joined, "rep", "left").select("f1", "f2", "rep", F.coalesce("component", "rep").alias("component_id"))
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2").join(named, ["f1", "f2"], "left")
