@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import stored
+from ..sources.shared import discard, stored
 
 #: (rows x columns array with a border of one) -> new inner values.
 Step = Callable[[np.ndarray], np.ndarray]
@@ -41,13 +41,16 @@ def iterate(rows: DataFrame, step: Step, steps: int, low: int, high: int, height
     depth = max(1, min(depth, height))
     last = (high - 1 - low) // height
     done = 0
-    current = rows.withColumn("change", F.lit(0.0))
+    current, held = rows.withColumn("change", F.lit(0.0)), None
     while done < steps:
         now = min(depth, steps - done)
         current = _round(current, step, now, low, high, height, last)
         done += now
         if done < steps:
-            current = stored(current, "bands")
+            before, held = held, stored(current, "bands")
+            current = held
+            if before is not None:  # read by the round that is stored now
+                discard(before)
     return current
 
 

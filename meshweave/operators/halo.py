@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import prod
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,4 +56,4 @@ def transfer(mesh: Mesh, halos: list[Halo]) -> None:
             every = every.unionByName(n.withColumn("__k", F.lit(k)))
         if len(own) > 1:
             every = every.groupBy(*field.axes).agg(F.max_by(field.name, "__k").alias(field.name))
-        mesh.set_values(field, every.drop("__k"))
+        mesh.set_values(field, every.drop("__k"), cells=sum(prod(h.shape) for _, h, _ in own))

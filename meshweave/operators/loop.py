@@ -19,7 +19,7 @@ from ..plans.catalog import AXES, INC, MAX, MIN, READ, RW, TYPES, WRITE, Block,
 from ..plans.grid import index_set, inside
 from ..sources.shared import stored
 from .gather import gather, name_of
-from .reduction import Reduction, folded, identity
+from .reduction import Folds, Reduction, folded, identity
 
 #: A table of at most this many cells may be sent to all executors in a join.
 MOST_SENT = 200_000
@@ -122,7 +122,7 @@ class ReduceView:
 
     def add(self, value: Any, component: int = 0) -> None:
         value = value if isinstance(value, Column) else F.lit(value)
-        if component in self.new:
+        if component in self.new and self.arg.access != WRITE:
             old = self.new[component]
             value = old + value if self.arg.access == INC else (F.least if self.arg.access == MIN else F.greatest)(old, value)
         self.new[component] = value
@@ -141,6 +141,7 @@ class Mesh:
 
     spark: SparkSession
     cut_every: int = 4
+    profile: bool = False  # run each loop when it is planned, and time it
     tables: dict[tuple, DataFrame] = field(default_factory=dict)
     fields: dict[tuple[str, str], Field] = field(default_factory=dict)
     blocks: dict[str, Block] = field(default_factory=dict)
@@ -195,17 +196,38 @@ class Mesh:
         self.folds.pop((f.block.name, f.name), None)
         return self.tables[self.key(f)].select(*f.axes, F.col(f"`{f.name}`"))
 
-    def set_values(self, f: Field, values: DataFrame, only: Box | None = None) -> None:
-        """Overwrites a field where ``values`` has rows (within ``only``); other cells stay."""
+    def assign(self, f: Field, value: Column) -> None:
+        """Overwrites a field by an expression over its own table; no join."""
+        key = self.key(f)
+        self._keep(key, self.tables[key].withColumn(f.name, value.cast(f.spark_type)))
+
+    def deal(self, f: Field, axis: int, parts: int) -> None:
+        """Ranges the table of a field along an axis: each of ``parts`` partitions is a slab of it."""
+        key = self.key(f)
+        if axis not in key[1] or parts < 1:
+            raise MeshError(f"{f.name} cannot be dealt into {parts} slabs of axis {axis}")
+        self.tables[key], self.depth[key] = stored(self.tables[key].repartitionByRange(parts, AXES[axis]).sortWithinPartitions(AXES[axis]), "mesh"), 0
+
+    def set_values(self, f: Field, values: DataFrame, only: Box | None = None, cells: int | None = None) -> None:
+        """Overwrites a field where ``values`` has rows (within ``only``); other cells stay. ``cells`` is
+        how many rows these are at most, if that is known."""
         key = self.key(f)
         new = values.select(*f.axes, F.col(f"`{f.name}`").cast(f.spark_type).alias("__new"), F.lit(True).alias("__hit"))
         if only is not None:
             new = new.where(inside(tuple(only[a] for a in f.kept), f.axes))
-        self._put(key, new, {f.name: F.col("__new")})
+        self._put(key, new, {f.name: F.col("__new")}, cells)
+
+    def put(self, f: Field, new: DataFrame, value: Column, cells: int | None = None) -> None:
+        """Overwrites a field by ``value`` where ``new`` (coordinates, ``__hit`` and what the value needs)
+        has rows."""
+        self._put(self.key(f), new, {f.name: value.cast(f.spark_type)}, cells)
 
-    def _put(self, key: tuple, new: DataFrame, columns: dict[str, Column]) -> None:
+    def _put(self, key: tuple, new: DataFrame, columns: dict[str, Column], cells: int | None = None) -> None:
+        """Changes columns where ``new`` has rows; few rows are sent to where the table lies."""
         axes = tuple(AXES[a] for a in key[1])
         table = self.tables[key]
+        if cells is not None and cells <= MOST_SENT:
+            new = F.broadcast(new)
         joined = table.join(new, list(axes), "left") if axes else table.crossJoin(F.broadcast(new.limit(1)))
         changed = {c: F.when(F.col("__hit"), v).otherwise(F.col(f"`{c}`")) for c, v in columns.items()}
         self._keep(key, joined.withColumns(changed).select(*(F.col(f"`{c}`") for c in table.columns)))
@@ -239,7 +261,8 @@ class Mesh:
     # loops
 
     def loop(self, name: str, block: Block, box: Any, kernel: Callable[..., None], **args: Any) -> None:
-        """For every cell of a half-open box: ``kernel(**views)``. Cells outside keep their values.
+        """For every cell of a half-open box: ``kernel(**views)``. Cells outside keep their values. A loop
+        that writes its table and reduces is run and stored at once, so that it is run only once.
 
         Within a loop all reads see the state before it. An empty box changes nothing, and adds the
         identity to reductions.
@@ -264,16 +287,6 @@ class Mesh:
         views = {k: View(a) if isinstance(a, Dat) else ReduceView(a) if isinstance(a, Reduce) else [F.col(x) for x in block.axes] if isinstance(a, Idx) else a.value if isinstance(a, Gbl) else a for k, a in args.items()}
         kernel(**views)
         within = inside(box, block.axes)
-        for k, a in args.items():
-            if isinstance(a, Reduce):
-                kind = TYPES[a.handle.dtype]
-                new = views[k].new
-                start = None if kind.startswith("struct") else F.lit(identity(a.access, a.handle.dtype))
-                if kind.startswith("struct"):
-                    part = [F.struct(*(F.sum(new[d][x]).alias(x) for x in ("re", "im"))).alias(f"r{d}") for d in range(a.handle.dim)]
-                else:
-                    part = [(folded(new[d], a.access) if d in new else F.max(start)).alias(f"r{d}") for d in range(a.handle.dim)]
-                a.handle.add(cells.where(within).agg(*part), a.access)
         own: dict[str, Column] = {}
         others: dict[tuple, dict[str, Column]] = {}
         for k, d in dats.items():
@@ -290,16 +303,51 @@ class Mesh:
                 others.setdefault(self.key(f), {})[f.name] = value
         for key, values in others.items():
             new = cells.where(within).select(*block.axes, *(v.alias(f"__new_{c}") for c, v in values.items()), F.lit(True).alias("__hit"))
-            self._put(key, new, {c: F.col(f"`__new_{c}`") for c in values})
+            self._put(key, new, {c: F.col(f"`__new_{c}`") for c in values}, box_size(box))
+        handles = {k: a for k, a in args.items() if isinstance(a, Reduce)}
+        # What the handles get of each cell, beside the cell's new values: both come of one run.
+        given = [F.when(within, v).alias(f"__{k}_{d}") for k in handles for d, v in views[k].new.items()]
+        folds = None
         if own:
             names = self.tables[home].columns
-            self._keep(home, cells.select(*(own[c].alias(c) if c in own else F.col(f"`{c}`") for c in names)))
+            new = cells.select(*(own[c].alias(c) if c in own else F.col(f"`{c}`") for c in names), *given)
+            if handles or self.profile:
+                new = stored(new, "mesh")
+                self.tables[home], self.depth[home] = new.select(*(F.col(f"`{c}`") for c in names)), 0
+            else:
+                self._keep(home, new)
+        elif handles:
+            new = cells.where(within).select(*block.axes, *given)
+        if handles:
+            parts = {(k, d): self._part(views[k].new.get(d), F.col(f"`__{k}_{d}`"), a, block) for k, a in handles.items() for d in range(a.handle.dim)}
+            folds = Folds(new.agg(*(p.alias(f"{k}_{d}") for (k, d), p in parts.items())))
+            for k, a in handles.items():
+                a.handle.add(folds, [f"{k}_{d}" for d in range(a.handle.dim)], a.access)
+        planned = time.perf_counter() - started
+        if self.profile:
+            for key in others:
+                self.tables[key], self.depth[key] = stored(self.tables[key], "mesh"), 0
+            if folds:
+                folds.row()
         record = self.records.setdefault(name, LoopRecord(name, box))
         record.calls += 1
-        record.seconds += time.perf_counter() - started
+        record.planned += planned
+        record.seconds += time.perf_counter() - started if self.profile else 0.0
         record.bytes += box_size(box) * 8 * sum(d.field.dim * (2 if d.access in (RW, INC) else 1) for d in dats.values())
         record.fields = sorted({d.field.name for d in dats.values()})
 
+    @staticmethod
+    def _part(given: Column | None, column: Column, a: Reduce, block: Block) -> Column:
+        """A handle's fold of one component; of WRITE the last cell in storage order whose value is not 0."""
+        kind = TYPES[a.handle.dtype]
+        if kind.startswith("struct"):
+            return F.struct(*(F.sum(column[x]).alias(x) for x in ("re", "im")))
+        if given is None:
+            return F.max(F.lit(identity(a.access, a.handle.dtype)))
+        if a.access == WRITE:
+            return F.max_by(column, F.when(column != 0, F.struct(*reversed(block.axes))))
+        return folded(column, a.access)
+
     def _value(self, d: Dat, new: dict[int, Column]) -> Column:
         f = d.field
         if f.dim == 1:
@@ -319,21 +367,23 @@ class Mesh:
     def _fold(self, d: Dat, new: dict[int, Column], cells: DataFrame) -> None:
         """Folds a loop onto a field with collapsed axes: one group for each kept coordinate."""
         f, at = d.field, (d.field.block.name, d.field.name)
-        if f.dim != 1:
-            raise MeshError(f"{f.name}: folding takes one component")
-        key, value = self.key(f), new[0]
+        key, few = self.key(f), box_size(tuple(f.allocation[a] for a in f.kept))
+        element = TYPES[f.dtype]
+        old = [F.get(F.col(f"`{f.name}`"), c) if f.dim > 1 else F.col(f"`{f.name}`") for c in range(f.dim)]
+        whole = lambda parts: F.array(*(p.cast(element) for p in parts)) if f.dim > 1 else parts[0].cast(element)
         if d.access in (INC, MIN, MAX):
             fresh = self.folds.get(at) != d.access
             if fresh:  # first use, another access than before, or read since then
-                self._keep(key, self.tables[key].withColumn(f.name, F.lit(identity(d.access, f.dtype)).cast(f.spark_type)))
-            found = cells.groupBy(*f.axes).agg(folded(value, d.access).alias("__fold"))
-            old, add = F.col(f"`{f.name}`"), F.col("__fold")
-            merged = old + add if d.access == INC else (F.least if d.access == MIN else F.greatest)(old, add)
-            self._put(key, found.where("__fold IS NOT NULL").withColumn("__hit", F.lit(True)), {f.name: merged.cast(f.spark_type)})
+                self._keep(key, self.tables[key].withColumn(f.name, whole([F.lit(identity(d.access, f.dtype))] * f.dim)))
+            found = cells.groupBy(*f.axes).agg(*(folded(v, d.access).alias(f"__fold{c}") for c, v in new.items()))
+            both = F.least if d.access == MIN else F.greatest
+            merged = [old[c] if c not in new else F.coalesce(old[c] + F.col(f"__fold{c}"), old[c]) if d.access == INC else both(old[c], F.col(f"__fold{c}")) for c in range(f.dim)]
+            self._put(key, found.withColumn("__hit", F.lit(True)), {f.name: whole(merged)}, few)
             self.folds[at] = d.access
-        else:
-            found = cells.groupBy(*f.axes).agg(F.first(value).alias("__fold")).withColumn("__hit", F.lit(True))
-            self._put(key, found, {f.name: F.col("__fold").cast(f.spark_type)})
+        else:  # the last cell in storage order is what stays
+            last = F.struct(*reversed(d.field.block.axes))
+            found = cells.groupBy(*f.axes).agg(*(F.max_by(v, last).alias(f"__fold{c}") for c, v in new.items())).withColumn("__hit", F.lit(True))
+            self._put(key, found, {f.name: whole([F.col(f"__fold{c}") if c in new else old[c] for c in range(f.dim)])}, few)
             self.folds.pop(at, None)
 
     def _gathered(self, block: Block, box: Box, dats: list[Dat]) -> tuple[DataFrame, tuple | None]:

@@ -116,7 +116,9 @@ def transposed(mesh: Mesh, f: Field, axes: tuple[int, ...]) -> DataFrame:
 def copied(mesh: Mesh, f: Field, name: str) -> Field:
     """A new field with the metadata and the values of another."""
     new = f.like(name)
-    mesh.declare(new, mesh.table(f).withColumnRenamed(f.name, name))
+    mesh.declare(new)
+    mesh.table(f)
+    mesh.assign(new, F.col(f"`{f.name}`"))
     return new
 
 
@@ -124,6 +126,10 @@ def deep_copy(mesh: Mesh, target: Field, source: Field) -> None:
     """The values of ``source``, halo included, into ``target`` on the same block."""
     if target.block.name != source.block.name:
         raise MeshError(f"{target.name} and {source.name} are on different blocks")
+    if mesh.key(target) == mesh.key(source):
+        mesh.table(source)  # ends a fold, as any read does
+        mesh.assign(target, F.col(f"`{source.name}`"))
+        return
     mesh.set_values(target, mesh.table(source).withColumnRenamed(source.name, target.name))
 
 
@@ -148,7 +154,7 @@ def fill_random(mesh: Mesh, f: Field, seed: int, normal: bool = False) -> None:
         return randoms.uniform(at, seed, stream) if f.floating else randoms.uniform_int(at, seed, stream)
 
     new = F.array(*(value(d) for d in range(f.dim))) if f.dim > 1 else value(0)
-    mesh.set_values(f, mesh.table(f).withColumn(f.name, new.cast(f.spark_type)))
+    mesh.assign(f, new)
 
 
 def text_lines(mesh: Mesh, f: Field) -> DataFrame:

@@ -78,16 +78,20 @@ def poisson(spark: SparkSession, n: int = 20, steps: int = 10, dx: float = 0.01,
     box, border = [0, width, 0, height], [-1, width + 1, -1, height + 1]
 
     def populate(u, f, exact, at, shift) -> None:
-        s, c = F.sin(math.pi * dx * (at[0] + shift[0])), F.cos(2 * math.pi * dy * (at[1] + shift[1]))
-        u[0, 0] = s * c + 1 - 1
-        f[0, 0] = -5 * math.pi**2 * s * c
-        exact[0, 0] = s * c
+        wave = F.sin(math.pi * dx * (at[0] + shift[0])) * F.cos(2 * math.pi * dy * (at[1] + shift[1]))
+        u[0, 0] = wave
+        f[0, 0] = -5 * math.pi**2 * wave
+        exact[0, 0] = wave
 
     def zero(u) -> None:
         u[0, 0] = 0.0
 
+    # The five-point scheme (u_W - 2 u + u_E) / dx^2 + (u_S - 2 u + u_N) / dy^2 = f, solved for u.
+    weights = (1 / dx**2, 1 / dy**2)
+
     def step(u, f, new) -> None:
-        new[0, 0] = ((u[-1, 0] + u[1, 0]) * dx * dx + (u[0, -1] + u[0, 1]) * dy * dy - f[0, 0] * dx * dx * dy * dy) / (2 * (dx * dx + dy * dy))
+        along_x, along_y = u[1, 0] + u[-1, 0], u[0, 1] + u[0, -1]
+        new[0, 0] = (weights[0] * along_x + weights[1] * along_y - f[0, 0]) / (2 * sum(weights))
 
     def back(new, u) -> None:
         u[0, 0] = new[0, 0]
@@ -114,7 +118,7 @@ def poisson(spark: SparkSession, n: int = 20, steps: int = 10, dx: float = 0.01,
 WEIGHTS = (4 / 9, 1 / 9, 1 / 36, 1 / 9, 1 / 36, 1 / 9, 1 / 36, 1 / 9, 1 / 36)
 CX, CY = (0, 0, 1, 1, 1, 0, -1, -1, -1), (0, 1, 1, 0, -1, -1, -1, 0, 1)
 OPPOSITE = (0, 5, 6, 7, 8, 1, 2, 3, 4)
-#: Open channels as inclusive boxes; everything else is solid.
+# Fixed values of the known flow: its open channels as inclusive boxes; everything else is solid.
 CHANNELS = ((2, 65, 4, 29), (45, 123, 41, 65), (30, 101, 91, 115))
 
 

@@ -182,7 +182,8 @@ class LoopRecord:
 
     name: str
     box: Box
-    seconds: float = 0.0
+    planned: float = 0.0
+    seconds: float = 0.0  # of running, where loops are profiled
     calls: int = 0
     bytes: int = 0
     fields: list[str] = field(default_factory=list)

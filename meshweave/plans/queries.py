@@ -8,7 +8,6 @@ The meshes: a 40 x 25 grid of quantities (``lineitem`` by part and supplier), a
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +17,11 @@ from ..functions import scalar
 from ..operators import bands, halo, slabs, tridiagonal
 from ..operators.loop import Dat, Gbl, Idx, Mesh, Opt, Reduce, inc, read, rw, write
 from ..operators.reduction import Reduction
-from ..plans.catalog import INC, MAX, MIN, Block, Field, Halo, Stencil
+from ..plans.catalog import INC, MAX, MIN, WRITE, Block, Field, Halo, Stencil
 from ..plans.grid import inside
-from ..sources.shared import shared_dir
+from ..sources.shared import new_path
 from ..sources.store import Store
-from ..streaming.steps import Checkpointer, run_steps
+from ..streaming.steps import Checkpointer, Replay, run_steps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -447,6 +446,20 @@ def reduce_complex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.frame().select("r0.re", "r0.im")
 
 
+@query("reduce_write", f"WITH {G2} SELECT (SELECT v FROM g WHERE v <> 0 AND v < 300 ORDER BY j DESC, i DESC LIMIT 1) AS last, (SELECT sum(v) FROM g) AS total")
+def reduce_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A handle with WRITE has what the last cell wrote that is not zero; another one sums in the same loop."""
+    m, b, v = grid2(spark, sf_dir)
+    last, total = Reduction("last"), Reduction("total")
+
+    def found(v, last, total) -> None:
+        last.add(F.when(v[0, 0] < 300, v[0, 0]).otherwise(0.0))
+        total.add(v[0, 0])
+
+    m.loop("found", b, [0, 40, 0, 25], found, v=read(v), last=Reduce(last, WRITE), total=Reduce(total, INC))
+    return one_row(last=last.frame(), total=total.frame())
+
+
 @query("reduce_point_probe", f"WITH {G2} SELECT sum(v) AS r0 FROM g WHERE i = 12 AND j = 7")
 def reduce_point_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, b, v = grid2(spark, sf_dir)
@@ -529,6 +542,22 @@ def lowdim_reinitialise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return twice.join(m.table(line).withColumnRenamed("line", "again"), "i")
 
 
+@query("lowdim_components", f"WITH {G3} SELECT i, sum(v) AS total, sum(v * k) AS moment, arg_max(v, k * 100 + j) AS last FROM g GROUP BY i")
+def lowdim_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two components folded onto a line in one loop; of a plain write the last cell stays."""
+    m, b, v = grid3(spark, sf_dir)
+    sums, last = m.field(b, "sums", (10, 1, 1), dim=2), m.field(b, "last", (10, 1, 1))
+    point, box = Stencil.point(3), [0, 10, 0, 10, 0, 7]
+
+    def fold(v, sums, last, at) -> None:
+        sums.add(v[0, 0, 0], 0)
+        sums.add(v[0, 0, 0] * at[2], 1)
+        last[0, 0, 0] = v[0, 0, 0]
+
+    m.loop("fold", b, box, fold, v=read(v), sums=Dat(sums, point, INC), last=write(last), at=Idx())
+    return m.table(sums).select("i", F.get("sums", 0).alias("total"), F.get("sums", 1).alias("moment")).join(m.table(last), "i")
+
+
 @query("lowdim_strided_read", f"WITH {G3}, p AS (SELECT i, j, sum(v) AS p FROM g GROUP BY i, j) SELECT i, j, k, v * 100 - p AS new FROM g JOIN p USING (i, j)")
 def lowdim_strided_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plane read back by a loop over the whole grid."""
@@ -668,6 +697,15 @@ def tridiagonal_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.table(v).select("i", "j", F.round("v", 6).alias("v"))
 
 
+@query("tridiagonal_in_pieces", f"WITH {G2} SELECT i, j, round(v, 6) AS d FROM g")
+def tridiagonal_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 40 cells in pieces of 7, as lines of any length would be."""
+    m, b, v = grid2(spark, sf_dir)
+    systems = line_systems(m, b, v, 0)
+    tridiagonal.solve(m, 0, [0, 40, 0, 25], *systems, chunk=7)
+    return m.table(systems[3]).select("i", "j", F.round("d", 6).alias("d"))
+
+
 # random fields
 
 
@@ -781,7 +819,7 @@ def extents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("store_round_trip", f"WITH {G2} SELECT i, j, v, 7 AS c FROM g")
 def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, b, v = grid2(spark, sf_dir)
-    store = Store(spark, tempfile.mktemp(prefix="store-", dir=shared_dir(spark)))
+    store = Store(spark, new_path(spark, "store"))
     store.dump(m, [Stencil.star(2)])
     store.write_constant("c", 7)
     again = Mesh(spark)
@@ -797,7 +835,7 @@ def store_slab_single_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
         v[0, 0] = v[0, 0] / 3
 
     m.loop("third", b, [0, 40, 0, 25], third, v=rw(v))
-    store = Store(spark, tempfile.mktemp(prefix="store-", dir=shared_dir(spark)))
+    store = Store(spark, new_path(spark, "store"))
     store.write_slab(m, v, [0, 4, 0, 6], "part", "single")
     return store.read_part("part").select("i", "j", F.col("v").cast("double").alias("v"))
 
@@ -805,7 +843,7 @@ def store_slab_single_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("store_plane_group", f"WITH {G3} SELECT 'I3/lines/first/v' AS part, CAST(count(*) AS BIGINT) AS cells, sum(v) AS total FROM g WHERE i = 3 UNION ALL SELECT 'K2/lines/first/v', count(*), sum(v) FROM g WHERE k = 2")
 def store_plane_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, b, v = grid3(spark, sf_dir)
-    store = Store(spark, tempfile.mktemp(prefix="store-", dir=shared_dir(spark)))
+    store = Store(spark, new_path(spark, "store"))
     parts = [store.read_part(p).agg(F.lit(p).alias("part"), F.count("*").alias("cells"), F.sum("v").alias("total")) for p in store.write_plane_group(m, [(0, 3), (2, 2)], "first", [v])]
     return parts[0].union(parts[1])
 
@@ -830,7 +868,7 @@ def _steps_sql(n: int) -> str:
 @query("checkpoint_restart", f"WITH {G2}, {_steps_sql(4)} SELECT i, j, v FROM s3")
 def checkpoint_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four steps, of which the last two are done by a second program from the first one's save."""
-    path = tempfile.mktemp(prefix="restart-", dir=shared_dir(spark))
+    path = new_path(spark, "restart")
     for program in range(2):
         m, b, v = grid2(spark, sf_dir)
         new = slabs.copied(m, v, "new")
@@ -846,6 +884,55 @@ def checkpoint_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.table(v)
 
 
+@query("replay_restart", f"WITH {G2}, {_steps_sql(4)} SELECT i, j, v, t.total FROM s3, (SELECT round(sum(v), 4) AS total FROM s2) t")
+def replay_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four steps and a reduction by a program that is run twice; the second run skips the loops that the
+    first one's save has behind it, and gets the reductions of then."""
+    path, totals = new_path(spark, "replay"), []
+    for program in range(2):
+        m, b, v = grid2(spark, sf_dir)
+        new = slabs.copied(m, v, "new")
+        saver = Checkpointer(m, path, [v, new], interval=1e-6 if not program else 3600)
+        run = Replay(saver)
+        run.ready()
+        for k in range(4 if program else 3):
+            total = Reduction("total")
+
+            def back(new, v, total) -> None:
+                v[0, 0] = new[0, 0]
+                total.add(new[0, 0])
+
+            run.loop("average", b, [1, 39, 1, 24], average, v=read(v, Stencil.star(2)), new=write(new))
+            run.loop("back", b, [0, 40, 0, 25], back, new=read(new), v=write(v), total=Reduce(total, INC))
+            if k == 2:
+                totals.append(run.result(total))
+            else:
+                run.result(total)
+    return m.table(v).withColumn("total", F.round(F.lit(totals[-1]), 4))
+
+
+#: A grid that grows with the tables: a row for each part.
+GP = """g AS (SELECT CAST(p_partkey AS INT) AS i, CAST(b.range AS INT) AS j, coalesce(s.v, 0) AS v FROM part CROSS JOIN range(7) b
+ LEFT JOIN (SELECT l_partkey AS i, l_linenumber - 1 AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2) s ON s.i = p_partkey AND s.j = b.range)"""
+
+
+@query(
+    "loop_part_grid",
+    f"WITH {GP}, m AS (SELECT min(i) AS low, max(i) AS high FROM g) SELECT i, j, CASE WHEN i > low AND i < high AND j BETWEEN 1 AND 5 THEN 0.25 * (e + w + n + s) ELSE v END AS v FROM (SELECT i, j, v, {NEAR.format(t='g')}), m",
+)
+def loop_part_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A relaxation step on parts by line numbers, which has as many cells as the scale factor gives."""
+    keys = spark.read.parquet(f"{sf_dir}/part.parquet").agg(F.min("p_partkey"), F.max("p_partkey")).first()
+    low, high = int(keys[0]), int(keys[1]) + 1
+    m = Mesh(spark)
+    b = m.block("parts", 2)
+    values = lineitem(spark, sf_dir).groupBy(F.col("l_partkey").cast("int").alias("i"), (F.col("l_linenumber") - 1).cast("int").alias("j")).agg(F.sum("l_quantity").alias("v"))
+    v = m.field(b, "v", (high - low, 7), base=(low, 0), values=values)
+    new = slabs.copied(m, v, "new")
+    m.loop("average", b, [low + 1, high - 1, 1, 6], average, v=read(v, Stencil.star(2)), new=write(new))
+    return m.table(new).withColumnRenamed("new", "v")
+
+
 @query("band_iteration", f"WITH {G2}, {_steps_sql(5)} SELECT i, j, v FROM s4")
 def band_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five steps in bands of six rows that borrow three rows at a time."""

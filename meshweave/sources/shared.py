@@ -9,17 +9,44 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where that is unset, one of our own."""
+    """The folder named in ``spark.checkpoint.dir``. Only a local session may have none: a temporary
+    folder stands in for it then, as in tests. On a cluster that is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors see")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="meshweave-"))
         named = sc.getCheckpointDir()
-    return named.rstrip("/")
+    return f"{named.rstrip('/')}/meshweave-{sc.applicationId}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: its lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def new_path(spark: SparkSession, what: str) -> str:
+    """A path in the shared folder that nothing has yet."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, what: str, **options: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends there. The folder is the
+    session's own; ``discard`` removes one table of it, ``clear`` all."""
+    path = new_path(df.sparkSession, what)
+    df.write.options(**options).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes what ``stored`` wrote, once nothing reads it any more."""
+    if path := getattr(df, "stored_at", None):
+        _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all that the session has stored; its tables cannot be read afterwards."""
+    _delete(spark, shared_dir(spark))

@@ -11,6 +11,7 @@ import json
 from dataclasses import asdict
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,20 @@ from ..plans.catalog import Block, Field, Halo, MeshError, Stencil
 PRECISIONS = {"double": "double", "single": "float", "half": "float"}
 
 
+class Missing(MeshError):
+    """Nothing is stored under a name."""
+
+
+def read_text(spark: SparkSession, path: str) -> list[str]:
+    """The lines of a small text; none if there is no such path. Any other failure is raised."""
+    try:
+        return [r["value"] for r in spark.read.text(path).collect()]
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -32,11 +47,10 @@ class Store:
         row.coalesce(1).write.mode("overwrite").text(f"{self.path}/meta/{kind}/{name}")
 
     def _get(self, kind: str, name: str) -> Any:
-        try:
-            row = self.spark.read.text(f"{self.path}/meta/{kind}/{name}").first()
-        except Exception as e:
-            raise MeshError(f"{self.path} has no {kind} {name}") from e
-        return json.loads(row["value"])
+        rows = read_text(self.spark, f"{self.path}/meta/{kind}/{name}")
+        if not rows:
+            raise Missing(f"{self.path} has no {kind} {name}")
+        return json.loads(rows[0])
 
     def write_block(self, block: Block) -> None:
         self._put("block", block.name, asdict(block))
@@ -74,7 +88,7 @@ class Store:
         """The whole allocation. A field that is there already must have the same metadata."""
         try:
             old = self._get("field", f"{f.block.name}.{f.name}")
-        except MeshError:
+        except Missing:
             old = None
         meta = {k: list(v) if isinstance(v, tuple) else v for k, v in asdict(f).items() if k != "block"} | {"block": f.block.name}
         if old is not None and old != meta:
@@ -113,9 +127,7 @@ class Store:
         if precision == "half":
             from ..functions.scalar import to_half
 
-            if f.dim > 1:
-                raise MeshError("half precision is written for one component")
-            value = to_half(value)
+            value = F.transform(value, to_half) if f.dim > 1 else to_half(value)
         return df.withColumn(f.name, value.cast(f"array<{kind}>" if f.dim > 1 else kind))
 
     def write_slab(self, mesh: Mesh, f: Field, box: list[int], name: str, precision: str | None = None) -> None:
@@ -137,7 +149,11 @@ class Store:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
     def append_text(self, mesh: Mesh, f: Field, name: str) -> None:
-        """Appends a header and all cells as text, ordered within one part file."""
-        head = self.spark.createDataFrame([(f"{f.name} block={f.block.name} size={list(f.size)} dim={f.dim} type={f.dtype}",)], "line string")
-        head.coalesce(1).write.mode("append").text(f"{self.path}/{name}")
-        slabs.text_lines(mesh, f).select("line").coalesce(1).write.mode("append").text(f"{self.path}/{name}")
+        """Appends a header and all cells as text, in one part file in order."""
+        head = F.lit(f"{f.name} block={f.block.name} size={list(f.size)} dim={f.dim} type={f.dtype}")
+        lines = slabs.text_lines(mesh, f)
+        rest = [x for x in lines.columns if x != "line"]
+        cells = lines.select(F.lit(1).alias("__at"), *rest, "line")
+        first = self.spark.range(1).select(F.lit(0).alias("__at"), *(F.lit(None).cast("int").alias(x) for x in rest), head.alias("line"))
+        ordered = first.unionByName(cells).orderBy("__at", *reversed(rest))
+        ordered.select("line").coalesce(1).write.mode("append").text(f"{self.path}/{name}")

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,8 +7,10 @@ from meshweave.operators import halo, slabs, tridiagonal
 from meshweave.operators.gather import by_key, by_window
 from meshweave.operators.loop import Dat, Idx, Mesh, Reduce, read, rw, write
 from meshweave.operators.reduction import Reduction
-from meshweave.plans.catalog import INC, MAX, MIN, Block, Field, Halo, MeshError, Stencil
+from meshweave.plans.catalog import INC, MAX, MIN, WRITE, Block, Field, Halo, MeshError, Stencil
 from meshweave.plans.grid import densified, index_set
+from meshweave.plans.options import Options
+from meshweave.streaming.steps import timings
 
 
 def numbered(m: Mesh, b: Block, name: str, size: tuple[int, ...], factors: tuple[int, ...], **more) -> Field:
@@ -283,3 +286,62 @@ def test_arrays_and_metadata(spark):
         slabs.transposed(m, f, (0, 0))
     m.free(f)
     assert [r["field"] for r in m.catalog().collect()] == ["pair"]
+
+
+def test_partitioned_tridiagonal(spark):
+    """Pieces of any size give the solution of the whole system, with either end's neighbour left out."""
+    rng = np.random.default_rng(4)
+    n = 57
+    lower, upper = rng.uniform(-1, 1, n), rng.uniform(-1, 1, n)
+    middle, right = rng.uniform(3, 4, n), rng.normal(size=n)
+    full = np.diag(middle) + np.diag(lower[1:], -1) + np.diag(upper[:-1], 1)
+    want = np.linalg.solve(full, right)
+    m = Mesh(spark)
+    b = m.block("line", 1)
+    values = spark.createDataFrame([(k, float(lower[k]), float(middle[k]), float(upper[k]), float(right[k])) for k in range(n)], "i int, a double, b double, c double, d double")
+    a, bb, c, d = (m.field(b, x, (n,), values=values.select("i", x)) for x in "abcd")
+    x = m.field(b, "x", (n,))
+    for chunk in (1, 2, 10, 56, 57):
+        tridiagonal.solve(m, 0, [0, n], a, bb, c, d, into=x, chunk=chunk)
+        m.cut(x)
+    got = slabs.as_array(m, x)
+    assert np.allclose(got, 5 * want, rtol=1e-9)
+
+
+def test_each_loop_runs_once(spark):
+    """A loop that writes and reduces is stored; its handles share one row."""
+    m = Mesh(spark, profile=True)
+    b = m.block("b", 2)
+    f = m.field(b, "f", (6, 5))
+    total, most, last, none = Reduction("total"), Reduction("most", dtype="int"), Reduction("last", dtype="int"), Reduction("none")
+
+    def set_(f, at, total, most, last, none) -> None:
+        f[0, 0] = at[0] + 10 * at[1]
+        total.add(at[0])
+        most.add(at[1])
+        last.add(F.when(at[1] < 3, at[0] + 1).otherwise(0))
+
+    m.loop("set", b, [0, 6, 0, 5], set_, f=write(f), at=Idx(), total=Reduce(total, INC), most=Reduce(most, MAX), last=Reduce(last, WRITE), none=Reduce(none, MIN))
+    assert total.pending[0][0] is most.pending[0][0]
+    assert (total.result(), most.result(), last.result()) == (75.0, 4, 6) and none.result() > 1e300
+    m.loop("empty", b, [2, 2, 0, 5], set_, f=write(f), at=Idx(), total=Reduce(total, INC), most=Reduce(most, MAX), last=Reduce(last, WRITE), none=Reduce(none, MIN))
+    assert total.result() == 0.0 and last.result() == 0
+    m.deal(f, 1, 3)
+    assert m.tables[m.key(f)].count() == 30
+    with pytest.raises(MeshError):
+        m.deal(f, 2, 3)
+    told = {r["loop"]: r for r in timings(m).collect()}
+    assert told["set"]["seconds"] > 0 and told["set"]["gb_per_second"] > 0 and told["set"]["planned"] > 0
+
+
+def test_options(spark):
+    assert Options.parse([]) == Options()
+    got = Options.parse(["--profile", "-cut-every=2", "other", "partitions=3", "PARTITIONS=5", "interval=0.5", "diagnostics=2"])
+    assert got == Options(True, 2, 5, 2, 0.5)
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    m = got.mesh(spark)
+    assert m.profile and m.cut_every == 2 and spark.conf.get("spark.sql.shuffle.partitions") == "5"
+    spark.conf.set("spark.sql.shuffle.partitions", kept)
+    for bad in ("partitions=x", "cut_every=0", "interval=-1"):
+        with pytest.raises(MeshError):
+            Options.parse([bad])
