@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from itertools import islice
 
@@ -14,33 +12,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (a local test
-    session) a temporary folder stands in for it.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="meshweave-")
-        sc.setCheckpointDir(named)
-        named = sc.getCheckpointDir()
-    return named.rstrip("/")
-
-
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, what, compression="zstd")
 
 
 def _bound_batches(spark: SparkSession) -> None:

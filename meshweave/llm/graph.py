@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard
 from .common import materialise
 
 
@@ -42,6 +43,7 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
     pairs = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     pairs = materialise(pairs, what)
     while not _stars(pairs):
-        pairs = materialise(_star(_star(pairs, True), False), what)
+        before, pairs = pairs, materialise(_star(_star(pairs, True), False), what)
+        discard(before)
     stars = pairs.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())
