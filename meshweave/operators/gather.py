@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import prod
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +38,9 @@ def by_key(df: DataFrame, axes: tuple[str, ...], wanted: dict[str, set[tuple[int
     names = [c for c in df.columns if c not in axes]
     home = [F.struct(*(F.col(x).alias(x) for x in axes), F.lit(-1).alias("point"))]
     sent = [F.struct(*((F.col(x) - o[a]).cast("int").alias(x) for a, x in enumerate(axes)), F.lit(k).alias("point")) for k, o in enumerate(offsets)]
-    spread = df.select(F.explode(F.array(*home, *sent)).alias("to"), *(F.col(f"`{c}`") for c in names))
     is_home = F.col("to.point") == -1
+    # Sent copies carry only what is wanted there.
+    spread = df.withColumn("to", F.explode(F.array(*home, *sent))).select("to", *(F.col(f"`{c}`") if any(any(o) for o in wanted.get(c, ())) else F.when(is_home, F.col(f"`{c}`")).alias(c) for c in names))
     out = [F.max(F.when(is_home, F.lit(True))).alias("__home")] + [F.max_by(F.col(f"`{c}`"), is_home).alias(c) for c in names]
     for c, os in wanted.items():
         for o in sorted(os):
@@ -48,6 +51,18 @@ def by_key(df: DataFrame, axes: tuple[str, ...], wanted: dict[str, set[tuple[int
     return grouped.where("__home").drop("__home")
 
 
-def gather(df: DataFrame, axes: tuple[str, ...], wanted: dict[str, set[tuple[int, ...]]]) -> DataFrame:
-    """Windows along the lines of a grid; by key where there is one line only."""
-    return by_window(df, axes, wanted) if len(axes) > 1 else by_key(df, axes, wanted)
+#: A grid of at most so many cells is gathered by windows, however few lines it has.
+FEW_CELLS = 200_000
+
+
+def gather(df: DataFrame, axes: tuple[str, ...], wanted: dict[str, set[tuple[int, ...]]], sizes: tuple[int, ...] = ()) -> DataFrame:
+    """Windows along the lines of a grid. By key where there is one line only, or where a large grid
+    (``sizes`` along the axes) has fewer lines along an axis that is wanted than there are partitions: each
+    line is one task's."""
+    if len(axes) == 1:
+        return by_key(df, axes, wanted)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    used = {a for os in wanted.values() for o in os for a, x in enumerate(o) if x}
+    if sizes and prod(sizes) > FEW_CELLS and any(prod(sizes) // sizes[a] < parts for a in used):
+        return by_key(df, axes, wanted)
+    return by_window(df, axes, wanted)

@@ -289,18 +289,20 @@ class Mesh:
         within = inside(box, block.axes)
         own: dict[str, Column] = {}
         others: dict[tuple, dict[str, Column]] = {}
+        folds_onto: list[tuple[Dat, dict[int, Column]]] = []
         for k, d in dats.items():
             f, new = d.field, views[k].new
             if not new:
                 continue
             if f.degenerate:
-                self._fold(d, new, cells.where(within))
+                folds_onto.append((d, new))
                 continue
             value = self._value(d, new)
             if home == self.key(f):
                 own[f.name] = F.when(within, value).otherwise(F.col(f"`{f.name}`"))
             else:
                 others.setdefault(self.key(f), {})[f.name] = value
+        self._fold_all(block, folds_onto, cells.where(within))
         for key, values in others.items():
             new = cells.where(within).select(*block.axes, *(v.alias(f"__new_{c}") for c, v in values.items()), F.lit(True).alias("__hit"))
             self._put(key, new, {c: F.col(f"`__new_{c}`") for c in values}, box_size(box))
@@ -364,27 +366,45 @@ class Mesh:
             return to_half(value)
         return value.cast(TYPES[f.dtype])
 
-    def _fold(self, d: Dat, new: dict[int, Column], cells: DataFrame) -> None:
-        """Folds a loop onto a field with collapsed axes: one group for each kept coordinate."""
+    def _fold_all(self, block: Block, targets: list[tuple[Dat, dict[int, Column]]], cells: DataFrame) -> None:
+        """Folds a loop onto fields with collapsed axes: one group for each kept coordinate. Several targets
+        are folded in one pass, by grouping sets, whose result is stored."""
+        last = F.struct(*reversed(block.axes))  # of a plain write the last cell in storage order stays
+
+        def parts(n: int) -> list[Column]:
+            d, new = targets[n]
+            return [(folded(v, d.access) if d.access in (INC, MIN, MAX) else F.max_by(v, last)).alias(f"__fold{n}_{c}") for c, v in new.items()]
+
+        if len(targets) > 1:
+            axes = [x for x in block.axes if any(x in d.field.axes for d, _ in targets)]
+            sets = list(dict.fromkeys(tuple(d.field.axes) for d, _ in targets))
+            grouped = cells.groupingSets([[F.col(x) for x in s] for s in sets], *axes)
+            every = stored(grouped.agg(F.grouping_id().alias("__set"), *(p for n in range(len(targets)) for p in parts(n))), "folds")
+        for n, (d, new) in enumerate(targets):
+            if len(targets) == 1:
+                found = cells.groupBy(*d.field.axes).agg(*parts(n))
+            else:
+                own = sum(1 << k for k, x in enumerate(reversed(axes)) if x not in d.field.axes)
+                found = every.where(F.col("__set") == own)
+            self._fold(d, new, found.select(*d.field.axes, *(F.col(f"__fold{n}_{c}").alias(f"__fold{c}") for c in new), F.lit(True).alias("__hit")))
+
+    def _fold(self, d: Dat, new: dict[int, Column], found: DataFrame) -> None:
+        """Merges a loop's folds into a field."""
         f, at = d.field, (d.field.block.name, d.field.name)
         key, few = self.key(f), box_size(tuple(f.allocation[a] for a in f.kept))
         element = TYPES[f.dtype]
         old = [F.get(F.col(f"`{f.name}`"), c) if f.dim > 1 else F.col(f"`{f.name}`") for c in range(f.dim)]
         whole = lambda parts: F.array(*(p.cast(element) for p in parts)) if f.dim > 1 else parts[0].cast(element)
-        if d.access in (INC, MIN, MAX):
-            fresh = self.folds.get(at) != d.access
-            if fresh:  # first use, another access than before, or read since then
-                self._keep(key, self.tables[key].withColumn(f.name, whole([F.lit(identity(d.access, f.dtype))] * f.dim)))
-            found = cells.groupBy(*f.axes).agg(*(folded(v, d.access).alias(f"__fold{c}") for c, v in new.items()))
-            both = F.least if d.access == MIN else F.greatest
-            merged = [old[c] if c not in new else F.coalesce(old[c] + F.col(f"__fold{c}"), old[c]) if d.access == INC else both(old[c], F.col(f"__fold{c}")) for c in range(f.dim)]
-            self._put(key, found.withColumn("__hit", F.lit(True)), {f.name: whole(merged)}, few)
-            self.folds[at] = d.access
-        else:  # the last cell in storage order is what stays
-            last = F.struct(*reversed(d.field.block.axes))
-            found = cells.groupBy(*f.axes).agg(*(F.max_by(v, last).alias(f"__fold{c}") for c, v in new.items())).withColumn("__hit", F.lit(True))
+        if d.access not in (INC, MIN, MAX):
             self._put(key, found, {f.name: whole([F.col(f"__fold{c}") if c in new else old[c] for c in range(f.dim)])}, few)
             self.folds.pop(at, None)
+            return
+        if self.folds.get(at) != d.access:  # first use, another access than before, or read since then
+            self._keep(key, self.tables[key].withColumn(f.name, whole([F.lit(identity(d.access, f.dtype))] * f.dim)))
+        both = F.least if d.access == MIN else F.greatest
+        merged = [old[c] if c not in new else F.coalesce(old[c] + F.col(f"__fold{c}"), old[c]) if d.access == INC else both(old[c], F.col(f"__fold{c}")) for c in range(f.dim)]
+        self._put(key, found, {f.name: whole(merged)}, few)
+        self.folds[at] = d.access
 
     def _gathered(self, block: Block, box: Box, dats: list[Dat]) -> tuple[DataFrame, tuple | None]:
         """The loop's cells with all that its arguments read, and the table that they come from."""
@@ -405,11 +425,11 @@ class Mesh:
                 self.folds.pop((d.field.block.name, d.field.name), None)
         cells = self.tables[home] if home else index_set(self.spark, block.axes, box)
         if home:
-            cells = _neighbours(cells, block.dims, tuple(range(block.dims)), wanted.pop(home, {}))
+            cells = _neighbours(cells, block.dims, tuple(range(block.dims)), wanted.pop(home, {}), home[2])
         for key, columns in wanted.items():
             axes = tuple(AXES[a] for a in key[1])
             own = self.tables[key].select(*axes, *(F.col(f"`{c}`") for c in columns))
-            own = _neighbours(own, block.dims, key[1], columns)
+            own = _neighbours(own, block.dims, key[1], columns, key[2])
             if box_size(key[2]) <= MOST_SENT:
                 own = F.broadcast(own)
             cells = cells.join(own, list(axes), "left") if axes else cells.crossJoin(own)
@@ -450,12 +470,12 @@ class Mesh:
         return cells.join(renamed, on, "left").drop(*(f"__{x}" for x in axes))
 
 
-def _neighbours(df: DataFrame, dims: int, kept: tuple[int, ...], wanted: dict[str, set]) -> DataFrame:
+def _neighbours(df: DataFrame, dims: int, kept: tuple[int, ...], wanted: dict[str, set], box: Box = ()) -> DataFrame:
     """Gathers along the kept axes; columns are named by offsets over all axes."""
     axes = tuple(AXES[a] for a in kept)
     if not axes:
         return df
-    out = gather(df, axes, wanted)
+    out = gather(df, axes, wanted, tuple(high - low for low, high in box))
     if len(kept) == dims:
         return out
     names = {name_of(c, o): name_of(c, tuple(o[kept.index(a)] if a in kept else 0 for a in range(dims))) for c, os in wanted.items() for o in os if any(o)}

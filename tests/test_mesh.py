@@ -345,3 +345,15 @@ def test_options(spark):
     for bad in ("partitions=x", "cut_every=0", "interval=-1"):
         with pytest.raises(MeshError):
             Options.parse([bad])
+
+
+def test_large_grids_of_few_lines_are_gathered_by_key(spark, monkeypatch):
+    from meshweave.operators import gather as g
+
+    df = spark.range(6 * 5).select((F.col("id") % 6).cast("int").alias("i"), (F.col("id") / 6).cast("int").alias("j"), F.col("id").alias("v"), (F.col("id") * 2).alias("other"))
+    wanted = {"v": {(1, 0), (0, -1), (1, 1), (0, 0)}}
+    want = sorted(map(str, by_window(df, ("i", "j"), wanted).collect()))
+    monkeypatch.setattr(g, "FEW_CELLS", 10)
+    got = g.gather(df, ("i", "j"), wanted, (6, 5))  # 8 partitions, fewer lines
+    assert "Window" not in got._jdf.queryExecution().toString()
+    assert sorted(map(str, got.select(*by_window(df, ("i", "j"), wanted).columns).collect())) == want
