@@ -10,6 +10,7 @@ place by their length and their rank among the pieces of that length.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -39,16 +40,33 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_SYMBOLS = {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*_SHOWN}))}
 
 
+# The stages of a tokenizer for which the above holds, as its file names them.
+_STAGES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class WordEncoder:
     """Token ids of whole texts as little-endian 32-bit bytes, with a bounded cache of words.
 
-    The tokenizer splits a text into words and merges within each word alone, so the ids of a text
-    are those of its words in order.
+    A tokenizer with the stages above splits a text into words and merges within each word alone, so the
+    ids of a text are those of its words in order. Any other tokenizer encodes each text whole.
     """
 
     def __init__(self, path: str, cache_words: int = 200_000):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:  # a public vocabulary, at this path on every machine
+            told = json.load(file)
+        self.by_word = all(told.get(k) == v for k, v in _STAGES.items()) and told["model"].get("type") == "BPE" and not told["model"].get("dropout")
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in told.get("added_tokens") or ()) or "(?!)")
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
         self.cache_words = cache_words
@@ -57,7 +75,7 @@ class WordEncoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if "<|" in text or not _PLAIN.fullmatch(text):
+        if not self.by_word or not _PLAIN.fullmatch(text) or self.special.search(text):
             return self.whole(text)
         words = _SPLIT.findall(text.lower())
         cache = self.cache

@@ -360,6 +360,21 @@ def test_odd_texts_are_encoded_alike():
         assert own.encode(text) == np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    from tokenizers import Tokenizer
+
+    own = packing.WordEncoder(queries.tokenizer_path())
+    assert own.by_word
+    told = json.load(open(queries.tokenizer_path()))
+    told["normalizer"]["normalizers"].pop()  # letter case now counts
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(told))
+    other, tokenizer = packing.WordEncoder(str(path)), Tokenizer.from_file(str(path))
+    assert not other.by_word
+    for text in ("Mixed Case words, and MORE", "plain words"):
+        assert other.encode(text) == np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 # classifiers
 
 

@@ -38,3 +38,27 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null, empty and very long texts, repeated and null ids, an empty table, and an extra column."""
+    long = " ".join(f"word{k % 977} and{k % 31}" for k in range(60_000)) + " password = hunter2hunter2"
+    rows = [(1, None, "a"), (2, "", "b"), (3, "some words of a text", "c"), (3, "some words of a text", "d"), (3, "other words in this one", "e"), (None, "a row without an id", "f"), (7, long, "g")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
+    sf = f"file://{tmp_path}"
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{sf}/{name}.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    for docs in (odd, odd.limit(0)):
+        scored = stages["quality_classifier"](spark, docs, sf)
+        assert scored.columns == docs.columns and scored.count() <= docs.count()
+        kept = docs
+        for name in ("jaccard_join", "decontamination", "secret_scan"):
+            kept = corpus_pipeline.materialise(stages[name](spark, kept, sf), name)
+            assert kept.columns == docs.columns
+        if docs is odd:
+            got = sorted(((r["doc_id"], r["text"], r["row"]) for r in kept.collect()), key=str)
+            want = [r for r in rows if r[2] != "d"]  # of equal rows the first stays
+            want[-1] = (7, long.replace("password = hunter2hunter2", "[SECRET]"), "g")
+            assert got == sorted(want, key=str)
+        assert stages["best_fit_packing"](spark, kept, sf).select("doc_id", "piece").distinct().count() >= kept.select("doc_id").distinct().count()
