@@ -1,11 +1,20 @@
-"""Neighbour values on a dense grid."""
+"""Neighbour values on a dense grid.
+
+Grids are gathered by windows, one for each axis, wholly in SQL; a window's line is one task's. A large
+grid with few lines is cut into tiles instead: each cell goes to its tile, and to the neighbouring tiles
+that can reach it, in one shuffle; a tile's neighbours are then looked up by index, in Arrow, whatever the
+number of axes and offsets. (Of 1024 x 1024 cells windows take half as long as tiles.)
+"""
 
 from __future__ import annotations
 
 from math import prod
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def name_of(column: str, offset: tuple[int, ...]) -> str:
@@ -51,18 +60,87 @@ def by_key(df: DataFrame, axes: tuple[str, ...], wanted: dict[str, set[tuple[int
     return grouped.where("__home").drop("__home")
 
 
+def tile_sizes(sizes: tuple[int, ...], reach: tuple[int, ...], most: int = 1 << 18) -> tuple[int, ...]:
+    """Extents of a tile: of about ``most`` cells, cut along the last axes first, as they are stored, and
+    never thinner than what is borrowed from a neighbour."""
+    out = list(sizes)
+    while prod(out) > most:
+        for a in reversed(range(len(out))):
+            if (half := -(-out[a] // 2)) >= max(16, 2 * reach[a]) and half < out[a]:
+                out[a] = half
+                break
+        else:
+            break
+    return tuple(out)
+
+
+def _crossed(tiles: Column, here: Column, n: int) -> Column:
+    """Numbers of tiles over one axis more, which has ``n`` tiles."""
+    return F.flatten(F.transform(tiles, lambda k: F.transform(here, lambda x: k * n + x)))
+
+
+def by_tile(df: DataFrame, axes: tuple[str, ...], wanted: dict[str, set[tuple[int, ...]]], box: tuple[tuple[int, int], ...], most: int = 1 << 18) -> DataFrame:
+    """The same in tiles of a box, which holds all coordinates. A task holds one tile and its borders."""
+    offsets = sorted({o for os in wanted.values() for o in os if any(o)})
+    if not offsets:
+        return df
+    sizes = tuple(high - low for low, high in box)
+    reach = tuple(max(abs(o[a]) for o in offsets) for a in range(len(axes)))
+    tile = tile_sizes(sizes, reach, most)
+    counts = tuple(-(-n // t) for n, t in zip(sizes, tile, strict=True))
+    to = F.array(F.lit(0).cast("long"))
+    for axis, (low, _), t, r, n in zip(axes, box, tile, reach, counts, strict=True):
+        at = F.col(axis) - low
+        own, within = F.floor(at / t), at % t
+        near = [own, *([F.when((within < r) & (own > 0), own - 1), F.when((within >= t - r) & (own < n - 1), own + 1)] if r and n > 1 else [])]
+        here = F.filter(F.array(*near), lambda x: x.isNotNull())
+        to = _crossed(to, here, n)
+    sent = df.withColumn("__tile", F.explode(to))
+    names = df.columns
+    new = [(name_of(c, o), c, o) for c, os in wanted.items() for o in sorted(os) if any(o)]
+
+    def run(table: pa.Table) -> pa.Table:
+        k = table.column("__tile")[0].as_py()
+        corner = []
+        for n in reversed(counts):
+            k, c = divmod(k, n)
+            corner.append(c)
+        begin = [low + c * t for (low, _), c, t in zip(box, reversed(corner), tile, strict=True)]
+        shape = [t + 2 * r for t, r in zip(tile, reach, strict=True)]
+        at = [table.column(x).to_numpy().astype(np.int64) - b + r for x, b, r in zip(axes, begin, reach, strict=True)]
+        inside = np.ones(table.num_rows, bool)
+        for x, t, r in zip(at, tile, reach, strict=True):
+            inside &= (x >= r) & (x < r + t)
+        rows = np.full(prod(shape), -1, np.int64)
+        rows[np.ravel_multi_index(at, shape)] = np.arange(table.num_rows)
+        home = np.flatnonzero(inside)
+        mine = np.ravel_multi_index([x[home] for x in at], shape)
+        steps = [prod(shape[a + 1 :]) for a in range(len(shape))]
+        found = {}
+        for o in offsets:  # borders are as wide as the offsets, so no index wraps around
+            row = rows[mine + sum(x * s for x, s in zip(o, steps, strict=True))]
+            found[o] = pa.array(row, mask=row < 0)
+        own = table.select(names).take(pa.array(home))
+        for name, c, o in new:
+            own = own.append_column(name, table.column(c).take(found[o]))
+        return own
+
+    schema = StructType([*df.schema.fields, *(StructField(name, df.schema[c].dataType, True) for name, c, _ in new)])
+    return sent.groupBy("__tile").applyInArrow(run, schema)
+
+
 #: A grid of at most so many cells is gathered by windows, however few lines it has.
 FEW_CELLS = 200_000
 
 
-def gather(df: DataFrame, axes: tuple[str, ...], wanted: dict[str, set[tuple[int, ...]]], sizes: tuple[int, ...] = ()) -> DataFrame:
-    """Windows along the lines of a grid. By key where there is one line only, or where a large grid
-    (``sizes`` along the axes) has fewer lines along an axis that is wanted than there are partitions: each
-    line is one task's."""
+def gather(df: DataFrame, axes: tuple[str, ...], wanted: dict[str, set[tuple[int, ...]]], box: tuple[tuple[int, int], ...] = ()) -> DataFrame:
+    """By key along a single axis; by tiles on a large grid (if its box is known) that has fewer lines along
+    an axis that is wanted than there are partitions; by windows otherwise."""
     if len(axes) == 1:
         return by_key(df, axes, wanted)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = [high - low for low, high in box]
     used = {a for os in wanted.values() for o in os for a, x in enumerate(o) if x}
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if sizes and prod(sizes) > FEW_CELLS and any(prod(sizes) // sizes[a] < parts for a in used):
-        return by_key(df, axes, wanted)
+        return by_tile(df, axes, wanted, box)
     return by_window(df, axes, wanted)

@@ -475,7 +475,7 @@ def _neighbours(df: DataFrame, dims: int, kept: tuple[int, ...], wanted: dict[st
     axes = tuple(AXES[a] for a in kept)
     if not axes:
         return df
-    out = gather(df, axes, wanted, tuple(high - low for low, high in box))
+    out = gather(df, axes, wanted, box)
     if len(kept) == dims:
         return out
     names = {name_of(c, o): name_of(c, tuple(o[kept.index(a)] if a in kept else 0 for a in range(dims))) for c, os in wanted.items() for o in os if any(o)}

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from meshweave.functions import randoms, scalar
 from meshweave.operators import halo, slabs, tridiagonal
-from meshweave.operators.gather import by_key, by_window
+from meshweave.operators.gather import by_key, by_tile, by_window
 from meshweave.operators.loop import Dat, Idx, Mesh, Reduce, read, rw, write
 from meshweave.operators.reduction import Reduction
 from meshweave.plans.catalog import INC, MAX, MIN, WRITE, Block, Field, Halo, MeshError, Stencil
@@ -347,13 +347,40 @@ def test_options(spark):
             Options.parse([bad])
 
 
-def test_large_grids_of_few_lines_are_gathered_by_key(spark, monkeypatch):
+@pytest.mark.parametrize("sizes", [(23, 40), (70, 3), (9, 11, 20)])
+def test_tiles_equal_windows(spark, sizes):
+    """Tiles of any cut, with corners, wide offsets, several columns, arrays and nulls."""
+    axes = ("i", "j", "k")[: len(sizes)]
+    low = (-2, 5, 0)[: len(sizes)]
+    n = int(np.prod(sizes))
+    at, rest = [], F.col("id")
+    for x, size, base in zip(axes, sizes, low, strict=True):
+        at.append((rest % size + base).cast("int").alias(x))
+        rest = F.floor(rest / size)
+    df = spark.range(n).select(*at, F.when(F.col("id") % 7 > 0, F.col("id") * 1.5).alias("v"), F.array(F.col("id"), F.col("id") + 1).alias("w"), (F.col("id") % 2 == 0).alias("other"))
+    unit = lambda a, s: tuple(s if b == a else 0 for b in range(len(sizes)))
+    wanted = {"v": {unit(0, 1), unit(1, -2), (1,) * len(sizes), (0,) * len(sizes)}, "w": {unit(len(sizes) - 1, 3), (-1,) * len(sizes)}}
+    want = by_window(df, axes, wanted)
+    box = tuple((b, b + s) for b, s in zip(low, sizes, strict=True))
+    for most in (64, 1 << 18):
+        got = by_tile(df, axes, wanted, box, most)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*(F.col(f"`{c}`") for c in got.columns)).collect()))
+
+
+def test_large_grids_of_few_lines_are_gathered_in_tiles(spark, monkeypatch):
     from meshweave.operators import gather as g
 
-    df = spark.range(6 * 5).select((F.col("id") % 6).cast("int").alias("i"), (F.col("id") / 6).cast("int").alias("j"), F.col("id").alias("v"), (F.col("id") * 2).alias("other"))
-    wanted = {"v": {(1, 0), (0, -1), (1, 1), (0, 0)}}
-    want = sorted(map(str, by_window(df, ("i", "j"), wanted).collect()))
     monkeypatch.setattr(g, "FEW_CELLS", 10)
-    got = g.gather(df, ("i", "j"), wanted, (6, 5))  # 8 partitions, fewer lines
-    assert "Window" not in got._jdf.queryExecution().toString()
-    assert sorted(map(str, got.select(*by_window(df, ("i", "j"), wanted).columns).collect())) == want
+    monkeypatch.setattr(g, "by_window", None)
+    m = Mesh(spark)
+    b = m.block("b", 2)
+    f = numbered(m, b, "f", (40, 5), (1, 100))  # five lines, eight partitions
+    new = slabs.copied(m, f, "new")
+
+    def step(f, new) -> None:
+        new[0, 0] = f[1, 0] + f[0, -1]
+
+    m.loop("step", b, [0, 39, 1, 5], step, f=read(f, Stencil.star(2)), new=write(new))
+    got = slabs.as_array(m, new)
+    at = np.arange(40)[:, None] + 100 * np.arange(5)[None, :]
+    assert (got[:-1, 1:] == (at[1:, 1:] + at[:-1, :-1])).all() and (got[-1] == at[-1]).all()
