@@ -371,7 +371,8 @@ def test_large_grids_of_few_lines_are_gathered_in_tiles(spark, monkeypatch):
     from meshweave.operators import gather as g
 
     monkeypatch.setattr(g, "FEW_CELLS", 10)
-    monkeypatch.setattr(g, "by_window", None)
+    seen, whole = [], g.by_tile
+    monkeypatch.setattr(g, "by_tile", lambda *a: seen.append(a) or whole(*a))
     m = Mesh(spark)
     b = m.block("b", 2)
     f = numbered(m, b, "f", (40, 5), (1, 100))  # five lines, eight partitions
@@ -382,5 +383,6 @@ def test_large_grids_of_few_lines_are_gathered_in_tiles(spark, monkeypatch):
 
     m.loop("step", b, [0, 39, 1, 5], step, f=read(f, Stencil.star(2)), new=write(new))
     got = slabs.as_array(m, new)
+    assert len(seen) == 1
     at = np.arange(40)[:, None] + 100 * np.arange(5)[None, :]
     assert (got[:-1, 1:] == (at[1:, 1:] + at[:-1, :-1])).all() and (got[-1] == at[-1]).all()
