@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -338,6 +338,95 @@ def stencil_cross_terms_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.table(new)
 
 
+#: Weights of the second difference of eighth order, from the centre outward.
+EIGHTH = (-205 / 72, 8 / 5, -1 / 5, 8 / 315, -1 / 560)
+
+
+def _eighth_sql() -> str:
+    pair = lambda w: " + ".join(f"{c!r} * (coalesce(lag(v, {d}) OVER {w}, 0) + coalesce(lead(v, {d}) OVER {w}, 0))" for d, c in enumerate(EIGHTH) if d)
+    sides = " + ".join(f"({pair(w)})" for w in "xyz")
+    return f"SELECT i, j, k, round({3 * EIGHTH[0]!r} * v + {sides}, 6) AS new FROM g WINDOW x AS (PARTITION BY j, k ORDER BY i), y AS (PARTITION BY i, k ORDER BY j), z AS (PARTITION BY i, j ORDER BY k)"
+
+
+@query("stencil_25_point_3d", f"WITH {G3} {_eighth_sql()}")
+def stencil_25_point_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Laplacian of a wave kernel: four neighbours each way along three axes, zero beyond the grid."""
+    m = Mesh(spark)
+    b = m.block("lines", 3)
+    at = (F.col("l_suppkey") % 10).cast("int").alias("i"), (F.col("l_partkey") % 10).cast("int").alias("j"), (F.col("l_linenumber") - 1).cast("int").alias("k")
+    halo4 = {"below": (-4, -4, -4), "above": (4, 4, 4)}
+    v = m.field(b, "v", (10, 10, 7), values=lineitem(spark, sf_dir).groupBy(*at).agg(F.sum("l_quantity").alias("v")), **halo4)
+    new = m.field(b, "new", (10, 10, 7), **halo4)
+    star = Stencil.star(3, reach=4)
+
+    def laplacian(v, new) -> None:
+        out = 3 * EIGHTH[0] * v[0, 0, 0]
+        for p in star.points[1:]:
+            out = out + EIGHTH[max(map(abs, p))] * v[p]
+        new[0, 0, 0] = out
+
+    m.loop("laplacian", b, [0, 10, 0, 10, 0, 7], laplacian, v=read(v, star), new=write(new))
+    return slabs.interior(m, new).withColumn("new", F.round("new", 6))
+
+
+GAMMA = 1.4
+WAVES_SQL = f"""{G1}, s AS (SELECT i, 1 + v / 100 AS r, (v % 7) / 10 - 0.3 AS u, 1 + v / 50 AS p FROM g),
+q AS (SELECT i, r, r * u AS m, p / ({GAMMA} - 1) + 0.5 * r * u * u AS e, u, sqrt(r) AS w, (p / ({GAMMA} - 1) + 0.5 * r * u * u + p) / r AS h FROM s),
+n AS (SELECT i, lead(r) OVER o - r AS dr, lead(m) OVER o - m AS dm, lead(e) OVER o - e AS de,
+      (w * u + lead(w) OVER o * lead(u) OVER o) / (w + lead(w) OVER o) AS ru, (w * h + lead(w) OVER o * lead(h) OVER o) / (w + lead(w) OVER o) AS rh FROM q WINDOW o AS (ORDER BY i)),
+c AS (SELECT *, sqrt(({GAMMA} - 1) * (rh - 0.5 * ru * ru)) AS a FROM n),
+z AS (SELECT *, ({GAMMA} - 1) / (a * a) * ((rh - ru * ru) * dr + ru * dm - de) AS a2 FROM c),
+y AS (SELECT *, (dr * (ru + a) - dm - a * a2) / (2 * a) AS a1 FROM z),
+waves AS (SELECT i, a1, a2, dr - a1 - a2 AS a3 FROM y)"""
+
+
+def _limited_sql(x: str) -> str:
+    return f"CASE WHEN i BETWEEN 1 AND 718 AND lag({x}) OVER o * {x} > 0 THEN CASE WHEN {x} < 0 THEN -1 ELSE 1 END * least(abs(lag({x}) OVER o), abs({x})) ELSE 0 END"
+
+
+@query(
+    "riemann_tvd",
+    f"WITH {WAVES_SQL} SELECT i, " + ", ".join(f"round(CASE WHEN i < 719 THEN a{k} ELSE 0 END, 7) AS wave{k}, round({_limited_sql(f'a{k}')}, 7) AS limited{k}" for k in (1, 2, 3)) + " FROM waves WINDOW o AS (ORDER BY i)",
+)
+def riemann_tvd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strengths of the three waves between neighbouring gas states, by Roe's averages of velocity and
+    enthalpy, and each limited to the smaller of neighbouring ones of its family."""
+    m, b, v = grid1(spark, sf_dir)
+    gas = m.field(b, "gas", (720,), dim=3)
+    waves, limited = m.field(b, "waves", (720,), dim=3), m.field(b, "limited", (720,), dim=3)
+    ahead, behind = Stencil("ahead", ((0,), (1,))), Stencil("behind", ((0,), (-1,)))
+
+    def start(v, gas) -> None:
+        density, speed, pressure = 1 + v[0,] / 100, (v[0,] % 7) / 10 - 0.3, 1 + v[0,] / 50
+        gas[0, 0], gas[1, 0], gas[2, 0] = density, density * speed, pressure / (GAMMA - 1) + 0.5 * density * speed * speed
+
+    def decompose(gas, waves) -> None:
+        def state(at: int) -> list[Column]:
+            density, momentum, energy = (gas[c, at] for c in range(3))
+            speed = momentum / density
+            pressure = (GAMMA - 1) * (energy - 0.5 * density * speed * speed)
+            return [F.sqrt(density), speed, (energy + pressure) / density]
+
+        (w0, u0, h0), (w1, u1, h1) = state(0), state(1)
+        speed, enthalpy = (w0 * u0 + w1 * u1) / (w0 + w1), (w0 * h0 + w1 * h1) / (w0 + w1)
+        sound = F.sqrt((GAMMA - 1) * (enthalpy - 0.5 * speed * speed))
+        density, momentum, energy = (gas[c, 1] - gas[c, 0] for c in range(3))
+        middle = (GAMMA - 1) / (sound * sound) * ((enthalpy - speed * speed) * density + speed * momentum - energy)
+        left = (density * (speed + sound) - momentum - sound * middle) / (2 * sound)
+        waves[0, 0], waves[1, 0], waves[2, 0] = left, middle, density - left - middle
+
+    def limit(waves, limited) -> None:
+        for c in range(3):
+            old, new = waves[c, -1], waves[c, 0]
+            limited[c, 0] = F.when(old * new > 0, F.sign(new) * F.least(F.abs(old), F.abs(new))).otherwise(0.0)
+
+    m.loop("start", b, [0, 720], start, v=read(v), gas=write(gas))
+    m.loop("decompose", b, [0, 719], decompose, gas=read(gas, ahead), waves=write(waves))
+    m.loop("limit", b, [1, 719], limit, waves=read(waves, behind), limited=write(limited))
+    both = m.tables[m.key(waves)]
+    return both.select("i", *(F.round(F.get(x, c), 7).alias(f"{n}{c + 1}") for x, n in (("waves", "wave"), ("limited", "limited")) for c in range(3)))
+
+
 @query("stencil_flux_limiter", f"WITH {G1} SELECT i, CASE WHEN i BETWEEN 1 AND 718 THEN CASE WHEN l * r > 0 THEN CASE WHEN l < 0 THEN -1 ELSE 1 END * least(abs(l), abs(r)) ELSE 0 END ELSE 0 END AS slope FROM (SELECT i, v - lag(v) OVER w AS l, lead(v) OVER w - v AS r FROM g WINDOW w AS (ORDER BY i))")
 def stencil_flux_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smaller of the two one-sided differences where they agree in sign."""
