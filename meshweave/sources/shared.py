@@ -36,7 +36,8 @@ def stored(df: DataFrame, what: str, **options: str) -> DataFrame:
     return back
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path of any store that Spark reaches; none there is no error."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -44,9 +45,9 @@ def _delete(spark: SparkSession, path: str) -> None:
 def discard(df: DataFrame) -> None:
     """Removes what ``stored`` wrote, once nothing reads it any more."""
     if path := getattr(df, "stored_at", None):
-        _delete(df.sparkSession, path)
+        remove(df.sparkSession, path)
 
 
 def clear(spark: SparkSession) -> None:
     """Removes all that the session has stored; its tables cannot be read afterwards."""
-    _delete(spark, shared_dir(spark))
+    remove(spark, shared_dir(spark))

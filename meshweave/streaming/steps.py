@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from ..operators.loop import Dat, Mesh, Opt, Reduce
 from ..operators.reduction import Reduction
 from ..plans.catalog import READ, Field, MeshError
+from ..sources.shared import remove
 from ..sources.store import read_text
 
 
@@ -20,13 +21,14 @@ class Checkpointer:
     ``interval`` seconds, or when told to; restores the latest complete save.
 
     A save is a folder of its own; its ``done`` file comes last, so a save that was cut short is
-    never restored.
+    never restored. The last ``keep`` saves stay, with what they refer to; older ones are removed.
     """
 
-    def __init__(self, mesh: Mesh, path: str, fields: list[Field], interval: float = 4.0):
-        if interval <= 0:
-            raise MeshError("the checkpoint interval has to be positive")
-        self.mesh, self.path, self.fields, self.interval = mesh, path.rstrip("/"), fields, interval
+    def __init__(self, mesh: Mesh, path: str, fields: list[Field], interval: float = 4.0, keep: int = 2):
+        if interval <= 0 or keep < 1:
+            raise MeshError("the checkpoint interval has to be positive, and one save at least has to stay")
+        self.mesh, self.path, self.fields, self.interval, self.keep = mesh, path.rstrip("/"), fields, interval, keep
+        self.saved: dict[int, set[int]] = {}  # the saves that each save refers to
         self.history: list[list[Any]] = []
         self.where: dict[str, int] = {}  # the save that has each field
         self.last = time.monotonic()
@@ -52,6 +54,18 @@ class Checkpointer:
         done = json.dumps({"step": step, "payload": payload or {}, "history": self.history, "where": self.where})
         spark.createDataFrame([(done,)], "value string").coalesce(1).write.mode("overwrite").text(f"{at}/done")
         self.last = time.monotonic()
+        self._kept(step)
+
+    def _kept(self, step: int) -> None:
+        self.saved[step] = {step, *self.where.values()}
+        newest = sorted(self.saved)[-self.keep :]
+        needed = set().union(*(self.saved[k] for k in newest))
+        for old in [k for k in self.saved if k not in newest]:
+            if old in needed:  # its fields are, itself it is not to be restored any more
+                remove(self.mesh.spark, f"{self.path}/{old:08d}/done")
+            else:
+                remove(self.mesh.spark, f"{self.path}/{old:08d}")
+                del self.saved[old]
 
     def latest(self) -> dict | None:
         rows = read_text(self.mesh.spark, f"{self.path}/*/done")  # one row for each save
@@ -66,6 +80,7 @@ class Checkpointer:
             name = f"{f.block.name}/{f.name}"
             self.mesh.set_values(f, self.mesh.spark.read.parquet(f"{self.path}/{found['where'][name]:08d}/{name}"))
         self.history, self.where = found["history"], found["where"]
+        self.saved.setdefault(found["step"], {found["step"], *self.where.values()})
         return found
 
 
@@ -98,6 +113,7 @@ class Replay:
                 self.stats["skipped"] += 1
                 if self.count == self.found["step"]:
                     self.saver.restore()
+                    self.changed = set()
                 return
             if not self.open and self.count - 1 > self.found["step"] and self.saver.due():
                 self.saver.save(self.count - 1, changed=self.changed)
