@@ -210,7 +210,7 @@ def pack(pieces: DataFrame, seq_len: int = 4096, buckets: int | None = None) ->
     spark = pieces.sparkSession
     n = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)))
-    per = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")).persist()
+    per = materialise(dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most seq_len rows
     plan = spark.sparkContext.broadcast(plan_best_two_fit(counts, seq_len))
     before = per.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
