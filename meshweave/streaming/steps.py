@@ -68,8 +68,9 @@ class Checkpointer:
                 del self.saved[old]
 
     def latest(self) -> dict | None:
-        rows = read_text(self.mesh.spark, f"{self.path}/*/done")  # one row for each save
-        return max((json.loads(r) for r in rows), key=lambda x: x["step"], default=None)
+        saves = [json.loads(r) for r in read_text(self.mesh.spark, f"{self.path}/*/done")]  # one row for each save
+        self.saved |= {x["step"]: {x["step"], *x["where"].values()} for x in saves}
+        return max(saves, key=lambda x: x["step"], default=None)
 
     def restore(self) -> dict | None:
         """Sets the fields to the latest save and returns what it was saved with, or None."""
@@ -80,7 +81,6 @@ class Checkpointer:
             name = f"{f.block.name}/{f.name}"
             self.mesh.set_values(f, self.mesh.spark.read.parquet(f"{self.path}/{found['where'][name]:08d}/{name}"))
         self.history, self.where = found["history"], found["where"]
-        self.saved.setdefault(found["step"], {found["step"], *self.where.values()})
         return found
 
 

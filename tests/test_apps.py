@@ -117,7 +117,7 @@ def test_replay_saves_what_changed(spark, tmp_path):
         folders = {p.parent.parent.name for p in (tmp_path / "saves").glob("*/b/g")}
     assert counts[0] == (0, True) and counts[1][0] == 3 and counts[2][0] == 7
     assert folders == {"00000001"}  # g does not change and is not written again; its save stays for it
-    assert len(list((tmp_path / "saves").glob("*/done"))) <= 2 + 1  # one may be the run before's
+    assert len(list((tmp_path / "saves").glob("*/done"))) <= 2
 
 
 def test_steps_and_timings(spark, tmp_path):
