@@ -411,6 +411,8 @@ def test_toxicity(spark, odd, empty):
     assert {r["held_out"] for r in got.where("doc_id = 1").collect()} == {zlib.crc32(b"1") % 3 == 1}
     assert toxicity.score_toxicity(empty, labels).count() == 0
     assert toxicity.score_toxicity(odd, labels.limit(0)).where("score = 0").count() == len(ODD)
+    others = data.select((F.col("doc_id") + 10_000).alias("doc_id"), "text")  # no labelled document is among them
+    assert toxicity.score_toxicity(others, labels).where("score BETWEEN 0.2 AND 0.4").count() == 400
 
 
 def brute_toxicity(sample, corpus, discounts):
