@@ -314,16 +314,23 @@ def score_quality(
     found = fit(rows, known(labels, label_col, label_id, folds, held_out), max_positive, start)
     model, ratios, stored = found or (None, None, None)
 
+    by_word = spark.sparkContext.broadcast(ratios)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From texts where rows are carried, in one pass, as each chained pass is a process more."""
+        number = Numbers(100_000).__getitem__
         for batch in batches:
-            x = batch.column("x").flatten().to_numpy().reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(_sigmoid(model.logit(x)))], [*names, "score"])
+            if carry:
+                x = np.array([features(t.as_py(), by_word.value, number) for t in batch.column("text")], np.float32)
+            else:
+                x = batch.column("x").flatten().to_numpy()
+            score = _sigmoid(model.logit(x.reshape(-1, len(FEATURES))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score)], [*names, "score"])
 
     names = ["doc_id", "row"] if carry else ["doc_id"]
     every = texts(docs, id_col, text_col, carry)
     if model is None:
         scored = every.select(*names, F.lit(0.5).alias("score"))
     else:
-        featured = _features(every, spark.sparkContext.broadcast(ratios)) if carry else stored.select("doc_id", "x")
-        scored = featured.mapInArrow(tidy(run), StructType([*(every.schema[c] for c in names), StructField("score", DoubleType())]))
+        scored = (every if carry else stored.select("doc_id", "x")).mapInArrow(tidy(run), StructType([*(every.schema[c] for c in names), StructField("score", DoubleType())]))
     return scored.select(*names, F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
