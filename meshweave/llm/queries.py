@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fm_index, jaccard_join, license_scan, packing, page_text, quality, secrets, tool_calls, toxicity
+from . import (
+    collocations,
+    embedding_dedup,
+    exact_dedup,
+    fm_index,
+    jaccard_join,
+    license_scan,
+    packing,
+    page_text,
+    quality,
+    secrets,
+    tool_calls,
+    toxicity,
+    whitening,
+)
 from .common import sha256_hex, table
 
 
@@ -101,6 +115,19 @@ def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return white.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -138,6 +165,26 @@ SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, vec_
 FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.x = vec_id
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
+w AS (SELECT *, first_value(doc_id) OVER o AS keep_id, row_number() OVER o AS place, count(*) OVER (PARTITION BY t) AS group_size FROM d WINDOW o AS (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(t) AS text_sha256 FROM w
+"""
+
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS r, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(p) AS piece FROM d)),
+f AS (SELECT lang, k, w[i : i + k - 1] AS ws, count(*) AS a FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) AS v(k) WHERE len(w) >= k) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND a >= 30),
+s AS (SELECT c.*, j, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a) // (x.a + y.a) AS score FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN f x ON x.lang = c.lang AND x.ws = c.ws[1 : j] JOIN f y ON y.lang = c.lang AND y.ws = c.ws[j + 1 : c.k]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, j) = 1),
+i AS (SELECT lang, c.ws[i : i + m - 1] AS ws, max(a) AS most FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) c GROUP BY ALL),
+o AS (SELECT b.lang, array_to_string(b.ws, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN i ON i.lang = b.lang AND i.ws = b.ws WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM q JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 # The texts with the tool use of ``with_tools``; conversations have at most one message of a turn.
 OP6_SQL = """
 WITH a AS (
@@ -190,8 +237,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pu_quality": op8_pu_quality,
         "op9_rotation_codes": op9_rotation_codes,
         "op10_fm_index": op10_fm_index,
+        "op11_exact_dedup": op11_exact_dedup,
+        "op12_collocations": op12_collocations,
+        "op13_whitening": op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_tool_calls": OP6_SQL, "op7_license_scan": OP7_SQL, "op9_rotation_codes": OP9_SQL, "op5_divide_skip": OP5_SQL, "op10_fm_index": OP10_SQL}
+    return {"op6_tool_calls": OP6_SQL, "op7_license_scan": OP7_SQL, "op9_rotation_codes": OP9_SQL, "op5_divide_skip": OP5_SQL, "op10_fm_index": OP10_SQL, "op11_exact_dedup": OP11_SQL, "op12_collocations": OP12_SQL}
