@@ -10,9 +10,9 @@ The corpus is held in chunks: a row for some megabytes of text of one language,
 numbers at each place (compressed; -1 where no phrase begins, one for a run of such places) and, as arrays,
 the distinct pairs with how often each occurs. A level takes two shuffles:
 
-* distinct pairs of the chunks meet by pair, where a window adds up their counts. A pair is named after
-  its least occurrence, chunk and number, which is unique without a global numbering. Any pair, however
-  frequent, is one row of each chunk.
+* distinct pairs of the chunks meet by pair, in slices of some millions of rows, where a window adds up
+  their counts. A slice numbers its frequent pairs; number and slice are the name, so names are unique and
+  small. Any pair, however frequent, is one row of each chunk.
 * the names of frequent pairs return to their chunks, which put them at their places and pair neighbours.
 
 Nothing is broadcast and no table of words is held in memory beyond that of a chunk. Everything is counted
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,8 +37,10 @@ from .common import _bound_batches, materialise, tidy
 
 #: Bytes that end a piece, and bytes between words.
 BREAKS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
-#: A name is a chunk's number and, in so many bits, a number of the chunk's; longer chunks take several numbers.
-PLACE_BITS = 23
+#: Bits of a chunk's own numbers (a longer chunk takes several chunk numbers), and of the corpus' names.
+PLACE_BITS, NAME_BITS = 23, 40
+#: Names below this are sent two in a number.
+PAIRED_NAMES = 1 << 31
 _KIND = np.zeros(256, np.uint8)
 _KIND[[*BLANKS]], _KIND[[*BREAKS]] = 1, 2
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -111,14 +114,15 @@ def word_chunks(docs: DataFrame, text_col: str, lang_col: str, chunk: int) -> Da
     return read.mapInArrow(tidy(run), "chunk long, lang string, seq binary, word array<binary>, n array<long>")
 
 
-def pair_chunks(chunks: DataFrame, names: DataFrame) -> DataFrame:
+def pair_chunks(chunks: DataFrame, names: DataFrame, most: int) -> DataFrame:
     """The next level: the frequent phrases at the places of each chunk, paired with their neighbours."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"chunk": [], "lang": [], "seq": [], "first": [], "second": [], "n": []}
         if left.num_rows and right.num_rows:
             seq = _unpacked(left.column("seq")[0].as_py())
-            number, name = right.column("at").to_numpy(), right.column("name").to_numpy()
+            told = right.column("told").to_numpy()
+            number, name = told >> NAME_BITS, told & ((1 << NAME_BITS) - 1)
             order = np.argsort(name)
             rank = np.full(int(max(seq.max(initial=0), number.max())) + 1, -1, np.int64)
             rank[number[order]] = np.arange(order.size)  # frequent phrases by their place among the chunk's names
@@ -133,48 +137,85 @@ def pair_chunks(chunks: DataFrame, names: DataFrame) -> DataFrame:
         kinds = {"chunk": pa.int64(), "lang": pa.string(), "seq": pa.binary()}
         return pa.table({c: pa.array(v, kinds.get(c, pa.list_(pa.int64()))) for c, v in out.items()})
 
+    if most >= 1 << NAME_BITS:
+        raise ValueError(f"names beyond {NAME_BITS} bits")
+    told = names.select("chunk", (F.shiftleft(F.col("at").cast("long"), NAME_BITS) + F.col("name")).alias("told"))
     schema = "chunk long, lang string, seq binary, first array<long>, second array<long>, n array<long>"
-    return chunks.select("chunk", "lang", "seq").groupBy("chunk").cogroup(names.select("chunk", "at", "name").groupBy("chunk")).applyInArrow(run, schema)
+    return chunks.select("chunk", "lang", "seq").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, schema)
 
 
-def frequent(chunks: DataFrame, parts: list[str], least: int) -> DataFrame:
-    """A row for each frequent phrase and chunk that has it: its ``at`` there, ``name`` and whole count ``a``;
-    ``own`` is true in one of them."""
-    rows = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip(*parts, "n")).alias("at", "v")).select("chunk", "lang", "at", *(F.col(f"v.{c}").alias(c) for c in (*parts, "n")))
-    meet = Window.partitionBy("lang", *parts)
-    here = F.shiftleft("chunk", PLACE_BITS) + F.col("at")
-    found = rows.withColumns({"a": F.sum("n").over(meet), "name": F.min(here).over(meet)}).where(F.col("a") >= least)
-    return found.select("chunk", "at", "name", (here == F.col("name")).alias("own"), "a", "lang", *parts)
+def _numbered(pairs: DataFrame, parts: list[str], least: int, slices: int) -> DataFrame:
+    """``chunk``, ``at``, ``name`` and whole count ``a`` of each frequent phrase of each chunk, from rows of
+    ``parts``, ``here`` and ``n``. A slice numbers its phrases one after the other, so names are small. The
+    row that is the first of its phrase also has ``parts``."""
 
-
-def _levels(docs: DataFrame, text_col: str, lang_col: str, least: int, longest: int, chunk: int) -> tuple[list[DataFrame], DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slice_, names, last = TaskContext.get().partitionId(), 0, None
+        if slice_ >= slices:
+            raise RuntimeError(f"slice {slice_} of {slices}")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c) for c in parts]
+            new = np.zeros(batch.num_rows, bool)
+            new[0] = last is None or last != [c[0].as_py() for c in columns]
+            for c in columns:
+                new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+            name = np.cumsum(new) + names - 1
+            names, last = int(name[-1]) + 1, [c[-1].as_py() for c in columns]
+            here, old = batch.column("here").to_numpy(), pa.array(~new)
+            own = [pc.if_else(old, pa.scalar(None, c.type), c) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(here >> PLACE_BITS), pa.array((here & ((1 << PLACE_BITS) - 1)).astype(np.int32)), pa.array(name * slices + slice_), batch.column("a"), pa.array(new), *own], ["chunk", "at", "name", "a", "own", *parts])
+
+    meet = Window.partitionBy(*parts)
+    dealt = pairs.repartition(slices, *parts).withColumn("a", F.sum("n").over(meet)).where(F.col("a") >= least)
+    kinds = "".join(f", {c} {pairs.schema[c].dataType.simpleString()}" for c in parts)
+    return dealt.select("here", "a", *parts).sortWithinPartitions(*parts).mapInArrow(tidy(run), f"chunk long, at int, name long, a long, own boolean{kinds}")
+
+
+def frequent(chunks: DataFrame, level: int, least: int, most: int, per_slice: int) -> DataFrame:
+    """A row for each frequent phrase and chunk that has it. ``most`` is the greatest name of the parents."""
+    spark = chunks.sparkSession
+    rows = chunks.agg(F.sum(F.size("n"))).first()[0] or 0
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_slice))
+    parts = ["word"] if level == 1 else ["first", "second"]
+    each = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip(*parts, "n")).alias("at", "v"))
+    each = each.select(*(["lang"] if level == 1 else []), *(F.col(f"v.{c}").alias(c) for c in (*parts, "n")), (F.shiftleft("chunk", PLACE_BITS) + F.col("at")).alias("here"))
+    if level == 1:
+        return _numbered(each, ["lang", "word"], least, slices)
+    if most >= PAIRED_NAMES:
+        return _numbered(each, parts, least, slices)
+    both = each.select((F.shiftleft("first", 32) + F.col("second")).alias("pair"), "n", "here")  # a shorter row to shuffle
+    return _numbered(both, ["pair"], least, slices).withColumns({"first": F.shiftright("pair", 32), "second": F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))}).drop("pair")
+
+
+def _levels(docs: DataFrame, text_col: str, lang_col: str, least: int, longest: int, chunk: int, per_slice: int) -> tuple[list[DataFrame], DataFrame]:
     """The frequent phrases of each length, and the words of each language."""
     chunks = materialise(word_chunks(docs, text_col, lang_col, chunk), "chunks")
     total = materialise(chunks.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")), "words")
-    levels = []
+    levels, most = [], 0
     for k in range(1, longest + 1):
-        parts = ["word"] if k == 1 else ["first", "second"]
-        found = frequent(chunks, parts, least)
-        if k < longest:
-            found = materialise(found, "names")
-        own = materialise(found.where("own").select("name", "lang", "a", *parts), f"phrases-{k}")
+        parts = ["lang", "word"] if k == 1 else ["first", "second"]
+        found = materialise(frequent(chunks, k, least, most, per_slice), "names")
+        own = materialise(found.where("own").select("name", "a", *parts), f"phrases-{k}")
+        most = own.agg(F.max("name")).first()[0] or 0
         levels.append(own)
         if k < longest:
-            before, chunks = chunks, materialise(pair_chunks(chunks, found), "chunks")
+            before, chunks = chunks, materialise(pair_chunks(chunks, found, most), "chunks")
             discard(before)
-            discard(found)
         else:
             discard(chunks)
+        discard(found)
     return levels, total
 
 
 def _told(levels: list[DataFrame], scale: int) -> list[DataFrame]:
     """For each length from 2: ``name``, ``lang``, ``phrase``, ``a``, its best cut ``l``, ``r``, ``score`` and its
     two parents. ``pre`` and ``post`` have the counts of the phrase's first and last j words, j from 1."""
-    own = levels[0].select("name", F.col("word").cast("string").alias("phrase"), F.col("word").cast("string").alias("last"), F.array("a").alias("pre"), F.array("a").alias("post"))
+    own = levels[0].select("name", "lang", F.col("word").cast("string").alias("phrase"), F.col("word").cast("string").alias("last"), F.array("a").alias("pre"), F.array("a").alias("post"))
     out = []
     for k, level in enumerate(levels[1:], 2):
-        left = own.select(F.col("name").alias("first"), F.col("phrase").alias("begin"), F.col("pre").alias("lefts"))
+        left = own.select(F.col("name").alias("first"), "lang", F.col("phrase").alias("begin"), F.col("pre").alias("lefts"))
         right = own.select(F.col("name").alias("second"), F.col("last"), F.col("post").alias("rights"))
         both = level.join(left, "first").join(right, "second")
         # Lowest score first, then the shortest first part; the score is exact in 38 digits.
@@ -189,12 +230,13 @@ def _told(levels: list[DataFrame], scale: int) -> list[DataFrame]:
 
 
 def collocations(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, longest: int = 4, top: int = 2000, scale: int = 2_000_000, covered: int = 80, chunk: int = 16 << 20, salts: int = 32,
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, longest: int = 4, top: int = 2000, scale: int = 2_000_000, covered: int = 80, chunk: int = 16 << 20,
+    per_slice: int = 2_000_000, salts: int = 32,
 ) -> DataFrame:
     """The first ``top`` phrases of each language by score: ``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``,
     ``n``, ``score``. A phrase inside a longer one that has ``covered`` percent of its count is left out."""
     _bound_batches(docs.sparkSession)
-    levels, total = _levels(docs, text_col, lang_col, least, longest, chunk)
+    levels, total = _levels(docs, text_col, lang_col, least, longest, chunk, per_slice)
     told = _told(levels, scale)
     kept = []
     for phrases, longer in zip(told, [*told[1:], None], strict=True):

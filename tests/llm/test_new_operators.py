@@ -111,8 +111,9 @@ def made_documents(rng, n):
     return docs
 
 
-@pytest.mark.parametrize("chunk", [1, 16 << 20])
-def test_phrases_equal_brute_force(spark, chunk):
+@pytest.mark.parametrize(("chunk", "paired"), [(1, 1 << 31), (16 << 20, 0)])
+def test_phrases_equal_brute_force(spark, monkeypatch, chunk, paired):
+    monkeypatch.setattr(collocations, "PAIRED_NAMES", paired)
     docs = made_documents(random.Random(8), 250)
     df = spark.createDataFrame(docs, "doc_id long, lang string, text string").selectExpr("*", "'x' AS chunk", "'y' AS name").repartition(5)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
