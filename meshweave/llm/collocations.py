@@ -11,8 +11,8 @@ numbers at each place (compressed; -1 where no phrase begins, one for a run of s
 the distinct pairs with how often each occurs. A level takes two shuffles:
 
 * distinct pairs of the chunks meet by pair, in slices of some millions of rows, where a window adds up
-  their counts. A slice numbers its frequent pairs; number and slice are the name, so names are unique and
-  small. Any pair, however frequent, is one row of each chunk.
+  their counts. A slice numbers the rows of its frequent pairs; the least number of a pair and the slice are
+  its name, so names are unique and small. Any pair, however frequent, is one row of each chunk.
 * the names of frequent pairs return to their chunks, which put them at their places and pair neighbours.
 
 Nothing is broadcast and no table of words is held in memory beyond that of a chunk. Everything is counted
@@ -27,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,38 +138,21 @@ def pair_chunks(chunks: DataFrame, names: DataFrame, most: int) -> DataFrame:
 
     if most >= 1 << NAME_BITS:
         raise ValueError(f"names beyond {NAME_BITS} bits")
-    told = names.select("chunk", (F.shiftleft(F.col("at").cast("long"), NAME_BITS) + F.col("name")).alias("told"))
+    told = names.select("chunk", (F.shiftleft("at", NAME_BITS) + F.col("name")).alias("told"))
     schema = "chunk long, lang string, seq binary, first array<long>, second array<long>, n array<long>"
     return chunks.select("chunk", "lang", "seq").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def _numbered(pairs: DataFrame, parts: list[str], least: int, slices: int) -> DataFrame:
     """``chunk``, ``at``, ``name`` and whole count ``a`` of each frequent phrase of each chunk, from rows of
-    ``parts``, ``here`` and ``n``. A slice numbers its phrases one after the other, so names are small. The
-    row that is the first of its phrase also has ``parts``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slice_, names, last = TaskContext.get().partitionId(), 0, None
-        if slice_ >= slices:
-            raise RuntimeError(f"slice {slice_} of {slices}")
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [batch.column(c) for c in parts]
-            new = np.zeros(batch.num_rows, bool)
-            new[0] = last is None or last != [c[0].as_py() for c in columns]
-            for c in columns:
-                new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
-            name = np.cumsum(new) + names - 1
-            names, last = int(name[-1]) + 1, [c[-1].as_py() for c in columns]
-            here, old = batch.column("here").to_numpy(), pa.array(~new)
-            own = [pc.if_else(old, pa.scalar(None, c.type), c) for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(here >> PLACE_BITS), pa.array((here & ((1 << PLACE_BITS) - 1)).astype(np.int32)), pa.array(name * slices + slice_), batch.column("a"), pa.array(new), *own], ["chunk", "at", "name", "a", "own", *parts])
-
+    ``parts``, ``here`` and ``n``. A slice numbers the rows of its frequent phrases; a phrase is named after its
+    least row (``own``) and the slice, so names are unique and small."""
     meet = Window.partitionBy(*parts)
-    dealt = pairs.repartition(slices, *parts).withColumn("a", F.sum("n").over(meet)).where(F.col("a") >= least)
-    kinds = "".join(f", {c} {pairs.schema[c].dataType.simpleString()}" for c in parts)
-    return dealt.select("here", "a", *parts).sortWithinPartitions(*parts).mapInArrow(tidy(run), f"chunk long, at int, name long, a long, own boolean{kinds}")
+    often = pairs.repartition(slices, *parts).withColumn("a", F.sum("n").over(meet)).where(F.col("a") >= least)
+    rows = often.withColumn("row", F.monotonically_increasing_id()).withColumn("first_row", F.min("row").over(meet))
+    in_slice = F.col("first_row").bitwiseAND(F.lit((1 << 33) - 1))  # above these 33 bits is the slice
+    name = in_slice * slices + F.shiftright("first_row", 33)
+    return rows.select(F.shiftright("here", PLACE_BITS).alias("chunk"), F.col("here").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("at"), name.alias("name"), "a", (F.col("row") == F.col("first_row")).alias("own"), *parts)
 
 
 def frequent(chunks: DataFrame, level: int, least: int, most: int, per_slice: int) -> DataFrame:
