@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from ..functions import scalar
 from ..operators import bands, halo, slabs, tridiagonal
 from ..operators.loop import Dat, Gbl, Idx, Mesh, Opt, Reduce, inc, read, rw, write
 from ..operators.reduction import Reduction
+from ..operators.tiles import Tiles
 from ..plans.catalog import INC, MAX, MIN, WRITE, Block, Field, Halo, Stencil
 from ..plans.grid import inside
 from ..sources.shared import new_path
@@ -1028,3 +1030,103 @@ def band_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, _, v = grid2(spark, sf_dir)
     rows = bands.iterate(bands.bands_of(m.table(v), "v", 1, 24, 6), bands.five_point, 5, 1, 24, 6, depth=3)
     return rows.select("j", F.posexplode("row").alias("i", "v")).select("i", "j", "v")
+
+
+# array kernels on tiles
+
+
+def part_grid(spark: SparkSession, sf_dir: str) -> tuple[Mesh, Block, Field]:
+    """Quantities by part and line number: a grid that grows with the scale factor."""
+    keys = spark.read.parquet(f"{sf_dir}/part.parquet").agg(F.min("p_partkey"), F.max("p_partkey")).first()
+    low, high = int(keys[0]), int(keys[1]) + 1
+    m = Mesh(spark)
+    b = m.block("parts", 2)
+    values = lineitem(spark, sf_dir).groupBy(F.col("l_partkey").cast("int").alias("i"), (F.col("l_linenumber") - 1).cast("int").alias("j")).agg(F.sum("l_quantity").alias("v"))
+    return m, b, m.field(b, "v", (high - low, 7), base=(low, 0), values=values)
+
+
+def part_tiles(spark: SparkSession, sf_dir: str, rows: int) -> tuple[Tiles, Block, Field, int, int]:
+    m, b, v = part_grid(spark, sf_dir)
+    tiles = Tiles(spark, b, v.size, (rows, 7), v.base)
+    tiles.from_mesh(m, v)
+    return tiles, b, v, v.base[0], v.base[0] + v.size[0]
+
+
+def _part_steps_sql(n: int) -> str:
+    out, last = ["m AS (SELECT min(i) AS low, max(i) AS high FROM g)"], "g"
+    for k in range(n):
+        out.append(f"s{k} AS (SELECT i, j, CASE WHEN i > low AND i < high AND j BETWEEN 1 AND 5 THEN 0.25 * (e + w + n + s) ELSE v END AS v FROM (SELECT i, j, v, {NEAR.format(t=last)}), m)")
+        last = f"s{k}"
+    return ", ".join(out)
+
+
+@query("tiles_relaxation", f"WITH {GP}, {_part_steps_sql(5)} SELECT i, j, round(v, 6) AS v, round(most, 6) AS most FROM s4, (SELECT max(abs(s4.v - s3.v)) AS most FROM s4 JOIN s3 USING (i, j))")
+def tiles_relaxation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five steps on parts by line numbers in tiles, with borders that are sent once for two steps."""
+    tiles, _, v, low, high = part_tiles(spark, sf_dir, 64)
+    most = Reduction("most")
+
+    def relax(v, most) -> None:
+        new = 0.25 * (v[1, 0] + v[-1, 0] + v[0, 1] + v[0, -1])
+        if most:
+            most.add(abs(new - v[0, 0]))
+        v[0, 0] = new
+
+    tiles.run([tiles.loop("relax", [low + 1, high - 1, 1, 6], relax, v=rw(v, Stencil.star(2)), most=Reduce(most, MAX))], steps=5, depth=2)
+    return tiles.cells("v").select("i", "j", F.round("v", 6).alias("v"), F.round(F.lit(most.result()), 6).alias("most"))
+
+
+@query(
+    "tiles_array_kernel",
+    f"WITH RECURSIVE {GP}, s AS (SELECT i, j, CAST(v + lead(v) OVER (PARTITION BY j ORDER BY i) AS BIGINT) AS n FROM g), c(n0, n, k) AS (SELECT DISTINCT n, n, 0 FROM s WHERE n >= 1 UNION ALL SELECT n0, CASE WHEN n % 2 = 0 THEN n // 2 ELSE 3 * n + 1 END, k + 1 FROM c WHERE n > 1), t AS (SELECT n0, max(k) AS k FROM c GROUP BY n0) SELECT i, j, CAST(coalesce(k, 0) AS INTEGER) AS length FROM s LEFT JOIN t ON t.n0 = s.n",
+)
+def tiles_array_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A kernel that no column expresses: from a cell and its neighbour a sequence is followed (halve an even
+    number, else three times and one) until it comes to 1. How long that takes depends on the values."""
+    tiles, _, v, low, high = part_tiles(spark, sf_dir, 128)
+    length = tiles.field("length", "int")
+
+    def follow(v, length) -> None:
+        n = (v[0, 0] + v[1, 0]).astype(np.int64)
+        steps = np.zeros(n.shape, np.int32)
+        while (going := n > 1).any():
+            n = np.where(going, np.where(n % 2 == 0, n // 2, 3 * n + 1), n)
+            steps += going
+        length[0, 0] = steps
+
+    tiles.run([tiles.loop("follow", [low, high - 1, 0, 7], follow, v=read(v, Stencil("ahead", ((0, 0), (1, 0)))), length=write(length))])
+    return tiles.cells("length")
+
+
+def _two_loops_sql(n: int) -> str:
+    """Slopes between cells, then their differences added to the cells they lie between."""
+    out, last = [], "(SELECT i, j, CAST(v AS DOUBLE) AS v FROM g)"
+    for k in range(n):
+        slope = lambda axis: f"CASE WHEN i < 39 AND j < 24 THEN lead(v) OVER {axis} - v ELSE 0 END"
+        out.append(f"f{k} AS (SELECT i, j, v, {slope('x')} AS p, {slope('y')} AS q FROM {last} WINDOW x AS (PARTITION BY j ORDER BY i), y AS (PARTITION BY i ORDER BY j))")
+        out.append(f"u{k} AS (SELECT i, j, CASE WHEN {WITHIN} THEN v + 0.125 * ((p - lag(p) OVER x) + (q - lag(q) OVER y)) ELSE v END AS v FROM f{k} WINDOW x AS (PARTITION BY j ORDER BY i), y AS (PARTITION BY i ORDER BY j))")
+        last = f"u{k}"
+    return ", ".join(out)
+
+
+@query("tiles_two_loops", f"WITH {G2}, {_two_loops_sql(3)} SELECT i, j, round(v, 6) AS v, round((SELECT sum(v) FROM u0 WHERE {WITHIN}) + (SELECT sum(v) FROM u1 WHERE {WITHIN}) + (SELECT sum(v) FROM u2 WHERE {WITHIN}), 3) AS total FROM u2")
+def tiles_two_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loops a step, a field of two components between them, and a sum over all steps."""
+    m, b, v = grid2(spark, sf_dir)
+    tiles = Tiles(spark, b, (40, 25), (9, 8))
+    tiles.from_mesh(m, v)
+    slope, total = tiles.field("slope", dim=2), Reduction("total")
+
+    def slopes(v, slope) -> None:
+        slope[0, 0, 0], slope[1, 0, 0] = v[1, 0] - v[0, 0], v[0, 1] - v[0, 0]
+
+    def spread(slope, v, total) -> None:
+        v[0, 0] = v[0, 0] + 0.125 * ((slope[0, 0, 0] - slope[0, -1, 0]) + (slope[1, 0, 0] - slope[1, 0, -1]))
+        total.add(v[0, 0])
+
+    loops = [
+        tiles.loop("slopes", [0, 39, 0, 24], slopes, v=read(v, Stencil("ahead", ((0, 0), (1, 0), (0, 1)))), slope=write(slope)),
+        tiles.loop("spread", [1, 39, 1, 24], spread, slope=read(slope, Stencil("behind", ((0, 0), (-1, 0), (0, -1)))), v=rw(v), total=Reduce(total, INC)),
+    ]
+    tiles.run(loops, steps=3, depth=2, fold_all=True)
+    return tiles.cells("v").select("i", "j", F.round("v", 6).alias("v"), F.round(F.lit(total.result()), 3).alias("total"))

@@ -36,6 +36,18 @@ def stored(df: DataFrame, what: str, **options: str) -> DataFrame:
     return back
 
 
+def stored_by(df: DataFrame, what: str, key: str, buckets: int) -> DataFrame:
+    """The same as a table in ``buckets`` buckets of a column: joins and windows by that column read it where
+    it lies, without a shuffle. Written from tasks that have a bucket each, every bucket is one file."""
+    spark = df.sparkSession
+    path = new_path(spark, what)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.format("parquet").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    back = spark.table(name)
+    back.stored_at, back.stored_as = path, name
+    return back
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path of any store that Spark reaches; none there is no error."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -44,6 +56,8 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def discard(df: DataFrame) -> None:
     """Removes what ``stored`` wrote, once nothing reads it any more."""
+    if name := getattr(df, "stored_as", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     if path := getattr(df, "stored_at", None):
         remove(df.sparkSession, path)
 
