@@ -4,10 +4,15 @@ Grids are gathered by windows, one for each axis, wholly in SQL; a window's line
 grid with few lines is cut into tiles instead: each cell goes to its tile, and to the neighbouring tiles
 that can reach it, in one shuffle; a tile's neighbours are then looked up by index, in Arrow, whatever the
 number of axes and offsets. (Of 1024 x 1024 cells windows take half as long as tiles.)
+
+A grid that is dealt into slabs lies in a table bucketed by slab. Its windows are within a slab, so they need
+no shuffle; along the axis that was dealt, a slab gets the rows beyond its ends from its neighbours, and only
+these move, with the wanted columns alone.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import prod
 
 import numpy as np
@@ -129,6 +134,60 @@ def by_tile(df: DataFrame, axes: tuple[str, ...], wanted: dict[str, set[tuple[in
     return sent.groupBy("__tile").applyInArrow(run, schema)
 
 
+#: The column that has a cell's slab, in tables that are dealt.
+SLAB = "__slab"
+
+
+@dataclass(frozen=True)
+class Slabs:
+    """A block cut along an axis: slab k begins at ``low + k * height``; the first and the last also have
+    what lies beyond. ``parts`` slabs are as many buckets."""
+
+    axis: str
+    low: int
+    height: int
+    parts: int
+
+    def of(self, at: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(F.floor((at - self.low) / self.height), F.lit(self.parts - 1))).cast("int")
+
+    def borders(self, df: DataFrame, columns: list[str], rest: list[str], behind: int, ahead: int) -> DataFrame:
+        """For each slab and line the rows of other slabs within reach of it, as a map from coordinates."""
+        x, k = F.col(self.axis), F.col(SLAB)
+        down = (k > 0) & (x < self.low + k * self.height + ahead)
+        up = (k < self.parts - 1) & (x >= self.low + (k + 1) * self.height - behind)
+        to = F.filter(F.array(F.when(down, k - 1), F.when(up, k + 1)), lambda s: s.isNotNull())
+        sent = df.where(down | up).select(F.explode(to).alias(SLAB), *rest, F.struct(x.alias("at"), F.struct(*(F.col(f"`{c}`").alias(c) for c in columns)).alias("v")).alias("e"))
+        # At most ``behind + ahead`` rows of a line meet.
+        return sent.repartition(self.parts, SLAB).groupBy(SLAB, *rest).agg(F.map_from_entries(F.collect_list("e")).alias("__border"))
+
+
+def by_slab(df: DataFrame, axes: tuple[str, ...], wanted: dict[str, set[tuple[int, ...]]], slabs: Slabs) -> DataFrame:
+    """The same of a table that is dealt into slabs, which has all its columns still where they were."""
+    d = axes.index(slabs.axis)
+    order = [d, *(a for a in range(len(axes)) if a != d)]
+    only = lambda o, n: tuple(x if a in order[:n] else 0 for a, x in enumerate(o))
+    along = sorted({(c, only(o, 1)) for c, os in wanted.items() for o in os if o[d]})
+    rest = [x for x in axes if x != slabs.axis]
+    if along:
+        steps = [o[d] for _, o in along]
+        behind, ahead = max(0, -min(steps)), max(0, *steps)
+        if max(behind, ahead) > slabs.height:
+            raise ValueError(f"slabs of {slabs.height} along {slabs.axis} are thinner than a stencil that reaches {max(behind, ahead)}")
+        border = slabs.borders(df, sorted({c for c, _ in along}), rest, behind, ahead)
+        window = Window.partitionBy(SLAB, *rest).orderBy(slabs.axis)
+        df = df.join(border.hint("shuffle_hash"), [SLAB, *rest], "left")
+        beyond = lambda c, n: F.element_at("__border", F.col(slabs.axis) + n)[c]
+        df = df.withColumns({name_of(c, o): F.coalesce(F.lead(F.col(f"`{c}`"), o[d]).over(window), beyond(c, o[d])) for c, o in along}).drop("__border")
+    for n, a in enumerate(order[1:], 1):
+        window = Window.partitionBy(SLAB, *(x for x in axes if x != axes[a])).orderBy(axes[a])
+        own = sorted({(c, o) for c, os in wanted.items() for o in os if o[a]}, key=str)
+        new = {name_of(c, only(o, n + 1)): F.lead(F.col(f"`{name_of(c, only(o, n))}`"), o[a]).over(window) for c, o in own}
+        if new:
+            df = df.withColumns(new)
+    return df
+
+
 #: A grid of at most so many cells is gathered by windows, however few lines it has.
 FEW_CELLS = 200_000
 

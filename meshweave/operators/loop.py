@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import AXES, INC, MAX, MIN, READ, RW, TYPES, WRITE, Block, Box, Field, LoopRecord, MeshError, Stencil, box_of, box_size
 from ..plans.grid import index_set, inside
-from ..sources.shared import stored
-from .gather import gather, name_of
+from ..sources.shared import stored, stored_by
+from .gather import SLAB, Slabs, by_slab, gather, name_of
 from .reduction import Folds, Reduction, folded, identity
 
 #: A table of at most this many cells may be sent to all executors in a join.
@@ -149,6 +149,7 @@ class Mesh:
     folds: dict[tuple[str, str], str | None] = field(default_factory=dict)
     records: dict[str, LoopRecord] = field(default_factory=dict)
     depth: dict[tuple, int] = field(default_factory=dict)
+    slabs: dict[str, Slabs] = field(default_factory=dict)
 
     # declarations
 
@@ -170,6 +171,8 @@ class Mesh:
         key = self.key(f)
         if key not in self.tables:
             self.tables[key] = index_set(self.spark, f.axes, key[2])
+            if self._dealt(key):
+                self.tables[key] = self._stored(key, self.tables[key])
         if "struct" in f.spark_type:
             zero = F.expr("named_struct('re', 0D, 'im', 0D)").cast(f.spark_type)
         elif f.dim > 1:
@@ -202,11 +205,31 @@ class Mesh:
         self._keep(key, self.tables[key].withColumn(f.name, value.cast(f.spark_type)))
 
     def deal(self, f: Field, axis: int, parts: int) -> None:
-        """Ranges the table of a field along an axis: each of ``parts`` partitions is a slab of it."""
-        key = self.key(f)
-        if axis not in key[1] or parts < 1:
+        """Cuts the block of a field into ``parts`` slabs along an axis. All its tables that have the axis, also
+        of fields of another size or declared later, are stored by slab: loops over several of them join
+        without a shuffle, and of neighbours only those across slabs move. A slab is one task's.
+
+        The session is told that joins may rest on a part of their keys, here the slab."""
+        if axis not in f.kept or not 1 <= parts <= f.size[axis]:
             raise MeshError(f"{f.name} cannot be dealt into {parts} slabs of axis {axis}")
-        self.tables[key], self.depth[key] = stored(self.tables[key].repartitionByRange(parts, AXES[axis]).sortWithinPartitions(AXES[axis]), "mesh"), 0
+        self.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        low, high = f.interior[axis]
+        self.slabs[f.block.name] = Slabs(AXES[axis], low, -(-(high - low) // parts), parts)
+        for key in self.tables:
+            if key[0] == f.block.name and axis in key[1]:
+                self.tables[key], self.depth[key] = self._stored(key, self.tables[key].drop(SLAB)), 0
+
+    def _dealt(self, key: tuple) -> Slabs | None:
+        """The slabs of a table, if it is dealt."""
+        slabs = self.slabs.get(key[0])
+        return slabs if slabs and any(AXES[a] == slabs.axis for a in key[1]) else None
+
+    def _stored(self, key: tuple, df: DataFrame) -> DataFrame:
+        if not (slabs := self._dealt(key)):
+            return stored(df, "mesh")
+        if SLAB not in df.columns:
+            df = df.withColumn(SLAB, slabs.of(F.col(slabs.axis))).repartition(slabs.parts, SLAB)
+        return stored_by(df, "mesh", SLAB, slabs.parts)
 
     def set_values(self, f: Field, values: DataFrame, only: Box | None = None, cells: int | None = None) -> None:
         """Overwrites a field where ``values`` has rows (within ``only``); other cells stay. ``cells`` is
@@ -225,10 +248,17 @@ class Mesh:
     def _put(self, key: tuple, new: DataFrame, columns: dict[str, Column], cells: int | None = None) -> None:
         """Changes columns where ``new`` has rows; few rows are sent to where the table lies."""
         axes = tuple(AXES[a] for a in key[1])
-        table = self.tables[key]
-        if cells is not None and cells <= MOST_SENT:
+        table, on = self.tables[key], list(axes)
+        few = cells is not None and cells <= MOST_SENT
+        if (slabs := self._dealt(key)) and not few:  # the table stays where it is
+            on = [SLAB, *axes]
+            if SLAB not in new.columns:
+                new = new.withColumn(SLAB, slabs.of(F.col(slabs.axis))).repartition(slabs.parts, SLAB)
+        else:
+            new = new.drop(SLAB)
+        if few:
             new = F.broadcast(new)
-        joined = table.join(new, list(axes), "left") if axes else table.crossJoin(F.broadcast(new.limit(1)))
+        joined = table.join(new, on, "left") if axes else table.crossJoin(F.broadcast(new.limit(1)))
         changed = {c: F.when(F.col("__hit"), v).otherwise(F.col(f"`{c}`")) for c, v in columns.items()}
         self._keep(key, joined.withColumns(changed).select(*(F.col(f"`{c}`") for c in table.columns)))
 
@@ -236,13 +266,13 @@ class Mesh:
         """Stores a table's new plan; a plan that has grown long is written out and read back."""
         self.depth[key] = self.depth.get(key, 0) + 1
         if self.depth[key] >= self.cut_every:
-            df, self.depth[key] = stored(df, "mesh"), 0
+            df, self.depth[key] = self._stored(key, df), 0
         self.tables[key] = df
 
     def cut(self, f: Field) -> None:
         """Ends the lineage of a field's table now."""
         key = self.key(f)
-        self.tables[key], self.depth[key] = stored(self.tables[key], "mesh"), 0
+        self.tables[key], self.depth[key] = self._stored(key, self.tables[key]), 0
 
     def free(self, f: Field) -> None:
         """Forgets a field; its table goes with the last field on it."""
@@ -304,7 +334,8 @@ class Mesh:
                 others.setdefault(self.key(f), {})[f.name] = value
         self._fold_all(block, folds_onto, cells.where(within))
         for key, values in others.items():
-            new = cells.where(within).select(*block.axes, *(v.alias(f"__new_{c}") for c, v in values.items()), F.lit(True).alias("__hit"))
+            slab = [SLAB] if SLAB in cells.columns and self._dealt(key) else []
+            new = cells.where(within).select(*slab, *block.axes, *(v.alias(f"__new_{c}") for c, v in values.items()), F.lit(True).alias("__hit"))
             self._put(key, new, {c: F.col(f"`__new_{c}`") for c in values}, box_size(box))
         handles = {k: a for k, a in args.items() if isinstance(a, Reduce)}
         # What the handles get of each cell, beside the cell's new values: both come of one run.
@@ -314,7 +345,7 @@ class Mesh:
             names = self.tables[home].columns
             new = cells.select(*(own[c].alias(c) if c in own else F.col(f"`{c}`") for c in names), *given)
             if handles or self.profile:
-                new = stored(new, "mesh")
+                new = self._stored(home, new)
                 self.tables[home], self.depth[home] = new.select(*(F.col(f"`{c}`") for c in names)), 0
             else:
                 self._keep(home, new)
@@ -328,7 +359,7 @@ class Mesh:
         planned = time.perf_counter() - started
         if self.profile:
             for key in others:
-                self.tables[key], self.depth[key] = stored(self.tables[key], "mesh"), 0
+                self.tables[key], self.depth[key] = self._stored(key, self.tables[key]), 0
             if folds:
                 folds.row()
         record = self.records.setdefault(name, LoopRecord(name, box))
@@ -425,14 +456,20 @@ class Mesh:
                 self.folds.pop((d.field.block.name, d.field.name), None)
         cells = self.tables[home] if home else index_set(self.spark, block.axes, box)
         if home:
-            cells = _neighbours(cells, block.dims, tuple(range(block.dims)), wanted.pop(home, {}), home[2])
+            cells = _neighbours(cells, block.dims, tuple(range(block.dims)), wanted.pop(home, {}), home[2], self._dealt(home))
         for key, columns in wanted.items():
             axes = tuple(AXES[a] for a in key[1])
-            own = self.tables[key].select(*axes, *(F.col(f"`{c}`") for c in columns))
-            own = _neighbours(own, block.dims, key[1], columns, key[2])
-            if box_size(key[2]) <= MOST_SENT:
+            slabs = self._dealt(key)
+            own = self.tables[key].select(*([SLAB] if slabs else []), *axes, *(F.col(f"`{c}`") for c in columns))
+            own = _neighbours(own, block.dims, key[1], columns, key[2], slabs)
+            few, on = box_size(key[2]) <= MOST_SENT, list(axes)
+            if slabs and SLAB in cells.columns and not few:
+                on = [SLAB, *axes]  # both tables lie by slab
+            else:
+                own = own.drop(SLAB)
+            if few:
                 own = F.broadcast(own)
-            cells = cells.join(own, list(axes), "left") if axes else cells.crossJoin(own)
+            cells = cells.join(own, on, "left") if axes else cells.crossJoin(own)
         for d in dats:
             if d.stencil.kind == "restrict":
                 cells = self._restricted(cells, block, d)
@@ -470,12 +507,12 @@ class Mesh:
         return cells.join(renamed, on, "left").drop(*(f"__{x}" for x in axes))
 
 
-def _neighbours(df: DataFrame, dims: int, kept: tuple[int, ...], wanted: dict[str, set], box: Box = ()) -> DataFrame:
+def _neighbours(df: DataFrame, dims: int, kept: tuple[int, ...], wanted: dict[str, set], box: Box = (), slabs: Slabs | None = None) -> DataFrame:
     """Gathers along the kept axes; columns are named by offsets over all axes."""
     axes = tuple(AXES[a] for a in kept)
     if not axes:
         return df
-    out = gather(df, axes, wanted, box)
+    out = by_slab(df, axes, wanted, slabs) if slabs else gather(df, axes, wanted, box)
     if len(kept) == dims:
         return out
     names = {name_of(c, o): name_of(c, tuple(o[kept.index(a)] if a in kept else 0 for a in range(dims))) for c, os in wanted.items() for o in os if any(o)}

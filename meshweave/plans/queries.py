@@ -1130,3 +1130,52 @@ def tiles_two_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     tiles.run(loops, steps=3, depth=2, fold_all=True)
     return tiles.cells("v").select("i", "j", F.round("v", 6).alias("v"), F.round(F.lit(total.result()), 3).alias("total"))
+
+
+# slabs
+
+
+_PART_NODES = f"""{GP}, m AS (SELECT min(i) AS low, max(i) AS high FROM g), n AS (SELECT i, CAST(b.range AS INT) AS j FROM (SELECT i FROM g WHERE j = 0 UNION ALL SELECT high + 1 FROM m) CROSS JOIN range(8) b)"""
+
+
+@query(
+    "slabs_staggered",
+    f"WITH {_PART_NODES}, c AS (SELECT n.i, n.j, CASE WHEN n.i > low AND n.i <= high AND n.j BETWEEN 1 AND 6 THEN (g.v + w.v + s.v + t.v) / 4 ELSE 0 END AS node FROM n CROSS JOIN m LEFT JOIN g ON g.i = n.i AND g.j = n.j LEFT JOIN g w ON w.i = n.i - 1 AND w.j = n.j LEFT JOIN g s ON s.i = n.i AND s.j = n.j - 1 LEFT JOIN g t ON t.i = n.i - 1 AND t.j = n.j - 1) "
+    "SELECT g.i, g.j, round(CASE WHEN g.j <= 5 AND g.i < high THEN g.v + p.node - q.node ELSE g.v END, 6) AS v FROM g CROSS JOIN m JOIN c p ON p.i = g.i AND p.j = g.j JOIN c q ON q.i = g.i + 1 AND q.j = g.j + 1",
+)
+def slabs_staggered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells to nodes and back on parts by line numbers: two sizes of field on a block that is dealt into
+    slabs, so the loops join them where they lie."""
+    m, b, v, node, low, high = staggered_slabs(spark, sf_dir, 8)
+
+    def mean(v, node) -> None:
+        node[0, 0] = (v[0, 0] + v[-1, 0] + v[0, -1] + v[-1, -1]) / 4
+
+    def back(v, node) -> None:
+        v[0, 0] = v[0, 0] + node[0, 0] - node[1, 1]
+
+    m.loop("mean", b, [low + 1, high, 1, 7], mean, v=read(v, Stencil("corner", ((0, 0), (-1, 0), (0, -1), (-1, -1)))), node=write(node))
+    m.loop("back", b, [low, high - 1, 0, 6], back, v=rw(v), node=read(node, Stencil("opposite", ((0, 0), (1, 1)))))
+    return m.table(v).withColumn("v", F.round("v", 6))
+
+
+def staggered_slabs(spark: SparkSession, sf_dir: str, parts: int) -> tuple[Mesh, Block, Field, Field, int, int]:
+    m, b, v = part_grid(spark, sf_dir)
+    low, high = v.interior[0]
+    m.deal(v, 0, parts)
+    return m, b, v, m.field(b, "node", (high - low + 1, 8), base=(low, 0)), low, high
+
+
+@query("slabs_wide_stencil", f"WITH {GP}, m AS (SELECT min(i) AS low, max(i) AS high FROM g), s0 AS (SELECT i, j, CASE WHEN i >= low + 3 AND i <= high - 2 AND j BETWEEN 1 AND 5 THEN (lead(v, 2) OVER y + lag(v, 3) OVER y + lag(v) OVER x) / 3 ELSE v END AS v FROM g CROSS JOIN m WINDOW x AS (PARTITION BY i ORDER BY j), y AS (PARTITION BY j ORDER BY i)), s1 AS (SELECT i, j, CASE WHEN i >= low + 3 AND i <= high - 2 AND j BETWEEN 1 AND 5 THEN (lead(v, 2) OVER y + lag(v, 3) OVER y + lag(v) OVER x) / 3 ELSE v END AS v FROM s0 CROSS JOIN m WINDOW x AS (PARTITION BY i ORDER BY j), y AS (PARTITION BY j ORDER BY i)) SELECT i, j, round(v, 6) AS v FROM s1")
+def slabs_wide_stencil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two steps of an uneven stencil on a dealt grid: only rows at the ends of slabs move."""
+    m, b, v = part_grid(spark, sf_dir)
+    low, high = v.interior[0]
+    m.deal(v, 0, 8)
+
+    def mean(v) -> None:
+        v[0, 0] = (v[2, 0] + v[-3, 0] + v[0, -1]) / 3
+
+    for _ in range(2):
+        m.loop("mean", b, [low + 3, high - 2, 1, 6], mean, v=rw(v, Stencil("uneven", ((0, 0), (2, 0), (-3, 0), (0, -1)))))
+    return m.table(v).withColumn("v", F.round("v", 6))
