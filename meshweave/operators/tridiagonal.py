@@ -5,6 +5,12 @@ no built-in expression has, so it is solved in NumPy: all lines of a batch at on
 along the axis. Lines longer than ``chunk`` are cut: each piece is solved for its own right-hand side
 and for a unit value of either neighbour beyond its ends; two equations for each piece then give the
 values at the ends, and the rest follows without another recurrence. So no task holds a longer run.
+
+Where lines are few and long, parallel cyclic reduction is used instead, in SQL alone: a round eliminates the
+neighbours at a distance, which doubles; then every cell is an equation of its own. There are two shuffles in
+all. The near rounds are windows within slabs, which borrow as many cells as the rounds together reach; after
+them, cells at the same remainder of the distance are systems of their own, and the far rounds are windows
+within these.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.catalog import AXES, Field, MeshError, box_of, box_size
@@ -124,9 +130,61 @@ def solve_long_lines(systems: DataFrame, line: list[str], along: str, begin: int
     return joined.select(*line, F.col("v.p").alias(along), (F.col("v.y") - F.col("v.u") * F.col("before") - F.col("v.w") * F.col("after")).alias("x"))
 
 
-def solve(mesh: Mesh, axis: int, box: list[int], a: Field, b: Field, c: Field, d: Field, into: Field | None = None, chunk: int = 65_536) -> None:
+def _over(x: Column, y: Column) -> Column:
+    """x / y; NaN over zero, as in NumPy."""
+    return x / F.when(y == 0, F.lit(float("nan"))).otherwise(y)
+
+
+def _round(df: DataFrame, window: Window, distance: int) -> DataFrame:
+    """Eliminates the neighbours ``distance`` rows off. Beyond a line's ends there is nothing to eliminate."""
+    near = {f"{k}{side}": way(k, distance).over(window) for side, way in (("0", F.lag), ("1", F.lead)) for k in "abcd"}
+    df = df.withColumns(near)
+    low = F.when(F.col("b0").isNull(), 0.0).otherwise(_over(-F.col("a"), F.col("b0")))
+    high = F.when(F.col("b1").isNull(), 0.0).otherwise(_over(-F.col("c"), F.col("b1")))
+    df = df.withColumns({"low": low, "high": high})
+    of = lambda k: F.coalesce(F.col(k), F.lit(0.0))
+    new = {
+        "a": F.col("low") * of("a0"),
+        "b": F.col("b") + F.col("low") * of("c0") + F.col("high") * of("a1"),
+        "c": F.col("high") * of("c1"),
+        "d": F.col("d") + F.col("low") * of("d0") + F.col("high") * of("d1"),
+    }
+    return df.withColumns(new).drop(*near, "low", "high")
+
+
+def solve_by_reduction(systems: DataFrame, line: list[str], along: str, begin: int, cells: int, chunk: int) -> DataFrame:
+    """The same as ``solve_lines`` for lines of ``cells`` cells, by parallel cyclic reduction. Tasks have slabs
+    and systems of at most ``chunk`` cells and their borders."""
+    near = max(0, (-(-cells // chunk) - 1).bit_length())
+    reach, parts = (1 << near) - 1, -(-cells // chunk)
+    if reach > chunk:
+        raise MeshError(f"lines of {cells} cells are too long for systems of {chunk}")
+    at = F.col(along) - begin
+    df = systems.select(*line, along, F.when(at == 0, 0.0).otherwise(F.col("a").cast("double")).alias("a"), F.col("b").cast("double").alias("b"), F.when(at == cells - 1, 0.0).otherwise(F.col("c").cast("double")).alias("c"), F.col("d").cast("double").alias("d"))
+    if near:
+        slab, within = F.floor(at / chunk).cast("int"), at % chunk
+        to = F.array(slab, F.when((within < reach) & (slab > 0), slab - 1), F.when((within >= chunk - reach) & (slab < parts - 1), slab + 1))
+        df = df.withColumn("slab", F.explode(F.filter(to, lambda s: s.isNotNull())))
+        window = Window.partitionBy(*line, "slab").orderBy(along)
+        for k in range(near):
+            df = _round(df, window, 1 << k)
+        df = df.where(F.col("slab") == slab).drop("slab")
+    window = Window.partitionBy(*line).orderBy(along)
+    if near:
+        df = df.withColumn("rest", (at % (1 << near)).cast("int"))
+        window = Window.partitionBy(*line, "rest").orderBy(along)
+    distance = 1
+    while distance << near < cells:
+        df = _round(df, window, distance)
+        distance *= 2
+    return df.select(*line, along, _over(F.col("d"), F.col("b")).alias("x"))
+
+
+def solve(mesh: Mesh, axis: int, box: list[int], a: Field, b: Field, c: Field, d: Field, into: Field | None = None, chunk: int = 65_536, by: str | None = None) -> None:
     """Solves along ``axis`` over a box. The solution overwrites ``d``, or is added to ``into``. The last
-    cell's ``c`` and the first cell's ``a`` do not count. Lines longer than ``chunk`` are solved in pieces."""
+    cell's ``c`` and the first cell's ``a`` do not count. ``by``: lines ``whole``, in ``pieces`` of ``chunk``
+    cells or by cyclic ``reduction``. If it is not given, lines longer than ``chunk`` are reduced if there are
+    fewer of them than partitions, and cut into pieces if not."""
     fields = [a, b, c, d, *([into] if into else [])]
     if len({(f.size, f.dtype) for f in fields}) != 1:
         raise MeshError("the coefficients of a tridiagonal system differ in size or type")
@@ -142,7 +200,14 @@ def solve(mesh: Mesh, axis: int, box: list[int], a: Field, b: Field, c: Field, d
         table = part if table is None else table.join(part, list(axes))
     line, along = [x for x in axes if x != AXES[axis]], AXES[axis]
     low, high = bounds[axis]
-    if high - low > chunk:
+    if by is None:
+        few = box_size(bounds) < int(mesh.spark.conf.get("spark.sql.shuffle.partitions")) * max(1, high - low)
+        by = "whole" if high - low <= chunk else "reduction" if few else "pieces"
+    if by not in ("whole", "pieces", "reduction"):
+        raise MeshError(f"tridiagonal systems cannot be solved by {by}")
+    if by == "reduction":
+        solved = solve_by_reduction(table, line, along, low, high - low, chunk)
+    elif by == "pieces":
         last = F.col(along) == high - 1
         solved = solve_long_lines(table.withColumn("c", F.when(last, 0.0).otherwise(F.col("c"))), line, along, low, chunk)
     else:

@@ -1179,3 +1179,27 @@ def slabs_wide_stencil(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         m.loop("mean", b, [low + 3, high - 2, 1, 6], mean, v=rw(v, Stencil("uneven", ((0, 0), (2, 0), (-3, 0), (0, -1)))))
     return m.table(v).withColumn("v", F.round("v", 6))
+
+
+def part_systems(spark: SparkSession, sf_dir: str) -> tuple[Mesh, Block, Field, list[Field], list[int]]:
+    """Systems along the parts, a line for each line number, whose solution is the grid of quantities."""
+    m, b, v = part_grid(spark, sf_dir)
+    low, high = v.interior[0]
+    a, bb, c, d = (m.field(b, x, v.size, base=v.base) for x in "abcd")
+
+    def make(v, a, b, c, d, at) -> None:
+        first, last = at[0] == low, at[0] == high - 1
+        a[0, 0], b[0, 0], c[0, 0] = F.lit(-1.0), F.lit(4.0), F.lit(-2.0)
+        d[0, 0] = 4.0 * v[0, 0] - F.when(first, 0.0).otherwise(v[-1, 0]) - 2.0 * F.when(last, 0.0).otherwise(v[1, 0])
+
+    box = [low, high, 0, 7]
+    m.loop("make", b, box, make, v=read(v, Stencil("line", ((0, 0), (-1, 0), (1, 0)))), a=write(a), b=write(bb), c=write(c), d=write(d), at=Idx())
+    return m, b, v, [a, bb, c, d], box
+
+
+@query("tridiagonal_reduction", f"WITH {GP} SELECT i, j, round(v, 6) AS d FROM g")
+def tridiagonal_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few lines as long as there are parts, by cyclic reduction in slabs of 64 cells and systems of as many."""
+    m, _, _, systems, box = part_systems(spark, sf_dir)
+    tridiagonal.solve(m, 0, box, *systems, chunk=64, by="reduction")
+    return m.table(systems[3]).withColumn("d", F.round("d", 6))
