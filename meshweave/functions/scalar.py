@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
@@ -44,3 +45,14 @@ def to_half(value: Column) -> Column:
             yield x.astype(np.float16).astype(np.float32)
 
     return F.pandas_udf(half, FloatType())(value.cast("float"))
+
+
+def to_half_each(values: Column) -> Column:
+    """The same for each entry of an array."""
+
+    def half(x: pa.Array) -> pa.Array:
+        rounded = x.values.to_numpy(zero_copy_only=False).astype(np.float16).astype(np.float32)
+        return pa.ListArray.from_arrays(x.offsets, pa.array(rounded), mask=x.is_null() if x.null_count else None)
+
+    half.__annotations__ = {"x": pa.Array, "return": pa.Array}  # names alone would not tell an Arrow function
+    return F.arrow_udf(half, "array<float>")(values.cast("array<float>"))

@@ -245,6 +245,12 @@ class Mesh:
         has rows."""
         self._put(self.key(f), new, {f.name: value.cast(f.spark_type)}, cells)
 
+    def put_columns(self, key: tuple, new: DataFrame, columns: dict[str, Column], cells: int | None = None) -> None:
+        """The same for several fields of a table, which is joined once."""
+        for name in columns:
+            self.folds.pop((key[0], name), None)
+        self._put(key, new, columns, cells)
+
     def _put(self, key: tuple, new: DataFrame, columns: dict[str, Column], cells: int | None = None) -> None:
         """Changes columns where ``new`` has rows; few rows are sent to where the table lies."""
         axes = tuple(AXES[a] for a in key[1])

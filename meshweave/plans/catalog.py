@@ -143,7 +143,8 @@ class Stencil:
 
 @dataclass(frozen=True)
 class Halo:
-    """A copy of a box between fields. Directions are 1-based and signed; a negative one flips."""
+    """A copy of a box between fields. Directions are 1-based and signed; a negative one flips, so a mirror is
+    a halo of a field with itself. Values are multiplied by ``sign``."""
 
     source: Field
     target: Field
@@ -152,6 +153,7 @@ class Halo:
     to_base: tuple[int, ...]
     from_dir: tuple[int, ...]
     to_dir: tuple[int, ...]
+    sign: float = 1
 
     def __post_init__(self) -> None:
         n = len(self.shape)
@@ -160,6 +162,8 @@ class Halo:
                 raise MeshError(f"halo {self.source.name} to {self.target.name}: directions {d} are no permutation of 1..{n}")
         if self.source.dim != self.target.dim:
             raise MeshError(f"halo {self.source.name} to {self.target.name}: they differ in dim")
+        if self.sign != 1 and TYPES[self.target.dtype] in ("boolean", *(x for x in TYPES.values() if x.startswith("struct"))):
+            raise MeshError(f"halo {self.source.name} to {self.target.name}: {self.target.dtype} takes no sign")
 
 
 def box_of(bounds: list[int] | tuple[int, ...] | Box) -> Box:

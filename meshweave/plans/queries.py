@@ -1203,3 +1203,84 @@ def tridiagonal_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, _, _, systems, box = part_systems(spark, sf_dir)
     tridiagonal.solve(m, 0, box, *systems, chunk=64, by="reduction")
     return m.table(systems[3]).withColumn("d", F.round("d", 6))
+
+
+# stored parts, halos of many fields
+
+
+@query("store_pruned_slab", f"WITH {GP}, m AS (SELECT min(i) AS low, max(i) AS high FROM g) SELECT i, j, v FROM g, m WHERE i >= low + (high - low) // 3 AND i < low + (high - low) // 3 + 40 AND j BETWEEN 2 AND 4")
+def store_pruned_slab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slab of a stored grid, read by ranges of its curve."""
+    m, b, v = part_grid(spark, sf_dir)
+    low, high = v.interior[0]
+    store = Store(spark, new_path(spark, "store"), per_file=50_000, per_group=500)
+    store.write_field(m, v)
+    begin = low + (high - 1 - low) // 3
+    return store.read_slab(b, "v", [begin, begin + 40, 2, 5])
+
+
+@query("store_half_components", f"WITH {G2} SELECT i, j, CAST(v % 512 + 512.5 AS DOUBLE) AS a, CAST(v % 1024 + 1024 AS DOUBLE) AS b FROM g WHERE i < 4 AND j < 6")
+def store_half_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slab of a field of two components in half precision, whose steps are one half and one there."""
+    m, b, v = grid2(spark, sf_dir)
+    pair = m.field(b, "pair", (40, 25), dim=2)
+
+    def fill(v, pair) -> None:
+        pair[0, 0, 0], pair[1, 0, 0] = v[0, 0] % 512 + 512.6, v[0, 0] % 1024 + 1024.3
+
+    m.loop("fill", b, [0, 40, 0, 25], fill, v=read(v), pair=write(pair))
+    store = Store(spark, new_path(spark, "store"))
+    store.write_slab(m, pair, [0, 4, 0, 6], "part", "half")
+    return store.read_part("part").select("i", "j", *(F.get("pair", c).cast("double").alias("ab"[c]) for c in range(2)))
+
+
+_PLANES = [(0, 3), (0, 7), (1, 4), (2, 2), (2, 5)]
+
+
+@query("store_plane_cells", f"WITH {G3} " + " UNION ALL ".join(f"SELECT '{'IJK'[a]}{at}' AS plane, {'jii'[a]} AS x, {'kkj'[a]} AS y, v, v * 2 + {'ijk'[a]} AS w FROM g WHERE {'ijk'[a]} = {at}" for a, at in _PLANES))
+def store_plane_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five planes of two fields, written in one pass; every cell of them."""
+    m, b, v = grid3(spark, sf_dir)
+    w = m.field(b, "w", (10, 10, 7))
+    store = Store(spark, new_path(spark, "store"))
+    out = None
+    for axis in range(3):
+
+        def fill(v, w, at, axis=axis) -> None:
+            w[0, 0, 0] = v[0, 0, 0] * 2 + at[axis]
+
+        m.loop("fill", b, [0, 10, 0, 10, 0, 7], fill, v=read(v), w=write(w), at=Idx())
+        names = store.write_plane_group(m, [p for p in _PLANES if p[0] == axis], f"along{axis}", [v, w])
+        for first, second in zip(names[::2], names[1::2], strict=True):
+            x, y = (c for c in "ijk" if c != "ijk"[axis])
+            both = store.read_part(first).join(store.read_part(second), [x, y]).select(F.lit(first.split("/")[0]).alias("plane"), F.col(x).alias("x"), F.col(y).alias("y"), "v", "w")
+            out = both if out is None else out.union(both)
+    return out
+
+
+_MIRROR = "SELECT i, j, v AS p, v + i AS q, CAST(v * 2 AS DOUBLE) AS r FROM g"
+
+
+@query(
+    "halo_mirror_group",
+    f"WITH {G2}, f AS ({_MIRROR}), x AS (SELECT * FROM f UNION ALL SELECT -1 - i, j, p, -q, r FROM f WHERE i < 2 UNION ALL SELECT 79 - i, j, p, -q, r FROM f WHERE i >= 38) SELECT * FROM x UNION ALL SELECT i, -1 - j, p, q, -r FROM x WHERE j < 2 UNION ALL SELECT i, 49 - j, p, q, -r FROM x WHERE j >= 23",
+)
+def halo_mirror_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mirrors of three fields at all four sides: along each axis in one group, with the sign of the component
+    that the wall turns round. The second group takes the corners along."""
+    m, b, v = grid2(spark, sf_dir)
+    halo2 = {"below": (-2, -2), "above": (2, 2)}
+    fields = {x: m.field(b, x, (40, 25), **halo2) for x in "pqr"}
+    box = [0, 40, 0, 25]
+
+    def fill(v, at, p, q, r) -> None:
+        p[0, 0], q[0, 0], r[0, 0] = v[0, 0], v[0, 0] + at[0], v[0, 0] * 2
+
+    m.loop("fill", b, box, fill, v=read(v), at=Idx(), **{x: write(f) for x, f in fields.items()})
+    for axis, turned in ((0, "q"), (1, "r")):
+        n = (40, 25)[axis]
+        shape = (2, 25) if axis == 0 else (44, 2)
+        at = lambda k, axis=axis: (k, 0) if axis == 0 else (-2, k)
+        flip = (-1, 2) if axis == 0 else (1, -2)
+        halo.transfer(m, [Halo(f, f, shape, at(begin), at(to), (1, 2), flip, -1 if x == turned else 1) for x, f in fields.items() for begin, to in ((0, -2), (n - 2, n))])
+    return m.tables[m.key(fields["p"])].select("i", "j", "p", "q", "r")

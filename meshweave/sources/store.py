@@ -3,6 +3,9 @@
 ``{path}/{block}/{field}/data`` holds coordinates and values, ``{path}/meta`` one JSON document for
 each block, field, stencil, halo and constant. Everything is read and written by Spark, so any store
 that Spark can reach will do. Reads check the metadata first.
+
+Cells are stored along a Morton curve, in files and row groups by ranges of it: a box is cut into ranges of
+keys, which are pushed down, so reading a slab reads few row groups besides those that it is in.
 """
 
 from __future__ import annotations
@@ -17,8 +20,11 @@ from pyspark.sql import functions as F
 
 from ..operators import slabs
 from ..operators.loop import Mesh
-from ..plans.catalog import Block, Field, Halo, MeshError, Stencil
+from ..plans.catalog import AXES, Block, Field, Halo, MeshError, Stencil, box_of, box_size
+from ..plans.grid import inside, morton, morton_ranges
 
+#: The column with a cell's place on the curve.
+KEY = "__key"
 PRECISIONS = {"double": "double", "single": "float", "half": "float"}
 
 
@@ -37,8 +43,11 @@ def read_text(spark: SparkSession, path: str) -> list[str]:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str):
+    """``per_file`` and ``per_group``: about how many cells a file and a row group of it hold."""
+
+    def __init__(self, spark: SparkSession, path: str, per_file: int = 16_000_000, per_group: int = 500_000):
         self.spark, self.path = spark, path.rstrip("/")
+        self.per_file, self.per_group = per_file, per_group
 
     # metadata
 
@@ -69,12 +78,12 @@ class Store:
         return Stencil(found["name"], tuple(map(tuple, found["points"])), found["kind"], tuple(found["ratio"]), tuple(found["stride"]))
 
     def write_halo(self, halo: Halo) -> None:
-        value = {k: list(getattr(halo, k)) for k in ("shape", "from_base", "to_base", "from_dir", "to_dir")}
+        value = {k: list(getattr(halo, k)) for k in ("shape", "from_base", "to_base", "from_dir", "to_dir")} | {"sign": halo.sign}
         self._put("halo", f"{halo.source.block.name}.{halo.source.name}.{halo.target.block.name}.{halo.target.name}", value)
 
     def read_halo(self, source: Field, target: Field) -> Halo:
         found = self._get("halo", f"{source.block.name}.{source.name}.{target.block.name}.{target.name}")
-        return Halo(source, target, *(tuple(found[k]) for k in ("shape", "from_base", "to_base", "from_dir", "to_dir")))
+        return Halo(source, target, *(tuple(found[k]) for k in ("shape", "from_base", "to_base", "from_dir", "to_dir")), found.get("sign", 1))
 
     def write_constant(self, name: str, value: Any) -> None:
         self._put("const", name, value)
@@ -95,15 +104,39 @@ class Store:
             raise MeshError(f"{f.name} in {self.path} has other metadata")
         self.write_block(f.block)
         self._put("field", f"{f.block.name}.{f.name}", meta)
-        mesh.table(f).write.mode("overwrite").parquet(f"{self.path}/{f.block.name}/{f.name}/data")
+        box = tuple(f.allocation[a] for a in f.kept)
+        cells = mesh.table(f)
+        if box:
+            cells = cells.withColumn(KEY, morton(f.axes, box))
+            files = -(-box_size(box) // self.per_file)
+            cells = (cells.repartitionByRange(files, KEY) if files > 1 else cells.coalesce(1)).sortWithinPartitions(KEY)
+        # A row group is closed by its bytes; a cell has its coordinates, its key and its values.
+        width = 8 + 4 * len(box) + 8 * f.dim
+        cells.write.mode("overwrite").option("parquet.block.size", self.per_group * width).parquet(self._data(f.block.name, f.name))
+
+    def _data(self, block: str, name: str) -> str:
+        return f"{self.path}/{block}/{name}/data"
+
+    def _field(self, block: Block, name: str) -> Field:
+        meta = self._get("field", f"{block.name}.{name}")
+        return Field(block, name, *(tuple(meta[k]) for k in ("size", "base", "below", "above")), meta["dim"], meta["dtype"], tuple(meta["stride"]))
+
+    def read_slab(self, block: Block, name: str, box: list[int], most: int = 64) -> DataFrame:
+        """The stored cells of a box, halo cells too: of the files only row groups near them are read."""
+        f, bounds = self._field(block, name), box_of(box)
+        data = self.spark.read.parquet(self._data(block.name, name))
+        whole, part = tuple(f.allocation[a] for a in f.kept), tuple(bounds[a] for a in f.kept)
+        near = F.lit(not whole)
+        for low, high in morton_ranges(whole, part, most) if whole else []:
+            near = near | F.col(KEY).between(low, high)
+        return data.where(near).where(inside(part, f.axes)).select(*f.axes, f"`{f.name}`")
 
     def read_field(self, mesh: Mesh, block: Block, name: str, dim: int = 1, dtype: str = "double") -> Field:
         """Declares a field as it was written; its ``dim`` and type must be as asked."""
-        meta = self._get("field", f"{block.name}.{name}")
-        if (meta["dim"], meta["dtype"]) != (dim, dtype):
-            raise MeshError(f"{name} in {self.path} is {meta['dim']} x {meta['dtype']}, not {dim} x {dtype}")
-        f = Field(block, name, *(tuple(meta[k]) for k in ("size", "base", "below", "above")), dim, dtype, tuple(meta["stride"]))
-        return mesh.declare(f, self.spark.read.parquet(f"{self.path}/{block.name}/{name}/data"))
+        f = self._field(block, name)
+        if (f.dim, f.dtype) != (dim, dtype):
+            raise MeshError(f"{name} in {self.path} is {f.dim} x {f.dtype}, not {dim} x {dtype}")
+        return mesh.declare(f, self.spark.read.parquet(self._data(block.name, name)))
 
     def dump(self, mesh: Mesh, stencils: list[Stencil] = (), halos: list[Halo] = ()) -> None:
         """All blocks, all fields without collapsed axes, and the stencils and halos given."""
@@ -125,9 +158,9 @@ class Store:
         kind = PRECISIONS[precision]
         value = F.col(f.name)
         if precision == "half":
-            from ..functions.scalar import to_half
+            from ..functions.scalar import to_half, to_half_each
 
-            value = F.transform(value, to_half) if f.dim > 1 else to_half(value)
+            value = to_half_each(value) if f.dim > 1 else to_half(value)
         return df.withColumn(f.name, value.cast(f"array<{kind}>" if f.dim > 1 else kind))
 
     def write_slab(self, mesh: Mesh, f: Field, box: list[int], name: str, precision: str | None = None) -> None:
@@ -137,15 +170,42 @@ class Store:
         self._precise(slabs.plane(mesh, f, axis, at), f, precision).write.mode("overwrite").parquet(f"{self.path}/{name}")
 
     def write_plane_group(self, mesh: Mesh, planes: list[tuple[int, int]], key: str, fields: list[Field], precision: str | None = None) -> list[str]:
-        """Every plane of every field, under ``{axis letter}{position}/{block}/{key}/{field}``."""
-        out = []
-        for axis, at in planes:
-            for f in fields:
-                out.append(f"{'IJKLM'[axis]}{at}/{f.block.name}/{key}/{f.name}")
-                self.write_plane(mesh, f, axis, at, out[-1], precision)
-        return out
+        """Every plane of every field; the names under which ``read_part`` has them are
+        ``{axis letter}{position}/{block}/{key}/{field}``. Fields of equal cells are written together, in one
+        pass over their table: a cell goes to each plane that has it, and a plane is a partition."""
+        groups: dict[tuple, list[Field]] = {}
+        for f in fields:
+            for axis, at in planes:
+                slabs.plane(mesh, f, axis, at)  # checks that there is one
+            groups.setdefault((*mesh.key(f), f.interior), []).append(f)
+        told: dict[str, dict[str, str]] = {}
+        for n, own in enumerate(groups.values()):
+            f = own[0]
+            places = {axis: sorted({at for a, at in planes if a == axis}) for axis, _ in planes}
+            has = F.filter(F.array(*(F.when(F.col(AXES[a]).isin(at), F.concat(F.lit("IJKLM"[a]), F.col(AXES[a]).cast("string"))) for a, at in places.items())), lambda x: x.isNotNull())
+            cells = mesh.tables[mesh.key(f)].where(inside(tuple(f.interior[a] for a in f.kept), f.axes)).withColumn("plane", F.explode(has))
+            for x in own:
+                cells = self._precise(cells, x, precision)
+            data = f"{self.path}/planes/{f.block.name}/{key}/{n}"
+            cells.select("plane", *f.axes, *(f"`{x.name}`" for x in own)).write.mode("overwrite").partitionBy("plane").parquet(data)
+            told.setdefault(f.block.name, {}).update({x.name: str(n) for x in own})
+        for block, names in told.items():
+            self._put("planes", f"{block}.{key}", names)
+        return [f"{'IJKLM'[axis]}{at}/{f.block.name}/{key}/{f.name}" for axis, at in planes for f in fields]
 
     def read_part(self, name: str) -> DataFrame:
+        """A slab or a plane by its name."""
+        parts = name.split("/")
+        if len(parts) == 4:
+            plane, block, key, field = parts
+            try:
+                n = self._get("planes", f"{block}.{key}").get(field)
+            except Missing:
+                n = None
+            if n is not None:
+                data = self.spark.read.parquet(f"{self.path}/planes/{block}/{key}/{n}")
+                axis = AXES["IJKLM".index(plane[0])]
+                return data.where(F.col("plane") == plane).select(*(x for x in data.columns if x in AXES and x != axis), f"`{field}`")
         return self.spark.read.parquet(f"{self.path}/{name}")
 
     def append_text(self, mesh: Mesh, f: Field, name: str) -> None:
