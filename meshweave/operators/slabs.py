@@ -157,9 +157,14 @@ def fill_random(mesh: Mesh, f: Field, seed: int, normal: bool = False) -> None:
     mesh.assign(f, new)
 
 
-def text_lines(mesh: Mesh, f: Field) -> DataFrame:
-    """One line of text for each row of cells along the first axis, in storage order."""
+def lines(mesh: Mesh, f: Field) -> DataFrame:
+    """One line of text for each row of cells along the first axis."""
     t = mesh.table(f)
     rest = [x for x in f.axes if x != f.axes[0]]
     row = F.array_sort(F.collect_list(F.struct(F.col(f.axes[0]).alias("p"), F.col(f.name).cast("string").alias("v"))))
-    return t.groupBy(*rest).agg(F.array_join(F.transform(row, lambda x: x["v"]), " ").alias("line")).orderBy(*reversed(rest))
+    return t.groupBy(*rest).agg(F.array_join(F.transform(row, lambda x: x["v"]), " ").alias("line"))
+
+
+def text_lines(mesh: Mesh, f: Field) -> DataFrame:
+    """The same in storage order."""
+    return lines(mesh, f).orderBy(*(F.col(x) for x in reversed(f.axes[1:])))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import bands, halo, slabs, tridiagonal
+from ..operators import bands, halo, regions, slabs, tridiagonal
 from ..operators.loop import Dat, Gbl, Idx, Mesh, Opt, Reduce, inc, read, rw, write
 from ..operators.reduction import Reduction
 from ..operators.tiles import Tiles
@@ -808,21 +808,22 @@ def _lehmer(seed: int, stream: int) -> str:
     return f"(({x} * 69621::BIGINT) % 2147483647)"
 
 
-_CELLS = "c AS (SELECT CAST(a.range - 1 AS INT) AS i, CAST(b.range AS INT) AS j FROM range(12) a CROSS JOIN range(8) b)"
+# A cell for each part and line number, and one more part at either end.
+_CELLS = "p AS (SELECT CAST(p_partkey AS INT) AS i FROM part), c AS (SELECT i, CAST(b.range AS INT) AS j FROM (SELECT i FROM p UNION ALL SELECT min(i) - 1 FROM p UNION ALL SELECT max(i) + 1 FROM p) CROSS JOIN range(7) b)"
 
 
 @query("random_uniform", f"WITH {_CELLS} SELECT i, j, {_lehmer(9, 0)}::DOUBLE / 2147483647 AS u FROM c")
 def random_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = Mesh(spark)
-    u = m.field(m.block("random", 2), "u", (10, 8), below=(-1, 0), above=(1, 0))
+    m, b, v = part_grid(spark, sf_dir)
+    u = m.field(b, "u", v.size, base=v.base, below=(-1, 0), above=(1, 0))
     slabs.fill_random(m, u, seed=9)
     return m.table(u)
 
 
 @query("random_normal", f"WITH {_CELLS} SELECT i, j, round(sqrt(-2 * ln(1 - {_lehmer(9, 101)}::DOUBLE / 2147483647)) * cos({_lehmer(9, 102)}::DOUBLE / 2147483647 * {2 * math.pi!r}), 6) AS u FROM c")
 def random_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = Mesh(spark)
-    u = m.field(m.block("random", 2), "u", (10, 8), below=(-1, 0), above=(1, 0))
+    m, b, v = part_grid(spark, sf_dir)
+    u = m.field(b, "u", v.size, base=v.base, below=(-1, 0), above=(1, 0))
     slabs.fill_random(m, u, seed=9, normal=True)
     return m.table(u).select("i", "j", F.round("u", 6).alias("u"))
 
@@ -843,12 +844,12 @@ def slab_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.table(v)
 
 
-@query("set_interior_and_all", "SELECT CAST(a.range - 1 AS INT) AS i, CASE WHEN a.range BETWEEN 1 AND 5 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS v FROM range(7) a")
+@query("set_interior_and_all", f"WITH {G2} SELECT i, j, v + 2 AS v FROM g UNION ALL SELECT CAST(unnest([-1, 40]) AS INT), CAST(range AS INT), 1 FROM range(25)")
 def set_interior_and_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = Mesh(spark)
-    v = m.field(m.block("line", 1), "v", (5,), below=(-1,), above=(1,))
-    slabs.set_all(m, v, m.table(v).withColumn("v", F.lit(1.0)))
-    slabs.set_interior(m, v, m.table(v).withColumn("v", F.lit(2.0)))
+    m, _, v = grid2(spark, sf_dir, below=(-1, 0), above=(1, 0))
+    old = m.table(v)
+    slabs.set_all(m, v, old.withColumn("v", F.lit(1.0)))
+    slabs.set_interior(m, v, old.withColumn("v", F.col("v") + 2))
     return m.table(v)
 
 
@@ -900,9 +901,9 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.catalog()
 
 
-@query("extents", "SELECT * FROM (VALUES ('i', 0, 40, -1, 2), ('j', 0, 25, 0, 1)) AS t(axis, base, size, below, above)")
+@query("extents", "SELECT 'i' AS axis, CAST(min(p_partkey) AS INT) AS base, CAST(max(p_partkey) - min(p_partkey) + 1 AS INT) AS size, 0 AS below, 0 AS above FROM part UNION ALL SELECT 'j', 0, 7, 0, 0")
 def extents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = Field(Block("parts", 2), "v", (40, 25), below=(-1, 0), above=(2, 1))
+    _, _, f = part_grid(spark, sf_dir)
     base, size = slabs.extents(f)
     return spark.createDataFrame(list(zip(f.block.axes, base, size, f.below, f.above, strict=True)), "axis string, base int, size int, below int, above int")
 
@@ -1284,3 +1285,67 @@ def halo_mirror_group(spark: SparkSession, sf_dir: str) -> DataFrame:
         flip = (-1, 2) if axis == 0 else (1, -2)
         halo.transfer(m, [Halo(f, f, shape, at(begin), at(to), (1, 2), flip, -1 if x == turned else 1) for x, f in fields.items() for begin, to in ((0, -2), (n - 2, n))])
     return m.tables[m.key(fields["p"])].select("i", "j", "p", "q", "r")
+
+
+# regions, text, metadata
+
+
+@query(
+    "regions_from_table",
+    """WITH c AS (SELECT CAST(a.range - 5 AS INT) AS i, CAST(b.range AS INT) AS j FROM range(120) a CROSS JOIN range(90) b),
+r AS (SELECT o_orderkey AS place, o_orderkey % 3 AS kind, o_custkey % 130 - 10 AS x, o_orderkey % 97 - 4 AS y, o_custkey % 5 + 1 + CASE WHEN o_orderkey % 500 < 3 THEN 40 ELSE 0 END AS w, CAST(o_custkey AS DOUBLE) AS value FROM orders WHERE o_custkey % 11 < 9),
+m AS (SELECT i, j, arg_max(value, place) AS value FROM c JOIN r ON CASE kind WHEN 0 THEN i >= x AND i < x + w AND j >= y AND j < y + 2 * w WHEN 1 THEN (i - x) * (i - x) + (j - y) * (j - y) <= w * w ELSE i = x AND j = y END GROUP BY i, j)
+SELECT i, j, coalesce(value, -1) AS state FROM c LEFT JOIN m USING (i, j)""",
+)
+def regions_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States from rectangles, circles and points of ``orders``, of very different sizes; the last order wins."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_custkey % 11 < 9")
+    width = F.col("o_custkey") % 5 + 1 + F.when(F.col("o_orderkey") % 500 < 3, 40).otherwise(0)
+    x, y = F.col("o_custkey") % 130 - 10, F.col("o_orderkey") % 97 - 4
+    kind = F.element_at(F.array(*map(F.lit, regions.KINDS)), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    table = orders.select(F.col("o_orderkey").alias("place"), kind.alias("kind"), x.alias("x0"), y.alias("y0"), (x + width).alias("x1"), (y + 2 * width).alias("y1"), width.alias("radius"), F.col("o_custkey").cast("double").alias("value"))
+    m = Mesh(spark)
+    b = m.block("plane", 2)
+    state = m.field(b, "state", (120, 90), base=(-5, 0))
+    m.loop("background", b, [-5, 115, 0, 90], lambda state: state.__setitem__((0, 0), -1.0), state=write(state))
+    regions.set_regions(m, state, table)
+    return m.table(state)
+
+
+@query("store_text_dump", f"WITH {GP}, s AS (SELECT min(i) AS low, max(i) - min(i) + 1 AS size FROM g) SELECT CAST(0 AS BIGINT) AS n, 'v block=parts size=[' || size || ', 7] dim=1 type=double' AS line FROM s UNION ALL SELECT 1 + j, string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR) || '.0', ' ' ORDER BY i) FROM g GROUP BY j")
+def store_text_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dump in several files, read back in the order of their names."""
+    m, b, v = part_grid(spark, sf_dir)
+    store = Store(spark, new_path(spark, "store"))
+    store.write_text(m, v, "dump", 4)
+    return store.read_text("dump")
+
+
+@query(
+    "store_halos_and_stencils",
+    f"WITH {G2} SELECT i, j, v, 7 AS points, 1.5::DOUBLE AS payload FROM g UNION ALL SELECT -2 + i, j, -g.v, 7, 1.5 FROM g WHERE i < 2",
+)
+def store_halos_and_stencils(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A halo and a stencil are written, read back and used."""
+    m, b, v = grid2(spark, sf_dir, below=(-2, 0))
+    store = Store(spark, new_path(spark, "store"))
+    store.dump(m, [Stencil.star(3)], [Halo(v, v, (2, 25), (0, 0), (-2, 0), (1, 2), (1, 2), -1)])
+    store.write_constant("payload", [1.5])
+    halo.transfer(m, [store.read_halo(v, v)])
+    points = len(store.read_stencil(Stencil.star(3).name).points)
+    return m.table(v).withColumns({"points": F.lit(points), "payload": F.lit(store.read_constant("payload")[0])})
+
+
+@query(
+    "field_metadata",
+    "WITH m AS (SELECT CAST(min(p_partkey) AS INT) AS low, CAST(max(p_partkey) AS INT) AS high FROM part) SELECT 'i' AS axis, low AS base, high - low + 1 AS size, high - low + 4 AS length, 1 AS stride, -1 AS below, 2 AS above, high - low AS slab, CAST((high - low) * 3 * 8 AS BIGINT) AS slab_bytes, CAST((high - low + 4) * 7 AS BIGINT) AS cells FROM m UNION ALL SELECT 'j', 0, 7, 7, high - low + 4, 0, 0, 3, (high - low) * 3 * 8, (high - low + 4) * 7 FROM m",
+)
+def field_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extents, the layout of a dense array, a slab's extents and bytes, and the cells of all partitions."""
+    m, b, v = part_grid(spark, sf_dir)
+    low, high = v.interior[0]
+    f = m.field(b, "w", v.size, base=v.base, below=(-1, 0), above=(2, 0))
+    (base, size), raw, (slab, n) = slabs.extents(f), slabs.raw_metadata(f), slabs.slab_extents(f, [low, high - 1, 2, 5])
+    cells = slabs.partitions(m, f).agg(F.sum("cells").alias("cells"))
+    rows = spark.createDataFrame([(x, base[a], size[a], raw["shape"][a], raw["strides"][a], raw["below"][a], raw["above"][a], slab[a], n) for a, x in enumerate(f.axes)], "axis string, base int, size int, length int, stride int, below int, above int, slab int, slab_bytes long")
+    return rows.join(F.broadcast(cells))

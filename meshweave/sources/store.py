@@ -15,7 +15,7 @@ from dataclasses import asdict
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import slabs
@@ -208,6 +208,26 @@ class Store:
                 return data.where(F.col("plane") == plane).select(*(x for x in data.columns if x in AXES and x != axis), f"`{field}`")
         return self.spark.read.parquet(f"{self.path}/{name}")
 
+    def write_text(self, mesh: Mesh, f: Field, name: str, parts: int) -> None:
+        """A header and all cells as text in ``parts`` files at most, which in the order of their names are the
+        dump: lines are ranged by their place, and no task has all of them."""
+        head = F.lit(f"{f.name} block={f.block.name} size={list(f.size)} dim={f.dim} type={f.dtype}")
+        place, step = F.lit(1).cast("long"), 1
+        for a in f.kept[1:]:
+            low, high = f.allocation[a]
+            place, step = place + (F.col(AXES[a]) - low) * step, step * (high - low)
+        lines = slabs.lines(mesh, f).select(place.alias("place"), "line")
+        every = self.spark.range(1).select(F.lit(0).cast("long").alias("place"), head.alias("line")).union(lines)
+        every.repartitionByRange(parts, "place").sortWithinPartitions("place").select("line").write.mode("overwrite").text(f"{self.path}/{name}")
+
+    def read_text(self, name: str) -> DataFrame:
+        """``n`` (from 0) and ``line`` of a dump: the files by name, each from its begin."""
+        read = self.spark.read.text(f"{self.path}/{name}").select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
+        before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each file
+        files = read.groupBy("file").count().select("file", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+        within = F.row_number().over(Window.partitionBy("file").orderBy("at"))
+        return read.withColumn("k", within).join(files, "file").select((F.col("before") + F.col("k") - 1).alias("n"), "line")
+
     def append_text(self, mesh: Mesh, f: Field, name: str) -> None:
         """Appends a header and all cells as text, in one part file in order."""
         head = F.lit(f"{f.name} block={f.block.name} size={list(f.size)} dim={f.dim} type={f.dtype}")

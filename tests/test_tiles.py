@@ -169,3 +169,9 @@ def test_tiles_have_every_cell_once():
             (a, b), (c, d) = grid.bounds(t)
             seen[a - 3 : b - 3, c - 3 : d - 3] += 1
         assert (seen == 1).all()
+
+
+def test_relaxation_has_the_known_change(spark):
+    from bench import relax_in_tiles
+
+    assert relax_in_tiles(spark, 30, 100, (11, 16), 5) == pytest.approx(0.0018718304066847602, rel=1e-12)
