@@ -152,11 +152,16 @@ def _round(df: DataFrame, window: Window, distance: int) -> DataFrame:
     return df.withColumns(new).drop(*near, "low", "high")
 
 
+def _near(cells: int, chunk: int) -> int:
+    """How many rounds are near ones: after them the systems have at most ``chunk`` cells."""
+    return (-(-cells // chunk) - 1).bit_length()
+
+
 def solve_by_reduction(systems: DataFrame, line: list[str], along: str, begin: int, cells: int, chunk: int) -> DataFrame:
     """The same as ``solve_lines`` for lines of ``cells`` cells, by parallel cyclic reduction. Tasks have slabs
     and systems of at most ``chunk`` cells and their borders."""
-    near = max(0, (-(-cells // chunk) - 1).bit_length())
-    reach, parts = (1 << near) - 1, -(-cells // chunk)
+    near, parts = _near(cells, chunk), -(-cells // chunk)
+    reach = (1 << near) - 1
     if reach > chunk:
         raise MeshError(f"lines of {cells} cells are too long for systems of {chunk}")
     at = F.col(along) - begin
@@ -202,7 +207,7 @@ def solve(mesh: Mesh, axis: int, box: list[int], a: Field, b: Field, c: Field, d
     low, high = bounds[axis]
     if by is None:
         few = box_size(bounds) < int(mesh.spark.conf.get("spark.sql.shuffle.partitions")) * max(1, high - low)
-        by = "whole" if high - low <= chunk else "reduction" if few else "pieces"
+        by = "whole" if high - low <= chunk else "reduction" if few and 1 << _near(high - low, chunk) <= chunk else "pieces"
     if by not in ("whole", "pieces", "reduction"):
         raise MeshError(f"tridiagonal systems cannot be solved by {by}")
     if by == "reduction":
