@@ -12,11 +12,15 @@ plain content. Arguments may name another call's result as ``{"$ref": id}``.
   for one, get level -1. Calls are ranged by conversation and turn, and a task orders runs of up to
   ``run_calls`` of them at a time, given what is placed already; so a round places whole chains, no
   conversation is gathered in one place, and the rounds are as many as runs that a chain goes through.
-* Arguments are checked against the schema of the tool (``type``, one or several, ``required``,
-  ``properties``, ``additionalProperties``, ``enum``, ``items``), as far as ``schemas`` has one.
+* Arguments are checked against the schema of the tool (the keywords ``CHECKED``), as far as ``schemas``
+  has one. A schema may be true or false; a keyword whose value has no meaning (null, or of another type)
+  allows anything, as what is no schema does. ``unchecked`` names the keywords that are not looked at.
+  Values are equal as JSON: true is not 1, and 1 is 1.0.
 * Each message is written with keys sorted by UTF-16 units, no spaces, unescaped Unicode but for lone
-  surrogates, and whole numbers without a fraction. A text with a number that no double holds, with NaN
-  or Infinity, or nested deeper than ``DEPTH`` is no JSON, and so plain content.
+  surrogates, and numbers as ECMAScript lays out doubles; but whole numbers keep all their digits, unless
+  they have 22 and are just a double. A text with a fraction or a power that no double holds, with a whole
+  number of more than 4300 digits, with NaN or Infinity, or nested deeper than ``DEPTH`` is no JSON, and so
+  plain content. A text of any length is looked at whole.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ from .common import materialise, tidy
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 DEPTH = 200
+CHECKED = ("type", "enum", "const", "required", "properties", "additionalProperties", "items", "anyOf", "minimum", "maximum")
 _LONE = re.compile("[\ud800-\udfff]")
 
 
@@ -70,6 +75,8 @@ def canonical(value: Any) -> str:
         return "[" + ",".join(map(canonical, value)) + "]"
     if isinstance(value, float):
         return _number(value)
+    if isinstance(value, int) and 10**21 <= abs(value) < 10**308 and float(value) == value:
+        return _number(float(value))
     text = json.dumps(value, ensure_ascii=False)
     return clean(text) if isinstance(value, str) else text
 
@@ -109,31 +116,73 @@ def _is(value: Any, kind: Any) -> bool:
     return isinstance(value, _TYPES.get(kind, object)) if isinstance(kind, str) else True
 
 
-def errors_of(value: Any, schema: dict, at: str = "$") -> list[str]:
+def _same(a: Any, b: Any) -> bool:
+    """Whether two values are equal as JSON."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(a[k], b[k]) for k in a)
+    return a == b
+
+
+def errors_of(value: Any, schema: Any, at: str = "$") -> list[str]:
     """What is wrong with a value under a schema, in order of the paths."""
-    kind = schema.get("type")
-    kinds = kind if isinstance(kind, list) else [] if kind is None else [kind]
-    if isinstance(value, dict) and "$ref" in value and len(value) == 1:
+    if isinstance(value, dict) and isinstance(value.get("$ref"), str) and len(value) == 1:
         return []  # stands for a result of any type
+    if schema is False:
+        return [f"{at}: not allowed"]
+    if not isinstance(schema, dict):
+        return []
+
+    def of(key: str, kind: Any) -> Any:
+        found = schema.get(key)
+        return found if isinstance(found, kind) and not isinstance(found, bool) else None
+
+    kinds = of("type", list) or ([schema["type"]] if of("type", str) else [])
     if kinds and not any(_is(value, k) for k in kinds):
         return [f"{at}: not {' or '.join(map(str, kinds))}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if of("enum", list) is not None and not any(_same(value, x) for x in schema["enum"]):
         out.append(f"{at}: not in enum")
+    if "const" in schema and not _same(value, schema["const"]):
+        out.append(f"{at}: not const")
+    if of("anyOf", list) and all(errors_of(value, x, at) for x in schema["anyOf"]):
+        out.append(f"{at}: none of anyOf")
+    if _is(value, "number"):
+        out += [f"{at}: below minimum"] * (of("minimum", (int, float)) is not None and value < schema["minimum"])
+        out += [f"{at}: above maximum"] * (of("maximum", (int, float)) is not None and value > schema["maximum"])
     if isinstance(value, dict):
-        known = schema.get("properties", {})
-        out += [f"{at}.{k}: missing" for k in sorted(schema.get("required", ())) if k not in value]
+        known, more = of("properties", dict) or {}, schema.get("additionalProperties")
+        out += [f"{at}.{k}: missing" for k in sorted(x for x in of("required", list) or () if isinstance(x, str)) if k not in value]
         for k in sorted(value):
             if k in known:
                 out += errors_of(value[k], known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties") is False:
+            elif more is False:
                 out.append(f"{at}.{k}: unknown")
-    if isinstance(value, list) and "items" in schema:
+            else:
+                out += errors_of(value[k], more, f"{at}.{k}")
+    if isinstance(value, list):
+        items = schema.get("items")
         for k, x in enumerate(value):
-            out += errors_of(x, schema["items"], f"{at}[{k}]")
+            out += errors_of(x, (items[k] if k < len(items) else None) if isinstance(items, list) else items, f"{at}[{k}]")
     return out
 
 
+def unchecked(schema: Any, at: str = "$") -> list[str]:
+    """Keywords of a schema that say something about values and are not looked at, with their paths."""
+    if not isinstance(schema, dict):
+        return []
+    told = ("title", "description", "default", "examples", "deprecated", "$schema", "$id", "$comment")
+    out = [f"{at}.{k}" for k in sorted(map(str, schema)) if k not in CHECKED and k not in told]
+    parts = [(f"{at}.properties.{k}", x) for k, x in schema["properties"].items()] if isinstance(schema.get("properties"), dict) else []
+    for key in ("items", "anyOf", "additionalProperties"):
+        found = schema.get(key)
+        parts += [(f"{at}.{key}[{k}]", x) for k, x in enumerate(found)] if isinstance(found, list) else [(f"{at}.{key}", found)]
+    return out + [x for where, part in parts for x in unchecked(part, where)]
+
+
 def references(value: Any) -> set[str]:
     if isinstance(value, dict):
         if len(value) == 1 and isinstance(value.get("$ref"), str):

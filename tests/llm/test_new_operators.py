@@ -1,6 +1,7 @@
 """Exact deduplication, phrases and whitening against brute force, and the odd cases of each."""
 
 import hashlib
+import json
 import random
 import re
 from collections import Counter, defaultdict
@@ -8,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from meshweave.llm import collocations, exact_dedup, whitening
+from meshweave.llm import collocations, exact_dedup, tool_calls, whitening
 
 # exact deduplication
 
@@ -210,3 +211,48 @@ def test_whitening_of_less_than_full_rank(spark):
     assert len(got) == 48 * 2 and max(r["component"] for r in got) == 2
     assert Counter(r["vec_id"] for r in got if r["component"] == 1) == Counter(r[0] for r in rows)
     assert all(r["identity_error"] < 1e-9 for r in got)
+
+
+# schemas and numbers of tool calls
+
+
+def test_schemas_of_any_form_are_defined():
+    errors = tool_calls.errors_of
+    assert errors({"x": 1}, {"properties": {"x": True}}) == [] and errors({"x": 1}, {"properties": {"x": False}}) == ["$.x: not allowed"]
+    assert errors({"x": 1}, {"required": None, "enum": None, "properties": None, "items": None, "anyOf": None, "minimum": None}) == []
+    assert errors([1, "a", 2.5], {"items": [{"type": "integer"}, {"type": "integer"}]}) == ["$[1]: not integer"]
+    assert errors(True, {"enum": [1]}) == ["$: not in enum"] and errors(1.0, {"enum": [1]}) == [] and errors([True], {"const": [1]}) == ["$: not const"]
+    assert errors({"a": {"b": [1]}}, {"const": {"a": {"b": [1.0]}}}) == []
+    assert errors(5, {"minimum": 6}) == ["$: below minimum"] and errors(5, {"maximum": 4.5}) == ["$: above maximum"] and errors("z", {"minimum": 6}) == []
+    assert errors("z", {"anyOf": [{"type": "integer"}, {"type": "null"}]}) == ["$: none of anyOf"] and errors(None, {"anyOf": [{"type": "integer"}, {"type": "null"}]}) == []
+    assert errors({"a": 1, "b": "x"}, {"properties": {"a": {}}, "additionalProperties": {"type": "integer"}}) == ["$.b: not integer"]
+    assert tool_calls.unchecked({"type": "object", "title": "t", "format": "f", "properties": {"a": {"pattern": "x"}}, "items": [{"minLength": 1}], "additionalProperties": {"maxItems": 2}}) == ["$.format", "$.properties.a.pattern", "$.items[0].minLength", "$.additionalProperties.maxItems"]
+
+
+def test_any_schema_and_value_without_a_crash():
+    rng = random.Random(7)
+    words = [*tool_calls.CHECKED, "x", "$ref", "format"]
+
+    def made(depth):
+        k = rng.random()
+        if depth == 0 or k < 0.4:
+            return rng.choice([None, True, False, 0, 1, -2.5, 1e21, 10**30, "", "integer", "object", "x"])
+        if k < 0.6:
+            return [made(depth - 1) for _ in range(rng.randint(0, 3))]
+        return {rng.choice(words): made(depth - 1) for _ in range(rng.randint(0, 4))}
+
+    for _ in range(4000):
+        value, schema = made(3), made(4)
+        found = tool_calls.errors_of(value, schema)
+        assert isinstance(found, list) and all(isinstance(x, str) for x in found)
+        tool_calls.unchecked(schema)
+        text = tool_calls.canonical(value)
+        assert tool_calls.canonical(json.loads(text)) == text and tool_calls._same(json.loads(text), value)
+
+
+def test_a_number_has_one_form():
+    same = [("1e21", "1000000000000000000000", "1e+21"), ("1E2", "100.0", "100"), ("-0.0", "0", "0"), ("1e300", str(10**300), None)]
+    for a, b, want in same[:3]:
+        assert tool_calls.canonical(tool_calls.parse(a)) == tool_calls.canonical(tool_calls.parse(b)) == want
+    assert tool_calls.canonical(9007199254740993) == "9007199254740993" and tool_calls.canonical(10**21 + 1) == str(10**21 + 1)
+    assert tool_calls.canonical(10**400) == str(10**400)
