@@ -133,8 +133,9 @@ def near_duplicates(
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null
     label or id, link with nothing. Vectors of single precision are kept so, others in double; cosines are
     computed in double. Vectors of different length are never compared. Rows with equal
-    vectors of a label link to each other, repeated ids too. Rows that repeat an id with other vectors are forms of one
-    vector: they are not compared with each other, and each has the links of all.
+    vectors of a label link to each other, repeated ids too. Where rows repeat an id
+    with other vectors, a row has the links and the component of its own vector, which is named after the
+    smallest id that has it; vectors named alike are forms of one, not compared, and each has the links of all.
     """
     given = embeddings.schema[vector_col].dataType
     kind = given.elementType if isinstance(given, ArrayType) and isinstance(given.elementType, FloatType) else DoubleType()
