@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from meshweave.llm import collocations, exact_dedup, tool_calls, whitening
+from meshweave.llm import collocations, embedding_dedup, exact_dedup, tool_calls, whitening
 
 # exact deduplication
 
@@ -256,3 +256,17 @@ def test_a_number_has_one_form():
         assert tool_calls.canonical(tool_calls.parse(a)) == tool_calls.canonical(tool_calls.parse(b)) == want
     assert tool_calls.canonical(9007199254740993) == "9007199254740993" and tool_calls.canonical(10**21 + 1) == str(10**21 + 1)
     assert tool_calls.canonical(10**400) == str(10**400)
+
+
+# what is said of repeated ids of vectors
+
+
+def test_repeated_ids_of_vectors(spark):
+    """A row has the links of its own vector; vectors with the same smallest id are forms of one."""
+    x, y, z = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.999, 0.01]
+
+    def of(rows):
+        return sorted(tuple(r) for r in embedding_dedup.near_duplicates(spark.createDataFrame([(k, v, "l") for k, v in rows], "vec_id long, embedding array<double>, label string")).collect())
+
+    assert of([(5, x), (5, y), (3, y), (7, z)]) == [(3, 2, 3, True), (5, 0, 5, True), (5, 2, 3, False), (7, 2, 3, False)]
+    assert of([(5, x), (5, y), (7, z)]) == [(5, 1, 5, True), (5, 1, 5, True), (7, 1, 5, False)]
