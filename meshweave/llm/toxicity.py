@@ -4,27 +4,35 @@ For each class y (toxic, ordinary), with N_y(. v w) the distinct words that prec
 bounded sample of labelled documents (``max_docs`` of each class), and N_y(. w) those that precede w:
 
     P_y(w | v) = (N_y(. v w) - D)+ / N_y(. v .) + l_y(v) (S(w | v) + s(v) P_y(w))
-    P_y(w)     = (N_y(. w) - D)+ / N_y(. .) + b_y P(w)
+    P_y(w)     = (N_y(. w) - D)+ / N_y(. .) + b_y P_y(t) P(w) / P(t)        t: the stem of w
+    P_y(t)     = (N_y(. t) - D)+ / N_y(. .) + d_y P(t)
     S(w | v)   = (c(v w) - D)+ / c(v)          P(w) ~ N(. w) + 1/2
 
-D depends on the count (``discounts``); l_y(v), s(v) and b_y are what the discounts leave. The backoff
-S and P is shared by both classes and counted in *all* documents: c(v w) how often a pair occurs, N(. w)
-how many distinct words precede w. So a rare expression that neither class has says nothing either way,
-and a passage that is copied from document to document is as likely in both classes, even if more of its
-labelled copies are toxic. S is counted for the pairs that a class has left after its discount, and 0
-for others. Each document begins with a start symbol.
+D depends on the count: it is estimated from the counts of counts, for each class and each order
+(``estimated``); pairs after one word only are cut off, D being 1 there, so that the sample's frequent
+pairs are all that has to be counted in the corpus. l_y(v), s(v), b_y and d_y are what the discounts leave,
+of a head as a whole, so that P_y(. | v) sums to 1 over the vocabulary, the other words of a stem, and those
+of other stems, being one each. A stem is a word's first ``STEM`` characters: forms and compounds that the
+sample lacks are as likely in a class as others of their stem. The
+backoff S and P is shared by both classes and counted in *all* documents: c(v w) how often a pair occurs,
+N(. w) how many distinct words precede w; P(t) sums over the words of t. So a rare expression of which
+neither class has the stem says nothing either way, and a passage that is copied from document to document
+is as likely in both classes, even if more of its labelled copies are toxic. S is counted for the pairs that
+a class has left after its discount, and 0 for others. Each document begins with a start symbol.
 
 N(. w) is exact and needed for the words of the sample alone (for another word both classes give
-b_y P(w), whose ratio has no P); all other words share one count, of their occurrences. A task turns
+b_y P_y(t) P(w) / P(t), whose ratio has no P(w)); all other words of a stem share one count, of their
+occurrences. A word is told by a number, whose upper bits are those of its stem. A task turns
 each pair into one number (the word's place in the sample's list, and 38 bits of the hash of the word
 before), scrambles it one to one, and sends its distinct numbers in sorted runs by their top bits, as
 differences. So pairs of any word, however frequent, are spread evenly, and a task counts the distinct
 pairs of one run at a time. Two heads of a word coincide with probability 2^-38.
 
 A document is compared by the length-normalised log-likelihood ratio of the two models, of the whole
-document and of its most toxic passages (runs of ``PASSAGES`` words, as a few words among many must
-not be diluted). A logistic curve, fitted on labelled documents that the models have not seen, turns
-these into a probability.
+document, of its most toxic passages (runs of ``PASSAGES`` words) and of its most toxic words (``TOPS``), as
+a few words among many must not be diluted. A logistic curve turns these into a probability. It is fitted on the sample's documents,
+each compared by models of the other parts of the sample (``PARTS``), so that no label is spent on the curve
+alone; the corpus is counted once for the models of the whole sample and of all parts.
 """
 
 from __future__ import annotations
@@ -32,12 +40,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from .common import Numbers, materialise, texts, tidy
 from .labels import fold, known, sample
@@ -47,12 +56,19 @@ _FAST = re.compile(r"\w+")  # the same words, where no underscore is
 START = 0x9E3779B97F4A7C15  # the number of the start symbol
 HEAD_BITS = 38
 _HEAD = np.uint64((1 << HEAD_BITS) - 1)
+STEM = 6
 _CHUNK = 12  # bits of the places that are sent together
 _MULTIPLY = 0xBF58476D1CE4E5B9
 _BACK = pow(_MULTIPLY, -1, 1 << 64)
 #: Lengths in words of the passages that are compared besides the whole document.
 PASSAGES = (1, 4, 16, 64)
+#: Ranks of the words whose ratios are compared too: insults are scattered one by one.
+TOPS = (2, 4, 8, 16)
+N_FEATURES = 3 + len(PASSAGES) + len(TOPS)
+#: Discounts of counts of 1, 2, and 3 or more, where there are too few counts to estimate them.
 DISCOUNTS = (1.0, 1.6, 2.0)
+#: Parts of the sample, each left out once.
+PARTS = 4
 
 
 def scrambled(a: np.ndarray, bits: int) -> np.ndarray:
@@ -73,11 +89,19 @@ def _words_of(text: str | None) -> list[str]:
     return _WORD.findall(text) if "_" in text else _FAST.findall(text)
 
 
+def _number(word: bytes) -> int:
+    """The hash of the first ``STEM`` characters, then ``HEAD_BITS`` bits of the word's."""
+    stem = word.decode("utf-8", "replace")[:STEM].encode()
+    return xxh3_64_intdigest(stem) >> HEAD_BITS << HEAD_BITS | xxh3_64_intdigest(word) & ((1 << HEAD_BITS) - 1)
+
+
 class Words:
-    """The words of texts as 64-bit hashes."""
+    """The words of texts as 64-bit numbers."""
 
     def __init__(self, most: int = 200_000):
-        self.number = Numbers(most).__getitem__
+        numbers = Numbers(most)
+        numbers.digest = _number
+        self.number = numbers.__getitem__
 
     def several(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The words of all texts, a start symbol before each text; and how many words each has."""
@@ -99,6 +123,10 @@ def places(vocabulary: np.ndarray, flat: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == flat, at + 1, 0)
 
 
+def stems_of(numbers: np.ndarray) -> np.ndarray:
+    return numbers >> np.uint64(HEAD_BITS)
+
+
 def _inner(sizes: np.ndarray) -> np.ndarray:
     """Where the words are among the words and start symbols."""
     inner = np.ones(int(sizes.sum()) + sizes.size, bool)
@@ -120,22 +148,24 @@ def _slices(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, list[st
 
 
 def class_pairs(rows: DataFrame) -> DataFrame:
-    """``head``, ``word``, ``n0`` and ``n1``: N_y(. v w) of each pair in the sample ``(y, text)``. Before
-    the first pair of a text stands the start symbol."""
+    """``head``, ``word``, ``n0`` and ``n1``: N_y(. v w) of each pair in the sample ``(y, part, text)``, and
+    without each part p: ``n0_p``, ``n1_p``. Before the first pair of a text stands the start symbol."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            labels = batch.column(0).to_numpy()
-            for begin, some in _slices(batch.column(1)):
+            labels, parts = (batch.column(k).to_numpy().astype(np.int32) for k in (0, 1))
+            for begin, some in _slices(batch.column(2)):
                 flat, sizes = words.several(some)
                 at = _inner(sizes)
                 before = np.where(flat[at - 1] == np.uint64(START), np.uint64(START), flat[np.maximum(at - 2, 0)])
-                y = np.repeat(labels[begin : begin + len(some)], sizes).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(y), *(pa.array(x.view(np.int64)) for x in (before, flat[at - 1], flat[at]))], ["y", "before", "head", "word"])
+                y, part = (np.repeat(x[begin : begin + len(some)], sizes) for x in (labels, 1 << parts))
+                yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(part), *(pa.array(x.view(np.int64)) for x in (before, flat[at - 1], flat[at]))], ["y", "parts", "before", "head", "word"])
 
-    found = rows.select("y", "text").mapInArrow(tidy(run), "y int, before long, head long, word long").repartition("head", "word").distinct()  # one shuffle for both
+    found = rows.select("y", "part", "text").mapInArrow(tidy(run), "y int, parts int, before long, head long, word long").repartition("head", "word")  # one shuffle for both
+    found = found.groupBy("y", "before", "head", "word").agg(F.bit_or("parts").alias("parts"))
     n = [F.sum((F.col("y") == y).cast("long")).alias(f"n{y}") for y in (0, 1)]
+    n += [F.sum(((F.col("y") == y) & (F.col("parts") != 1 << p)).cast("long")).alias(f"n{y}_{p}") for y in (0, 1) for p in range(PARTS)]
     return materialise(found.groupBy("head", "word").agg(*n), "class-pairs")
 
 
@@ -165,16 +195,20 @@ def _of_run(bucket: int, run: bytes, bits: int, buckets: int) -> np.ndarray:
     return keys[steps != np.uint64((1 << 8 * width) - 1)]
 
 
-def shared_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray, buckets: int | None = None, most: int = 1 << 20) -> DataFrame:
-    """``place`` and ``n`` over all documents. For a word of the vocabulary, from 1 on, N(. w); at 0, how
-    often any other word occurs; then, for ``pairs`` (see ``pair_key``, sorted), how often each occurs,
-    and how often each place of the vocabulary (0 is the start symbol) is a head. ``most`` pairs are held by
-    a task before it sends them."""
+def shared_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray, buckets: int | None = None, most: int = 1 << 20, n_chars: int = 0) -> DataFrame:
+    """``place`` and ``n`` over all documents. For a word of the vocabulary, from 1 on, N(. w); then, for
+    ``pairs`` (see ``pair_key``, sorted), how often each occurs; how often each place of the vocabulary (0 is
+    the start symbol) is a head; and how often words outside the vocabulary have each of its stems (0 is
+    any other stem). ``most`` pairs are held by
+    a task before it sends them. There are as many buckets as keep each below some ``2 * most`` pairs, if the
+    documents have ``n_chars`` characters, six to a word."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = buckets or max(1024, 1 << (8 * parts - 1).bit_length())
-    listed = spark.sparkContext.broadcast((vocabulary, pairs))
+    n_buckets = buckets or max(1024, 1 << (8 * parts - 1).bit_length(), 1 << (n_chars // (12 * most)).bit_length())
+    stems = np.unique(stems_of(vocabulary))
+    listed = spark.sparkContext.broadcast((vocabulary, pairs, stems))
     size = vocabulary.size + 1
+    n_places = 2 * size + pairs.size + stems.size + 1
     bits = HEAD_BITS + vocabulary.size.bit_length()
 
     def packed(counts: np.ndarray) -> tuple[list[int], list[bytes], list[bytes]]:
@@ -183,7 +217,14 @@ def shared_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray, bu
         cuts = np.flatnonzero(np.diff(some >> _CHUNK, prepend=-1))
         ends = [*cuts[1:].tolist(), some.size][: cuts.size]
         parts = [some[b:e] for b, e in zip(cuts.tolist(), ends, strict=True)]
-        return [int(x[0] >> _CHUNK) for x in parts], [x.astype("<i4").tobytes() for x in parts], [counts[x].astype("<i8").tobytes() for x in parts]
+        wide = [np.min_scalar_type(counts[x].max()) for x in parts]
+        inside = [(x & ((1 << _CHUNK) - 1)).astype("<u2").tobytes() for x in parts]
+        return [int(x[0] >> _CHUNK) for x in parts], inside, [counts[x].astype(t).tobytes() for x, t in zip(parts, wide, strict=True)]
+
+    def unpacked(place: pa.Scalar, n: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+        """Places in their chunk, and counts, in as many bytes as the largest of the chunk needs."""
+        at, n = np.frombuffer(place.as_py(), "<u2").astype(np.int64), n.as_py()
+        return at, np.frombuffer(n, f"<u{len(n) // at.size}").astype(np.int64)
 
     def row(bucket: list[int], run: list[bytes] | None = None, place: list[bytes] | None = None, n: list[bytes] | None = None) -> pa.RecordBatch:
         binary = (pa.nulls(len(bucket), pa.binary()) if x is None else pa.array(x, pa.binary()) for x in (run, place, n))
@@ -191,10 +232,10 @@ def shared_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray, bu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        vocabulary, pairs = listed.value
+        vocabulary, pairs, stems = listed.value
         held: list[np.ndarray] = []
         n_held = 0
-        counts = np.zeros(2 * size + pairs.size, np.int64)
+        counts = np.zeros(n_places, np.int64)
 
         def sent(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
             runs = [*_runs(keys, bits, n_buckets)]
@@ -211,8 +252,8 @@ def shared_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray, bu
                     key = pair_key(head, word, begins, size)
                     found = np.minimum(np.searchsorted(pairs, key), pairs.size - 1)
                     counts[size : size + pairs.size] += np.bincount(found[pairs[found] == key], minlength=pairs.size)
-                counts[size + pairs.size :] += np.bincount(np.where(begins, 0, head)[begins | (head > 0)], minlength=size)
-                counts[0] += int((word == 0).sum())
+                counts[size + pairs.size : 2 * size + pairs.size] += np.bincount(np.where(begins, 0, head)[begins | (head > 0)], minlength=size)
+                counts[2 * size + pairs.size :] += np.bincount(places(stems, stems_of(flat[at[word == 0]])), minlength=stems.size + 1)
                 at = at[word > 0]
                 held.append(scrambled(place[at].astype(np.uint64) << np.uint64(HEAD_BITS) | flat[at - 1] & _HEAD, bits))
                 n_held += at.size
@@ -228,7 +269,7 @@ def shared_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray, bu
         yield row(chunks, place=where, n=n)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(2 * size + listed.value[1].size, np.int64)
+        sums = np.zeros(n_places, np.int64)
         bucket, held = None, []
 
         def add() -> None:
@@ -245,7 +286,8 @@ def shared_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray, bu
                         bucket, held = b.as_py(), []
                     held.append(_of_run(bucket, r.as_py(), bits, n_buckets))
                 else:
-                    sums[np.frombuffer(where.as_py(), "<i4")] += np.frombuffer(n.as_py(), "<i8")
+                    at, some = unpacked(where, n)
+                    sums[(b.as_py() << _CHUNK) + at] += some
         add()
         chunks, where, n = packed(sums)
         yield row(chunks, place=where, n=n)
@@ -255,7 +297,8 @@ def shared_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray, bu
         for batch in batches:
             for b, _, where, n in zip(*batch.columns, strict=True):
                 some = sums.setdefault(b.as_py(), np.zeros(1 << _CHUNK, np.int64))
-                some[np.frombuffer(where.as_py(), "<i4") & ((1 << _CHUNK) - 1)] += np.frombuffer(n.as_py(), "<i8")
+                at, more = unpacked(where, n)
+                some[at] += more
         for chunk, some in sums.items():
             at = np.flatnonzero(some)
             yield pa.RecordBatch.from_arrays([pa.array((chunk << _CHUNK) + at, pa.int64()), pa.array(some[at])], ["place", "n"])
@@ -271,34 +314,61 @@ def pair_key(head: np.ndarray, word: np.ndarray, begins: np.ndarray, size: int)
     return np.where(begins, size, head) * size + word
 
 
-def kept(n: np.ndarray, discounts: tuple[float, ...] = DISCOUNTS) -> np.ndarray:
+def estimated(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
+    """Discounts of counts of 1, 2, and 3 or more, from how many things were counted once to four times.
+    ``DISCOUNTS`` has the place of an estimate that is not between 0 and its count."""
+    if not n1:
+        return DISCOUNTS
+    y = n1 / (n1 + 2 * n2)
+    found = [k - (k + 1) * y * more / n if n else 0.0 for k, n, more in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    return tuple(d if 0 < d < k else fixed for k, (d, fixed) in enumerate(zip(found, DISCOUNTS, strict=True), 1))
+
+
+def kept(n: np.ndarray, discounts: tuple[float, ...]) -> np.ndarray:
     """What the discounts (for counts of 1, 2, and the last for more) leave of counts."""
     return np.maximum(n - np.interp(n, range(len(discounts) + 1), (0, *discounts)), 0)
 
 
 @dataclass
 class Models:
-    """Both models. ``words`` is the vocabulary (sorted hashes); the arrays by place have unknown words
-    at 0, and ``head`` has the start symbol last. ``pairs`` (see ``pair_key``) is sorted."""
+    """Both models. ``words`` is the vocabulary (sorted numbers) and ``stems`` its stems; the arrays by place
+    have what is unknown at 0, and ``head`` has the start symbol last. ``pairs`` (see ``pair_key``) is sorted."""
 
     words: np.ndarray
-    word: np.ndarray  # (2, size): P_y(w); of unknown words b_y, as their P(w) is the same in both
+    stems: np.ndarray
+    word: np.ndarray  # (2, size): P_y(w); of unknown words b_y
+    stem: np.ndarray  # (2, stems + 1): P_y(t) / P(t), of unknown stems d_y; P(w) is the same in both
     head: np.ndarray  # (2, size + 1): l_y(v)
     pairs: np.ndarray
     own: np.ndarray  # (2, pairs): what is left of N_y(. v w), over N_y(. v .)
     common: np.ndarray  # (2, pairs): S(w | v) and s(v)
+    spare: np.ndarray  # (size + 1): s(v); 1 where S has no pair of v
+    other: np.ndarray  # (stems + 1): P(w) of all unknown words of each stem
 
     @cached_property
-    def _logs(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.log(self.word[1]) - np.log(self.word[0]), np.log(self.head[1]) - np.log(self.head[0])
+    def _logs(self) -> tuple[np.ndarray, ...]:
+        return tuple(np.log(x[1]) - np.log(x[0]) for x in (self.word, self.stem, self.head))
+
+    def given(self, y: int, head: int) -> np.ndarray:
+        """P_y(. | v) of a place, or of the start symbol (last): of all unknown words together, then of each word."""
+        size = self.word.shape[1]
+        own = self.word[y].copy()
+        own[0] *= (self.stem[y] * self.other).sum()
+        out = self.head[y, head] * self.spare[head] * own
+        begin, end = np.searchsorted(self.pairs, (head * size, head * size + size))
+        w = self.pairs[begin:end] - head * size
+        out[w] += self.own[y, begin:end] + self.head[y, head] * self.common[0, begin:end]
+        return out
 
     def ratios(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """log P_toxic(w | v) - log P_ordinary(w | v) of all words of texts (see ``Words.several``)."""
         place, at = places(self.words, flat), _inner(sizes)
         w, v, begins = place[at], place[at - 1], np.diff(at, prepend=-1) > 1
         size = self.word.shape[1]
-        of_word, of_head = self._logs
+        of_word, of_stem, of_head = self._logs
         ratio = of_word[w]
+        new = np.flatnonzero(w == 0)
+        ratio[new] += of_stem[places(self.stems, stems_of(flat[at[new]]))]
         if self.pairs.size:
             key = pair_key(v, w, begins, size)
             found = np.minimum(np.searchsorted(self.pairs, key), self.pairs.size - 1)
@@ -310,29 +380,38 @@ class Models:
 
 
 def features(r: np.ndarray) -> list[float]:
-    """Length-normalised log ratios: of the document, and the largest of a passage of each length. A
-    document shorter than a passage is one passage. The length itself tells how large the largest of so
-    many passages is by chance."""
+    """Length-normalised log ratios: of the document, and the largest of a passage of each length; then the
+    ratio of the ``TOPS``-th most toxic words, wherever they stand, and of the median word, which tells the
+    level that the language has. A document shorter than a passage is one passage. The length itself
+    tells how large the largest of so many passages or words is by chance."""
     if not r.size:
-        return [0.0] * (2 + len(PASSAGES))
+        return [0.0] * N_FEATURES
     sums = np.concatenate(([0.0], np.cumsum(r)))
     out = [float(r.mean()), float(np.log1p(r.size))]
     for width in PASSAGES:
         k = min(width, r.size)
         out.append(float((sums[k:] - sums[:-k]).max() / width))
-    return out
-
-
-def build_models(pairs: DataFrame, docs: DataFrame, discounts: tuple[float, ...] = DISCOUNTS) -> Models:
-    """The models of the sample's ``pairs``, backed off to the counts of ``docs``. What reaches the
-    driver is bounded by the sample: its words, its heads and the pairs that a discount leaves."""
-    off = [F.least(F.col(f"n{y}").cast("double"), _discount(f"n{y}", discounts)) for y in (0, 1)]
-    seen = pairs.groupBy("word").agg(*(F.sum((F.col(f"n{y}") > 0).cast("double")).alias(f"n{y}") for y in (0, 1))).toArrow()
-    heads = pairs.groupBy("head").agg(*(F.sum(F.col(f"n{y}").cast("double")).alias(f"c{y}") for y in (0, 1)), *(F.sum(off[y]).alias(f"d{y}") for y in (0, 1))).toArrow()
-    rich = pairs.where((F.col("n0") > off[0]) | (F.col("n1") > off[1])).toArrow()
+    places = [max(r.size - k, 0) for k in TOPS] + [r.size // 2]
+    return out + np.partition(r, places)[places].tolist()
+
+
+def build_models(pairs: DataFrame, docs: DataFrame, n_chars: int = 0) -> Iterator[Models]:
+    """The models of the sample's ``pairs``, then those without each part, all backed off to the counts of
+    ``docs``, of some ``n_chars`` characters. What reaches the driver is bounded by the sample: its words,
+    its heads and the pairs that a discount leaves."""
+    samples = ("", *(f"_{p}" for p in range(PARTS)))
+    columns = [f"n{y}{s}" for s in samples for y in (0, 1)]
+    counts_of = pairs.agg(*(F.sum((F.col(c) == k).cast("double")).alias(f"{c}k{k}") for c in columns for k in (1, 2, 3, 4))).first()
+    # pairs after one word are cut off; what an estimate leaves of larger counts is above 0
+    discounts = {c: (1.0, *estimated(*(counts_of[f"{c}k{k}"] or 0.0 for k in (1, 2, 3, 4)))[1:]) for c in columns}
+    off = {c: F.least(F.col(c).cast("double"), _discount(c, discounts[c])) for c in columns}
+    seen = pairs.groupBy("word").agg(*(F.sum((F.col(c) > 0).cast("double")).alias(c) for c in columns)).toArrow()
+    heads = pairs.groupBy("head").agg(*(F.sum(F.col(c).cast("double")).alias(c) for c in columns), *(F.sum(off[c]).alias(f"{c}d") for c in columns)).toArrow()
+    rich = pairs.where("n0 > 1 OR n1 > 1").toArrow()
     hashes = seen["word"].to_numpy().view(np.uint64)
     by = np.argsort(hashes)
     words = hashes[by]
+    stems, stem_of = np.unique(stems_of(words), return_inverse=True)
     size = words.size + 1
 
     def place(column: pa.ChunkedArray) -> np.ndarray:
@@ -340,33 +419,44 @@ def build_models(pairs: DataFrame, docs: DataFrame, discounts: tuple[float, ...]
         h = column.to_numpy().view(np.uint64)
         return np.where(h == np.uint64(START), size, places(words, h))
 
-    rich_head, rich_word = place(rich["head"]), place(rich["word"])
-    keys = rich_head * size + rich_word
-    order = np.argsort(keys)
-    keys, rich_head = keys[order], rich_head[order]
-    got = shared_counts(docs, words, keys).toArrow()
-    counts = np.zeros(2 * size + keys.size)
+    every_key = place(rich["head"]) * size + place(rich["word"])
+    order = np.argsort(every_key)
+    every_key = every_key[order]
+    got = shared_counts(docs, words, every_key, n_chars=n_chars).toArrow()
+    counts = np.zeros(2 * size + every_key.size + stems.size + 1)
     counts[got["place"].to_numpy()] = got["n"].to_numpy()
-    base, of_pair, of_head = counts[:size].copy(), counts[size : size + keys.size], counts[size + keys.size :]
-    base[1:] += 0.5
-    base /= max(base.sum(), 0.5)
-    of_head = np.maximum(of_head[np.where(rich_head == size, 0, rich_head)], 1)
-    left = kept(of_pair, discounts) / of_head
-    common = np.stack((left, np.maximum(1 - left, 1e-9)))  # S of the other pairs of v is not known: s(v) is at most this
-    word, head, own = np.ones((2, size)), np.ones((2, size + 1)), np.zeros((2, keys.size))
+    base, of_pair, of_head, other = np.split(counts, (size, size + every_key.size, 2 * size + every_key.size))
+    base = base[1:] + 0.5
+    total = max(base.sum() + other.sum(), 0.5)
+    base, other = base / total, other / total
+    of_stem = other[1:] + np.bincount(stem_of, weights=base, minlength=stems.size)  # P(t)
     at = place(heads["head"])
-    for y in (0, 1):
-        count = seen[f"n{y}"].to_numpy()[by]
-        total = max(count.sum(), 1)
-        share = kept(count, discounts)
-        word[y, 0] = max(1 - share.sum() / total, 1e-9)
-        word[y, 1:] = share / total + word[y, 0] * base[1:]
-        c, d = heads[f"c{y}"].to_numpy(), heads[f"d{y}"].to_numpy()
-        head[y, at] = np.where(c > 0, np.maximum(d, 1e-9) / np.maximum(c, 1), 1.0)
-        over = np.ones(size + 1)
-        over[at] = np.maximum(c, 1)
-        own[y] = kept(rich[f"n{y}"].to_numpy()[order].astype(float), discounts) / over[rich_head]
-    return Models(words, word, head, keys, own, common)
+    for s in samples:
+        of_class = [rich[f"n{y}{s}"].to_numpy()[order].astype(float) for y in (0, 1)]
+        here = np.maximum(*of_class) > 1
+        keys = every_key[here]
+        rich_head = keys // size
+        shared = tuple(sum(d) / 2 for d in zip(discounts[f"n0{s}"], discounts[f"n1{s}"], strict=True))
+        left = kept(of_pair[here], shared) / np.maximum(of_head[np.where(rich_head == size, 0, rich_head)], 1)
+        spare = np.maximum(1 - np.bincount(rich_head, weights=left, minlength=size + 1), 1e-9)
+        common = np.stack((left, spare[rich_head]))
+        word, stem, head, own = (np.ones((2, n)) for n in (size, stems.size + 1, size + 1, keys.size))
+        for y in (0, 1):
+            count = seen[f"n{y}{s}"].to_numpy()[by]
+            total = max(count.sum(), 1)
+            share = kept(count, estimated(*(float((count == k).sum()) for k in (1, 2, 3, 4))))
+            word[y, 0] = max(1 - share.sum() / total, 1e-9)
+            count = np.bincount(stem_of, weights=count, minlength=stems.size)
+            part = kept(count, estimated(*(float((count == k).sum()) for k in (1, 2, 3, 4)))) / total
+            stem[y, 0] = max(1 - part.sum(), 1e-9)
+            stem[y, 1:] = part / of_stem + stem[y, 0]
+            word[y, 1:] = share / total + word[y, 0] * stem[y, 1:][stem_of] * base
+            c, d = heads[f"n{y}{s}"].to_numpy(), heads[f"n{y}{s}d"].to_numpy()
+            head[y, at] = np.where(c > 0, np.maximum(d, 1e-9) / np.maximum(c, 1), 1.0)
+            over = np.ones(size + 1)
+            over[at] = np.maximum(c, 1)
+            own[y] = kept(of_class[y][here], discounts[f"n{y}{s}"]) / over[rich_head]
+        yield Models(words, stems, word, stem, head, keys, own, common, spare, other)
 
 
 def _discount(column: str, discounts: tuple[float, ...]):
@@ -392,36 +482,42 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 2
 
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id",
-    folds: int = 3, held_out: int = 1, threshold: float = 0.7, max_docs: int = 6_000, max_curve: int = 5_000,
+    folds: int = 3, held_out: int = 1, threshold: float = 0.7, max_docs: int = 6_000,
 ) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every row of ``docs``.
 
-    Of the labels outside the held-out fold, a fourth (by another hash) fits the curve and the rest
-    the models. Repeated rows are scored alike; null and empty texts are texts without words. If a
-    class has no document to learn from, the score is the share of toxic labels, or 0.
+    At most ``max_docs`` labelled documents of each class, outside the held-out fold, make the models and
+    fit the curve. Repeated rows are scored alike; null and empty texts are texts without words. If a
+    class has no documents in two parts of the sample, so that nothing is left without one of them, the
+    score is the share of toxic labels, or 0.
     """
     rows = texts(docs, id_col, text_col)
     spark = docs.sparkSession
-    learnt = known(labels, label_col, label_id, folds, held_out).withColumn("part", F.when(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0, 1).otherwise(0)).persist()
-    shares = {(r["part"], r["y"]): r["n"] for r in learnt.groupBy("part", "y").agg(F.count("*").alias("n")).collect()}
-    n = [sum(v for (_, y), v in shares.items() if y == k) for k in (0, 1)]
-    models, curve, constant = None, None, n[1] / max(1, sum(n))
-    if all(shares.get((p, y)) for p in (0, 1) for y in (0, 1)):
-        chosen = [sample(learnt.where((F.col("part") == p) & (F.col("y") == y)), max_curve if p else max_docs) for p in (0, 1) for y in (0, 1)]
-        chosen = chosen[0].union(chosen[1]).union(chosen[2]).union(chosen[3])  # at most 2 * (max_docs + max_curve) ids
-        known_texts = materialise(rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "part", "text"), "labelled")
-        models = spark.sparkContext.broadcast(build_models(class_pairs(known_texts.where("part = 0")), rows))
-        got = _scored(known_texts.where("part = 1").select("doc_id", "y", "text"), models).toArrow()
+    learnt = known(labels, label_col, label_id, folds, held_out).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(PARTS)).cast("int")).persist()
+    chosen = [sample(learnt.where(F.col("y") == y), max_docs) for y in (0, 1)]
+    n = {r["y"]: r["n"] for r in learnt.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n_parts = {r["y"]: r["n"] for r in chosen[0].union(chosen[1]).groupBy("y").agg(F.countDistinct("part").alias("n")).collect()}
+    curve, constant = None, n.get(1, 0) / max(1, sum(n.values()))
+    if min(n_parts.get(y, 0) for y in (0, 1)) > 1:
+        measure = Observation()
+        measured = rows.observe(measure, F.sum(F.length("text")).alias("n_chars"))
+        joined = measured.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # at most 2 * max_docs ids
+        known_texts = materialise(joined.select("doc_id", "y", "part", "text"), "labelled")
+        models = [spark.sparkContext.broadcast(m) for m in build_models(class_pairs(known_texts), rows, measure.get["n_chars"] or 0)]
+        unseen = [_scored(known_texts.where(F.col("part") == p).select("doc_id", "y", "text"), m) for p, m in enumerate(models[1:])]
+        got = reduce(DataFrame.union, unseen).toArrow()
         y = got["y"].to_numpy()
-        x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, 2 + len(PASSAGES))
+        x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES)
         weight = np.where(y == 1, n[1] / max(1, (y == 1).sum()), n[0] / max(1, (y == 0).sum()))
         if len(set(y.tolist())) == 2:
             curve = fit_curve(x, y, weight)
+        for m in models[1:]:
+            m.unpersist()
     learnt.unpersist()
     if curve is None:
         scored = rows.select("doc_id", F.lit(float(constant)).alias("score"))
     else:
-        scored = _scored(rows, models, curve)
+        scored = _scored(rows, models[0], curve)
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

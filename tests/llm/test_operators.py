@@ -415,19 +415,32 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score_toxicity(others, labels).where("score BETWEEN 0.2 AND 0.4").count() == 400
 
 
-def brute_toxicity(sample, corpus, discounts):
-    """log P_1(w | v) - log P_0(w | v) by dictionaries; the ratio's rule is written out word by word."""
+def brute_discounts(counts):
+    n = [sum(c == k for c in counts) for k in range(5)]
+    if not n[1]:
+        return (1.0, 1.6, 2.0)
+    y = n[1] / (n[1] + 2 * n[2])
+    out = []
+    for k, fixed in ((1, 1.0), (2, 1.6), (3, 2.0)):
+        d = k - (k + 1) * y * n[k + 1] / n[k] if n[k] and k < 4 else 0
+        out.append(d if 0 < d < k else fixed)
+    return tuple(out)
+
+
+def brute_toxicity(sample, corpus, without=None):
+    """P_y(w | v) of the sample's documents that are not in the part ``without``, by dictionaries; the rule is
+    written out word by word. Words outside the vocabulary are one word for each stem that it has, and one."""
     split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    cut = lambda n: max(n - np.interp(n, range(len(discounts) + 1), (0, *discounts)), 0)
+    cut = lambda n, d: max(n - (0, *d, d[-1])[min(int(n), 4)], 0)
+    vocabulary = {w for _, _, t in sample for w in split(t)}
+    stems = {w[:6] for w in vocabulary}
     lefts = [{}, {}]
-    for y, text in sample:
+    for y, part, text in sample:
         words = split(text)
-        for k, w in enumerate(words):
-            v = words[k - 1] if k else None
-            lefts[y].setdefault((v, w), set()).add(words[k - 2] if k > 1 else None)
-    vocabulary = {w for y in (0, 1) for _, w in lefts[y]}
+        for k, w in enumerate(words if part != without else ()):
+            lefts[y].setdefault((words[k - 1] if k else None, w), set()).add(words[k - 2] if k > 1 else None)
     n_pair = [{p: len(s) for p, s in lefts[y].items()} for y in (0, 1)]
-    before, occurs, heads, others = {}, {}, {}, 0
+    before, occurs, heads, others = {}, {}, {}, {}
     for text in corpus:
         words = split(text)
         for k, w in enumerate(words):
@@ -435,52 +448,83 @@ def brute_toxicity(sample, corpus, discounts):
             before.setdefault(w, set()).add(v)
             occurs[v, w] = occurs.get((v, w), 0) + 1
             heads[v] = heads.get(v, 0) + 1
-            others += w not in vocabulary
-    base = {w: len(before.get(w, ())) + 0.5 for w in vocabulary}
-    scale = max(sum(base.values()) + others, 0.5)
-    rich = {p for y in (0, 1) for p, n in n_pair[y].items() if cut(n) > 0}
-
-    def p(y, v, w):
-        words = {}
+            if w not in vocabulary:
+                t = w[:6] if w[:6] in stems else None
+                others[t] = others.get(t, 0) + 1
+    scale = sum(len(before.get(w, ())) + 0.5 for w in vocabulary) + sum(others.values())
+    base = {w: (len(before.get(w, ())) + 0.5) / scale for w in vocabulary}
+    of_stem = {t: others.get(t, 0) / scale + sum(b for w, b in base.items() if w[:6] == t) for t in stems}
+    rich = {p for y in (0, 1) for p, n in n_pair[y].items() if n > 1}
+    of_pairs = [(1.0, *brute_discounts(n_pair[y].values())[1:]) for y in (0, 1)]
+    mean = tuple((a + b) / 2 for a, b in zip(*of_pairs, strict=True))
+    common = {(v, w): cut(occurs.get((v, w), 0), mean) / max(heads.get(v, 0), 1) for v, w in rich}
+
+    def low(y, w, p_of_w):
+        """P_y(w) of a word of the shared probability given; a stem alone is (stem,)."""
+        words, by_stem = {}, {}
         for _, x in n_pair[y]:
             words[x] = words.get(x, 0) + 1
+            by_stem[x[:6]] = by_stem.get(x[:6], 0) + 1
         total = max(sum(words.values()), 1)
-        b = max(1 - sum(map(cut, words.values())) / total, 1e-9)
-        low = cut(words.get(w, 0)) / total + b * base[w] / scale if w in vocabulary else b
+        d, e = (brute_discounts(x.values()) for x in (words, by_stem))
+        b = max(1 - sum(cut(n, d) for n in words.values()) / total, 1e-9)
+        c = max(1 - sum(cut(n, e) for n in by_stem.values()) / total, 1e-9)
+        t = w[0] if isinstance(w, tuple) else w[:6]
+        ratio = cut(by_stem.get(t, 0), e) / total / of_stem[t] + c if t in stems else c
+        return (0 if isinstance(w, tuple) else cut(words.get(w, 0), d) / total) + b * ratio * p_of_w
+
+    def p(y, v, w, p_of_w=1.0):
         of_v = {x: n for (h, x), n in n_pair[y].items() if h == v}
         c = sum(of_v.values())
-        left = max(sum(n - cut(n) for n in of_v.values()), 1e-9) / c if c else 1.0
-        if (v, w) not in rich:
-            return left * low
-        s = cut(occurs.get((v, w), 0)) / max(heads.get(v, 0), 1)
-        return cut(of_v.get(w, 0)) / max(c, 1) + left * (s + max(1 - s, 1e-9) * low)
+        left = sum(n - cut(n, of_pairs[y]) for n in of_v.values()) / c if c else 1.0
+        spare = max(1 - sum(s for (h, _), s in common.items() if h == v), 1e-9)
+        own = cut(of_v.get(w, 0), of_pairs[y]) / max(c, 1)
+        return own + left * (common.get((v, w), 0) + spare * low(y, w if w in vocabulary else (w[:6],), base.get(w, p_of_w)))
 
     def ratios(text):
         words = split(text)
         return [np.log(p(1, words[k - 1] if k else None, w)) - np.log(p(0, words[k - 1] if k else None, w)) for k, w in enumerate(words)]
 
-    return ratios, {w: len(s) for w, s in before.items() if w in vocabulary}
+    def whole(y, v):
+        """The sum over all words."""
+        new = [(t, n / scale) for t, n in others.items()]
+        return sum(p(y, v, w) for w in vocabulary) + sum(p(y, v, t or "\0", q) for t, q in new)
+
+    return ratios, whole, {w: len(s) for w, s in before.items() if w in vocabulary}
 
 
 def test_kneser_ney_equals_brute_force(spark):
     rng = random.Random(5)
-    words = [f"w{k}" for k in range(60)]
+    words = [f"w{k}" for k in range(54)] + [f"stemmed{k}" for k in range(6)]
     text = lambda: " ".join(words[min(int(rng.expovariate(0.08)), 59)] for _ in range(rng.randrange(0, 40)))
-    sample = [(k % 2, text()) for k in range(40)] + [(1, "w1 w2 w3"), (0, None), (1, "")]
-    corpus = [text() for _ in range(60)] + [t for _, t in sample] + ["new words, w1 NEW", None, "w1_w2 common " * 50]
+    sample = [(k % 2, k % 3, text()) for k in range(40)] + [(1, 3, "w1 w2 w3 stemmed1 w1 stemmed2"), (0, 3, None), (1, 0, "")]
+    corpus = [text() for _ in range(60)] + [t for _, _, t in sample] + ["new words, w1 NEW stemmedness w1 stemmedly", None, "w1_w2 common " * 50]
     docs = spark.createDataFrame([(t,) for t in corpus], "text string").repartition(3)
-    pairs = toxicity.class_pairs(spark.createDataFrame(sample, "y int, text string"))
-    models = toxicity.build_models(pairs, docs)
-    ratios, before = brute_toxicity(sample, corpus, toxicity.DISCOUNTS)
+    pairs = toxicity.class_pairs(spark.createDataFrame(sample, "y int, part int, text string"))
+    all_models = [*toxicity.build_models(pairs, docs)]
+    assert len(all_models) == 1 + toxicity.PARTS
     numbered = toxicity.Words(most=20)  # a cache that runs over
-    for some in (corpus[-3:], corpus[:20]):
-        got = models.ratios(*numbered.several(some))
-        assert np.allclose(got, [r for t in some for r in ratios(t)], atol=1e-9)
+    number = lambda w: int(numbered.several([w])[0][1])
+    for models, without in ((all_models[0], None), (all_models[2], 1), (all_models[4], 3)):
+        ratios, whole, before = brute_toxicity(sample, corpus, without)
+        for some in (corpus[-3:], corpus[:20]):
+            got = models.ratios(*numbered.several(some))
+            assert np.allclose(got, [r for t in some for r in ratios(t)], atol=1e-9)
+        for y in (0, 1):
+            for head, v in ((models.words.size + 1, None), *((int(np.searchsorted(models.words, np.uint64(number(w)))) + 1, w) for w in ("w1", "w2", "w9"))):
+                assert abs(models.given(y, head).sum() - 1) < 1e-9 and abs(whole(y, v) - 1) < 1e-9
+    models = all_models[0]
     places = {int(toxicity.places(models.words, numbered.several([w])[0])[1]): n for w, n in before.items()}
     counted = toxicity.shared_counts(docs, models.words, models.pairs, buckets=4, most=100)  # sent in many runs
     assert {r["place"]: r["n"] for r in counted.where(F.col("place").between(1, models.words.size)).collect()} == places
 
 
+def test_discounts_are_estimated():
+    assert toxicity.estimated(0, 0, 0, 0) == toxicity.DISCOUNTS
+    assert np.allclose(toxicity.estimated(100, 50, 30, 20), (0.5, 2 - 3 * 0.5 * 30 / 50, 3 - 4 * 0.5 * 20 / 30))
+    assert toxicity.estimated(10, 0, 0, 0) == (1.0, 1.6, 2.0)  # an estimate that is not between 0 and its count
+
+
 def test_scrambling_and_runs_are_exact():
     rng = np.random.default_rng(2)
     for bits in (41, 57, 62):
