@@ -40,14 +40,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property, reduce
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
 
+from ..sources.shared import discard
 from .common import Numbers, materialise, texts, tidy
 from .labels import fold, known, sample
 
@@ -89,19 +89,22 @@ def _words_of(text: str | None) -> list[str]:
     return _WORD.findall(text) if "_" in text else _FAST.findall(text)
 
 
-def _number(word: bytes) -> int:
+class _Stemmed(Numbers):
     """The hash of the first ``STEM`` characters, then ``HEAD_BITS`` bits of the word's."""
-    stem = word.decode("utf-8", "replace")[:STEM].encode()
-    return xxh3_64_intdigest(stem) >> HEAD_BITS << HEAD_BITS | xxh3_64_intdigest(word) & ((1 << HEAD_BITS) - 1)
+
+    def __missing__(self, word: str) -> int:
+        super().__missing__(word)
+        whole = self[word]
+        stem = self.digest(word[:STEM].encode("utf-8", "replace")) if len(word) > STEM else whole
+        self[word] = number = stem >> HEAD_BITS << HEAD_BITS | whole & ((1 << HEAD_BITS) - 1)
+        return number
 
 
 class Words:
     """The words of texts as 64-bit numbers."""
 
     def __init__(self, most: int = 200_000):
-        numbers = Numbers(most)
-        numbers.digest = _number
-        self.number = numbers.__getitem__
+        self.number = _Stemmed(most).__getitem__
 
     def several(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The words of all texts, a start symbol before each text; and how many words each has."""
@@ -396,10 +399,10 @@ def features(r: np.ndarray) -> list[float]:
 
 
 def build_models(pairs: DataFrame, docs: DataFrame, n_chars: int = 0) -> Iterator[Models]:
-    """The models of the sample's ``pairs``, then those without each part, all backed off to the counts of
+    """The models of the sample's ``pairs`` without each part, and last of all of them, all backed off to the counts of
     ``docs``, of some ``n_chars`` characters. What reaches the driver is bounded by the sample: its words,
     its heads and the pairs that a discount leaves."""
-    samples = ("", *(f"_{p}" for p in range(PARTS)))
+    samples = (*(f"_{p}" for p in range(PARTS)), "")
     columns = [f"n{y}{s}" for s in samples for y in (0, 1)]
     counts_of = pairs.agg(*(F.sum((F.col(c) == k).cast("double")).alias(f"{c}k{k}") for c in columns for k in (1, 2, 3, 4))).first()
     # pairs after one word are cut off; what an estimate leaves of larger counts is above 0
@@ -503,21 +506,26 @@ def score_toxicity(
         measured = rows.observe(measure, F.sum(F.length("text")).alias("n_chars"))
         joined = measured.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # at most 2 * max_docs ids
         known_texts = materialise(joined.select("doc_id", "y", "part", "text"), "labelled")
-        models = [spark.sparkContext.broadcast(m) for m in build_models(class_pairs(known_texts), rows, measure.get["n_chars"] or 0)]
-        unseen = [_scored(known_texts.where(F.col("part") == p).select("doc_id", "y", "text"), m) for p, m in enumerate(models[1:])]
-        got = reduce(DataFrame.union, unseen).toArrow()
+        pairs = class_pairs(known_texts)
+        unseen = []
+        for p, model in enumerate(build_models(pairs, rows, measure.get["n_chars"] or 0)):
+            models = spark.sparkContext.broadcast(model)
+            if p < PARTS:
+                unseen.append(_scored(known_texts.where(F.col("part") == p).select("y", "text"), models).toArrow())
+                models.destroy()  # one at a time is on the executors' disks
+        discard(pairs)
+        discard(known_texts)
+        got = pa.concat_tables(unseen)
         y = got["y"].to_numpy()
         x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES)
         weight = np.where(y == 1, n[1] / max(1, (y == 1).sum()), n[0] / max(1, (y == 0).sum()))
         if len(set(y.tolist())) == 2:
             curve = fit_curve(x, y, weight)
-        for m in models[1:]:
-            m.unpersist()
     learnt.unpersist()
     if curve is None:
         scored = rows.select("doc_id", F.lit(float(constant)).alias("score"))
     else:
-        scored = _scored(rows, models[0], curve)
+        scored = _scored(rows, models, curve)
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
