@@ -93,8 +93,7 @@ class _Stemmed(Numbers):
     """The hash of the first ``STEM`` characters, then ``HEAD_BITS`` bits of the word's."""
 
     def __missing__(self, word: str) -> int:
-        super().__missing__(word)
-        whole = self[word]
+        whole = super().__missing__(word)
         stem = self.digest(word[:STEM].encode("utf-8", "replace")) if len(word) > STEM else whole
         self[word] = number = stem >> HEAD_BITS << HEAD_BITS | whole & ((1 << HEAD_BITS) - 1)
         return number
@@ -198,7 +197,7 @@ def _of_run(bucket: int, run: bytes, bits: int, buckets: int) -> np.ndarray:
     return keys[steps != np.uint64((1 << 8 * width) - 1)]
 
 
-def shared_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray, buckets: int | None = None, most: int = 1 << 20, n_chars: int = 0) -> DataFrame:
+def shared_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray, buckets: int | None = None, most: int = 1 << 21, n_chars: int = 0) -> DataFrame:
     """``place`` and ``n`` over all documents. For a word of the vocabulary, from 1 on, N(. w); then, for
     ``pairs`` (see ``pair_key``, sorted), how often each occurs; how often each place of the vocabulary (0 is
     the start symbol) is a head; and how often words outside the vocabulary have each of its stems (0 is
@@ -252,7 +251,8 @@ def shared_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray, bu
                 word, head = place[at], place[at - 1]
                 begins = np.diff(at, prepend=-1) > 1
                 if pairs.size:
-                    key = pair_key(head, word, begins, size)
+                    both = np.flatnonzero((word > 0) & (begins | (head > 0)))  # no other pair can be among them
+                    key = pair_key(head[both], word[both], begins[both], size)
                     found = np.minimum(np.searchsorted(pairs, key), pairs.size - 1)
                     counts[size : size + pairs.size] += np.bincount(found[pairs[found] == key], minlength=pairs.size)
                 counts[size + pairs.size : 2 * size + pairs.size] += np.bincount(np.where(begins, 0, head)[begins | (head > 0)], minlength=size)
@@ -373,10 +373,12 @@ class Models:
         new = np.flatnonzero(w == 0)
         ratio[new] += of_stem[places(self.stems, stems_of(flat[at[new]]))]
         if self.pairs.size:
-            key = pair_key(v, w, begins, size)
+            both = np.flatnonzero((w > 0) & (begins | (v > 0)))
+            key = pair_key(v[both], w[both], begins[both], size)
             found = np.minimum(np.searchsorted(self.pairs, key), self.pairs.size - 1)
-            has = np.flatnonzero(self.pairs[found] == key)
-            found, w_, v_ = found[has], w[has], np.where(begins, size, v)[has]
+            hit = np.flatnonzero(self.pairs[found] == key)
+            found, has = found[hit], both[hit]
+            w_, v_ = w[has], np.where(begins, size, v)[has]
             p = self.own[:, found] / self.head[:, v_] + self.common[0, found] + self.common[1, found] * self.word[:, w_]
             ratio[has] = np.log(p[1]) - np.log(p[0])
         return ratio + of_head[np.where(begins, size, v)]
