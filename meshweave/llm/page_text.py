@@ -17,6 +17,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html import unescape
 from math import isqrt
 
@@ -39,11 +40,16 @@ _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 _ITEMS = frozenset("li td th dd dt figcaption caption".split())
 _NEVER = frozenset("nav footer aside form head button dialog menu".split())
 _SCOPE = frozenset("article aside blockquote body dd details div dl dt fieldset figure footer form header html main nav ol section table td th tr ul".split())
-#: Words in a class, id or role that mark a part as no content.
+#: Words that mark a part as no content where a class, id or role is or ends with one ("site-nav").
 _MARKS = frozenset(
     "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus dialog footer masthead menu modal nav navbar navigation newsletter notice notification popup promo promoted promotion recommended related replies reply search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 
+#: Marks of parts that hold articles of others; an article in any other marked part can be the page's own.
+_OTHERS = frozenset("ad ads adv advert advertisement advertising comment comments disqus recommended related replies reply sponsor sponsored".split())
+#: Words that may follow a mark ("comment-list", "sidebar-left"); other words do not belong to it ("comment-free").
+_SHAPES = frozenset("area bar block body bottom box button buttons center close column container content footer form group header icon icons inner item items left link links list outer panel placeholder primary right row section slot top unit wrap wrapper".split())
+
 #: Words beside which a mark tells of the layout ("with-sidebar"), not of the part.
 _HOLDERS = frozenset("with has no without layout".split())
 #: A header with one of these is the article's own.
@@ -56,14 +62,30 @@ class Line:
     dropped: bool
     main: bool
     prose: bool
+    held: bool = False
+
+
+@lru_cache(maxsize=4096)
+def mark_of(name: str) -> str | None:
+    """The mark of one class, id or role: its last word, or its first one if only words of shape follow."""
+    words = _NAME.findall(name)
+    for mark, rest in ((words[-1], ()), (words[0], words[1:])) if words else ():
+        if (mark in _MARKS or mark == "header") and all(w in _SHAPES or w.isdigit() for w in rest):
+            return mark
+    return None
 
 
 def lines_of(html: str | None) -> list[Line]:
-    """The blocks of a page in order, empty ones left out."""
+    """The blocks of a page in order, empty ones left out.
+
+    ``main`` is dropped only where it is hidden, ``article`` also where it is marked as a comment or as
+    somebody else's. If a page has them only in parts that a form or a word drops, such as a form around
+    the whole page, what they have is kept.
+    """
     html = html or ""
     out: list[Line] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, starts a dropped part, starts the article
-    drops = mains = 0
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, starts a dropped part, starts the article, may hold it
+    drops = mains = holds = 0
     parts: list[str] = []
 
     def flush() -> None:
@@ -71,13 +93,14 @@ def lines_of(html: str | None) -> list[Line]:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append(Line(text, drops > 0, mains > 0, next((t in _PROSE for t, _, _ in reversed(stack) if t in _PROSE or t in _ITEMS), False)))
+                out.append(Line(text, drops > 0, mains > 0, next((t in _PROSE for t, *_ in reversed(stack) if t in _PROSE or t in _ITEMS), False), mains > 0 and 0 < drops == holds))
 
     def pop(n: int) -> None:
-        nonlocal drops, mains
-        for _, d, m in stack[n:]:
+        nonlocal drops, mains, holds
+        for _, d, m, h in stack[n:]:
             drops -= d
             mains -= m
+            holds -= h
         del stack[n:]
 
     at = 0
@@ -119,23 +142,34 @@ def lines_of(html: str | None) -> list[Line]:
                     break
                 if open_ in _SCOPE:
                     break
-        drop, marks = tag in _NEVER or tag == "header" and not mains, ()
+        drop, hold = tag in _NEVER or tag == "header" and not mains, tag == "form" and not mains
         if m[3]:
             attrs = {a[1].lower(): (a[2] or a[3] or a[4] or "").lower() for a in _ATTR.finditer(m[3])}
-            marks = [w for k in ("class", "id", "role") if k in attrs for w in _NAME.findall(attrs[k])]
+            named = [x for k in ("class", "id", "role") for x in attrs.get(k, "").split()]
             hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
-            marked = _HOLDERS.isdisjoint(marks) and (not _MARKS.isdisjoint(marks) or "header" in marks and not mains and _OWN.isdisjoint(marks))
-            if tag not in ("html", "body", "main") and (hidden or marked):
+            marks = {mark_of(x) for x in named} - {None}
+            if "header" in marks and (mains or any(not _OWN.isdisjoint(_NAME.findall(x)) for x in named)):
+                marks.discard("header")
+            if not all(_HOLDERS.isdisjoint(_NAME.findall(x)) for x in named):
+                marks.clear()
+            if tag == "main" or tag == "article" and _OTHERS.isdisjoint(marks):
+                marks.clear()
+            if tag not in ("html", "body") and (hidden or marks):
+                hold = not hidden and not mains and (hold or not drop) and _OTHERS.isdisjoint(marks)
                 drop = True
         main = tag in ("article", "main") and not drop
         if main and drops and not mains:  # a menu or header that nobody closed ends here
             while stack and drops and stack[-1][0] not in ("aside", "section", "div"):
                 pop(len(stack) - 1)
-        stack.append((tag, drop, main))
+        stack.append((tag, drop, main, hold))
         drops += drop
         mains += main
+        holds += hold
     parts.append(html[at:])
     flush()
+    if not any(x.main and not x.dropped for x in out):
+        for x in out:
+            x.dropped = x.dropped and not x.held
     return out
 
 

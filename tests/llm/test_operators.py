@@ -200,6 +200,29 @@ def test_longest_common_lines():
         assert len(common) == t[-1][-1] and all(a[k] in rest for k in common)
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [  # what a reader of the page would copy out, written by hand
+        ('<article class="share-story"><p>Told.</p></article>', ["Told."]),
+        ('<article class="popup"><p>Told.</p></article><article class="comment">no</article>', ["Told."]),
+        ('<article><p>Told.</p><section class="related-work"><h2>Related work</h2><p>Others.</p></section></article>', ["Told.", "Related work", "Others."]),
+        ('<div class="promotion-news"><p>Told.</p></div>', ["Told."]),
+        ('<div class="comment-free"><p>Told.</p></div>', ["Told."]),
+        ('<div class="story"><p>Told.</p></div><div class="comment-list">no</div><div id="sidebar-left-2">no</div><div class="site_nav">no</div>', ["Told."]),
+        ('<form id="page"><nav>no</nav><article><p>Told.</p><form>no</form></article><p>no</p></form>', ["Told."]),
+        ('<div class="modal"><div>no</div><main><p>Told.</p><div class="share">no</div></main></div>', ["Told."]),
+        ('<div class="related"><article>no</article></div><p>Told.</p>', ["Told."]),
+        ('<article><p>Told.</p></article><div class="widget"><article>no</article></div>', ["Told."]),
+        ('<main hidden><p>no</p></main><p>Told.</p>', ["Told."]),
+        ('<div class="ad">no</div><p>Told.</p><div class="ad-slot top">no</div><div class="load-ad">no</div><p class="download">Told too.</p>', ["Told.", "Told too."]),
+    ],
+)
+def test_marks_of_parts(html, text):
+    lines = page_text.lines_of(html)
+    article = any(x.main and not x.dropped for x in lines)
+    assert [x.text for x in lines if not x.dropped and (x.main or not article)] == text
+
+
 def test_page_differencing(spark):
     body = "<body><div>Shop menu here</div><p>{} is told only on this page and nowhere else at all.</p><div>All rights kept</div>"
     rows = [(k, f"http://h.example/{k}", body.format(f"Story {k}")) for k in range(5)]
