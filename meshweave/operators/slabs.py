@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import randoms
-from ..plans.catalog import AXES, Field, MeshError, box_of, box_size
+from ..functions import randoms, twister
+from ..plans.catalog import AXES, TYPES, Field, MeshError, box_of, box_size
 from ..plans.grid import inside
 from .loop import Mesh
 
@@ -157,6 +157,36 @@ def fill_random(mesh: Mesh, f: Field, seed: int, normal: bool = False) -> None:
     mesh.assign(f, new)
 
 
+def fill_twister(mesh: Mesh, f: Field, seed: int, chunk: int = 4_000_000) -> None:
+    """Fills a field, halo included, with the stream of a Mersenne twister in storage order (components of a
+    cell together): uniform in [0, 1), integers from 0. Each task enters the stream at its own place, so the
+    values do not depend on ``chunk``, the cells of a task."""
+    kind = TYPES[f.dtype]
+    if kind not in ("double", "float", "int"):
+        raise MeshError(f"{f.name}: a twister fills double, float and int, not {f.dtype}")
+    box, each, modulus = tuple(f.allocation[a] for a in f.kept), f.dim * (2 if kind == "double" else 1), twister.characteristic()
+    cells, axes, dim = box_size(box), f.axes, f.dim
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n in (n for batch in batches for n in batch.column(0).to_pylist()):
+            begin, end = n * chunk, min((n + 1) * chunk, cells)
+            stream = twister.Stream(seed, begin * each, modulus)
+            for low in range(begin, end, 100_000):
+                at = np.arange(low, min(low + 100_000, end), dtype=np.int64)
+                columns, step = [], 1
+                for first, last in box:
+                    columns.append(pa.array((at // step % (last - first) + first).astype(np.int32)))
+                    step *= last - first
+                values = pa.array(stream.values(len(at) * dim, kind))
+                if dim > 1:
+                    values = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * dim), values)
+                yield pa.RecordBatch.from_arrays([*columns, values], [*axes, "value"])
+
+    tasks = -(-cells // chunk)
+    made = mesh.spark.range(0, tasks, 1, tasks).mapInArrow(run, ", ".join([*(f"{x} int" for x in axes), f"value {f.spark_type}"]))
+    mesh.set_values(f, made.withColumnRenamed("value", f.name))
+
+
 def lines(mesh: Mesh, f: Field) -> DataFrame:
     """One line of text for each row of cells along the first axis."""
     t = mesh.table(f)

@@ -828,6 +828,25 @@ def random_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.table(u).select("i", "j", F.round("u", 6).alias("u"))
 
 
+# One twister in SQL: the state of a seed, then 227 new words at a time, each made of words of the state alone.
+_TWISTER = """s AS (SELECT 0 AS n, {seed}::UBIGINT AS x UNION ALL SELECT n + 1, (1812433253::UBIGINT * xor(x, x >> 30) + n + 1) % 4294967296 FROM s WHERE n < 623),
+b AS (SELECT 0 AS b, list(x ORDER BY n) AS x FROM s UNION ALL SELECT b + 1, list_concat(x[228:624], list_transform(range(1, 228), lambda q: xor(xor(x[q + 397], ((x[q] & 2147483648) | (x[q + 1] & 2147483647)) >> 1), (x[q + 1] % 2) * 2567483615))) FROM b WHERE b <= (SELECT 2 * count(*) // 227 FROM c)),
+y0 AS (SELECT (b - 1) * 227 + unnest(range(227)) AS n, unnest(x[398:624]) AS y FROM b WHERE b > 0), y1 AS (SELECT n, xor(y, y >> 11) AS y FROM y0), y2 AS (SELECT n, xor(y, (y << 7) & 2636928640) AS y FROM y1),
+y3 AS (SELECT n, xor(y, (y << 15) & 4022730752) AS y FROM y2), y AS (SELECT n, xor(y, y >> 18) AS y FROM y3)"""
+
+
+@query(
+    "random_twister",
+    f"WITH RECURSIVE {_CELLS}, {_TWISTER.format(seed=4711)} SELECT i, j, (a.y::DOUBLE + b.y::DOUBLE * 4294967296.0) / 18446744073709551616.0 AS u FROM (SELECT i, j, row_number() OVER (ORDER BY j, i) - 1 AS place FROM c) JOIN y a ON a.n = 2 * place JOIN y b ON b.n = 2 * place + 1",
+)
+def random_twister(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One twister's stream over the grid of parts, which each task enters at its own place."""
+    m, b, v = part_grid(spark, sf_dir)
+    u = m.field(b, "u", v.size, base=v.base, below=(-1, 0), above=(1, 0))
+    slabs.fill_twister(m, u, seed=4711, chunk=max(1000, v.size[0]))
+    return m.table(u)
+
+
 # parts, copies, metadata, storage
 
 
