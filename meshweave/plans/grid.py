@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,17 @@ def morton(axes: tuple[str, ...], box: Box) -> Column:
     return key
 
 
+def morton_of(at: list[np.ndarray], box: Box) -> np.ndarray:
+    """The same of arrays of coordinates."""
+    bits, drop = _coarse(box)
+    key = np.zeros(len(at[0]), np.int64)
+    for a, (x, (low, _)) in enumerate(zip(at, box, strict=True)):
+        x = x.astype(np.int64) - low >> drop
+        for b in range(bits):
+            key |= (x >> b & 1) << b * len(box) + a
+    return key
+
+
 def morton_ranges(box: Box, part: Box, most: int = 64) -> list[tuple[int, int]]:
     """At most ``most`` ranges (ends included) of the keys of ``box`` that hold all cells of ``part``. Cubes of
     the curve are halved along each axis until they are inside the part, outside, or there are enough."""

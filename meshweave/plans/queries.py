@@ -21,6 +21,7 @@ from ..operators.reduction import Reduction
 from ..operators.tiles import Tiles
 from ..plans.catalog import INC, MAX, MIN, WRITE, Block, Field, Halo, Stencil
 from ..plans.grid import inside
+from ..sources.mesh import along_curve, register
 from ..sources.shared import new_path
 from ..sources.store import Store
 from ..streaming.steps import Checkpointer, Replay, run_steps
@@ -1239,6 +1240,19 @@ def store_pruned_slab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_slab(b, "v", [begin, begin + 40, 2, 5])
 
 
+@query("store_as_data_source", f"WITH {GP}, m AS (SELECT min(i) AS low, max(i) AS high FROM g) SELECT i, j, v FROM g, m WHERE i >= low + (high - low) // 4 AND i < low + (high - low) // 2 AND j IN (1, 2, 5) AND v > 20")
+def store_as_data_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid written as ``format("mesh")``, and a box of it read."""
+    m, b, v = part_grid(spark, sf_dir)
+    register(spark)
+    path, (low, high) = new_path(spark, "store"), v.interior[0]
+    named = {"block": b.name, "field": v.name}
+    more = {"size": ",".join(map(str, v.size)), "base": ",".join(map(str, v.base)), "per_group": "2000"}
+    along_curve(m.table(v), v, 8).write.format("mesh").options(**named, **more).mode("overwrite").save(path)
+    begin, end = low + (high - 1 - low) // 4, low + (high - 1 - low) // 2
+    return spark.read.format("mesh").options(**named, box=f"{begin},{end},1,6").load(path).where("j IN (1, 2, 5) AND v > 20")
+
+
 @query("store_half_components", f"WITH {G2} SELECT i, j, CAST(v % 512 + 512.5 AS DOUBLE) AS a, CAST(v % 1024 + 1024 AS DOUBLE) AS b FROM g WHERE i < 4 AND j < 6")
 def store_half_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A slab of a field of two components in half precision, whose steps are one half and one there."""
