@@ -7,13 +7,15 @@ a name are parent pointers: cuts, texts and the test for longer phrases follow t
 looked up by its words.
 
 The corpus is held in chunks: a row for some megabytes of text of one language, with the chunk's own small
-numbers at each place (compressed; -1 where no phrase begins, one for a run of such places) and, as arrays,
-the distinct pairs with how often each occurs. A level takes two shuffles:
+numbers at each place (compressed; -1 where no phrase begins, one for a run of such places). The distinct pairs
+of a chunk and how often each occurs are rows of their own, a packed piece for each slice of the pairs' hashes
+(words: pieces of ``PIECE`` words). So no row grows with the corpus, and row groups are kept small, as a reader
+holds one at a time. A level takes two shuffles:
 
-* distinct pairs of the chunks meet by pair, in slices of some millions of rows, where a window adds up
-  their counts. A slice numbers the rows of its frequent pairs; the least number of a pair and the slice are
-  its name, so names are unique and small. Any pair, however frequent, is one row of each chunk.
-* the names of frequent pairs return to their chunks, which put them at their places and pair neighbours.
+* the pieces of a slice meet, some millions of pairs, and their counts are added up. A slice numbers its frequent
+  pairs; this number and the slice are a pair's name, so names are unique and small. Any pair, however frequent,
+  is in one piece of each chunk.
+* the names of frequent pairs return to their chunks, packed, which put them at their places and pair neighbours.
 
 Nothing is broadcast and no table of words is held in memory beyond that of a chunk. Everything is counted
 by language; a null language is ``und``. Null and empty texts have no words; a word of any length and a text
@@ -31,15 +33,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import discard
+from ..sources.shared import discard, stored
 from .common import _bound_batches, materialise, tidy
 
 #: Bytes that end a piece, and bytes between words.
 BREAKS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
-#: Bits of a chunk's own numbers (a longer chunk takes several chunk numbers), and of the corpus' names.
-PLACE_BITS, NAME_BITS = 23, 40
-#: Names below this are sent two in a number.
+#: Bits of the corpus' names.
+NAME_BITS = 40
+#: Names below this are held two in a number.
 PAIRED_NAMES = 1 << 31
+#: Words of a row of level 1.
+PIECE = 1 << 14
+#: Rows are large, so row groups are cut by size at any row.
+SMALL_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
 _KIND = np.zeros(256, np.uint8)
 _KIND[[*BLANKS]], _KIND[[*BREAKS]] = 1, 2
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -58,23 +64,40 @@ def _words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     begins = begins[:-1]
     first = letter.copy()
     first[1:] &= ~letter[:-1] | begins[1:]
-    piece = np.cumsum((kind == 2) | begins)[first]
-    inner = np.cumsum(letter)  # letters up to each place
+    piece = np.cumsum((kind == 2) | begins, dtype=np.int32)[first]
+    inner = np.cumsum(letter, dtype=np.int32)  # letters up to each place
     offsets = np.append(inner[first] - 1, inner[-1] if len(inner) else 0).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(piece), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[data[letter]])]), piece
 
 
+def _coded(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0, compressed: their first bytes, their second bytes and so on, which are alike."""
+    width = 1 << (max(int(numbers.max(initial=0)).bit_length() - 1, 0) // 8).bit_length()
+    raw = np.ascontiguousarray(numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+    return bytes([width]) + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _decoded(coded: bytes) -> np.ndarray:
+    width, size = coded[0], int.from_bytes(coded[1:9], "little")
+    if not size:
+        return np.zeros(0, np.int64)
+    raw = np.frombuffer(pa.decompress(coded[9:], size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
+
+
+def _steps(numbers: np.ndarray) -> np.ndarray:
+    return np.diff(numbers, prepend=0)
+
+
 def _packed(numbers: np.ndarray) -> bytes:
     """Numbers at the places of a chunk, compressed; of a run of -1 one is kept."""
     if numbers.size:
         numbers = numbers[np.append(True, (numbers[1:] >= 0) | (numbers[:-1] >= 0))]
-    raw = numbers.astype(np.int32).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    return _coded(numbers + 1)
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
-    size = int.from_bytes(packed[:8], "little")
-    return np.frombuffer(pa.decompress(packed[8:], size, "zstd", asbytes=True), np.int32) if size else np.zeros(0, np.int32)
+    return (_decoded(packed) - 1).astype(np.int32)
 
 
 def word_chunks(docs: DataFrame, text_col: str, lang_col: str, chunk: int) -> DataFrame:
@@ -87,8 +110,8 @@ def word_chunks(docs: DataFrame, text_col: str, lang_col: str, chunk: int) -> Da
             nonlocal number
             table = pa.Table.from_batches(held)
             lang = table.column(0).combine_chunks().dictionary_encode()
-            for k, name in enumerate(lang.dictionary):
-                words, piece = _words(table.column(1).combine_chunks().take(pa.array(np.flatnonzero(lang.indices.to_numpy() == k))))
+            for own, name in enumerate(lang.dictionary):
+                words, piece = _words(table.column(1).combine_chunks().take(pa.array(np.flatnonzero(lang.indices.to_numpy() == own))))
                 if not len(words):
                     continue
                 coded = words.dictionary_encode()
@@ -96,8 +119,9 @@ def word_chunks(docs: DataFrame, text_col: str, lang_col: str, chunk: int) -> Da
                 broken = np.flatnonzero(piece[1:] != piece[:-1]) + 1
                 seq = np.insert(at, broken, -1)
                 counts = np.bincount(at, minlength=len(coded.dictionary))
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([number]), "lang": pa.array([name.as_py()]), "seq": pa.array([_packed(seq)], pa.binary()), "word": pa.array([coded.dictionary], pa.list_(pa.binary())), "n": pa.array([counts], pa.list_(pa.int64()))})
-                number += 1 + (len(words) >> PLACE_BITS)
+                for k in range(0, len(counts), PIECE):  # the places are in the first of the chunk's rows
+                    yield pa.RecordBatch.from_pydict({"chunk": pa.array([number]), "lang": pa.array([name.as_py()]), "seq": pa.array([None if k else _packed(seq)], pa.binary()), "start": pa.array([k]), "word": pa.array([coded.dictionary[k : k + PIECE]], pa.list_(pa.binary())), "n": pa.array([counts[k : k + PIECE]], pa.list_(pa.int64()))})
+                number += 1
 
         held, size = [], 0
         for batch in batches:
@@ -110,84 +134,157 @@ def word_chunks(docs: DataFrame, text_col: str, lang_col: str, chunk: int) -> Da
             yield from flush(held)
 
     read = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return read.mapInArrow(tidy(run), "chunk long, lang string, seq binary, word array<binary>, n array<long>")
+    return read.mapInArrow(tidy(run), "chunk long, lang string, seq binary, start long, word array<binary>, n array<long>")
+
+
+def _slice_of(first: np.ndarray, second: np.ndarray, slices: int) -> np.ndarray:
+    mixed = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ second.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return ((mixed >> np.uint64(32)) % np.uint64(slices)).astype(np.int64)
 
 
-def pair_chunks(chunks: DataFrame, names: DataFrame, most: int) -> DataFrame:
-    """The next level: the frequent phrases at the places of each chunk, paired with their neighbours."""
+def pair_chunks(chunks: DataFrame, names: DataFrame, most: int, slices: int, last: bool) -> DataFrame:
+    """The next level: the frequent phrases at the places of each chunk, paired with their neighbours. A row has
+    the chunk's places (none at the ``last`` level), the others the pairs of a slice and their counts."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"chunk": [], "lang": [], "seq": [], "first": [], "second": [], "n": []}
+        out = {x: [] for x in ("slice", "start", "seq", "first", "second", "n")}
         if left.num_rows and right.num_rows:
             seq = _unpacked(left.column("seq")[0].as_py())
-            told = right.column("told").to_numpy()
-            number, name = told >> NAME_BITS, told & ((1 << NAME_BITS) - 1)
+            number = np.concatenate([np.cumsum(_decoded(x)) for x in right.column("at").to_pylist()])
+            name = np.concatenate([_decoded(x) for x in right.column("names").to_pylist()])
             order = np.argsort(name)
             rank = np.full(int(max(seq.max(initial=0), number.max())) + 1, -1, np.int64)
             rank[number[order]] = np.arange(order.size)  # frequent phrases by their place among the chunk's names
             place = np.where(seq < 0, -1, rank[seq])
             both = (place[:-1] >= 0) & (place[1:] >= 0)
             pairs, at, count = np.unique(place[:-1][both] * order.size + place[1:][both], return_inverse=True, return_counts=True)
-            seq = np.full(max(place.size - 1, 0), -1, np.int64)
-            seq[both] = at
             name = name[order]
             if pairs.size:
-                out = {"chunk": [left.column("chunk")[0].as_py()], "lang": [left.column("lang")[0].as_py()], "seq": [_packed(seq)], "first": [name[pairs // order.size]], "second": [name[pairs % order.size]], "n": [count]}
-        kinds = {"chunk": pa.int64(), "lang": pa.string(), "seq": pa.binary()}
-        return pa.table({c: pa.array(v, kinds.get(c, pa.list_(pa.int64()))) for c, v in out.items()})
+                first, second = name[pairs // order.size], name[pairs % order.size]
+                where = _slice_of(first, second, slices)
+                dealt = np.argsort(where, kind="stable")  # pairs are numbered slice by slice
+                if not last:
+                    back = np.empty(dealt.size, np.int64)
+                    back[dealt] = np.arange(dealt.size)
+                    seq = np.full(max(place.size - 1, 0), -1, np.int64)
+                    seq[both] = back[at]
+                    for x in out:
+                        out[x].append(_packed(seq) if x == "seq" else None)
+                cuts = np.append(np.flatnonzero(np.diff(where[dealt], prepend=-1)), dealt.size)
+                first, second, count = first[dealt], second[dealt], count[dealt]
+                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    row = (int(where[dealt[lo]]), lo, None, _coded(_steps(first[lo:hi])), _coded(second[lo:hi]), _coded(count[lo:hi]))
+                    for x, v in zip(out, row, strict=True):
+                        out[x].append(v)
+        kinds = {"slice": pa.int64(), "start": pa.int64()}
+        return pa.table({"chunk": pa.array([key[0].as_py()] * len(out["slice"]), pa.int64()), **{x: pa.array(v, kinds.get(x, pa.binary())) for x, v in out.items()}})
 
     if most >= 1 << NAME_BITS:
         raise ValueError(f"names beyond {NAME_BITS} bits")
-    told = names.select("chunk", (F.shiftleft("at", NAME_BITS) + F.col("name")).alias("told"))
-    schema = "chunk long, lang string, seq binary, first array<long>, second array<long>, n array<long>"
-    return chunks.select("chunk", "lang", "seq").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, schema)
+    heads = chunks.where(F.col("seq").isNotNull()).select("chunk", "seq")
+    return heads.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(run, "chunk long, slice long, start long, seq binary, first binary, second binary, n binary")
 
 
-def _numbered(pairs: DataFrame, parts: list[str], least: int, slices: int) -> DataFrame:
-    """``chunk``, ``at``, ``name`` and whole count ``a`` of each frequent phrase of each chunk, from rows of
-    ``parts``, ``here`` and ``n``. A slice numbers the rows of its frequent phrases; a phrase is named after its
-    least row (``own``) and the slice, so names are unique and small."""
-    meet = Window.partitionBy(*parts)
-    often = pairs.repartition(slices, *parts).withColumn("a", F.sum("n").over(meet)).where(F.col("a") >= least)
+def frequent_words(chunks: DataFrame, least: int, per_slice: int) -> DataFrame:
+    """``chunk``, ``at``, ``name`` and whole count ``a`` of each frequent word of each chunk. A slice numbers the
+    rows of its frequent words; a word is named after its least row (``own``) and the slice."""
+    spark = chunks.sparkSession
+    rows = chunks.agg(F.sum(F.size("n"))).first()[0] or 0
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_slice))
+    each = chunks.select("chunk", "lang", "start", F.posexplode(F.arrays_zip("word", "n")).alias("k", "v"))
+    each = each.select("lang", F.col("v.word").alias("word"), F.col("v.n").alias("n"), "chunk", (F.col("start") + F.col("k")).alias("at"))
+    meet = Window.partitionBy("lang", "word")
+    often = each.repartition(slices, "lang", "word").withColumn("a", F.sum("n").over(meet)).where(F.col("a") >= least)
     rows = often.withColumn("row", F.monotonically_increasing_id()).withColumn("first_row", F.min("row").over(meet))
     in_slice = F.col("first_row").bitwiseAND(F.lit((1 << 33) - 1))  # above these 33 bits is the slice
     name = in_slice * slices + F.shiftright("first_row", 33)
-    return rows.select(F.shiftright("here", PLACE_BITS).alias("chunk"), F.col("here").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("at"), name.alias("name"), "a", (F.col("row") == F.col("first_row")).alias("own"), *parts)
+    own = F.col("row") == F.col("first_row")
+    return rows.select("chunk", "at", name.alias("name"), "a", own.alias("own"), *(F.when(own, F.col(c)).alias(c) for c in ("lang", "word")))
 
 
-def frequent(chunks: DataFrame, level: int, least: int, most: int, per_slice: int) -> DataFrame:
-    """A row for each frequent phrase and chunk that has it. ``most`` is the greatest name of the parents."""
-    spark = chunks.sparkSession
-    rows = chunks.agg(F.sum(F.size("n"))).first()[0] or 0
-    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_slice))
-    parts = ["word"] if level == 1 else ["first", "second"]
-    each = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip(*parts, "n")).alias("at", "v"))
-    each = each.select(*(["lang"] if level == 1 else []), *(F.col(f"v.{c}").alias(c) for c in (*parts, "n")), (F.shiftleft("chunk", PLACE_BITS) + F.col("at")).alias("here"))
-    if level == 1:
-        return _numbered(each, ["lang", "word"], least, slices)
-    if most >= PAIRED_NAMES:
-        return _numbered(each, parts, least, slices)
-    both = each.select((F.shiftleft("first", 32) + F.col("second")).alias("pair"), "n", "here")  # a shorter row to shuffle
-    return _numbered(both, ["pair"], least, slices).withColumns({"first": F.shiftright("pair", 32), "second": F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))}).drop("pair")
+def _told_words(found: DataFrame) -> DataFrame:
+    """The names of words on the way back to their chunks, packed in pieces."""
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        chunk, at, name = (table.column(k).to_numpy() for k in range(3))
+        order = np.lexsort((at, chunk))
+        chunk, at, name = chunk[order], at[order], name[order]
+        cuts = np.append(np.flatnonzero(np.diff(chunk, prepend=-1)), chunk.size).tolist()
+        parts = [slice(lo, hi) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_pydict({"chunk": pa.array(chunk[cuts[:-1]]), "at": pa.array([_coded(_steps(at[p])) for p in parts], pa.binary()), "names": pa.array([_coded(name[p]) for p in parts], pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 1_000_000:
+                yield pack(held)
+                held, rows = [], 0
+        if rows:
+            yield pack(held)
+
+    return found.select("chunk", "at", "name").mapInArrow(run, "chunk long, at binary, names binary")
+
+
+def frequent_pairs(chunks: DataFrame, least: int, most: int, slices: int) -> DataFrame:
+    """Rows with ``name``, ``a``, ``first`` and ``second`` of frequent pairs, and rows that tell chunks of them:
+    ``chunk``, ``at`` and ``names``, packed. ``most`` is the greatest name of the parents."""
+    paired = most < PAIRED_NAMES
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        own, begins, counts = key[0].as_py(), table.column("start").to_pylist(), [_decoded(x) for x in table.column("n").to_pylist()]
+        first = np.concatenate([np.cumsum(_decoded(x)) for x in table.column("first").to_pylist()])
+        second = np.concatenate([_decoded(x) for x in table.column("second").to_pylist()])
+        order = np.argsort(first << 32 | second, kind="stable") if paired else np.lexsort((second, first))
+        new = np.append(True, (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0))
+        head = order[new]
+        a = np.add.reduceat(np.concatenate(counts)[order], np.flatnonzero(new))
+        often = a >= least
+        named = np.where(often, (np.cumsum(often) - 1) * slices + own, -1)
+        name = np.empty(order.size, np.int64)
+        name[order] = named[np.cumsum(new) - 1]
+        chunk, at, names, low = [], [], [], 0
+        for c, begin, n in zip(table.column("chunk").to_pylist(), begins, counts, strict=True):
+            here = name[low : low + n.size]
+            low += n.size
+            k = np.flatnonzero(here >= 0)
+            if k.size:
+                chunk.append(c)
+                at.append(_coded(_steps(k + begin)))
+                names.append(_coded(here[k]))
+        numbers = {"name": named[often], "a": a[often], "first": first[head][often], "second": second[head][often]}
+        told = pa.table({"chunk": pa.array(chunk, pa.int64()), "at": pa.array(at, pa.binary()), "names": pa.array(names, pa.binary()), **{x: pa.nulls(len(chunk), pa.int64()) for x in numbers}})
+        rows = len(numbers["name"])
+        mine = pa.table({"chunk": pa.nulls(rows, pa.int64()), "at": pa.nulls(rows, pa.binary()), "names": pa.nulls(rows, pa.binary()), **{x: pa.array(v, pa.int64()) for x, v in numbers.items()}})
+        return pa.concat_tables([told, mine]).combine_chunks()
+
+    pieces = chunks.where(F.col("slice").isNotNull()).drop("seq")
+    return pieces.groupBy("slice").applyInArrow(run, "chunk long, at binary, names binary, name long, a long, first long, second long")
 
 
 def _levels(docs: DataFrame, text_col: str, lang_col: str, least: int, longest: int, chunk: int, per_slice: int) -> tuple[list[DataFrame], DataFrame]:
     """The frequent phrases of each length, and the words of each language."""
-    chunks = materialise(word_chunks(docs, text_col, lang_col, chunk), "chunks")
+    spark = docs.sparkSession
+    chunks = stored(word_chunks(docs, text_col, lang_col, chunk), "chunks", compression="zstd", **SMALL_GROUPS)
     total = materialise(chunks.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")), "words")
-    levels, most = [], 0
-    for k in range(1, longest + 1):
-        parts = ["lang", "word"] if k == 1 else ["first", "second"]
-        found = materialise(frequent(chunks, k, least, most, per_slice), "names")
-        own = materialise(found.where("own").select("name", "a", *parts), f"phrases-{k}")
+    words = total.agg(F.sum("n")).first()[0] or 0  # a level has no more pairs
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // per_slice))
+    found = materialise(frequent_words(chunks, least, per_slice), "names")
+    own, told = materialise(found.where("own").select("name", "a", "lang", "word"), "phrases-1"), _told_words(found)
+    levels = [own]
+    for k in range(2, longest + 1):
         most = own.agg(F.max("name")).first()[0] or 0
+        before, names, chunks = chunks, found, stored(pair_chunks(chunks, told, most, slices, k == longest), "chunks", compression="zstd", **SMALL_GROUPS)
+        discard(before)
+        discard(names)
+        found = materialise(frequent_pairs(chunks, least, most, slices), "names")
+        own, told = materialise(found.where(F.col("name").isNotNull()).select("name", "a", "first", "second"), f"phrases-{k}"), found.where(F.col("chunk").isNotNull()).select("chunk", "at", "names")
         levels.append(own)
-        if k < longest:
-            before, chunks = chunks, materialise(pair_chunks(chunks, found, most), "chunks")
-            discard(before)
-        else:
-            discard(chunks)
-        discard(found)
+    discard(chunks)
+    discard(found)
     return levels, total
 
 

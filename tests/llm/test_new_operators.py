@@ -270,3 +270,30 @@ def test_repeated_ids_of_vectors(spark):
 
     assert of([(5, x), (5, y), (3, y), (7, z)]) == [(3, 2, 3, True), (5, 0, 5, True), (5, 2, 3, False), (7, 2, 3, False)]
     assert of([(5, x), (5, y), (7, z)]) == [(5, 1, 5, True), (5, 1, 5, True), (7, 1, 5, False)]
+
+
+def test_no_row_of_a_chunk_grows_with_it(spark, monkeypatch):
+    """Words lie in rows of ``PIECE``, pairs in one row for each slice, and row groups are cut by size: a reader
+    holds a row group at a time, which had all rows of a file before."""
+    monkeypatch.setattr(collocations, "PIECE", 64)
+    text = " ".join(f"w{k % 500} x{k % 300}." for k in range(3000))
+    docs = spark.createDataFrame([("en", text)], "lang string, text string")
+    chunks = collocations.stored(collocations.word_chunks(docs, "text", "lang", 16 << 20), "chunks")
+    assert chunks.selectExpr("max(size(word))", "sum(size(word))").first() == (64, 800)
+    found = collocations.materialise(collocations.frequent_words(chunks, 2, 1000), "names")
+    pairs = collocations.pair_chunks(chunks, collocations._told_words(found), 10_000, 16, False).toPandas()
+    assert sorted(pairs[pairs["slice"].notna()]["slice"]) == list(range(16))
+    assert sum(collocations._decoded(x).sum() for x in pairs["n"].dropna()) == 3000
+    assert len(pairs["seq"].dropna()) == 1 and collocations._unpacked(pairs["seq"].dropna().iloc[0]).max() == 1499
+
+
+def test_row_groups_of_large_rows_are_small(spark):
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    rows = spark.range(0, 40, 1, 1).selectExpr("id", "array_join(transform(sequence(1, 16384), k -> sha2(cast(id * 100000 + k as string), 512)), '') AS seq")
+    path = collocations.stored(rows, "rows", **collocations.SMALL_GROUPS).stored_at.removeprefix("file://").removeprefix("file:")
+    (file,) = Path(path).glob("*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert meta.num_rows == 40 and max(meta.row_group(k).num_rows for k in range(meta.num_row_groups)) <= 12
