@@ -33,7 +33,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
-    n = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(secrets.KINDS)]
+    of = lambda k: F.filter("spans", lambda s: s["kind"] == k)  # a second argument would be the place in the list
+    n = [F.size(of(k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(secrets.KINDS)]
     base = F.filter("spans", lambda s: s["kind"] < 3)
     return found.select("doc_id", *n[:3], sha256_hex(secrets.listed(base)).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"), n[3])
 
