@@ -8,7 +8,7 @@ values at the ends, and the rest follows without another recurrence. So no task
 
 Where lines are few and long, parallel cyclic reduction is used instead, in SQL alone: a round eliminates the
 neighbours at a distance, which doubles; then every cell is an equation of its own. There are two shuffles in
-all. The near rounds are windows within slabs, which borrow as many cells as the rounds together reach; after
+all, and one more for each stage where lines are longer than the square of ``chunk``. The near rounds are windows within slabs, which borrow as many cells as the rounds together reach; after
 them, cells at the same remainder of the distance are systems of their own, and the far rounds are windows
 within these.
 """
@@ -157,29 +157,32 @@ def _near(cells: int, chunk: int) -> int:
     return (-(-cells // chunk) - 1).bit_length()
 
 
-def solve_by_reduction(systems: DataFrame, line: list[str], along: str, begin: int, cells: int, chunk: int) -> DataFrame:
+def solve_by_reduction(systems: DataFrame, line: list[str], along: str, begin: int, cells: int, chunk: int, stages: bool = False) -> DataFrame:
     """The same as ``solve_lines`` for lines of ``cells`` cells, by parallel cyclic reduction. Tasks have slabs
-    and systems of at most ``chunk`` cells and their borders."""
-    near, parts = _near(cells, chunk), -(-cells // chunk)
-    reach = (1 << near) - 1
-    if reach > chunk:
+    and systems of at most ``chunk`` cells and their borders. With ``stages`` lines may be of any length: near
+    rounds in slabs of the systems so far go on, a shuffle for each stage, until systems have ``chunk`` cells."""
+    if not stages and (1 << _near(cells, chunk)) - 1 > chunk:
         raise MeshError(f"lines of {cells} cells are too long for systems of {chunk}")
     at = F.col(along) - begin
     df = systems.select(*line, along, F.when(at == 0, 0.0).otherwise(F.col("a").cast("double")).alias("a"), F.col("b").cast("double").alias("b"), F.when(at == cells - 1, 0.0).otherwise(F.col("c").cast("double")).alias("c"), F.col("d").cast("double").alias("d"))
-    if near:
-        slab, within = F.floor(at / chunk).cast("int"), at % chunk
+    done = 0  # rounds; cells of a system are 2 to this power apart
+    system, place, length = list(line), at, cells
+    while length > chunk:
+        near, parts = min(_near(length, chunk), (chunk + 1).bit_length() - 1), -(-length // chunk)
+        reach = (1 << near) - 1
+        slab, within = F.floor(place / chunk).cast("int"), place % chunk
         to = F.array(slab, F.when((within < reach) & (slab > 0), slab - 1), F.when((within >= chunk - reach) & (slab < parts - 1), slab + 1))
         df = df.withColumn("slab", F.explode(F.filter(to, lambda s: s.isNotNull())))
-        window = Window.partitionBy(*line, "slab").orderBy(along)
+        window = Window.partitionBy(*system, "slab").orderBy(along)
         for k in range(near):
             df = _round(df, window, 1 << k)
         df = df.where(F.col("slab") == slab).drop("slab")
-    window = Window.partitionBy(*line).orderBy(along)
-    if near:
-        df = df.withColumn("rest", (at % (1 << near)).cast("int"))
-        window = Window.partitionBy(*line, "rest").orderBy(along)
+        done += near
+        df = df.withColumn("rest", (at % (1 << done)).cast("int"))
+        system, place, length = [*line, "rest"], F.floor(at / (1 << done)).cast("int"), -(-cells // (1 << done))
+    window = Window.partitionBy(*system).orderBy(along)
     distance = 1
-    while distance << near < cells:
+    while distance << done < cells:
         df = _round(df, window, distance)
         distance *= 2
     return df.select(*line, along, _over(F.col("d"), F.col("b")).alias("x"))
@@ -211,7 +214,7 @@ def solve(mesh: Mesh, axis: int, box: list[int], a: Field, b: Field, c: Field, d
     if by not in ("whole", "pieces", "reduction"):
         raise MeshError(f"tridiagonal systems cannot be solved by {by}")
     if by == "reduction":
-        solved = solve_by_reduction(table, line, along, low, high - low, chunk)
+        solved = solve_by_reduction(table, line, along, low, high - low, chunk, True)
     elif by == "pieces":
         last = F.col(along) == high - 1
         solved = solve_long_lines(table.withColumn("c", F.when(last, 0.0).otherwise(F.col("c"))), line, along, low, chunk)

@@ -64,3 +64,22 @@ def test_how_lines_are_solved(spark, monkeypatch):
         tridiagonal.solve_by_reduction(cells, ["j"], "i", 0, 1000, 4)
     one = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 1.0)], "i int, a double, b double, c double, d double")
     assert np.isnan(tridiagonal.solve_by_reduction(one, [], "i", 0, 1, 4).first()["x"])
+
+
+@pytest.mark.parametrize(("n", "chunk"), [(100, 4), (1000, 4), (1023, 1), (5000, 8)])
+def test_lines_of_any_length_are_reduced(spark, n, chunk):
+    """Lines longer than the square of ``chunk`` take several stages; they were refused before."""
+    rng = np.random.default_rng(n)
+    lines = []
+    for line in range(2):
+        a, c, d = rng.standard_normal((3, n))
+        lines.append(np.array([a, np.abs(a) + np.abs(c) + 0.5, c, d]))
+    cells = spark.createDataFrame([(k + 2, j, *map(float, lines[j][:, k])) for j in range(2) for k in range(n)], "i int, j int, a double, b double, c double, d double").repartition(5)
+    m = Mesh(spark)
+    block = m.block("b", 2)
+    fs = [m.field(block, x, (n, 2), base=(2, 0), values=cells.select("i", "j", x)) for x in "abcd"]
+    tridiagonal.solve(m, 0, [2, n + 2, 0, 2], *fs, chunk=chunk, by="reduction")
+    got = {(r["j"], r["i"]): r["d"] for r in m.table(fs[3]).collect()}
+    for j in range(2):
+        want = tridiagonal.thomas(*(x[None, :] for x in lines[j]))[0]
+        assert np.abs(want - [got[j, k + 2] for k in range(n)]).max() < 1e-9
