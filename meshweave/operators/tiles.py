@@ -216,7 +216,7 @@ class Tiles:
         for a, x in enumerate(axes):
             low, high = grid.box[a]
             # The part k that begins at or before the coordinate: low + n k div counts <= x.
-            number = number * grid.counts[a] + F.floor(((F.col(x) - low + 1) * grid.counts[a] - 1) / (high - low)).cast("long")
+            number = number * grid.counts[a] + F.floor(((F.col(x).cast("long") - low + 1) * grid.counts[a] - 1) / (high - low)).cast("long")
 
         def run(table: pa.Table) -> pa.Table:
             tile = table.column("tile")[0].as_py()

@@ -175,3 +175,13 @@ def test_relaxation_has_the_known_change(spark):
     from bench import relax_in_tiles
 
     assert relax_in_tiles(spark, 30, 100, (11, 16), 5) == pytest.approx(0.0018718304066847602, rel=1e-12)
+
+
+def test_cells_by_tiles_beyond_32_bits(spark):
+    """A coordinate times the number of tiles passes 2^31; only the cells' own tiles are filled."""
+    n = 3_000_000
+    tiles = Tiles(spark, Block("long", 2), (n, 1), (1000, 1), buckets=4)
+    values = spark.createDataFrame([(0, 0, 1.0), (n // 2, 0, 2.0), (n - 1, 0, 3.0)], "i int, j int, v double")
+    tiles.field("v", values=values)
+    assert tiles.table.where("v IS NOT NULL").orderBy("tile").select("tile").toPandas()["tile"].tolist() == [0, 1500, 2999]
+    assert sorted(map(tuple, tiles.cells("v").where("v <> 0").collect())) == [(0, 0, 1.0), (n // 2, 0, 2.0), (n - 1, 0, 3.0)]
