@@ -264,6 +264,8 @@ class Mesh:
             new = new.drop(SLAB)
         if few:
             new = F.broadcast(new)
+        elif cells is not None:  # known to be large, whatever Spark takes the rows of Python for
+            new = new.hint("merge")
         joined = table.join(new, on, "left") if axes else table.crossJoin(F.broadcast(new.limit(1)))
         changed = {c: F.when(F.col("__hit"), v).otherwise(F.col(f"`{c}`")) for c, v in columns.items()}
         self._keep(key, joined.withColumns(changed).select(*(F.col(f"`{c}`") for c in table.columns)))

@@ -184,7 +184,7 @@ def fill_twister(mesh: Mesh, f: Field, seed: int, chunk: int = 4_000_000) -> Non
 
     tasks = -(-cells // chunk)
     made = mesh.spark.range(0, tasks, 1, tasks).mapInArrow(run, ", ".join([*(f"{x} int" for x in axes), f"value {f.spark_type}"]))
-    mesh.set_values(f, made.withColumnRenamed("value", f.name))
+    mesh.set_values(f, made.withColumnRenamed("value", f.name), cells=cells)
 
 
 def lines(mesh: Mesh, f: Field) -> DataFrame:

@@ -62,3 +62,12 @@ def test_other_types_are_refused(spark):
     m = Mesh(spark)
     with pytest.raises(MeshError):
         slabs.fill_twister(m, m.field(m.block("b", 1), "c", (4,), dtype="complexd"), seed=1)
+
+
+def test_a_large_field_is_not_sent_to_the_driver(spark):
+    """A few rows, one for each task, become the cells: Spark takes these for few and broadcast them."""
+    m = Mesh(spark)
+    f = m.field(m.block("b", 2), "u", (1000, 300))
+    slabs.fill_twister(m, f, seed=1, chunk=100_000)
+    plan = m.table(f)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
