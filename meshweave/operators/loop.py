@@ -23,6 +23,8 @@ from .reduction import Folds, Reduction, folded, identity
 
 #: A table of at most this many cells may be sent to all executors in a join.
 MOST_SENT = 200_000
+#: A slab has about this many cells at most, as it is one task's; slabs are not made thinner than this many rows.
+MOST_DEALT, LEAST_ROWS = 1 << 18, 64
 
 
 @dataclass(frozen=True)
@@ -205,7 +207,8 @@ class Mesh:
         self._keep(key, self.tables[key].withColumn(f.name, value.cast(f.spark_type)))
 
     def deal(self, f: Field, axis: int, parts: int) -> None:
-        """Cuts the block of a field into ``parts`` slabs along an axis. All its tables that have the axis, also
+        """Cuts the block of a field into ``parts`` slabs along an axis, or more if the grid is so large that slabs
+        would have more than ``MOST_DEALT`` cells. All its tables that have the axis, also
         of fields of another size or declared later, are stored by slab: loops over several of them join
         without a shuffle, and of neighbours only those across slabs move. A slab is one task's.
 
@@ -214,6 +217,7 @@ class Mesh:
             raise MeshError(f"{f.name} cannot be dealt into {parts} slabs of axis {axis}")
         self.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
         low, high = f.interior[axis]
+        parts = max(parts, min(-(-box_size(tuple(f.allocation[a] for a in f.kept)) // MOST_DEALT), (high - low) // LEAST_ROWS))
         self.slabs[f.block.name] = Slabs(AXES[axis], low, -(-(high - low) // parts), parts)
         for key in self.tables:
             if key[0] == f.block.name and axis in key[1]:

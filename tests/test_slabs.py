@@ -111,3 +111,21 @@ def test_border_rows_alone_are_sent(spark, large):
     assert "Bucketed: true" in plan_of(m.tables[m.key(v)].groupBy(SLAB).count())
     with pytest.raises(ValueError):
         m.loop("far", b, [600, 700, 0, 5], lambda v, other: None, v=read(v, Stencil("f", ((501, 0),))), other=write(other))
+
+
+def test_slabs_of_a_large_grid_are_more(spark, large, monkeypatch):
+    """A slab is one task's, so a larger grid has more of them than were asked for, with the same values."""
+    monkeypatch.setattr(loops, "MOST_DEALT", 1000, raising=False)
+    values = spark.range(20_000).selectExpr("cast(id % 4000 as int) i", "cast(id div 4000 as int) j", "cast(id as double) v")
+    found = []
+    for parts in (0, 3):
+        m = Mesh(spark)
+        b = m.block("b", 2)
+        v = m.field(b, "v", (4000, 5), values=values)
+        if parts:
+            m.deal(v, 0, parts)
+        m.loop("mean", b, [3, 3998, 1, 5], lambda v: v.__setitem__((0, 0), v[2, 0] + v[-3, 0] + v[0, -1]), v=rw(v, Stencil("s", ((0, 0), (2, 0), (-3, 0), (0, -1)))))
+        found.append(rows(m.table(v)))
+    assert found[0] == found[1]
+    table = m.tables[m.key(v)]
+    assert table.groupBy(SLAB).count().agg(F.count("*"), F.max("count")).first() == (20, 1000)
